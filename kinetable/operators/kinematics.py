@@ -115,16 +115,17 @@ def camera_angvel(df: DataFrame, seq: Seq, mat: str) -> DataFrame:
     return d.withColumn("angvel", R.matrix_to_sixd(F.coalesce(here, before))).drop("_n", "_p")
 
 
-def local_velocity(df: DataFrame, seq: Seq, pos: str, quat: str, heading_only: bool = True) -> DataFrame:
-    """Displacement to the next row in the body (or heading) frame; zero on
-    the last row."""
+def local_velocity(df: DataFrame, seq: Seq, pos: str, quat: str, heading_only: bool = False) -> DataFrame:
+    """Displacement to the next row in the body (or heading) frame; the last
+    row repeats the displacement before it."""
     frame = R.heading_quat(F.col(quat)) if heading_only else F.col(quat)
-    d = neighbors(df, seq, 0, 1, {"_n": lambda w: F.lead(pos).over(w)})
-    step = F.zip_with(F.coalesce(F.col("_n"), F.col(pos)), F.col(pos), lambda a, b: a - b)
-    return d.withColumn("local_vel", R.qrot(R.qinv(frame), step)).drop("_n")
+    minus = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
+    d = neighbors(df, seq, 1, 1, {"_n": lambda w: F.lead(pos).over(w), "_p": lambda w: F.lag(pos).over(w)})
+    step = F.coalesce(minus(F.col("_n"), F.col(pos)), minus(F.col(pos), F.col("_p")), vec(0.0, 0.0, 0.0))
+    return d.withColumn("local_vel", R.qrot(R.qinv(frame), step)).drop("_n", "_p")
 
 
-def integrate_local_velocity(df: DataFrame, seq: Seq, vel: str, quat: str, heading_only: bool = True) -> DataFrame:
+def integrate_local_velocity(df: DataFrame, seq: Seq, vel: str, quat: str, heading_only: bool = False) -> DataFrame:
     """Inverse of :func:`local_velocity`, starting at the origin."""
     frame = R.heading_quat(F.col(quat)) if heading_only else F.col(quat)
     d = df.withColumn("_w", R.qrot(frame, F.col(vel)))

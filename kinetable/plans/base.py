@@ -58,3 +58,38 @@ def grid_spans(obs: DataFrame) -> DataFrame:
     return obs.select("user_id").distinct().select(
         "user_id", F.lit(0).cast("long").alias("first"), F.lit(119).cast("long").alias("last")
     )
+
+
+EMB_SQL = """emb AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos
+  FROM embeddings)"""
+
+#: 21 joints per embedding; the truth is the same vector with rotated axes.
+JOINT_SQL = f"""{EMB_SQL},
+jt AS (
+  SELECT label AS clip, pos AS frame, j AS joint, e[3*j+1] AS px, e[3*j+2] AS py, e[3*j+3] AS pz,
+         e[3*j+2] AS gx, e[3*j+3] AS gy, e[3*j+1] AS gz
+  FROM emb CROSS JOIN (SELECT unnest(range(0, 21)) AS j))"""
+
+CLIP = Seq(("label",), "pos", 4096)
+JOINT = Seq(("clip", "joint"), "frame", 4096)
+
+
+def embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "embeddings")
+    return d.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+
+
+def clip_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as frames: the label is the clip, the rank the frame."""
+    return number_rows(embeddings(spark, sf), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 4096))
+
+
+def joint_table(spark: SparkSession, sf: str) -> DataFrame:
+    j = F.sequence(F.lit(0), F.lit(20))
+    d = clip_frames(spark, sf).select(F.col("label").alias("clip"), F.col("pos").alias("frame"), "e", F.explode(j).alias("joint"))
+    at = lambda i: F.get("e", 3 * F.col("joint") + i)
+    return d.select(
+        "clip", "frame", "joint", at(0).alias("px"), at(1).alias("py"), at(2).alias("pz"), at(1).alias("gx"), at(2).alias("gy"), at(0).alias("gz")
+    )
