@@ -32,7 +32,7 @@ def from_timecode(code: Column) -> Column:
 
 
 def sanitize_name(name: Column) -> Column:
-    return F.regexp_replace(F.replace(name, F.lit(" "), F.lit("_")), r"[^0-9A-Za-z_]", "")
+    return F.regexp_replace(F.replace(name, F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_]", "")
 
 
 def clean_title(title: Column) -> Column:
@@ -99,7 +99,8 @@ def closed_tags(block: Column) -> Column:
 
 
 def words(text: Column, stopwords: list[str] | None = None, min_len: int = 1) -> Column:
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"\b\w+\b"), F.lit(0))
+    """Lower-case runs of letters, digits and underscores of any script."""
+    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     if min_len > 1:
         w = F.filter(w, lambda x: F.length(x) >= min_len)
     if stopwords:
