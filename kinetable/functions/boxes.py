@@ -105,7 +105,7 @@ def flip_keypoints(kps: Column, width: float, order: tuple[int, ...] = FLIP_17)
     return F.transform(
         idx,
         lambda i: F.struct(
-            (F.lit(float(width)) - 1 - F.get(kps, i)["x"]).alias("x"),
+            (F.lit(float(width)) - F.get(kps, i)["x"]).alias("x"),
             F.get(kps, i)["y"].alias("y"),
             F.get(kps, i)["conf"].alias("conf"),
         ),

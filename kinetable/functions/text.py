@@ -60,32 +60,32 @@ def sections(text: Column, tags: tuple[str, ...] = SECTIONS) -> dict[str, Column
     return {t: section(text, t) for t in tags}
 
 
-def _clean_item(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\n+", " "))
+def strip(x: Column) -> Column:
+    """Trim blanks of any kind, newlines included."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def items_by_position(block: Column) -> Column:
     """Texts after each ``<digits>`` tag, cut at the next ``<``; the array
     index is the person."""
     parts = F.split(block, r"<[0-9]+>")
-    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.trim(F.get(F.split(p, "<"), F.lit(0))))
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.get(F.split(strip(p), "<"), F.lit(0)))
 
 
 def items_by_tag(block: Column) -> Column:
-    """``map<person, text>`` from ``<n>text``: closers dropped, newlines
-    collapsed, empty texts dropped, the last of equal tags wins."""
-    opened = F.regexp_replace(block, r"</[0-9]+>", "")
-    pattern = r"(?s)<([0-9]+)>([^<]*)"
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(opened, F.lit(pattern), F.lit(1)).alias("k"),
-        F.transform(F.regexp_extract_all(opened, F.lit(pattern), F.lit(2)), _clean_item).alias("v"),
-    )
-    kept = F.filter(pairs, lambda p: p["v"] != "")
-    last = F.filter(
-        kept,
-        lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["k"] == p["k"]),
+    """``map<person, text>`` from ``<n>text``: text runs to the next opening
+    tag; newlines become blanks, closers are dropped, empty texts skipped, and
+    the last of equal tags wins."""
+    parts = F.split(block, r"<[0-9]+>")
+    texts = F.transform(
+        F.slice(parts, F.lit(2), F.size(parts)),
+        lambda p: F.regexp_replace(F.replace(F.replace(strip(p), F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" ")), r"</[0-9]+>", ""),
     )
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].cast("int").alias("k"), p["v"].alias("v"))))
+    ids = F.regexp_extract_all(block, F.lit(r"<([0-9]+)>"), F.lit(1))
+    pairs = F.filter(F.arrays_zip(ids.alias("k"), texts.alias("v")), lambda p: p["v"] != "")
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]
+    return F.map_from_arrays(keys, F.transform(keys, last))
 
 
 def inner_items(block: Column) -> Column:
@@ -122,20 +122,18 @@ def strip_enumeration(text: Column) -> Column:
 def mirror_text(text: Column, mode: str = "swap") -> Column:
     """Exchange left/right and clockwise/counter-clockwise.
 
-    ``mode="sequential"`` applies the replacements one after another without a
-    placeholder, so both sides end as "left".
+    ``mode="sequential"`` applies the four replacements one after another, so
+    both sides end as "left" and turning words keep theirs.
     """
+    turn = "counter-clockwise"
     if mode == "sequential":
-        t = F.replace(text, F.lit("left"), F.lit("right"))
-        t = F.replace(t, F.lit("right"), F.lit("left"))
-        t = F.replace(t, F.lit("clockwise"), F.lit("counterclockwise"))
-        return F.replace(t, F.lit("counterclockwise"), F.lit("clockwise"))
-    a, b = F.lit("\u0001"), F.lit("\u0002")
-    for left, right in (("left", "right"), ("Left", "Right")):
-        text = F.replace(F.replace(F.replace(text, F.lit(left), a), F.lit(right), F.lit(left)), a, F.lit(right))
-    text = F.replace(F.replace(text, F.lit("counter-clockwise"), a), F.lit("counterclockwise"), b)
-    text = F.replace(text, F.lit("clockwise"), F.lit("counterclockwise"))
-    return F.replace(F.replace(text, a, F.lit("clockwise")), b, F.lit("clockwise"))
+        for old, new in (("left", "right"), ("right", "left"), ("clockwise", turn), (turn, "clockwise")):
+            text = F.replace(text, F.lit(old), F.lit(new))
+        return text
+    mark = F.lit("\u0001")
+    for a, b in (("left", "right"), (turn, "clockwise")):
+        text = F.replace(F.replace(F.replace(text, F.lit(a), mark), F.lit(b), F.lit(a)), mark, F.lit(b))
+    return text
 
 
 def truncate_text(text: Column, n: int = 2000) -> Column:
@@ -165,7 +163,7 @@ def pos_onehot(pos: Column, classes: tuple[str, ...] = POS_CLASSES) -> Column:
 
 def code_string(text: Column, limit: int = 511, default: int = 1, default_len: int = 4) -> Column:
     """Integers in the text up to the first above ``limit``; defaults if none."""
-    nums = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0)), lambda x: F.coalesce(F.try_to_number(x, F.lit("999999999999")), F.lit(limit + 1)).cast("long"))
+    nums = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+"), F.lit(0)), lambda x: F.coalesce(x.try_cast("long"), F.lit(limit + 1)))
     over = F.array_position(F.transform(nums, lambda x: x > limit), True)
     cut = F.when(over > 0, F.slice(nums, F.lit(1), (over - 1).cast("int"))).otherwise(nums)
     return F.when(F.size(cut) > 0, cut).otherwise(F.array_repeat(F.lit(default).cast("long"), default_len))

@@ -115,22 +115,41 @@ def camera_angvel(df: DataFrame, seq: Seq, mat: str) -> DataFrame:
     return d.withColumn("angvel", R.matrix_to_sixd(F.coalesce(here, before))).drop("_n", "_p")
 
 
-def local_velocity(df: DataFrame, seq: Seq, pos: str, quat: str, heading_only: bool = False) -> DataFrame:
+def local_velocity(df: DataFrame, seq: Seq, pos: str, quat: str, heading_only: bool = False, height: str = "velocity") -> DataFrame:
     """Displacement to the next row in the body (or heading) frame; the last
-    row repeats the displacement before it."""
+    row repeats the displacement before it.
+
+    ``height`` replaces the vertical entry: "cumulative" by the running sum of
+    the vertical velocities, "absolute" by the height itself.
+    """
     frame = R.heading_quat(F.col(quat)) if heading_only else F.col(quat)
     minus = lambda a, b: F.zip_with(a, b, lambda p, q: p - q)
     d = neighbors(df, seq, 1, 1, {"_n": lambda w: F.lead(pos).over(w), "_p": lambda w: F.lag(pos).over(w)})
     step = F.coalesce(minus(F.col("_n"), F.col(pos)), minus(F.col(pos), F.col("_p")), vec(0.0, 0.0, 0.0))
-    return d.withColumn("local_vel", R.qrot(R.qinv(frame), step)).drop("_n", "_p")
-
-
-def integrate_local_velocity(df: DataFrame, seq: Seq, vel: str, quat: str, heading_only: bool = False) -> DataFrame:
-    """Inverse of :func:`local_velocity`, starting at the origin."""
+    d = d.withColumn("local_vel", R.qrot(R.qinv(frame), step)).drop("_n", "_p")
+    if height == "velocity":
+        return d
+    if height == "cumulative":
+        d = scan(d, seq, sums={"_y": F.get("local_vel", F.lit(1))})
+    else:
+        d = d.withColumn("_y", F.get(pos, F.lit(1)))
+    return d.withColumn("local_vel", F.transform("local_vel", lambda v, i: F.when(i == 1, F.col("_y")).otherwise(v))).drop("_y")
+
+
+def integrate_local_velocity(df: DataFrame, seq: Seq, vel: str, quat: str, heading_only: bool = False, height: str = "velocity") -> DataFrame:
+    """Inverse of :func:`local_velocity`: positions from a start at the origin
+    (at the stored height for ``height="absolute"``)."""
     frame = R.heading_quat(F.col(quat)) if heading_only else F.col(quat)
-    d = df.withColumn("_w", R.qrot(frame, F.col(vel)))
+    d, v = df, F.col(vel)
+    if height == "cumulative":
+        d = neighbors(d, seq, 1, 0, {"_b": lambda w: F.coalesce(F.lag(F.get(vel, F.lit(1))).over(w), F.lit(0.0))})
+        v = F.transform(vel, lambda x, i: F.when(i == 1, x - F.col("_b")).otherwise(x))
+    elif height == "absolute":
+        v = F.transform(vel, lambda x, i: F.when(i == 1, 0.0).otherwise(x))
+    d = d.withColumn("_w", R.qrot(frame, v))
     d = rollout(d, seq, {f"_p{i}": F.get("_w", F.lit(i)) for i in range(3)})
-    return d.withColumn("rolled", vec(*[F.col(f"_p{i}") for i in range(3)])).drop("_w", "_p0", "_p1", "_p2")
+    y = F.get(vel, F.lit(1)) if height == "absolute" else F.col("_p1")
+    return d.withColumn("rolled", vec(F.col("_p0"), y, F.col("_p2"))).drop("_w", "_b", "_p0", "_p1", "_p2")
 
 
 def per_sequence(df: DataFrame, keys: tuple[str, ...], **aggs: Column) -> DataFrame:

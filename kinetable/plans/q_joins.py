@@ -265,7 +265,7 @@ def pad_to(spark, sf):
 
 
 @query("loop_to", f"""WITH {EV_SQL}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1)
-SELECT n.user_id, f AS out_frame, e.value FROM n CROSS JOIN (SELECT unnest(range(0, 100)) AS f) JOIN ev e ON e.user_id = n.user_id AND e.pos = f % n""")
+SELECT e.user_id, f AS out_frame, e.value FROM ev e JOIN n USING (user_id) CROSS JOIN (SELECT unnest(range(0, 100)) AS f) WHERE f % n = e.pos""")
 def loop_to(spark, sf):
     return FR.loop_to(event_track(spark, sf, "value"), ["user_id"], "pos", 100).select("user_id", "out_frame", "value")
 
