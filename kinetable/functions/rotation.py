@@ -161,7 +161,7 @@ def matrix_to_quat(m: Column) -> Column:
             out = None
             for i, f in sums.items():
                 r = F.get(sq, F.lit(i))
-                cand = F.transform(F.array(*f(r)), lambda v, r=r: v / (2 * F.sqrt(r)))
+                cand = F.array(*[v / (2 * F.sqrt(r)) for v in f(r)])
                 out = F.when(best == i, cand) if out is None else out.when(best == i, cand)
             return standardize(out)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -202,33 +203,19 @@ def sequence_udf(df: DataFrame, keys: list[str], order: str, fn, schema: str) ->
     ``fn(rows)`` gets an iterator of pandas chunks of one sequence in order
     and yields result chunks, so a long sequence never sits in memory whole.
     """
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending: pd.DataFrame | None = None
-        stream = iter(it)
-
-        def chunks(first: pd.DataFrame, key: tuple):
-            nonlocal pending
-            cur = first
-            while cur is not None:
-                same = (cur[keys].apply(tuple, axis=1) == key).to_numpy()
-                cut = len(cur) if same.all() else int(np.argmin(same))
-                if cut:
-                    yield cur.iloc[:cut].reset_index(drop=True)
-                if cut < len(cur):
-                    pending = cur.iloc[cut:].reset_index(drop=True)
-                    return
-                cur = next(stream, None)
-            pending = None
-
-        pending = next(stream, None)
-        while pending is not None:
-            if not len(pending):
-                pending = next(stream, None)
+    def pieces(it: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        for pdf in it:
+            if not len(pdf):
                 continue
-            key = tuple(pending.iloc[0][keys])
-            part = chunks(pending, key)
-            yield from fn(part)
-            for _ in part:  # skip what the function left unread
-                pass
+            k = pdf[keys]
+            starts = np.flatnonzero((k != k.shift()).any(axis=1).to_numpy())
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                yield tuple(k.iloc[a]), pdf.iloc[a:b].reset_index(drop=True)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, part in groupby(pieces(it), key=lambda t: t[0]):
+            yield from fn(rows for _, rows in part)
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    # An explicit count keeps small but slow inputs on many tasks.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)

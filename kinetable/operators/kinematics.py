@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.functions import rotation as R
 from kinetable.functions.vectors import vec
 from kinetable.operators.blocks import Seq, neighbors, scan
+from kinetable.operators.joins import sequence_udf
 from kinetable.operators.runs import longest_run
 from kinetable.operators.smoothing import gaussian_smooth
 
@@ -243,3 +248,50 @@ def contact_drift_correct(
     )
 
 
+
+
+def camera_drift_correct(df: DataFrame, seq: Seq, joints: int = 6, far: float = 0.25, step: float = 0.02) -> DataFrame:
+    """Pull a world track toward the camera track, then hold static joints.
+
+    Columns: x, y, z (world root), rx, ry, rz (its root joint), cx, cy, cz
+    (the camera track seen in the world), ``static_points`` (3 numbers per
+    static joint), ``static_logits`` (per joint) and ``low`` (lowest joint
+    height). Where the root is off by more than ``far`` on an axis, every later
+    frame moves by at most ``step``; then the mean displacement of joints with
+    contact probability above 0.8 is removed from the ground plane.
+
+    The pull depends on all earlier pulls, so rows of a clip are read in order
+    and in chunks, with only the current offset and previous joints kept.
+    """
+    keys = list(seq.keys)
+    names = [*keys, seq.order, "x", "y", "z", "floor"]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in names)
+
+    def correct(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pulled, held, last, frozen = np.zeros(3), np.zeros(3), None, None
+        for pdf in parts:
+            root = pdf[["rx", "ry", "rz"]].to_numpy(float)
+            cam = pdf[["cx", "cy", "cz"]].to_numpy(float)
+            pts = np.stack([np.asarray(v, float) for v in pdf["static_points"]]).reshape(len(pdf), joints, 3)
+            on = 1 / (1 + np.exp(-np.stack([np.asarray(v, float) for v in pdf["static_logits"]]))) > 0.8
+            out, low = pdf[["x", "y", "z"]].to_numpy(float), pdf["low"].to_numpy(float)
+            floor = np.empty(len(pdf))
+            for i in range(len(pdf)):
+                if last is not None:
+                    off = root[i] - pulled - cam[i]
+                    off[np.abs(off) < far] = 0.0
+                    pulled = pulled + np.clip(off, -step, step)
+                here = pts[i] - pulled
+                if last is not None:
+                    slide = ((here - last) * frozen[:, None]).sum(0) / max(1, frozen.sum())
+                    held = held + slide * np.array([1.0, 0.0, 1.0])
+                last, frozen = here, on[i]
+                out[i] -= pulled + held
+                floor[i] = low[i] - pulled[1]
+            res = pdf[[*keys, seq.order]].copy()
+            res[["x", "y", "z"]], res["floor"] = out, floor
+            yield res[names]
+
+    d = sequence_udf(df, keys, seq.order, correct, schema)
+    return per_sequence(d, seq.keys, _g=F.min("floor")).withColumn("y", F.col("y") - F.col("_g")).drop("_g", "floor")

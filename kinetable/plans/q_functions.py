@@ -79,7 +79,7 @@ def flip_keypoints(spark, sf):
     "camera_projection",
     f"""WITH {BOX_SQL}, f AS (SELECT *, (x1+x2)/2 AS bx_, (y1+y2)/2 AS by_, x2-x1 AS s, sqrt(640.0*640+480.0*480) AS f FROM bx)
 SELECT l_orderkey, l_linenumber, l_partkey, round(f, 6) AS focal, round(f * x1 / (y1 + 10) + 320, 6) AS u, round((x1 - 320) * 5 / f, 6) AS back_x,
-  round((bx_ - 320) / f, 6) AS info_x, round(0.1 + 2 * (bx_ - 320) / (0.9 * s), 6) AS tx, round(2 * f / (0.9 * s), 6) AS tz, 0.9 AS scale_back FROM f""",
+  round((bx_ - 320) / f, 6) AS info_x, round(0.1 + 2 * (bx_ - 320) / (0.9 * s), 6) AS tx, round(2 * f / (0.9 * s), 6) AS tz, 0.9::DOUBLE AS scale_back FROM f""",
 )
 def camera_projection(spark, sf):
     """focal length, project, unproject, box info, full camera translation

@@ -308,7 +308,7 @@ def static_joint_mask(spark, sf):
 @query(
     "foot_contact",
     f"""WITH {EV_SQL}
-SELECT user_id, pos, CASE WHEN s * s < 100 THEN 1.0 ELSE 0.0 END AS contact FROM (
+SELECT user_id, pos, CASE WHEN s * s < 100 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS contact FROM (
   SELECT user_id, pos, abs(lead(value) OVER (PARTITION BY user_id ORDER BY pos) - value) AS s FROM ev) WHERE s IS NOT NULL""",
 )
 def foot_contact(spark, sf):

@@ -310,7 +310,7 @@ def code_perplexity(spark, sf):
     f"""WITH {ASSIGN_SQL}, n AS (SELECT code, i, sum(e[i]) AS s, count(*) AS n FROM asg CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
 u AS (SELECT book.code, i, 0.5 * c[i] + 0.5 * coalesce(s, 0) AS cs, 0.5 + 0.5 * coalesce(n, 0) AS cc
   FROM book CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN n USING (code, i))
-SELECT code, CAST(i - 1 AS INT) AS i, round(cs, 6) AS code_sum, round(cc, 6) AS code_count, round(CASE WHEN cc >= 1 THEN cs / cc END, 6) AS value FROM u""",
+SELECT code, CAST(i - 1 AS INT) AS i, round(cs, 6) AS code_sum, round(cc::DOUBLE, 6) AS code_count, round(CASE WHEN cc >= 1 THEN cs / cc END, 6) AS value FROM u""",
 )
 def codebook_ema_step(spark, sf):
     state = centroids(spark, sf).select("code", F.col("vec").alias("code_sum"), F.lit(1.0).alias("code_count"))
