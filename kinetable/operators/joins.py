@@ -98,14 +98,11 @@ def assign_min_cost(costs: DataFrame, group: list[str], left: str, right: str, c
             raise ValueError(f"group with {len(lu)} x {len(ru)} candidates is too large for one assignment")
         vals = pdf[cost].to_numpy(dtype=float)
         wall = (np.abs(vals).max() + 1.0) * (len(lu) + len(ru) + 1)
-        m = np.full((len(lu), len(ru)), wall)
-        m[li, ri] = vals
+        m, at = np.full((len(lu), len(ru)), wall), np.zeros((len(lu), len(ru)), int)
+        m[li, ri], at[li, ri] = vals, np.arange(len(pdf))
         r, c = solve_assignment(m)
         ok = m[r, c] < (wall if cutoff is None else min(wall, cutoff))
-        head = pdf.iloc[0]
-        out = pd.DataFrame({g: [head[g]] * int(ok.sum()) for g in group})
-        out[left], out[right], out[cost] = lu[r[ok]], ru[c[ok]], m[r, c][ok]
-        return out[names]
+        return pdf.iloc[at[r, c][ok]][names]
 
     return costs.select(*names).groupBy(*group).applyInPandas(solve, schema)
 

@@ -36,8 +36,9 @@ class SegmentRules:
     low: float = 0.00001
     frozen: int = 10
     longest: int = 500
-    #: Keep the missing-target count and pending cut length from one segment
-    #: to the next, and count frames without a human as missing.
+    #: Keep the missing-target count, pending cut length and, after a lost
+    #: target, the flags from one segment to the next, and count frames
+    #: without a human as missing.
     strict_ref: bool = False
 
     def frames(self, seconds: float) -> int:
@@ -154,6 +155,8 @@ def _close(s: SegmentState, r: SegmentRules, drop: int, reasons: list[str]) -> t
     frames = s.written + max(0, s.buffered - drop)
     out = (s.number, s.start, frames, s.crowded, s.odd, list(reasons))
     s.open, s.written, s.buffered = False, 0, 0
+    if not r.strict_ref:
+        s.crowded = s.odd = False
     return out if frames >= r.frames(r.min_segment) else None
 
 
