@@ -43,6 +43,22 @@ def _carry_window(seq: Seq) -> WindowSpec:
     return Window.partitionBy(*seq.keys).orderBy("_blk")
 
 
+def _clustered(d: DataFrame, keys: Iterable[str]) -> tuple[DataFrame, Column]:
+    """``d`` shuffled by (key, block), and an aggregate that touches all its
+    columns.
+
+    A carry needs the rows twice: summed per block, and as they are. Column
+    pruning would make these two shuffles of the same input different, and
+    everything upstream would run twice. With the aggregate in use both want
+    the same columns, so Spark reuses one shuffle for both. The join back would
+    drop null keys on one side only; dropping them here keeps both sides alike.
+    """
+    for c in (*keys, "_blk"):
+        d = d.where(F.col(c).isNotNull())
+    hashable = [f.name for f in d.schema.fields if "map<" not in f.dataType.simpleString()]
+    return d.repartition(*keys, "_blk"), F.max(F.hash(*hashable)).alias("_touch")
+
+
 def number_rows(
     df: DataFrame,
     keys: Iterable[str],
@@ -57,8 +73,8 @@ def number_rows(
     total is added to the rank inside the bucket.
     """
     keys = tuple(keys)
-    d = df.withColumn("_blk", bucket)
-    sizes = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+    d, touch = _clustered(df.withColumn("_blk", bucket), keys)
+    sizes = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"), touch).where(F.col("_touch").isNotNull())
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order_by))
@@ -113,11 +129,12 @@ def scan(
     inputs = {**sums, **shifted_sums, **last, **next_}
     d = df.withColumns({"_blk": seq.block(), **{f"_i_{n}": c for n, c in inputs.items()}})
 
+    d, touch = _clustered(d, seq.keys)
     aggs = [F.sum(f"_i_{n}").alias(f"_t_{n}") for n in (*sums, *shifted_sums)]
     known = {n: F.when(F.col(f"_i_{n}").isNotNull(), F.col(seq.order)) for n in (*last, *next_)}
     aggs += [F.max_by(f"_i_{n}", known[n]).alias(f"_t_{n}") for n in last]
     aggs += [F.min_by(f"_i_{n}", known[n]).alias(f"_t_{n}") for n in next_]
-    totals = d.groupBy(*seq.keys, "_blk").agg(*aggs)
+    totals = d.groupBy(*seq.keys, "_blk").agg(*aggs, touch).where(F.col("_touch").isNotNull())
     back = _carry_window(seq).rowsBetween(Window.unboundedPreceding, -1)
     fwd = _carry_window(seq).rowsBetween(1, Window.unboundedFollowing)
     carry = totals.select(

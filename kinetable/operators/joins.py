@@ -213,6 +213,49 @@ def sequence_udf(df: DataFrame, keys: list[str], order: str, fn, schema: str) ->
         for _, part in groupby(pieces(it), key=lambda t: t[0]):
             yield from fn(rows for _, rows in part)
 
-    # An explicit count keeps small but slow inputs on many tasks.
+    return _in_order(df, keys, order).mapInPandas(run, schema)
+
+
+def _in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Whole sequences per task, sorted. The explicit partition count keeps
+    small but slow inputs on many tasks."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, order)
+
+
+def fold_rows(df: DataFrame, keys: list[str], order: str, start, step, end, fields: str) -> DataFrame:
+    """Run a state machine along every sequence, row by row.
+
+    ``start()`` makes a state, ``step(state, row)`` and ``end(state)`` return
+    lists of output tuples matching ``fields``; keys are added. Output is sent
+    once per Arrow batch, so many short sequences stay cheap, and only the
+    state of one sequence is held.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + fields
+    rest = [c for c in df.columns if c not in keys]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, names = None, None, None
+        for pdf in it:
+            out = []
+            heads = zip(*[pdf[k].tolist() for k in keys])
+            rows = zip(*[pdf[c].tolist() for c in rest])
+            for k, vals in zip(heads, rows):
+                if k != key:
+                    if key is not None:
+                        out += [(*key, *r) for r in end(state)]
+                    key, state = k, start()
+                out += [(*k, *r) for r in step(state, dict(zip(rest, vals)))]
+            if out:
+                names = names or [*keys, *fields_of(fields)]
+                yield pd.DataFrame(out, columns=names)
+        if key is not None and (out := [(*key, *r) for r in end(state)]):
+            yield pd.DataFrame(out, columns=[*keys, *fields_of(fields)])
+
+    return _in_order(df, keys, order).mapInPandas(run, schema)
+
+
+def fields_of(fields: str) -> list[str]:
+    """Column names of a flat field list."""
+    return [f.split()[0].strip("`") for f in fields.split(", ")]

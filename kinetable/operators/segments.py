@@ -8,16 +8,14 @@ one very long video becomes many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.operators.blocks import Seq, neighbors, number_rows, scan, with_runs
-from kinetable.operators.joins import sequence_udf, solve_assignment
+from kinetable.operators.joins import fold_rows, solve_assignment
 
 
 @dataclass(frozen=True)
@@ -190,23 +188,17 @@ def segment_scenes(signals: DataFrame, seq: Seq, rules: SegmentRules = SegmentRu
     """
     split = not rules.strict_ref
     d = split_at_silence(signals, seq, rules) if split else signals.withColumn("piece", F.lit(0).cast("long"))
-    keys = [*seq.keys, "piece"]
-    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    head = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    cols = [c.split()[0] for c in SEGMENT_FIELDS.split(", ")]
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, key = SegmentState(), None
-        for pdf in parts:
-            key = {k: pdf.iloc[0][k] for k in keys}
-            got = [x for row in pdf.rename(columns={seq.order: "frame"})[list(SIGNALS)].to_dict("records") if (x := segment_step(s, row, rules))]
-            if got:
-                yield pd.DataFrame(got, columns=cols).assign(**key)[[*keys, *cols]]
-        last = segment_end(s, rules)
-        if last:
-            yield pd.DataFrame([last], columns=cols).assign(**key)[[*keys, *cols]]
-
-    out = sequence_udf(d, keys, seq.order, run, f"{head}, {SEGMENT_FIELDS}").drop("piece", "number")
+    d = d.select(*seq.keys, "piece", F.col(seq.order).alias("frame"), *SIGNALS[1:])
+
+    def step(s: SegmentState, row: dict) -> list[tuple]:
+        done = segment_step(s, row, rules)
+        return [done] if done else []
+
+    def end(s: SegmentState) -> list[tuple]:
+        done = segment_end(s, rules)
+        return [done] if done else []
+
+    out = fold_rows(d, [*seq.keys, "piece"], "frame", SegmentState, step, end, SEGMENT_FIELDS).drop("piece", "number")
     out = number_rows(out, seq.keys, ["start"], F.floor(F.col("start") / seq.size), "_n")
     return out.withColumn("number", (F.col("_n") + 1).cast("int")).drop("_n")
 
@@ -302,15 +294,6 @@ class FaceTracker:
 FACE_FIELDS = "face_id int, x1 double, y1 double, x2 double, y2 double"
 
 
-def by_frame(pdf: pd.DataFrame, order: str) -> Iterator[tuple[int, np.ndarray, list]]:
-    """(frame, boxes, embeddings) of rows sorted by frame."""
-    for f, g in pdf.sort_values([order, "x1", "y1", "x2", "y2"]).groupby(order, sort=True):
-        boxes = g[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        ok = ~np.isnan(boxes).any(1)
-        embs = [None if e is None else np.asarray(e, float) for e in g["embedding"]]
-        yield f, boxes[ok], [e for e, k in zip(embs, ok) if k]
-
-
 def track_faces(df: DataFrame, keys: list[str], order: str, max_miss: int = 30, iou_min: float = 0.25, weight: float = 0.5) -> DataFrame:
     """Face identities per video.
 
@@ -327,37 +310,45 @@ def track_faces(df: DataFrame, keys: list[str], order: str, max_miss: int = 30,
     cut = (F.col(order) - F.col("_before") - 1 >= silent).cast("long")
     pieces = scan(prev, seq, sums={"piece": F.coalesce(cut, F.lit(0))}).drop("_before")
     d = df.join(pieces, [*keys, order])
-    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
-    names = [*keys, "piece", order]
-    head = ", ".join(f"`{k}` {types[k]}" for k in names)
-    cols = [c.split()[0] for c in FACE_FIELDS.split(", ")]
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracker, at, held = FaceTracker(weight, iou_min, max_miss), None, None
-        parts = iter(parts)
-        done = False
-        while not done:
-            pdf = next(parts, None)
-            done = pdf is None
-            if done:
-                ready, held = held, None
-            else:
-                pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-                edge = pdf[order].max()  # the last frame may continue in the next chunk
-                ready, held = pdf[pdf[order] < edge], pdf[pdf[order] == edge]
-            if ready is None or not len(ready):
-                continue
-            key = {k: ready.iloc[0][k] for k in [*keys, "piece"]}
-            out = []
-            for f, boxes, embs in by_frame(ready, order):
-                for _ in range(int(f - at - 1) if at is not None else 0):
-                    tracker.step(np.zeros((0, 4)), [])
-                at = f
-                out += [(f, i, *b) for i, b in tracker.step(boxes, embs)]
-            if out:
-                yield pd.DataFrame(out, columns=[order, *cols]).assign(**key)[[*names, *cols]]
-
-    return sequence_udf(d, [*keys, "piece"], order, run, f"{head}, {FACE_FIELDS}")
+    kind = dict(d.dtypes)[order]
+
+    def start() -> FaceFeed:
+        return FaceFeed(FaceTracker(weight, iou_min, max_miss))
+
+    d = d.select(*keys, "piece", F.col(order).alias("frame"), "x1", "y1", "x2", "y2", "embedding")
+    out = fold_rows(d, [*keys, "piece"], "frame", start, FaceFeed.add, FaceFeed.flush, f"frame {kind}, {FACE_FIELDS}")
+    return out.withColumnRenamed("frame", order)
+
+
+@dataclass
+class FaceFeed:
+    """Collects one frame's detections and steps the tracker when it is over."""
+
+    tracker: FaceTracker
+    at: int | None = None
+    frame: int | None = None
+    boxes: list = field(default_factory=list)
+
+    def add(self, row: dict) -> list[tuple]:
+        done = self.flush() if self.frame is not None and row["frame"] != self.frame else []
+        self.frame = row["frame"]
+        box = [row["x1"], row["y1"], row["x2"], row["y2"]]
+        if all(v is not None and v == v for v in box):
+            self.boxes.append((box, row["embedding"]))
+        return done
+
+    def flush(self) -> list[tuple]:
+        if self.frame is None:
+            return []
+        gap = self.frame - self.at - 1 if self.at is not None else 0
+        for _ in range(min(gap, self.tracker.max_miss + 1)):  # more silence changes nothing
+            self.tracker.step(np.zeros((0, 4)), [])
+        found = sorted(self.boxes, key=lambda b: b[0])
+        boxes = np.array([b for b, _ in found], float).reshape(-1, 4)
+        seen = self.tracker.step(boxes, [None if e is None else np.asarray(e, float) for _, e in found])
+        out = [(self.frame, i, *map(float, b)) for i, b in seen]
+        self.at, self.frame, self.boxes = self.frame, None, []
+        return out
 
 
 def _with_previous(frames: DataFrame, seq: Seq) -> DataFrame:

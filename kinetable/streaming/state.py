@@ -79,7 +79,7 @@ def segment_scenes_stream(df: DataFrame, keys: list[str], order: str, rules: SG.
 
 def _pack(t: SG.FaceTracker, at: int | None) -> str:
     rows = [[x.ident, x.mean.tolist(), x.cov.tolist(), None if x.embedding is None else x.embedding.tolist(), x.missed] for x in t.tracks]
-    return json.dumps([t.next_id, at, rows])
+    return json.dumps([t.next_id, None if at is None else int(at), rows])
 
 
 def _unpack(text: str, tracker: SG.FaceTracker) -> int | None:
@@ -97,16 +97,12 @@ def track_faces_stream(df: DataFrame, keys: list[str], order: str, max_miss: int
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker = SG.FaceTracker(weight, iou_min, max_miss)
-        at = _unpack(state.get[0], tracker) if state.exists else None
+        feed = SG.FaceFeed(tracker, _unpack(state.get[0], tracker) if state.exists else None)
         out = []
-        rows = _ordered(parts, order)
-        for f, boxes, embs in SG.by_frame(rows, order) if len(rows) else ():
-            gap = int(f - at - 1) if at is not None else 0
-            for _ in range(min(gap, max_miss + 1)):  # more silence changes nothing
-                tracker.step(np.zeros((0, 4)), [])
-            at = int(f)
-            out += [(f, i, *b) for i, b in tracker.step(boxes, embs)]
-        state.update((_pack(tracker, at),))
+        for row in _ordered(parts, order).rename(columns={order: "frame"}).to_dict("records"):
+            out += feed.add(row)
+        out += feed.flush()
+        state.update((_pack(tracker, feed.at),))
         if out:
             yield pd.DataFrame(out, columns=[order, *cols]).assign(**dict(zip(keys, key)))[[*names, *cols]]
 
