@@ -32,7 +32,7 @@ class Seq:
 
     keys: tuple[str, ...]
     order: str = "pos"
-    size: float = 4096
+    size: float = 3840
     ties: tuple[str, ...] = ()
 
     def block(self) -> Column:

@@ -339,26 +339,77 @@ def local_global_rotations(df: DataFrame, mats: str, sk: Skeleton = BODY_22, inv
     return map_rows(df, go, {mats: "array<double>"})
 
 
+# ---- rotation tables ----------------------------------------------------------
+
+#: Numbers per rotation in each representation.
+WIDTH = {"quaternion": 4, "matrix": 9, "axis_angle": 3, "sixd": 6}
+
+
+def to_matrices(a: np.ndarray, kind: str) -> np.ndarray:
+    """Rotation matrices of the last axis. 6-D holds two matrix rows."""
+    if kind == "matrix":
+        return a.reshape(*a.shape[:-1], 3, 3)
+    if kind == "sixd":
+        x = _unit(a[..., :3])
+        y = _unit(a[..., 3:] - (x * a[..., 3:]).sum(-1, keepdims=True) * x)
+        return np.stack([x, y, np.cross(x, y)], -2)
+    if kind == "axis_angle":
+        t = np.linalg.norm(a, axis=-1, keepdims=True)
+        a = np.concatenate([np.cos(t / 2), a * (0.5 * np.sinc(t / (2 * np.pi)))], -1)
+    return quat_to_mat(a)
+
+
+def from_matrices(m: np.ndarray, kind: str) -> np.ndarray:
+    flat = m.reshape(*m.shape[:-2], 9)
+    if kind == "matrix":
+        return flat
+    if kind == "sixd":
+        return flat[..., :6]
+    # 4 q qT; its longest row is the stablest quaternion
+    x = [flat[..., i] for i in range(9)]
+    k = np.stack(
+        [
+            np.stack([1 + x[0] + x[4] + x[8], x[7] - x[5], x[2] - x[6], x[3] - x[1]], -1),
+            np.stack([x[7] - x[5], 1 + x[0] - x[4] - x[8], x[3] + x[1], x[2] + x[6]], -1),
+            np.stack([x[2] - x[6], x[3] + x[1], 1 - x[0] + x[4] - x[8], x[5] + x[7]], -1),
+            np.stack([x[3] - x[1], x[6] + x[2], x[7] + x[5], 1 - x[0] - x[4] + x[8]], -1),
+        ],
+        -2,
+    )
+    best = np.diagonal(k, axis1=-2, axis2=-1).argmax(-1)
+    q = _unit(np.take_along_axis(k, best[..., None, None], -2)[..., 0, :])
+    q = q * np.where(q[..., :1] < 0, -1.0, 1.0)
+    if kind == "quaternion":
+        return q
+    n = np.linalg.norm(q[..., 1:], axis=-1, keepdims=True)
+    return q[..., 1:] * np.where(n < 1e-9, 2.0, 2 * np.arctan2(n, q[..., :1]) / np.where(n < 1e-9, 1.0, n))
+
+
+def _mats(col: pd.Series, kind: str = "axis_angle") -> np.ndarray:
+    """(rows, rotations, 3, 3) of a flat column; every row has as many."""
+    a = np.stack([np.asarray(v, float) for v in col])
+    return to_matrices(a.reshape(len(a), -1, WIDTH[kind]), kind)
+
+
+def convert_rotations(df: DataFrame, col: str, src: str, dst: str) -> DataFrame:
+    """Convert a column of one or more rotations per row among quaternion,
+    matrix, axis_angle and sixd, in Arrow batches. Single rotations can also
+    be converted inside an expression: ``functions.rotation.convert``."""
+    return map_rows(df, lambda p: {col: _flat(from_matrices(_mats(p[col], src), dst))}, {col: "array<double>"})
+
+
 def average_rotations(df: DataFrame, a: str, b: str, out: str = "average") -> DataFrame:
     """Mean rotation per joint of two axis-angle poses: the matrices' mean,
     brought back to a rotation by its singular vectors."""
-    def mats(c: str) -> Column:
-        n = (F.size(c) / 3).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda j: R.convert(F.slice(c, 3 * j + 1, F.lit(3)), "axis_angle", "matrix"))
-
-    d = df.withColumn("_m", F.zip_with(mats(a), mats(b), lambda x, y: F.zip_with(x, y, lambda p, q: (p + q) / 2)))
 
     def go(p: pd.DataFrame) -> dict:
-        counts = [len(v) for v in p["_m"]]
-        m = np.concatenate([np.stack([np.asarray(r, float) for r in v]) for v in p["_m"]]).reshape(-1, 3, 3)
-        u, _, vt = np.linalg.svd(m)
-        return {"_m": [list(r.reshape(-1, 9)) for r in np.split(u @ vt, np.cumsum(counts)[:-1])]}
+        u, _, vt = np.linalg.svd((_mats(p[a]) + _mats(p[b])) / 2)
+        return {out: _flat(from_matrices(u @ vt, "axis_angle"))}
 
-    d = map_rows(d, go, {"_m": "array<array<double>>"})
-    return d.withColumn(out, F.flatten(F.transform("_m", lambda m: R.convert(m, "matrix", "axis_angle")))).drop("_m")
+    return map_rows(df, go, {out: "array<double>"})
 
 
-# ---- native frame-of-reference steps ----------------------------------------
+# ---- frames of reference --------------------------------------------------------
 
 # Axis-angle turns between vertical conventions.
 TURNS = {
@@ -366,72 +417,61 @@ TURNS = {
 }
 
 
-def _mat(aa: Column) -> Column:
-    return R.convert(aa, "axis_angle", "matrix")
+def _rows3(col: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in col])
 
 
-def _apply(m: Column, v: Column) -> Column:
-    return V.let(
-        F.struct(m.alias("m"), v.alias("v")),
-        lambda s: F.array(*[sum((F.get(s["m"], F.lit(3 * i + k)) * F.get(s["v"], F.lit(k)) for k in range(3)), F.lit(0.0)) for i in range(3)]),
-    )
+def _times(m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("nij,nj->ni", m, v)
 
 
-def gravity_view(r_w2c: Column, gravity: tuple[float, float, float] = (0.0, 0.0, -1.0)) -> Column:
+def gravity_view(r_w2c: np.ndarray, gravity: tuple[float, float, float] = (0.0, 0.0, -1.0)) -> np.ndarray:
     """Camera to gravity-view rotation: y along gravity, x square to the
     camera axis (the camera's own x when they are parallel)."""
+    y = r_w2c @ np.array(gravity)
+    x = np.cross(y, np.array([0.0, 0.0, 1.0]))
+    n = np.linalg.norm(x, axis=-1, keepdims=True)
+    x = np.where(n < 1e-5, np.array([1.0, 0.0, 0.0]), x / (n + 1e-5))
+    return np.stack([x, y, np.cross(x, y)], -2)
 
-    def axes(y: Column) -> Column:
-        a, b = F.get(y, F.lit(0)), F.get(y, F.lit(1))
-        n = F.sqrt(a * a + b * b)  # |y x z|, with y x z = (b, -a, 0)
-        x = F.when(n < 1e-5, V.vec(1.0, 0.0, 0.0)).otherwise(F.array(b / (n + 1e-5), -a / (n + 1e-5), F.lit(0.0)))
 
-        def third(s: Column) -> Column:
-            p, q = ([F.get(s[c], F.lit(i)) for i in range(3)] for c in ("x", "y"))
-            z = F.array(p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
-            return F.concat(s["x"], s["y"], z)
+def world_camera_job(df: DataFrame, r_w2c: str, t_w2c: str, orient: str = "orient", transl: str = "transl", offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Root track in the camera and gravity-view frames: adds ``orient_c``,
+    ``transl_c``, ``r_c2gv`` and ``orient_gv``. ``offset`` is the root joint
+    in the resting body."""
+    off = np.array(offset)
 
-        return V.let(F.struct(x.alias("x"), y.alias("y")), third)
+    def go(p: pd.DataFrame) -> dict:
+        r = _mats(p[r_w2c], "matrix")[:, 0]
+        oc = r @ _mats(p[orient])[:, 0]
+        gv = gravity_view(r)
+        aa = lambda m: list(from_matrices(m, "axis_angle"))
+        t = _times(r, _rows3(p[transl]) + off) + _rows3(p[t_w2c]) - off
+        return {"orient_c": aa(oc), "transl_c": list(t), "r_c2gv": _flat(gv), "orient_gv": aa(gv @ oc)}
 
-    return V.let(_apply(r_w2c, V.vec(*gravity)), axes)
+    return map_rows(df, go, {c: "array<double>" for c in ("orient_c", "transl_c", "r_c2gv", "orient_gv")})
 
 
-def world_to_camera(orient: Column, transl: Column, r_w2c: Column, t_w2c: Column, offset: Column) -> tuple[Column, Column]:
-    """Root orientation (axis-angle) and translation in the camera frame."""
-    r = R.quat_to_axis_angle(R.matrix_to_quat(R.matmul(r_w2c, _mat(orient))))
-    return r, V.sub(V.add(_apply(r_w2c, V.add(transl, offset)), t_w2c), offset)
+def relating_transform(df: DataFrame, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Add the world-to-camera ``r_w2c`` and ``t_w2c`` that relate the track
+    (orient, transl) to (orient_c, transl_c)."""
+    off = np.array(offset)
 
+    def go(p: pd.DataFrame) -> dict:
+        r = _mats(p["orient_c"])[:, 0] @ np.swapaxes(_mats(p["orient"])[:, 0], -1, -2)
+        return {"r_w2c": _flat(r), "t_w2c": list(_rows3(p["transl_c"]) + off - _times(r, _rows3(p["transl"]) + off))}
 
-def relating_transform(orient_w: Column, transl_w: Column, orient_c: Column, transl_c: Column, offset: Column) -> tuple[Column, Column]:
-    """World-to-camera rotation and translation relating two root tracks."""
-    r = R.matmul(_mat(orient_c), R.transpose(_mat(orient_w)))
-    return r, V.sub(V.add(transl_c, offset), _apply(r, V.add(transl_w, offset)))
+    return map_rows(df, go, {"r_w2c": "array<double>", "t_w2c": "array<double>"})
 
 
-def reorient(orient: Column, transl: Column, turn: str = "ay->ay") -> tuple[Column, Column]:
+def reorient(df: DataFrame, turn: str = "ay->ay", orient: str = "orient", transl: str = "transl") -> DataFrame:
     """Root track after a fixed change of the vertical."""
-    m = _mat(V.vec(*TURNS[turn]))
-    return R.quat_to_axis_angle(R.matrix_to_quat(R.matmul(m, _mat(orient)))), _apply(m, transl)
-
-
-def world_camera_job(df: DataFrame, r_w2c: str, t_w2c: str, orient: str = "orient", transl: str = "transl", offset: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """Add the camera-frame root, the gravity-view rotation and the
-    gravity-view orientation; all native expressions."""
-    off = V.vec(*offset)
-    o, t = world_to_camera(F.col(orient), F.col(transl), F.col(r_w2c), F.col(t_w2c), off)
-    d = df.withColumns({"orient_c": o, "transl_c": t, "r_c2gv": gravity_view(F.col(r_w2c))})
-    gv = R.matmul(F.col("r_c2gv"), _mat(F.col("orient_c")))
-    return d.withColumn("orient_gv", R.quat_to_axis_angle(R.matrix_to_quat(gv)))
-
-
-def _pose_6d(pose: Column, joints: int) -> Column:
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(joints - 1)), lambda j: R.matrix_to_sixd(_mat(F.slice(pose, 3 * j + 1, F.lit(3))))))
+    m = to_matrices(np.array(TURNS[turn]), "axis_angle")
 
+    def go(p: pd.DataFrame) -> dict:
+        return {orient: list(from_matrices(m @ _mats(p[orient])[:, 0], "axis_angle")), transl: list(_rows3(p[transl]) @ m.T)}
 
-def _pose_aa(six: Column, joints: int) -> Column:
-    return F.flatten(
-        F.transform(F.sequence(F.lit(0), F.lit(joints - 1)), lambda j: R.convert(F.slice(six, 6 * j + 1, F.lit(6)), "sixd", "axis_angle"))
-    )
+    return map_rows(df, go, {orient: "array<double>", transl: "array<double>"})
 
 
 def pose_features_151(df: DataFrame, seq: Seq, mean: Column | None = None, std: Column | None = None) -> DataFrame:
@@ -440,30 +480,49 @@ def pose_features_151(df: DataFrame, seq: Seq, mean: Column | None = None, std:
     Columns: body_pose (63), betas (10), orient_c, r_c2gv (9), orient and
     transl of the world track.
     """
-    d = df.withColumn("_q", R.axis_angle_to_quat(F.col("orient")))
-    d = local_velocity(d, seq, "transl", "_q")
-    oc = _mat(F.col("orient_c"))
-    vec = F.concat(
-        _pose_6d(F.col("body_pose"), 21), F.col("betas"), R.matrix_to_sixd(oc), R.matrix_to_sixd(R.matmul(F.col("r_c2gv"), oc)), F.col("local_vel")
-    )
-    d = d.withColumn("vec", vec)
+    d = local_velocity(df.withColumn("_q", R.axis_angle_to_quat(F.col("orient"))), seq, "transl", "_q")
+
+    def go(p: pd.DataFrame) -> dict:
+        oc = _mats(p["orient_c"])[:, 0]
+        body = from_matrices(_mats(p["body_pose"]), "sixd").reshape(len(p), -1)
+        gv = from_matrices(_mats(p["r_c2gv"], "matrix")[:, 0] @ oc, "sixd")
+        return {"vec": list(np.concatenate([body, _rows3(p["betas"]), from_matrices(oc, "sixd"), gv, _rows3(p["local_vel"])], 1))}
+
+    d = map_rows(d.select(*seq.keys, seq.order, "body_pose", "betas", "orient_c", "r_c2gv", "local_vel"), go, {"vec": "array<double>"})
     if mean is not None:
-        d = d.withColumn("vec", V.zscore(F.col("vec"), mean, std))
+        d = d.withColumns({"_m": mean, "_s": std}).withColumn("vec", V.zscore(F.col("vec"), F.col("_m"), F.col("_s")))
     return d.select(*seq.keys, seq.order, "vec")
 
 
 def pose_from_features_151(df: DataFrame, vec: str = "vec", mean: Column | None = None, std: Column | None = None) -> DataFrame:
-    d = df if mean is None else df.withColumn(vec, V.inverse_zscore(F.col(vec), mean, std))
-    six = lambda a: R.convert(F.slice(vec, a, 6), "sixd", "axis_angle")
-    return d.withColumns(
-        {
-            "body_pose": _pose_aa(F.slice(vec, 1, 126), 21),
-            "betas": F.slice(vec, 127, 10),
-            "orient_c": six(137),
-            "orient_gv": six(143),
-            "local_vel": F.slice(vec, 149, 3),
-        }
-    ).drop(vec)
+    """Poses from feature vectors."""
+    d = df
+    if mean is not None:
+        d = d.withColumns({"_m": mean, "_s": std}).withColumn(vec, V.inverse_zscore(F.col(vec), F.col("_m"), F.col("_s"))).drop("_m", "_s")
+
+    def go(p: pd.DataFrame) -> dict:
+        x = _rows3(p[vec])
+        aa = lambda a, b: _flat(from_matrices(to_matrices(x[:, a:b].reshape(len(x), -1, 6), "sixd"), "axis_angle"))
+        return {"body_pose": aa(0, 126), "betas": list(x[:, 126:136]), "orient_c": aa(136, 142), "orient_gv": aa(142, 148), "local_vel": list(x[:, 148:])}
+
+    return map_rows(d, go, {c: "array<double>" for c in ("body_pose", "betas", "orient_c", "orient_gv", "local_vel")}, (vec,))
+
+
+def pose_noise(df: DataFrame, pose: str, ids: list[str], degrees: float = 10.0, seed: int = 0) -> DataFrame:
+    """Turn every joint of an axis-angle pose by a seeded random rotation:
+    a normal angle about a random axis, applied in the joint's own frame."""
+    n = (F.size(pose) / 3).cast("int")
+    keys = [F.col(c) for c in ids]
+    draw = lambda j: F.array(
+        normal(*keys, j, seed + 1) * float(np.deg2rad(degrees)), *[uniform(*keys, j, seed + 2 + k) for k in range(3)]
+    )
+    d = df.withColumn("_n", F.flatten(F.transform(F.sequence(F.lit(0), n - 1), draw)))
+
+    def go(p: pd.DataFrame) -> dict:
+        a = _rows3(p["_n"]).reshape(len(p), -1, 4)
+        return {pose: _flat(from_matrices(_mats(p[pose]) @ to_matrices(a[..., :1] * _unit(a[..., 1:]), "axis_angle"), "axis_angle"))}
+
+    return map_rows(d, go, {pose: "array<double>"}, ("_n",))
 
 
 # ---- noise augmentation ------------------------------------------------------

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from kinetable.operators.blocks import Seq, number_rows
 from kinetable.plans.registry import table
 
-EV = Seq(("user_id",), "pos", 4096)
-GRID = Seq(("user_id",), "frame", 4096)
+EV = Seq(("user_id",), "pos")
+GRID = Seq(("user_id",), "frame")
 DAY_US = 86_400_000_000
 EPOCH_GRID = "2024-01-01"
 
+#: Averages of two-decimal values often end exactly on a rounding tie, which
+#: two engines may break differently; both sides shift by this before rounding.
+OFF_TIE = 3.14159e-8
+
 #: Events with their frame number, for oracle SQL.
 EV_SQL = """ev AS (
   SELECT user_id, event_type, value, props, ts, event_id,
@@ -72,8 +76,8 @@ jt AS (
          e[3*j+2] AS gx, e[3*j+3] AS gy, e[3*j+1] AS gz
   FROM emb CROSS JOIN (SELECT unnest(range(0, 21)) AS j))"""
 
-CLIP = Seq(("label",), "pos", 4096)
-JOINT = Seq(("clip", "joint"), "frame", 4096)
+CLIP = Seq(("label",), "pos")
+JOINT = Seq(("clip", "joint"), "frame")
 
 
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from kinetable.functions import vectors as V
 from kinetable.operators import filters as FI
 from kinetable.operators import kinematics as K
 from kinetable.operators.blocks import Seq
-from kinetable.plans.base import EMB_SQL, EV_SQL, JOINT_SQL, clip_frames, embeddings, event_track, events, joint_table
+from kinetable.plans.base import EMB_SQL, EV_SQL, JOINT_SQL, OFF_TIE, embeddings, event_track, events, joint_table
 from kinetable.plans.registry import query, table
 
 #: Lines as boxes: position from quantity and tax, size from price parts.
@@ -82,7 +82,7 @@ def low_conf_frames(spark, sf):
     "static_clip_filter",
     f"""WITH {EV_SQL}, s AS (SELECT user_id, abs(lead(value) OVER w - value) AS d1,
     abs(lead(value, 3) OVER w - 3 * lead(value, 2) OVER w + 3 * lead(value) OVER w - value) AS d3 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY pos))
-SELECT user_id, round(avg(d1), 6) AS mean_dtheta, round(avg(d3), 6) AS mean_jerk FROM s WHERE d3 IS NOT NULL GROUP BY 1
+SELECT user_id, round(avg(d1) + {OFF_TIE}, 6) AS mean_dtheta, round(avg(d3) + {OFF_TIE}, 6) AS mean_jerk FROM s WHERE d3 IS NOT NULL GROUP BY 1
 HAVING NOT (avg(d1) < 55 AND avg(d3) < 230)""",
 )
 def static_clip_filter(spark, sf):
@@ -92,7 +92,7 @@ def static_clip_filter(spark, sf):
     d1 = K.finite_diff(d, seq, ["value"], 1).select("user_id", "pos", F.col("d_value").alias("d1"))
     both = d3.join(d1, ["user_id", "pos"])
     out = FI.static_clip_filter(both, ["user_id"], F.abs("d1"), F.abs("d3"), 55.0, 230.0)
-    return out.select("user_id", F.round("mean_dtheta", 6).alias("mean_dtheta"), F.round("mean_jerk", 6).alias("mean_jerk"))
+    return out.select("user_id", F.round(F.col("mean_dtheta") + OFF_TIE, 6).alias("mean_dtheta"), F.round(F.col("mean_jerk") + OFF_TIE, 6).alias("mean_jerk"))
 
 
 @query(

@@ -10,7 +10,7 @@ from kinetable.operators import resample as RS
 from kinetable.operators.blocks import Seq
 from kinetable.operators.tracks import align_person_timelines as align_timelines
 from kinetable.operators.tracks import reidentify as reident
-from kinetable.plans.base import EV, EV_SQL, event_track, events
+from kinetable.plans.base import EV, EV_SQL, OFF_TIE, event_track, events
 from kinetable.plans.q_filters import BOX_SQL, boxes
 from kinetable.plans.registry import query, table
 
@@ -50,9 +50,9 @@ def cost_table(spark, sf):
     return J.face_body_cost(f, b, ["user_id"], "frame", "face", "body", cost)
 
 
-@query("face_body_cost", f"WITH {COST_SQL} SELECT user_id, face, body, round(cost, 4) AS cost FROM cost")
+@query("face_body_cost", f"WITH {COST_SQL} SELECT user_id, face, body, round(cost + {OFF_TIE}, 4) AS cost FROM cost")
 def face_body_cost(spark, sf):
-    return cost_table(spark, sf).withColumn("cost", F.round("cost", 4))
+    return cost_table(spark, sf).withColumn("cost", F.round(F.col("cost") + OFF_TIE, 4))
 
 
 @query("assign_min_cost")
@@ -265,7 +265,7 @@ def pad_to(spark, sf):
 
 
 @query("loop_to", f"""WITH {EV_SQL}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1)
-SELECT e.user_id, f AS out_frame, e.value FROM ev e JOIN n USING (user_id) CROSS JOIN (SELECT unnest(range(0, 100)) AS f) WHERE f % n = e.pos""")
+SELECT e.user_id, f AS out_frame, e.value + 0.0 AS value FROM ev e JOIN n USING (user_id) CROSS JOIN (SELECT unnest(range(0, 100)) AS f) WHERE f % n = e.pos""")
 def loop_to(spark, sf):
     return FR.loop_to(event_track(spark, sf, "value"), ["user_id"], "pos", 100).select("user_id", "out_frame", "value")
 

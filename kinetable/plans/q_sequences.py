@@ -10,13 +10,10 @@ from kinetable.operators import runs as RU
 from kinetable.operators import smoothing as SM
 from kinetable.operators import tracks as TR
 from kinetable.operators.blocks import Seq
-from kinetable.plans.base import EV, EV_SQL, GRID, GRID_SQL, event_track, grid_spans, observed_grid
+from kinetable.plans.base import EV, EV_SQL, GRID, GRID_SQL, OFF_TIE, event_track, grid_spans, observed_grid
 from kinetable.plans.registry import query
 
 HIGH = F.col("value") > 60
-#: Averages of two-decimal values often end exactly on a rounding tie, which
-#: two engines may break differently; both sides shift by this before rounding.
-OFF_TIE = 3.14159e-8
 RUNS_SQL = """runs AS (
   SELECT user_id, flag, min(pos) AS start, max(pos) + 1 AS stop, count(*) AS length
   FROM (SELECT *, pos - row_number() OVER (PARTITION BY user_id, flag ORDER BY pos) AS grp

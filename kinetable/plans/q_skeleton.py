@@ -237,8 +237,7 @@ def pose_features_151(spark, sf):
 @query("local_global_rotations")
 def local_global_rotations(spark, sf):
     """Accumulated along the tree and undone; ``gap`` is what is lost."""
-    one = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(21)), lambda j: R.convert(F.slice("a", 3 * j + 1, F.lit(3)), "axis_angle", "matrix")))
-    d = base(spark, sf).select("label", "pos", one.alias("m"), one.alias("was"))
+    d = SK.convert_rotations(base(spark, sf).withColumnRenamed("a", "m"), "m", "axis_angle", "matrix").withColumn("was", F.col("m"))
     g = SK.local_global_rotations(d, "m").withColumn("world", F.col("m"))
     back = SK.local_global_rotations(g, "m", inverse=True).withColumn("gap", F.round(V.distance(F.col("m"), F.col("was")), 6))
     return digest(back, ["label", "pos", "gap"], "world")
@@ -253,10 +252,19 @@ def average_rotations(spark, sf):
 @query("convert_rotations")
 def convert_rotations(spark, sf):
     """Every representation reached from a quaternion and back."""
-    d = quats(spark, sf)
-    q = R.standardize(F.col("qa"))
-    cols = {k: R.convert(R.convert(F.col("qa"), "quaternion", k), k, "quaternion") for k in ("matrix", "axis_angle", "sixd", "euler")}
-    return d.select("vec_id", *[F.round(V.distance(R.standardize(c), q), 6).alias(k) for k, c in cols.items()])
+    d = quats(spark, sf).select("vec_id", R.standardize(F.col("qa")).alias("q"))
+    for k in ("matrix", "axis_angle", "sixd"):
+        there = SK.convert_rotations(d.withColumn(k, F.col("q")), k, "quaternion", k)
+        d = SK.convert_rotations(there, k, k, "quaternion")
+    e = R.standardize(R.euler_to_quat(R.quat_to_euler(F.col("q"))))
+    d = d.withColumn("euler", e)
+    return d.select("vec_id", *[F.round(V.distance(F.col(k), F.col("q")), 6).alias(k) for k in ("matrix", "axis_angle", "sixd", "euler")])
+
+
+@query("pose_noise")
+def pose_noise(spark, sf):
+    d = base(spark, sf).withColumn("was", F.col("a"))
+    return digest(SK.pose_noise(d, "a", ["label", "pos"], 10.0, 3), ["label", "pos"], "a")
 
 
 @query(

@@ -161,12 +161,37 @@ def test_world_camera_relation(spark):
     rows = [(i, (r.normal(size=3)).tolist(), r.normal(size=3).tolist(), m.reshape(-1).tolist(), [0.1, 0.2, 0.3]) for i in range(10)]
     d = spark.createDataFrame(rows, "i int, orient array<double>, transl array<double>, r array<double>, t array<double>")
     d = SK.world_camera_job(d, "r", "t", offset=(0.0, 0.1, 0.0))
-    rr, tt = SK.relating_transform(F.col("orient"), F.col("transl"), F.col("orient_c"), F.col("transl_c"), V.vec(0.0, 0.1, 0.0))
-    for row in d.select(rr.alias("rr"), tt.alias("tt"), "r_c2gv").collect():
-        np.testing.assert_allclose(row["rr"], m.reshape(-1), atol=1e-9)
-        np.testing.assert_allclose(row["tt"], [0.1, 0.2, 0.3], atol=1e-9)
+    d = SK.relating_transform(d, (0.0, 0.1, 0.0))
+    for row in d.collect():
+        np.testing.assert_allclose(row["r_w2c"], m.reshape(-1), atol=1e-9)
+        np.testing.assert_allclose(row["t_w2c"], [0.1, 0.2, 0.3], atol=1e-9)
         g = np.reshape(row["r_c2gv"], (3, 3))
         np.testing.assert_allclose(g[1], m @ [0, 0, -1], atol=1e-9)
+        np.testing.assert_allclose(g @ g.T, np.eye(3), atol=1e-4)
+    flat = SK.reorient(SK.reorient(d, "az->ay"), "ay->ay").first()
+    turn = np.array([[1, 0, 0], [0, 0, 1], [0, -1, 0]])
+    np.testing.assert_allclose(flat["transl"], turn @ d.first()["transl"], atol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["quaternion", "axis_angle", "sixd"])
+def test_rotation_tables(spark, kind):
+    r = np.random.default_rng(6)
+    q = r.normal(size=(20, 2, 4))
+    q[0] = [[0, 1, 0, 0], [1, 0, 0, 0]]
+    q /= np.linalg.norm(q, axis=-1, keepdims=True)
+    d = spark.createDataFrame([(i, x.reshape(-1).tolist()) for i, x in enumerate(q)], "i int, q array<double>")
+    want = np.stack([x["q"] for x in SK.convert_rotations(d, "q", "quaternion", "matrix").orderBy("i").collect()])
+    there = SK.convert_rotations(d, "q", "quaternion", kind)
+    got = np.stack([x["q"] for x in SK.convert_rotations(there, "q", kind, "matrix").orderBy("i").collect()])
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    native = d.select("i", R.quat_to_matrix(F.slice("q", 1, 4)).alias("m")).orderBy("i").collect()
+    np.testing.assert_allclose(np.stack([x["m"] for x in native]), want[:, :9], atol=1e-12)
+
+
+def test_pose_noise_has_the_asked_size(spark):
+    d = spark.range(300).select("id", F.array_repeat(F.lit(0.0), 6).alias("p"))
+    x = np.stack([r["p"] for r in SK.pose_noise(d, "p", ["id"], 10.0, seed=2).collect()]).reshape(-1, 3)
+    assert abs(np.rad2deg(np.sqrt((x**2).sum(1).mean())) - 10) < 1
 
 
 def test_average_rotation_and_noise(spark):
