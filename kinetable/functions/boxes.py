@@ -42,6 +42,18 @@ def area_ratio(a: Box, b: Box) -> Column:
     return F.when(area(b) != 0, area(a) / area(b)).otherwise(F.lit(0.0))
 
 
+def from_points(kps: Column, thr: float = 0.0) -> Box:
+    """Bounds of the keypoints with confidence above ``thr``."""
+    good = F.filter(kps, lambda k: k["conf"] > thr)
+    xs, ys = F.transform(good, lambda k: k["x"]), F.transform(good, lambda k: k["y"])
+    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+
+
+def mask_box_ratio(mask_area: Column, b: Box) -> Column:
+    """Share of a box that a mask covers; 0 for a box without area."""
+    return F.when(area(b) > 0, mask_area / area(b)).otherwise(F.lit(0.0))
+
+
 def center_size(b: Box, aspect: float = 192 / 256, enlarge: float = 1.2) -> tuple[Column, Column, Column]:
     """Center and side length of the square-able box: the box is first widened
     to ``aspect`` (width/height), its height is the size."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.functions import boxes as B
+from kinetable.operators.blocks import number_rows
 
 #: Largest cost matrix one task solves; beyond it the group is an error.
 MAX_CELLS = 4_000_000
@@ -156,14 +157,14 @@ def best_overlap(a: DataFrame, b: DataFrame, frame: list[str], a_id: str, b_id:
     return d.groupBy(*frame, a_id).agg(best.alias("_m")).select(*frame, a_id, F.col("_m")[b_id].alias(b_id), F.col("_m.iou").alias("iou"))
 
 
-def compact_scenes(df: DataFrame, video: list[str], part: list[str], payload: list[str]) -> DataFrame:
+def compact_scenes(df: DataFrame, video: list[str], part: list[str], payload: list[str], bucket: Column, size: int = 10_000) -> DataFrame:
     """One record per video that lists its per-person records in key order.
 
-    This is a file layout: the size of a record is the size of its video's
-    *clip-level* rows, never of its frames.
+    A video with more than ``size`` records continues in further chunks, so no
+    list outgrows a task. ``bucket`` is a non-decreasing function of ``part``.
     """
-    item = F.struct(*part, *payload)
-    return df.groupBy(*video).agg(F.array_sort(F.collect_list(item)).alias("records"))
+    d = number_rows(df, video, part, bucket, "_n").withColumn("chunk", F.floor(F.col("_n") / size))
+    return d.groupBy(*video, "chunk").agg(F.array_sort(F.collect_list(F.struct(*part, *payload))).alias("records"))
 
 
 def verify_keys(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from kinetable.plans.registry import table
 
 EV = Seq(("user_id",), "pos")
 GRID = Seq(("user_id",), "frame")
-DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 EPOCH_GRID = "2024-01-01"
 
 #: Averages of two-decimal values often end exactly on a rounding tie, which
@@ -46,8 +46,8 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_track(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     d = events(spark, sf).select("user_id", "ts", "event_id", *[c for c in cols if c not in ("ts", "event_id")])
-    day = F.floor(F.unix_micros("ts") / F.lit(DAY_US))
-    d = number_rows(d, ["user_id"], ["ts", "event_id"], day)
+    hour = F.floor(F.unix_micros("ts") / F.lit(HOUR_US))  # one task never sorts more than a user's hour
+    d = number_rows(d, ["user_id"], ["ts", "event_id"], hour)
     return d.select("user_id", "pos", *cols)
 
 

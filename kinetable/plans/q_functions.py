@@ -55,6 +55,17 @@ def keypoint_shift(spark, sf):
     return k.join(n, "vec_id").select("vec_id", r6(B.keypoint_shift(F.col("k"), F.col("n")), "shift"))
 
 
+@query(
+    "box_from_points",
+    f"""WITH {KP_SQL} SELECT vec_id, round(min(x) FILTER (conf > 0.3), 6) AS x1, round(max(y) FILTER (conf > 0.3), 6) AS y2,
+  round(0.01 / ((max(x) FILTER (conf > 0.3) - min(x) FILTER (conf > 0.3)) * (max(y) FILTER (conf > 0.3) - min(y) FILTER (conf > 0.3))), 6) AS covered FROM kp GROUP BY 1""",
+)
+def box_from_points(spark, sf):
+    b = B.from_points(F.col("k"), 0.3)
+    d = embeddings(spark, sf).select("vec_id", keypoints().alias("k"))
+    return d.select("vec_id", r6(b[0], "x1"), r6(b[3], "y2"), r6(B.mask_box_ratio(F.lit(0.01), b), "covered"))
+
+
 @query(
     "normalize_keypoints",
     f"""WITH {KP_SQL} SELECT vec_id, i, round((x - 0.05) * 2 / 0.3, 6) AS x, round((y + 0.02) * 2 / 0.3, 6) AS y,

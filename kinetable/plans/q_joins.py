@@ -145,7 +145,7 @@ def best_overlap(spark, sf):
     """SELECT o_custkey, count(*) AS records, min(o_orderkey) AS first, max(o_orderkey) AS last, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
 )
 def compact_scenes(spark, sf):
-    d = J.compact_scenes(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], ["o_totalprice"])
+    d = J.compact_scenes(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], ["o_totalprice"], F.floor(F.col("o_orderkey") / 1_000_000))
     r = F.col("records")
     tot = F.aggregate(r, F.lit(0.0), lambda a, x: a + x["o_totalprice"])
     return d.select("o_custkey", F.size(r).cast("long").alias("records"), r[0]["o_orderkey"].alias("first"), F.element_at(r, -1)["o_orderkey"].alias("last"), F.round(tot, 2).alias("total"))

@@ -168,21 +168,20 @@ def word_counts_top(spark, sf):
     return ST.word_counts(table(spark, sf, "conversations"), "text", STOP, 200)
 
 
-#: Turns of a conversation as one tagged block, in both engines.
-BLOCK_SQL = """blk AS (SELECT conv_id, string_agg('<' || turn || '>' || replace(text, '<', ' ') || '</' || turn || '>', '' ORDER BY turn) AS block
-  FROM conversations GROUP BY 1)"""
+#: A turn's sentences as one tagged block, in both engines.
+BLOCK_SQL = """blk AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(replace(text, '<', ' '), '. '),
+    lambda x, i: '<' || (i - 1) || '>' || x || '</' || (i - 1) || '>'), '') AS block FROM conversations)"""
 
 
 def blocks(spark, sf):
-    item = F.concat(F.lit("<"), F.col("turn"), F.lit(">"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("</"), F.col("turn"), F.lit(">"))
-    rows = F.array_sort(F.collect_list(F.struct("turn", item.alias("t"))))
-    d = table(spark, sf, "conversations").groupBy("conv_id").agg(rows.alias("r"))
-    return d.select("conv_id", F.array_join(F.transform("r", lambda x: x["t"]), "").alias("block"))
+    tag = lambda x, i: F.concat(F.lit("<"), i, F.lit(">"), x, F.lit("</"), i, F.lit(">"))
+    parts = F.transform(F.split(F.replace("text", F.lit("<"), F.lit(" ")), r"\. "), tag)
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(parts, "").alias("block"))
 
 
-@query("movement_counts", f"WITH {BLOCK_SQL} SELECT conv_id, CAST(len(regexp_extract_all(block, '</[0-9]+>')) AS INT) AS movements FROM blk")
+@query("movement_counts", f"WITH {BLOCK_SQL} SELECT conv_id, turn, CAST(len(regexp_extract_all(block, '</[0-9]+>')) AS INT) AS movements FROM blk")
 def movement_counts(spark, sf):
-    return ST.movement_counts(blocks(spark, sf), F.col("block")).select("conv_id", "movements")
+    return ST.movement_counts(blocks(spark, sf), F.col("block")).select("conv_id", "turn", "movements")
 
 
 @query(

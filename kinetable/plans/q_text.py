@@ -12,9 +12,6 @@ from kinetable.plans.registry import query, table
 from kinetable.sources import readers as RD
 from kinetable.sources import writers as WR
 
-DIGEST = "md5"
-
-
 def docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
@@ -71,50 +68,50 @@ STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 @query(
     "items_by_position",
-    f"""WITH {BLOCK_SQL}, s AS (SELECT conv_id, {SPLIT} AS p FROM blk), u AS (SELECT conv_id, unnest(range(1, len(p) + 1)) AS i, p FROM s)
-SELECT conv_id, i - 1 AS person, md5(string_split({STRIP.format('p[i]')}, '<')[1]) AS item FROM u""",
+    f"""WITH {BLOCK_SQL}, s AS (SELECT conv_id, turn, {SPLIT} AS p FROM blk), u AS (SELECT conv_id, turn, unnest(range(1, len(p) + 1)) AS i, p FROM s)
+SELECT conv_id, turn, i - 1 AS person, md5(string_split({STRIP.format('p[i]')}, '<')[1]) AS item FROM u""",
 )
 def items_by_position(spark, sf):
-    d = blocks(spark, sf).select("conv_id", F.posexplode(X.items_by_position(F.col("block"))).alias("person", "item"))
-    return d.select("conv_id", F.col("person").cast("long").alias("person"), F.md5("item").alias("item"))
+    d = blocks(spark, sf).select("conv_id", "turn", F.posexplode(X.items_by_position(F.col("block"))).alias("person", "item"))
+    return d.select("conv_id", "turn", F.col("person").cast("long").alias("person"), F.md5("item").alias("item"))
 
 
 @query(
     "items_by_tag",
-    rf"""WITH {BLOCK_SQL}, b2 AS (SELECT conv_id, block || '<0>' || substr(block, 1, 40) AS block FROM blk),
-s AS (SELECT conv_id, {SPLIT} AS p, regexp_extract_all(block, '<([0-9]+)>', 1) AS k FROM b2), u AS (SELECT conv_id, unnest(range(1, len(p) + 1)) AS i, p, k FROM s),
-c AS (SELECT conv_id, i, k[i] AS person, regexp_replace(replace(replace({STRIP.format('p[i]')}, chr(10), ' '), '  ', ' '), '</[0-9]+>', '', 'g') AS item FROM u)
-SELECT conv_id, person, md5(item) AS item FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, person ORDER BY i DESC) AS r FROM c WHERE item <> '') WHERE r = 1""",
+    rf"""WITH {BLOCK_SQL}, b2 AS (SELECT conv_id, turn, block || '<0>' || substr(block, 1, 40) AS block FROM blk),
+s AS (SELECT conv_id, turn, {SPLIT} AS p, regexp_extract_all(block, '<([0-9]+)>', 1) AS k FROM b2), u AS (SELECT conv_id, turn, unnest(range(1, len(p) + 1)) AS i, p, k FROM s),
+c AS (SELECT conv_id, turn, i, k[i] AS person, regexp_replace(replace(replace({STRIP.format('p[i]')}, chr(10), ' '), '  ', ' '), '</[0-9]+>', '', 'g') AS item FROM u)
+SELECT conv_id, turn, person, md5(item) AS item FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, person ORDER BY i DESC) AS r FROM c WHERE item <> '') WHERE r = 1""",
 )
 def items_by_tag(spark, sf):
     """A repeated first tag is appended, so duplicates occur."""
     d = blocks(spark, sf).withColumn("block", F.concat("block", F.lit("<0>"), F.substring("block", 1, 40)))
-    d = d.select("conv_id", F.explode(X.items_by_tag(F.col("block"))).alias("person", "item"))
-    return d.select("conv_id", "person", F.md5("item").alias("item"))
+    d = d.select("conv_id", "turn", F.explode(X.items_by_tag(F.col("block"))).alias("person", "item"))
+    return d.select("conv_id", "turn", "person", F.md5("item").alias("item"))
 
 
 @query(
     "inner_items",
-    f"""WITH {BLOCK_SQL}, u AS (SELECT conv_id, regexp_extract_all(block, '(?s)<[0-9]+>(.*?)</[0-9]+>', 1) AS p FROM blk)
-SELECT conv_id, i - 1 AS place, md5(p[i]) AS item FROM (SELECT conv_id, unnest(range(1, len(p) + 1)) AS i, p FROM u)""",
+    f"""WITH {BLOCK_SQL}, u AS (SELECT conv_id, turn, regexp_extract_all(block, '(?s)<[0-9]+>(.*?)</[0-9]+>', 1) AS p FROM blk)
+SELECT conv_id, turn, i - 1 AS place, md5(p[i]) AS item FROM (SELECT conv_id, turn, unnest(range(1, len(p) + 1)) AS i, p FROM u)""",
 )
 def inner_items(spark, sf):
-    d = blocks(spark, sf).select("conv_id", F.posexplode(X.inner_items(F.col("block"))).alias("place", "item"))
-    return d.select("conv_id", F.col("place").cast("long").alias("place"), F.md5("item").alias("item"))
+    d = blocks(spark, sf).select("conv_id", "turn", F.posexplode(X.inner_items(F.col("block"))).alias("place", "item"))
+    return d.select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.md5("item").alias("item"))
 
 
 @query(
     "caption_items",
-    f"""WITH {BLOCK_SQL}, s AS (SELECT conv_id, list_transform({SPLIT}, lambda x: string_split({STRIP.format('x')}, '<')[1]) AS p FROM blk),
-q AS (SELECT conv_id, p, p[2:] AS t FROM s)
-SELECT conv_id, CAST(i - 1 AS VARCHAR) AS person_id, md5(p[i]) AS body_desc, md5(t[i]) AS style, CAST(NULL AS VARCHAR) AS action FROM (SELECT conv_id, unnest(range(1, len(p) + 1)) AS i, p, t FROM q)""",
+    f"""WITH {BLOCK_SQL}, s AS (SELECT conv_id, turn, list_transform({SPLIT}, lambda x: string_split({STRIP.format('x')}, '<')[1]) AS p FROM blk),
+q AS (SELECT conv_id, turn, p, p[2:] AS t FROM s)
+SELECT conv_id, turn, CAST(i - 1 AS VARCHAR) AS person_id, md5(p[i]) AS body_desc, md5(t[i]) AS style, CAST(NULL AS VARCHAR) AS action FROM (SELECT conv_id, turn, unnest(range(1, len(p) + 1)) AS i, p, t FROM q)""",
 )
 def caption_items(spark, sf):
     """BodyDesc holds all turns, Style all but the first, Action nothing."""
     tail = F.regexp_replace("block", r"(?s)^<[0-9]+>.*?</[0-9]+>", "")
     text = F.concat(F.lit("<BodyDesc>"), "block", F.lit("</BodyDesc><Style>"), tail, F.lit("</Style>"))
-    d = CA.caption_items(blocks(spark, sf).select("conv_id", text.alias("text")), ["conv_id"])
-    return d.select("conv_id", "person_id", F.md5("body_desc").alias("body_desc"), F.md5("style").alias("style"), "action")
+    d = CA.caption_items(blocks(spark, sf).select("conv_id", "turn", text.alias("text")), ["conv_id", "turn"])
+    return d.select("conv_id", "turn", "person_id", F.md5("body_desc").alias("body_desc"), F.md5("style").alias("style"), "action")
 
 
 @query(
@@ -127,31 +124,30 @@ def words(spark, sf):
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-#: The lines of a conversation, each with its number.
-LINES_SQL = """ln AS (SELECT conv_id, string_agg(turn || '{sep} ' || replace(text, chr(10), ' '), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1)"""
+#: The sentences of a turn as lines, each with its number.
+LINES_SQL = """ln AS (SELECT conv_id, turn, array_to_string(list_transform(string_split(replace(text, chr(10), ' '), '. '), lambda x, i: i || '{sep} ' || x), chr(10) || chr(10)) AS body FROM conversations)"""
 
 
 def lines(spark, sf, sep):
-    one = F.concat("turn", F.lit(f"{sep} "), F.replace("text", F.lit("\n"), F.lit(" ")))
-    d = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", one.alias("t")))).alias("r"))
-    return d.select("conv_id", F.array_join(F.transform("r", lambda x: x["t"]), "\n\n").alias("body"))
+    parts = F.transform(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. "), lambda x, i: F.concat(i + 1, F.lit(f"{sep} "), x))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(parts, "\n\n").alias("body"))
 
 
 @query(
     "numbered_list",
-    f"""WITH {LINES_SQL.format(sep=':')} SELECT conv_id, md5(array_to_string(regexp_extract_all(body, '(?m)^\\s*[0-9]+\\s*:\\s*(.+)$', 1), '|')) AS items FROM ln""",
+    f"""WITH {LINES_SQL.format(sep=':')} SELECT conv_id, turn, md5(array_to_string(regexp_extract_all(body, '(?m)^\\s*[0-9]+\\s*:\\s*(.+)$', 1), '|')) AS items FROM ln""",
 )
 def numbered_list(spark, sf):
-    return lines(spark, sf, ":").select("conv_id", F.md5(F.array_join(X.numbered_list(F.col("body")), "|")).alias("items"))
+    return lines(spark, sf, ":").select("conv_id", "turn", F.md5(F.array_join(X.numbered_list(F.col("body")), "|")).alias("items"))
 
 
 @query(
     "strip_enumeration",
-    f"""WITH {LINES_SQL.format(sep='.')} SELECT conv_id, md5(array_to_string(list_filter(list_transform(string_split(body, chr(10)),
+    f"""WITH {LINES_SQL.format(sep='.')} SELECT conv_id, turn, md5(array_to_string(list_filter(list_transform(string_split(body, chr(10)),
   lambda s: trim(regexp_replace(s, '^[0-9. ]+', ''))), lambda s: s <> ''), chr(10))) AS digest FROM ln""",
 )
 def strip_enumeration(spark, sf):
-    return lines(spark, sf, ".").select("conv_id", F.md5(X.strip_enumeration(F.col("body"))).alias("digest"))
+    return lines(spark, sf, ".").select("conv_id", "turn", F.md5(X.strip_enumeration(F.col("body"))).alias("digest"))
 
 
 #: Common words become side words, so that mirroring has work to do.
@@ -219,18 +215,19 @@ def code_string(spark, sf):
 
 @query(
     "truncate_at",
-    """WITH q AS (SELECT l_orderkey, list(CAST(l_quantity AS BIGINT) ORDER BY l_quantity) AS a FROM lineitem GROUP BY 1),
-t AS (SELECT l_orderkey, CASE WHEN list_position(a, 25) > 0 THEN a[1:list_position(a, 25)] ELSE a END AS a FROM q)
-SELECT l_orderkey, array_to_string(a, ' ') AS cut, array_to_string(list_concat(list_resize(CAST([] AS BIGINT[]), greatest(8 - len(a), 0), 0), a), ' ') AS padded FROM t""",
+    """WITH q AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)) AS a FROM documents),
+t AS (SELECT doc_id, CASE WHEN list_position(a, 9) > 0 THEN a[1:list_position(a, 9)] ELSE a END AS a FROM q)
+SELECT doc_id, md5(array_to_string(a, ' ')) AS cut, md5(array_to_string(list_concat(list_resize(CAST([] AS BIGINT[]), greatest(40 - len(a), 0), 0), a), ' ')) AS padded FROM t""",
 )
 def truncate_at(spark, sf):
+    """Word lengths as codes, the first 9 as the end mark."""
     from kinetable.functions.vectors import pad_left
     from kinetable.functions.vectors import truncate_at as cut
 
-    d = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_quantity").cast("long"))).alias("a"))
-    d = d.withColumn("a", cut(F.col("a"), 25))
-    join = lambda c: F.array_join(c.cast("array<string>"), " ")
-    return d.select("l_orderkey", join(F.col("a")).alias("cut"), join(pad_left(F.col("a"), 8, 0)).alias("padded"))
+    d = docs(spark, sf).select("doc_id", F.transform(F.split("text", " "), lambda x: F.length(x).cast("long")).alias("a"))
+    d = d.withColumn("a", cut(F.col("a"), 9))
+    join = lambda c: F.md5(F.array_join(c.cast("array<string>"), " "))
+    return d.select("doc_id", join(F.col("a")).alias("cut"), join(pad_left(F.col("a"), 40, 0)).alias("padded"))
 
 
 @query("read_captions", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS text FROM events")
@@ -295,3 +292,38 @@ def read_ledger(spark, sf):
     doc = F.concat(F.lit('{"'), state, F.lit('": {"'), "user_id", F.lit('": {"end_time": '), "v", F.lit('}}, "heartbeats": {}}'))
     items, _ = RD.parse_ledger(u.select("n", doc.alias("value")))
     return items.select("item", "state", "n", F.round(F.unix_micros("ts") / 1e6, 2).alias("ts"))
+
+
+@query("write_dataset", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def write_dataset(spark, sf):
+    """Orders written by priority; a second write finds every key there."""
+    from kinetable.streaming.state import stream_folder
+
+    path = stream_folder(spark, "dataset")
+    d = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    for _ in range(2):
+        WR.write_dataset(d, path, ["o_orderkey"], ["o_orderpriority"], buckets=4)
+    got = spark.read.parquet(path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return got
+
+
+@query("id_list", "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders")
+def id_list(spark, sf):
+    """Written as one id per line and read back."""
+    from kinetable.streaming.state import stream_folder
+
+    path = stream_folder(spark, "ids")
+    WR.write_id_list(table(spark, sf, "orders"), "o_orderkey", path)
+    return RD.read_id_list(spark, path)
+
+
+@query("index_file", "SELECT 'p/' || o_custkey AS source_path, CAST(o_orderkey % 100 AS INT) AS start_frame, CAST(o_orderkey % 100 + 9 AS INT) AS end_frame, 'n' || o_orderkey AS new_name FROM orders")
+def index_file(spark, sf):
+    """A CSV index written and read back."""
+    from kinetable.streaming.state import stream_folder
+
+    path = stream_folder(spark, "index")
+    k = (F.col("o_orderkey") % 100).cast("int")
+    d = table(spark, sf, "orders").select(F.concat(F.lit("p/"), "o_custkey").alias("source_path"), k.alias("start_frame"), (k + 9).alias("end_frame"), F.concat(F.lit("n"), "o_orderkey").alias("new_name"))
+    WR.write_index(d, path)
+    return RD.read_index(spark, path)
