@@ -38,7 +38,7 @@ def interpolate_gaps(df: DataFrame, seq: Seq, cols: list[str]) -> DataFrame:
     return d.withColumns(out).drop(*[f"_{p}{i}" for p in "ln" for i in range(len(cols))])
 
 
-def _bracket(src: DataFrame, dst: DataFrame, keys: list[str], t: str, payload: Column, width: float) -> DataFrame:
+def bracket(src: DataFrame, dst: DataFrame, keys: list[str], t: str, payload: Column, width: float) -> DataFrame:
     """Give every ``dst`` row the source samples at or before and after it.
 
     Both sides are put on one time line and scanned, so no pair of rows is
@@ -60,7 +60,7 @@ def asof_nearest(
     ``width`` is the span of time one task holds.
     """
     pay = F.struct(F.col(t).cast("double").alias("t"), *cols)
-    d = _bracket(src, dst, keys, t, pay, width)
+    d = bracket(src, dst, keys, t, pay, width)
     tt = F.col(t).cast("double")
     left = F.col("following").isNull() | (tt - F.col("prev.t") <= F.col("following.t") - tt)
     chosen = F.when(F.col("prev").isNotNull() & left, F.col("prev")).otherwise(F.col("following"))
@@ -77,7 +77,7 @@ def asof_linear(
     s = neighbors(
         src.withColumn("_p", pair), seq, 1, 1, {"_b": lambda w: F.lag("_p").over(w), "_a": lambda w: F.lead("_p").over(w)}
     )
-    d = _bracket(s, dst, keys, t, F.struct(F.col("_p").alias("p"), F.col("_b").alias("b"), F.col("_a").alias("a")), width)
+    d = bracket(s, dst, keys, t, F.struct(F.col("_p").alias("p"), F.col("_b").alias("b"), F.col("_a").alias("a")), width)
     tt = F.col(t).cast("double")
     lo = F.coalesce(F.when(F.col("following").isNull(), F.coalesce("prev.b", "prev.p")), F.col("prev.p"), F.col("following.p"))
     hi = F.coalesce(F.when(F.col("prev").isNull(), F.coalesce("following.a", "following.p")), F.col("following.p"), F.col("prev.p"))
@@ -104,7 +104,7 @@ def resample_rotations(
     """Slerp between bracketing samples after sign continuity. One row per
     joint and frame: put the joint into ``seq.keys``."""
     s = sign_continuity(src, seq, quat)
-    d = _bracket(s, dst, list(seq.keys), t, F.struct(F.col(t).cast("double").alias("t"), F.col(quat).alias("q")), width)
+    d = bracket(s, dst, list(seq.keys), t, F.struct(F.col(t).cast("double").alias("t"), F.col(quat).alias("q")), width)
     a, b = F.coalesce("prev", "following"), F.coalesce("following", "prev")
     d = d.withColumns({"_a": a, "_b": b})
     span = F.col("_b.t") - F.col("_a.t")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from kinetable.operators.blocks import Seq, neighbors, scan, with_runs
 
 
-def run_table(df: DataFrame, seq: Seq, value: Column) -> DataFrame:
-    """One row per maximal run: value, start, stop (exclusive), length."""
+def run_table(df: DataFrame, seq: Seq, value: Column, carry: list[str] | None = None) -> DataFrame:
+    """One row per maximal run: value, start, stop (exclusive), length, and
+    the ``carry`` columns of its first row."""
     d = with_runs(df.withColumn("run_value", value), seq, F.col("run_value"))
     return d.where(F.col("run_start") == F.col(seq.order)).select(
         *seq.keys,
@@ -19,6 +20,7 @@ def run_table(df: DataFrame, seq: Seq, value: Column) -> DataFrame:
         (F.col("run_end") - F.col("run_start") + 1).alias("length"),
         "touches_start",
         "touches_end",
+        *(carry or []),
     )
 
 
@@ -111,23 +113,25 @@ def frozen_runs(df: DataFrame, seq: Seq, value: Column, n: int = 10) -> DataFram
     )
 
 
-def trim_flagged(df: DataFrame, seq: Seq, flagged: Column, gap: int) -> DataFrame:
+def trim_flagged(df: DataFrame, seq: Seq, flagged: Column, gap: int | Column) -> DataFrame:
     """Kept range [start, stop) per sequence after cutting flagged borders.
 
     Flagged runs at a border are cut together with clean stretches of up to
     ``gap`` rows between them, plus ``gap // 2`` more rows. Sequences with
-    nothing left are dropped.
+    nothing left are dropped. A column ``gap`` must be constant per sequence.
     """
-    r = run_table(df, seq, F.coalesce(flagged, F.lit(False)))
-    long_clean = ~F.col("run_value") & (F.col("length") > gap)
+    gap = F.lit(gap) if isinstance(gap, int) else gap
+    r = run_table(df.withColumn("_gap", gap), seq, F.coalesce(flagged, F.lit(False)), ["_gap"])
+    long_clean = ~F.col("run_value") & (F.col("length") > F.col("_gap"))
     b = r.groupBy(*seq.keys).agg(
         F.max("stop").alias("n"),
         F.max(F.col("run_value") & F.col("touches_start")).alias("dirty_head"),
         F.max(F.col("run_value") & F.col("touches_end")).alias("dirty_tail"),
         F.min(F.when(long_clean, F.col("start"))).alias("first_clean"),
         F.max(F.when(long_clean, F.col("stop"))).alias("last_clean"),
+        F.floor(F.max("_gap") / 2).alias("half"),
     )
-    half = gap // 2
+    half = F.col("half")
     n = F.col("n")
     start = F.when(F.col("dirty_head"), F.least(F.coalesce("first_clean", n) + half, n)).otherwise(F.lit(0))
     stop = F.when(
