@@ -4,6 +4,8 @@
 ``finish_clips`` drops bad clips, resamples, moves the origin and trims. All
 rows of one body share the key (video, scene, body), and everything but the
 assignment of a scene's few faces is a join, an aggregate or a blocked window.
+Between the long stages the table is checkpointed to shared storage: a lost
+executor repeats one stage, and no plan grows beyond what Catalyst handles well.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from kinetable.operators.resample import bracket, target_grid
 from kinetable.operators.runs import renumber_kept, trim_flagged
 from kinetable.operators.skeleton import from_matrices, map_rows, quat_mul, to_matrices
 from kinetable.operators.smoothing import _EDGES, gaussian_weights, trailing_mode
+from kinetable.session import cut
 
 SCENE = ["video_id", "scene_id"]
 BODY = Seq(("video_id", "scene_id", "body_id"), "frame")
@@ -83,10 +86,12 @@ def merge_scenes(bodies: DataFrame, faces: DataFrame, smooth: bool = True, emoti
     d = d.withColumns({f"_t{i}": at("trans", i) for i in range(3)} | {f"_c{i}": at("cam_transl", i) for i in range(3)})
     d = center_on_camera(d, BODY, SCENE, ~F.col("flagged"), ["_t0", "_t1", "_t2"], ["_c0", "_c1", "_c2"])
     d = d.withColumn("trans", F.array("_t0", "_t1", "_t2")).drop(*[f"_{a}{i}" for a in "tc" for i in range(3)])
+    d = cut(d)
     if smooth:
         d = trailing_mode(d, BODY, "emotion", emotion_window, "_e").withColumn("emotion", F.col("_e")).drop("_e")
         for c in ("exp", "jaw"):
             d = smooth_track(d, BODY, c, island, sigma)
+        d = cut(d)
     pose = F.concat(F.slice("pose", 1, 66).cast("array<double>"), F.col("jaw"), F.slice("pose", 70, 96).cast("array<double>"))
     return d.withColumn("pose", pose).drop("jaw")
 
@@ -146,12 +151,13 @@ def finish_clips(merged: DataFrame, target: float = 30.0, moving: DataFrame | No
     d = d if moving is None else d.join(moving.select(*keys), keys, "left_semi")
     if "ground" not in d.columns:
         d = d.withColumn("ground", F.lit(0.0))
-    d = resample_frames(d, BODY, "fps", target)
+    d = cut(resample_frames(d, BODY, "fps", target))
     d = d.withColumns({f"_t{i}": F.get("trans", F.lit(i)) for i in range(3)})
     d = origin_shift(d, SCENE, "frame", "body_id", ["_t0", "_t1", "_t2"], "ground")
     moved = F.array("_t0", "_t1", "_t2")
     cam = F.zip_with("cam_transl", F.zip_with(moved, "trans", lambda a, b: a - b), lambda c, s: c + s)
     d = d.withColumns({"cam_transl": cam, "trans": moved}).drop("_t0", "_t1", "_t2", "ground")
+    d = cut(d)
     kept = trim_flagged(d, BODY, F.col("flagged"), F.floor(F.col("fps") / 2))
     out = renumber_kept(d, BODY, kept).join(kept.select(*keys, "start", "stop"), keys)
     return out.withColumns({"original_fps": F.col("fps"), "fps": F.lit(int(target))})
