@@ -117,7 +117,7 @@ def _queries_plan(q: DataFrame, x: DataFrame, k: int) -> DataFrame:
     return _merge(x.mapInPandas(run, _OUT), k)
 
 
-def _cells_plan(q: DataFrame, x: DataFrame, k: int, block: int, pivots: int) -> DataFrame:
+def _cells_plan(q: DataFrame, x: DataFrame, k: int, block: int, pivots: int, pooled: bool) -> DataFrame:
     sc = q.sparkSession.sparkContext
     sample = x.orderBy(F.xxhash64("pid"), "pid").limit(pivots).select("x").toPandas()
     piv = sc.broadcast(_matrix(sample["x"]))
@@ -150,9 +150,9 @@ def _cells_plan(q: DataFrame, x: DataFrame, k: int, block: int, pivots: int) ->
                 picks.append(c[near <= bound * (1 + 1e-9) + 1e-6].tolist())
             yield pd.DataFrame({"pool": pdf["pool"], "qid": pdf["qid"], "q": pdf["q"], "cells": picks})
 
+    near = q.join(by_pool, "pool") if pooled else q.withColumn("cells", by_pool.select("cells").scalar())
     visits = (
-        q.join(by_pool, "pool")
-        .mapInPandas(visit, "pool long, qid long, q array<double>, cells array<long>")
+        near.mapInPandas(visit, "pool long, qid long, q array<double>, cells array<long>")
         .select("pool", "qid", "q", F.explode("cells").alias("cell"))
     )
     sizes = cells.select("pool", "cell", F.ceil(F.col("n") / block).alias("xb")).join(
@@ -208,7 +208,7 @@ def knn(
         return _points_plan(q, x, k)
     if plan == "queries":
         return _queries_plan(q, x, k)
-    return _cells_plan(q, x, k, block, pivots)
+    return _cells_plan(q, x, k, block, pivots, pool is not None)
 
 
 def knn_blend(

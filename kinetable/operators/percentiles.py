@@ -23,7 +23,11 @@ def percentiles(df: DataFrame, keys: list[str], col: str, ps: dict[str, float],
     edges = vals.groupBy(*g).agg(
         F.percentile_approx("v", marks, 1000).alias("edges"), F.count(F.lit(1)).alias("n")
     )
-    d = counts.join(edges, g).withColumn("b", F.size(F.filter("edges", lambda e: e < F.col("v"))))
+    if keys:
+        d = counts.join(edges, g)
+    else:  # one row: attach it as scalars instead of joining on a constant
+        d = counts.withColumns({c: edges.select(c).scalar() for c in ("edges", "n")})
+    d = d.withColumn("b", F.size(F.filter("edges", lambda e: e < F.col("v"))))
     per = d.groupBy(*g, "b").agg(F.sum("c").alias("bc"), F.first("n").alias("n"))
     before = Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("off", F.coalesce(F.sum("bc").over(before), F.lit(0)))
