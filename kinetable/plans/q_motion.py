@@ -32,9 +32,14 @@ def mpjpe(spark, sf):
     return rounded(MM.mpjpe(MM.visible(pairs), FRAME, "joint", keys=["clip"]))
 
 
-@query("pa_mpjpe")
+# The truth is the prediction with its axes rotated, so an alignment must
+# recover that rotation and leave no error.
+CLIPS_SQL = "(SELECT DISTINCT label AS clip FROM embeddings)"
+
+
+@query("pa_mpjpe", f"SELECT clip, 0.0::DOUBLE AS pa_mpjpe FROM {CLIPS_SQL}")
 def pa_mpjpe(spark, sf):
-    return MM.pa_mpjpe(joint_table(spark, sf), FRAME, ["clip"])
+    return rounded(MM.pa_mpjpe(joint_table(spark, sf), FRAME, ["clip"]))
 
 
 ACC_SQL = """SELECT clip, joint, frame,
@@ -52,7 +57,11 @@ def accel_error(spark, sf):
     return rounded(MM.accel_error(joint_table(spark, sf), JOINT, 30.0), 4)
 
 
-@query("mr_metrics")
+@query(
+    "mr_metrics",
+    f"""WITH {ROOTED_SQL}, a AS ({ACC_SQL.format(src='rt')})
+SELECT (SELECT round(avg({DIST}), 6) FROM rt) AS mpjpe, 0.0::DOUBLE AS pa_mpjpe, round(avg(sqrt(ax*ax+ay*ay+az*az)), 6) AS accel FROM a""",
+)
 def mr_metrics(spark, sf):
     return rounded(MM.mr_metrics(joint_table(spark, sf), JOINT, ["clip"], "frame", "joint"))
 
@@ -67,7 +76,7 @@ def camera_metrics(spark, sf):
     return rounded(MM.camera_metrics(joint_table(spark, sf), FRAME, "joint"), 4)
 
 
-@query("global_metrics")
+@query("global_metrics", f"SELECT clip, 0.0::DOUBLE AS wa2_mpjpe, 0.0::DOUBLE AS waa_mpjpe FROM {CLIPS_SQL}")
 def global_metrics(spark, sf):
     return rounded(MM.global_metrics(joint_table(spark, sf), ["clip"], "frame", 10), 4)
 
@@ -76,20 +85,27 @@ def roots(spark, sf):
     return joint_table(spark, sf).where("joint = 0")
 
 
-@query("root_translation_error")
+@query("root_translation_error", f"SELECT clip, 0.0::DOUBLE AS rte FROM {CLIPS_SQL}")
 def root_translation_error(spark, sf):
     return rounded(MM.root_translation_error(roots(spark, sf), Seq(("clip",), "frame")))
 
 
-@query("align_rigid_job")
+ALIGN_SQL = f"SELECT clip, 1.0::DOUBLE AS s, 0.0::DOUBLE AS tx, 1.0::DOUBLE AS r01, 0.0::DOUBLE AS r00 FROM {CLIPS_SQL}"
+
+
+def alignment(d):
+    at = lambda c, i: F.round(F.get(c, F.lit(i)), 6) + 0.0
+    return d.select("clip", F.round("s", 6).alias("s"), at("shift", 0).alias("tx"), at("rot", 1).alias("r01"), at("rot", 0).alias("r00"))
+
+
+@query("align_rigid_job", ALIGN_SQL)
 def align_rigid_job(spark, sf):
-    d = joint_table(spark, sf)
-    return rounded(MM.align_groups(d, ["clip"], scale=False).select("clip", "s", F.get("shift", F.lit(0)).alias("tx")))
+    return alignment(MM.align_groups(joint_table(spark, sf), ["clip"], scale=False))
 
 
-@query("align_similarity_job")
+@query("align_similarity_job", ALIGN_SQL)
 def align_similarity_job(spark, sf):
-    return rounded(MM.align_groups(joint_table(spark, sf), ["clip"]).select("clip", "s", F.get("shift", F.lit(0)).alias("tx")))
+    return alignment(MM.align_groups(joint_table(spark, sf), ["clip"]))
 
 
 @query(

@@ -40,22 +40,42 @@ def sign_continuity(spark, sf):
     return d.select("label", "pos", F.round(F.get("qa", F.lit(0)), 6).alias("w"), F.round(F.get("qa", F.lit(3)), 6).alias("z"))
 
 
-@query("resample_rotations")
+@query(
+    "resample_rotations",
+    f"""WITH {QUAT_SQL}, n AS (SELECT label, max(pos) AS m FROM qs GROUP BY 1), g AS (SELECT label, unnest(range(0, CAST(floor(m / 1.5 + 1e-6) AS BIGINT) + 1)) AS i FROM n),
+b AS (SELECT g.label, i, i * 1.5 - floor(i * 1.5) AS t, p.a, coalesce(q.a, p.a) AS c FROM g JOIN qs p ON p.label = g.label AND p.pos = CAST(floor(i * 1.5) AS BIGINT)
+  LEFT JOIN qs q ON q.label = g.label AND q.pos = CAST(floor(i * 1.5) AS BIGINT) + 1),
+d AS (SELECT *, list_inner_product(a, c) AS d FROM b), h AS (SELECT *, acos(least(abs(d), 1.0)) AS th, CASE WHEN d < 0 THEN -1 ELSE 1 END AS s FROM d),
+k AS (SELECT *, CASE WHEN abs(d) > 0.9995 THEN 1 - t ELSE sin((1 - t) * th) / sin(th) END AS wa, s * CASE WHEN abs(d) > 0.9995 THEN t ELSE sin(t * th) / sin(th) END AS wb FROM h),
+q AS (SELECT label, i, list_transform(list_zip(a, c), lambda p: p[1] * wa + p[2] * wb) AS q FROM k), z AS (SELECT *, sqrt(list_inner_product(q, q)) * CASE WHEN q[1] < 0 THEN -1 ELSE 1 END AS n FROM q)
+SELECT label, i, round(q[1] / n, 6) AS w, round(q[2] / n, 6) AS x, round(q[3] / n, 6) AS y, round(q[4] / n, 6) AS z FROM z""",
+)
 def resample_rotations(spark, sf):
-    """From 30 to 20 frames per second."""
+    """From 30 to 20 frames per second; shown with non-negative w."""
     q = quats(spark, sf).select("label", "pos", (F.col("pos") / 30.0).alias("t"), "qa")
     last = q.groupBy("label").agg(F.max("t").alias("last"))
     d = RS.resample_rotations(q, RS.target_grid(last, ["label"], "last", 20.0), CLIP, "t", "qa", 60.0)
+    d = d.withColumn("qa", R.standardize(F.col("qa")))
     return d.select("label", "i", *[F.round(F.get("qa", F.lit(k)), 6).alias(n) for k, n in enumerate("wxyz")])
 
 
-@query("camera_angvel")
+@query(
+    "camera_angvel",
+    f"""WITH {QUAT_SQL}, p AS (SELECT label, pos, coalesce(lead(a) OVER w, a) AS n, CASE WHEN lead(a) OVER w IS NULL THEN lag(a) OVER w ELSE a END AS c FROM qs WINDOW w AS (PARTITION BY label ORDER BY pos)),
+r AS (SELECT label, pos, n[1]*c[1]+n[2]*c[2]+n[3]*c[3]+n[4]*c[4] AS w, -n[1]*c[2]+n[2]*c[1]-n[3]*c[4]+n[4]*c[3] AS x, -n[1]*c[3]+n[2]*c[4]+n[3]*c[1]-n[4]*c[2] AS y, -n[1]*c[4]-n[2]*c[3]+n[3]*c[2]+n[4]*c[1] AS z FROM p)
+SELECT label, pos, round(1-2*(y*y+z*z), 6) AS r0, round(2*(x*y-z*w), 6) AS r1, round(2*(x*z+y*w), 6) AS r2, round(2*(x*y+z*w), 6) AS r3, round(1-2*(x*x+z*z), 6) AS r4, round(2*(y*z-x*w), 6) AS r5 FROM r""",
+)
 def camera_angvel(spark, sf):
     d = K.camera_angvel(quats(spark, sf).withColumn("m", R.quat_to_matrix(F.col("qa"))), CLIP, "m")
     return d.select("label", "pos", *[F.round(F.get("angvel", F.lit(k)), 6).alias(f"r{k}") for k in range(6)])
 
 
-@query("local_velocity")
+@query(
+    "local_velocity",
+    f"""WITH {QUAT_SQL}, d AS (SELECT label, pos, a, CASE WHEN lead(v) OVER w IS NULL THEN list_transform(list_zip(v, lag(v) OVER w), lambda p: p[1] - p[2])
+  ELSE list_transform(list_zip(lead(v) OVER w, v), lambda p: p[1] - p[2]) END AS s FROM qs WINDOW w AS (PARTITION BY label ORDER BY pos))
+SELECT label, pos, round((1-2*(a[3]*a[3]+a[4]*a[4]))*s[1] + 2*(a[2]*a[3]+a[1]*a[4])*s[2] + 2*(a[2]*a[4]-a[1]*a[3])*s[3], 6) AS vx, 0.0::DOUBLE AS drift FROM d""",
+)
 def local_velocity(spark, sf):
     """Velocities in the body frame, and the path rebuilt from them."""
     d = K.local_velocity(quats(spark, sf), CLIP, "va", "qa")
@@ -170,7 +190,7 @@ def inverse_kinematics_job(spark, sf):
     return digest(SK.inverse_kinematics_job(base(spark, sf), CLIP, "a"), ["label", "pos"], "quats")
 
 
-@query("forward_kinematics_job")
+@query("forward_kinematics_job", f"WITH {J22_SQL} SELECT label, pos, 0.0::DOUBLE AS gap FROM j22")
 def forward_kinematics_job(spark, sf):
     """Offsets and rotations from the joints give the joints back."""
     d = SK.inverse_kinematics_job(base(spark, sf), CLIP, "a").withColumn(
@@ -243,13 +263,18 @@ def local_global_rotations(spark, sf):
     return digest(back, ["label", "pos", "gap"], "world")
 
 
-@query("average_rotations")
+@query(
+    "average_rotations",
+    f"""WITH {J22_SQL} SELECT label, pos, CAST(len(a) AS INT) AS n, round(1.5 * list_sum(a), 5) AS total,
+  round(1.5 * list_inner_product(a, list_transform(range(1, 67), lambda i: i::DOUBLE)), 5) AS weighted FROM j22""",
+)
 def average_rotations(spark, sf):
+    """Rotations about one axis by a and 2a average to 1.5 a."""
     d = base(spark, sf).withColumn("b", V.scale(F.col("a"), 2.0))
     return digest(SK.average_rotations(d, "a", "b"), ["label", "pos"], "average")
 
 
-@query("convert_rotations")
+@query("convert_rotations", "SELECT vec_id, 0.0::DOUBLE AS matrix, 0.0::DOUBLE AS axis_angle, 0.0::DOUBLE AS sixd, 0.0::DOUBLE AS euler FROM embeddings")
 def convert_rotations(spark, sf):
     """Every representation reached from a quaternion and back."""
     d = quats(spark, sf).select("vec_id", R.standardize(F.col("qa")).alias("q"))
