@@ -85,6 +85,22 @@ def number_rows(
     )
 
 
+def fit_bucket(df: DataFrame, keys: Iterable[str], order: Column, limit: int = 1_000_000) -> Column:
+    """A bucket for :func:`number_rows` sized to the data.
+
+    One map-combined count finds the longest sequence. If it fits into
+    ``limit`` rows there is one bucket; else ``order`` (a number) is cut evenly
+    into four times as many buckets as that sequence needs, as rows may bunch.
+    """
+    x = order.cast("double")
+    per = df.select(*keys, x.alias("_x")).groupBy(*keys).agg(F.count("_x").alias("n"), F.min("_x").alias("a"), F.max("_x").alias("z"))
+    n, a, z = per.agg(F.max("n"), F.min("a"), F.max("z")).first()
+    if not n or n <= limit or z <= a:
+        return F.when(order.isNotNull(), F.lit(0)).cast("long")
+    width = (z - a) / (4 * -(-n // limit))
+    return F.floor((x - F.lit(a)) / F.lit(width))
+
+
 def neighbors(
     df: DataFrame, seq: Seq, before: int, after: int, *stages: Mapping[str, WindowExpr]
 ) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.operators.blocks import Seq, number_rows
+from kinetable.operators.blocks import Seq, fit_bucket, number_rows
 from kinetable.plans.registry import table
 
 EV = Seq(("user_id",), "pos")
 GRID = Seq(("user_id",), "frame")
-HOUR_US = 3_600_000_000
 EPOCH_GRID = "2024-01-01"
 
 #: Averages of two-decimal values often end exactly on a rounding tie, which
@@ -46,8 +45,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_track(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     d = events(spark, sf).select("user_id", "ts", "event_id", *[c for c in cols if c not in ("ts", "event_id")])
-    hour = F.floor(F.unix_micros("ts") / F.lit(HOUR_US))  # one task never sorts more than a user's hour
-    d = number_rows(d, ["user_id"], ["ts", "event_id"], hour)
+    d = number_rows(d, ["user_id"], ["ts", "event_id"], fit_bucket(d, ["user_id"], F.unix_micros("ts")))
     return d.select("user_id", "pos", *cols)
 
 

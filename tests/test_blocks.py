@@ -44,6 +44,18 @@ def test_neighbors(spark, size):
     np.testing.assert_allclose(got["s"], want)
 
 
+@pytest.mark.parametrize("limit", [5, 1000])
+def test_fit_bucket(spark, limit):
+    from kinetable.operators.blocks import fit_bucket
+
+    pdf = frame(4)
+    d = spark.createDataFrame(pdf)
+    b = fit_bucket(d, ["k"], F.col("t"), limit)
+    assert (d.select(b.alias("b")).distinct().count() > 20) == (limit == 5)
+    got = number_rows(d, ["k"], ["t"], b).toPandas().sort_values(["k", "t"]).reset_index(drop=True)
+    assert got["pos"].tolist() == numbered(pdf)["pos"].tolist()
+
+
 def test_neighbors_refuses_too_long_reach(spark):
     with pytest.raises(ValueError):
         neighbors(spark.createDataFrame(numbered(frame())), Seq(("k",), "pos", 4), 5, 0, {})
