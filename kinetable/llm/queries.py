@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetable.llm import line_dedup
+from kinetable.llm import line_dedup, simhash_dedup
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,11 @@ FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 """
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Entry] = {
     "op3_line_dedup": Entry(op3_line_dedup, OP3_SQL),
+    "op9_simhash_dedup": Entry(op9_simhash_dedup),
 }
