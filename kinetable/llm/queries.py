@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetable.llm import line_dedup, simhash_dedup
+from kinetable.llm import line_dedup, packing, simhash_dedup
 
 
 @dataclass(frozen=True)
@@ -41,11 +41,22 @@ FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Entry] = {
     "op3_line_dedup": Entry(op3_line_dedup, OP3_SQL),
+    "op4_best_fit_packing": Entry(op4_best_fit_packing),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
 }
