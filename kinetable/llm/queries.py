@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetable.llm import line_dedup, packing, simhash_dedup
+from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents")).drop("text")
 
@@ -56,6 +60,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Entry] = {
+    "op2_decontamination": Entry(op2_decontamination),
     "op3_line_dedup": Entry(op3_line_dedup, OP3_SQL),
     "op4_best_fit_packing": Entry(op4_best_fit_packing),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
