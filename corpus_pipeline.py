@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetable.llm import line_dedup
-from kinetable.llm.common import stage
+from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
+from kinetable.llm.common import held_out, stage
+from kinetable.llm.queries import tokenizer_path
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels, keep=lambda c: ~held_out(c)))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +22,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs, chars_col="n_chars")
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return simhash_dedup.drop_near_duplicates(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, each with its place in a sequence."""
+    return packing.pack_documents(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
     ("line dedup", line_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("packing", packing_stage),
 ]
 
 #: SQL can express neither the tokenizer nor the classifier.
@@ -24,6 +50,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other, with the output of each but the last written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)

@@ -54,17 +54,19 @@ def classes(edges: DataFrame) -> DataFrame:
     node of its component. Rounds of pointing a node's larger neighbours at its
     smallest one and then a node's smaller neighbours at the smallest one; only
     minima per node are aggregated, so a node with many links needs no group
-    in memory, and each round is written to the shared folder.
+    in memory; they are written before they are joined, so that both sides of
+    the join are plain shuffles and a hot node is split between tasks.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = stage(e)
     while True:
         # Larger neighbours go to the minimum of the neighbourhood.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Smaller neighbours, and the node itself, go to the minimum below it.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large)
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         # Done when the stars no longer change: every u has one v and no v is a u.
@@ -83,7 +85,7 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def part_of(weight: int, total: int, bound: int) -> float:
+def part_of(total: int, bound: int) -> float:
     """Share of ``total`` that keeps about ``bound``."""
     return min(1.0, bound / total) if total else 1.0
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup
+from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
+from kinetable.llm.common import held_out
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), keep=lambda c: ~held_out(c))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.col("language").alias("threshold_language"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -63,5 +71,6 @@ QUERIES: dict[str, Entry] = {
     "op2_decontamination": Entry(op2_decontamination),
     "op3_line_dedup": Entry(op3_line_dedup, OP3_SQL),
     "op4_best_fit_packing": Entry(op4_best_fit_packing),
+    "op5_toxicity": Entry(op5_toxicity),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
 }

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinetable.llm.common import classes, stage, task_count
 from kinetable.llm.trie import near_pairs, roots
@@ -151,6 +152,15 @@ def fingerprint_links(fps: DataFrame, budget: int = 3) -> DataFrame:
     return dealt.mapInArrow(_join_units(budget), "a long, b long")
 
 
+def _members(own: DataFrame, budget: int) -> DataFrame:
+    """fp, root (its class) and component_id of every fingerprint of ``own`` (doc_id, fp)."""
+    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    root = classes(fingerprint_links(distinct.select("fp"), budget))
+    member = stage(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    low = stage(member.groupBy("root").agg(F.min("low").alias("component_id")))
+    return stage(member.join(low, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -161,9 +171,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id are rows of their own. Other columns do not matter.
     """
     own = stage(fingerprints(docs, id_col, text_col, words))
-    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    root = classes(fingerprint_links(distinct.select("fp"), budget))
-    member = stage(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = member.join(low, "root").select("fp", "component_id")
-    return own.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(_members(own, budget), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
+    """``docs`` with one row of each class of ``near_duplicates``, columns as they are.
+
+    It is a row with the class's smallest id (null in a class of null ids
+    alone); of several such rows one with the smallest fingerprint, and of
+    those, which repeat each other, any.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(x, words) for x in b.column(1).field(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(1)], ["id", "fp", "row"])
+
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("row", docs.schema)])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stage(docs.select(F.col(id_col).cast("long").alias("id"), whole).mapInArrow(run, kind))
+    member = _members(rows.select(F.col("id").alias("doc_id"), "fp"), budget)
+    first = rows.select("id", "fp").join(member, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root", "fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    best = stage(first.groupBy("root").agg(F.min(F.struct("fp", "id", "n")).alias("b")).select("b.id", "b.fp", "b.n"))
+
+    def chosen(pairs: DataFrame) -> DataFrame:
+        p = pairs.select(F.col("id").alias("_id"), F.col("fp").alias("_fp"))
+        return rows.join(p, F.col("id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_semi")
+
+    kept = chosen(best.filter("n = 1")).union(chosen(best.filter("n > 1")).dropDuplicates(["id", "fp"]))
+    return kept.select("row.*")

@@ -83,3 +83,14 @@ def test_units_of_any_size_find_the_same_classes(spark, monkeypatch, unit):
 
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_class_stays(spark):
+    long = "a b c d e f g h i j " * 30
+    rows = [(5, long), (2, long + "z"), (2, long + "z"), (None, long), (7, "other words here"), (7, "different again now"), (None, "nothing else like this"), (None, "nothing else like this"), (9, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, fp string")
+    got = S.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    want = [(2, long + "z", "s"), (7, "other words here", "s"), (7, "different again now", "s"), (None, "nothing else like this", "s"), (8, "", "s")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert S.drop_near_duplicates(df.limit(0)).collect() == []
