@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity, warc
+from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity, url_filter, warc
 from kinetable.llm.common import held_out
 
 
@@ -82,6 +82,51 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op10_sql() -> str:
+    """The same rounds, written out one after the other."""
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r.text))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda field: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, field)}'" for r in rules) + " END"
+    lower = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+    d = url_filter.DAMPING
+    ranks = ["r0 AS (SELECT kind, host, seed AS score FROM start)"]
+    for k in range(url_filter.ROUNDS):
+        ranks.append(f"""r{k + 1} AS (
+  SELECT kind, host, sum(score) AS score FROM (
+    SELECT e.kind, e.b AS host, r.score * e.share * {d} AS score FROM r{k} r JOIN e ON e.kind = r.kind AND e.a = r.host
+    UNION ALL SELECT kind, host, seed * (1 - {d}) FROM start) GROUP BY 1, 2)""")
+    rounds = ",\n".join(ranks)
+    return rf"""
+WITH u AS (
+  SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {lower}) AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+p AS (SELECT page_id, html, host, path, {case("text")} AS rule, {case("verdict")} AS ruled FROM u),
+seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM p WHERE host <> '' GROUP BY host),
+t AS (
+  SELECT DISTINCT page_id, host AS src, translate(regexp_replace(x, '^(?i:https?:)?//', ''), {lower}) AS dst
+  FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*((?:https?:)?//[^/?#\s"''>]+)', 1)) AS x FROM p)
+  WHERE host <> ''),
+links AS (SELECT src, dst, count(*) AS n FROM t WHERE dst <> '' AND src <> dst GROUP BY 1, 2),
+w AS (SELECT 'trust' AS kind, src AS a, dst AS b, n FROM links UNION ALL SELECT 'distrust', dst, src, n FROM links),
+e AS (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS share FROM w),
+s AS (SELECT 'trust' AS kind, host, allowed AS w FROM seeds UNION ALL SELECT 'distrust', host, blocked FROM seeds),
+start AS (SELECT kind, host, w / sum(w) OVER (PARTITION BY kind) AS seed FROM s WHERE w > 0),
+{rounds},
+score AS (
+  SELECT host, round(coalesce(sum(score) FILTER (kind = 'trust'), 0), {url_filter.DIGITS}) AS trust,
+         round(coalesce(sum(score) FILTER (kind = 'distrust'), 0), {url_filter.DIGITS}) AS distrust
+  FROM r{url_filter.ROUNDS} GROUP BY host)
+SELECT page_id, host, path, rule,
+       coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {url_filter.RATIO} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN score USING (host)
+"""
+
+
 QUERIES: dict[str, Entry] = {
     "op1_warc": Entry(op1_warc, OP1_SQL),
     "op2_decontamination": Entry(op2_decontamination),
@@ -89,4 +134,5 @@ QUERIES: dict[str, Entry] = {
     "op4_best_fit_packing": Entry(op4_best_fit_packing),
     "op5_toxicity": Entry(op5_toxicity),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
+    "op10_url_filter": Entry(op10_url_filter, _op10_sql()),
 }
