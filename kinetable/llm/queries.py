@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity, url_filter, warc
+from kinetable.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup, toxicity, url_filter, warc
 from kinetable.llm.common import held_out
 
 
@@ -78,6 +78,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.col("language").alias("threshold_language"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs, keep=~held_out("doc_id"))
+    return language_id.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -133,6 +139,7 @@ QUERIES: dict[str, Entry] = {
     "op3_line_dedup": Entry(op3_line_dedup, OP3_SQL),
     "op4_best_fit_packing": Entry(op4_best_fit_packing),
     "op5_toxicity": Entry(op5_toxicity),
+    "op6_language_id": Entry(op6_language_id),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
     "op10_url_filter": Entry(op10_url_filter, _op10_sql()),
 }
