@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup, toxicity, url_filter, warc
+from kinetable.llm import decontaminate, language_id, line_dedup, packing, secrets, simhash_dedup, toxicity, url_filter, warc
 from kinetable.llm.common import held_out
 
 
@@ -84,6 +84,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"), count("random"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -140,6 +148,7 @@ QUERIES: dict[str, Entry] = {
     "op4_best_fit_packing": Entry(op4_best_fit_packing),
     "op5_toxicity": Entry(op5_toxicity),
     "op6_language_id": Entry(op6_language_id),
+    "op7_secret_scan": Entry(op7_secret_scan),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
     "op10_url_filter": Entry(op10_url_filter, _op10_sql()),
 }
