@@ -16,18 +16,32 @@ from kinetable.llm.common import stage
 
 END_ID = 2
 
+#: Fixed value: marks at the end of words.
+MARKS = ".,;:!?"
+
 #: Words whose ids a worker remembers, pieces of one block of the numbering.
-WORDS = 400_000
+WORDS = 1_000_000
 BLOCK_PIECES = 100_000
 
 
+class _Known(dict):
+    """Remembered words; others are looked up among the batch's own."""
+
+    fresh: dict[str, bytes | None] = {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        return self.fresh[word]
+
+
 class WordCoder:
     """Ids of whole texts by a byte-level BPE file, with repeated words encoded once.
 
-    The pre-tokenizer never joins what stands before a space between two
-    visible characters with what follows it, so a text without other white
-    space beside its spaces is the sequence of its words, each with the space
-    before it. Other texts are encoded as a whole.
+    The pre-tokenizer cuts before a space or line feed that stands between two
+    visible characters, and between a letter or digit and punctuation. So a
+    text whose spaces and line feeds all stand alone is the sequence of its
+    words, each with the space or line feed before it, and a word at the end
+    of a clause is the plain word and the mark. Other texts are encoded as a
+    whole.
     """
 
     def __init__(self, path: str):
@@ -37,7 +51,8 @@ class WordCoder:
         width = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}  # a letter of the byte alphabet a byte
         self.width = np.zeros(max(width) + 1, np.int64)
         self.width[list(width)] = list(width.values())
-        self.known: dict[str, bytes | None] = {}  # None: white space at an end
+        self.known = _Known()  # None: white space where it does not stand alone
+        self.marks: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
@@ -46,7 +61,7 @@ class WordCoder:
         """Encodes the words in one text and cuts its ids at the words' ends."""
         if not words:
             return {}
-        spaced = [" " + w for w in words]
+        spaced = [w if w[0] == "\n" else " " + w for w in words]
         ids = np.frombuffer(self._plain("".join(spaced)), np.uint32)
         ends = np.cumsum(np.fromiter((len(w.encode()) for w in spaced), np.int64, len(words)))
         reach = np.cumsum(self.width[ids])
@@ -56,24 +71,46 @@ class WordCoder:
         raw, at = ids.tobytes(), (4 * (at + 1)).tolist()
         return {w: raw[a:b] for w, a, b in zip(words, [0, *at[:-1]], at, strict=True)}
 
+    def _learn(self, fresh: set[str]) -> dict[str, bytes | None]:
+        got: dict[str, bytes | None] = {w: self._plain(w or " ") for w in ("", "\n") if w in fresh}
+        ended, plain = [], set()
+        for w in fresh.difference(got):
+            if w[0].isspace() and (w[0] != "\n" or w[1].isspace()) or w[-1].isspace():
+                got[w] = None
+                continue
+            stem = w.rstrip(MARKS)
+            if stem != w and stem[-1:].isalnum():
+                ended.append((w, stem))
+                if stem not in self.known:
+                    plain.add(stem)
+            else:
+                plain.add(w)
+        got |= self._words(list(plain))
+        for w, stem in ended:
+            mark = w[len(stem) :]
+            if mark not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                self.marks[mark] = self._plain(mark)
+            got[w] = (got.get(stem) or self.known[stem]) + self.marks[mark]
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [None if "  " in t else t.split(" ") for t in texts]
-        fresh = {w for s in split if s for w in s[1:]}.difference(self.known)
-        fresh.discard("")
-        open_ended = [w for w in fresh if w[0].isspace() or w[-1].isspace()]
-        got = self._words(list(fresh.difference(open_ended))) | dict.fromkeys(open_ended)
+        split = [None if "\n\n" in t or "  " in (x := t.replace("\n", " \n")) else x.split(" ") for t in texts]
+        fresh = set().union(*(s[1:] for s in split if s)).difference(self.known)
+        got = self._learn(fresh)
         if len(self.known) + len(got) <= WORDS:
             self.known.update(got)
-            table = self.known
-        else:
-            table = {**{w: self.known[w] for s in split if s for w in s[1:] if w in self.known}, **got}
-        if "" not in table:
-            table[""] = self._plain(" ")
+        self.known.fresh = got
+        known = self.known.__getitem__
         out = []
         for t, s in zip(texts, split, strict=True):
-            ids = [None] if s is None or s[0][-1:].isspace() else list(map(table.__getitem__, s[1:]))
-            out.append(self._plain(t) if None in ids else (self._plain(s[0]) if s[0] else b"") + b"".join(ids))
+            if s is None or s[0][-1:].isspace():
+                out.append(self._plain(t))
+                continue
+            ids = [self._plain(s[0]) if s[0] else b"", *map(known, s[1:])]
+            out.append(self._plain(t) if None in ids else b"".join(ids))
         return out
 
 
@@ -220,7 +257,7 @@ def pack(cut: DataFrame, capacity: int = 1024) -> DataFrame:
             cols = [b.column(b.schema.get_field_index(c)) for c in names if c != "_block"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(where[:, 3] + rank - where[:, 1]), pa.array(where[:, 4])], schema=None, names=[f.name for f in out_schema.fields])
 
-    rows = cut.join(first, ["length", "_block"]).select(*names, "first")
+    rows = cut.join(first.hint("shuffle_merge"), ["length", "_block"]).select(*names, "first")
     return rows.repartition(blocks, "_block").sortWithinPartitions("_block", "length").mapInArrow(place, out_schema)
 
 
