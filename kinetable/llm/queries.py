@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, language_id, line_dedup, packing, secrets, simhash_dedup, toxicity, url_filter, warc
+from kinetable.llm import decontaminate, language_id, line_dedup, packing, pq_dedup, secrets, simhash_dedup, toxicity, url_filter, warc
 from kinetable.llm.common import held_out
 
 
@@ -92,6 +92,25 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"), count("random"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, p.b FROM reach r JOIN pair p ON p.a = r.y),
+low AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+n AS (SELECT a, count(*) AS n FROM pair GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON x = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -149,6 +168,7 @@ QUERIES: dict[str, Entry] = {
     "op5_toxicity": Entry(op5_toxicity),
     "op6_language_id": Entry(op6_language_id),
     "op7_secret_scan": Entry(op7_secret_scan),
+    "op8_embedding_dedup": Entry(op8_embedding_dedup, OP8_SQL),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
     "op10_url_filter": Entry(op10_url_filter, _op10_sql()),
 }
