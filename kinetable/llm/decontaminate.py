@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,29 +68,39 @@ def _bits(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+@dataclass
+class Sized:
+    """The items of one number of words, with their fingerprints indexed by blocks."""
+
+    items: np.ndarray  # places among all items
+    prints: np.ndarray
+    starts: np.ndarray  # by block and value, where its fingerprints begin in ``near``
+    near: np.ndarray  # those within NEAR bits in that block
+
+
 @dataclass
 class Items:
     """One pass's items, as sent to every task; bounded by PASS_WORDS."""
 
     ids: list  # item_id
     vocabulary: dict[str, int]
-    sizes: np.ndarray  # words of each item
     parts: list[np.ndarray]  # sorted shingles of each item, repeats included
-    prints: np.ndarray
+    sized: dict[int, Sized]
     known: np.ndarray  # all items' shingles, sorted
     sieve: np.ndarray  # by first bits: whether any of them begins so
     lengths: list[int]  # words in their shingles
-    blocks: list[list[np.ndarray]]  # by block and value: the items whose block is within NEAR bits of it
 
 
-def _index(prints: np.ndarray) -> list[list[np.ndarray]]:
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    """The value of each block (columns)."""
+    return prints[:, None] >> (np.arange(BLOCKS, dtype=np.uint64) * np.uint64(BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)
+
+
+def _index(items: np.ndarray, prints: np.ndarray) -> Sized:
     values = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
-    out = []
-    for b in range(BLOCKS):
-        own = (prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)
-        near = np.bitwise_count(values[:, None] ^ own[None, :]) <= NEAR
-        out.append([np.flatnonzero(row) for row in near])
-    return out
+    near = np.bitwise_count(values[None, :, None] ^ _blocks(prints).T[:, None, :]) <= NEAR
+    counts = near.sum(axis=2).ravel()
+    return Sized(items, prints, np.concatenate([[0], np.cumsum(counts)]), np.nonzero(near.reshape(-1, len(prints)))[1])
 
 
 def prepare(rows: list[tuple], size: int) -> Items:
@@ -105,10 +116,11 @@ def prepare(rows: list[tuple], size: int) -> Items:
         sizes.append(len(own))
         parts.append(np.sort(shingles(seq, size)))
     prints = _bits(np.array([_signs(p).sum(axis=0) for p in parts])) if parts else np.zeros(0, np.uint64)
+    sized = {n: _index(at := np.flatnonzero(np.array(sizes) == n), prints[at]) for n in sorted(set(sizes))}
     known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     sieve = np.zeros(1 << SIEVE_BITS, bool)
     sieve[known >> np.uint64(64 - SIEVE_BITS)] = True
-    return Items(ids, vocabulary, np.array(sizes, np.int64), parts, prints, known, sieve, sorted({min(n, size) for n in sizes}), _index(prints))
+    return Items(ids, vocabulary, parts, sized, known, sieve, sorted({min(n, size) for n in sizes}))
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> float:
@@ -131,7 +143,7 @@ def matches(text: str | None, items: Items, size: int, least: float) -> list[tup
     # least as many that occur in any item; windows with fewer need no fingerprint. Most texts have
     # none, which shows without hashing the words that no item has.
     get = items.vocabulary.get
-    ids = np.fromiter((get(w, 0) for w in own), np.uint64, len(own))
+    ids = np.fromiter(map(get, own, repeat(0)), np.uint64, len(own))
     counts = {}
     for k in items.lengths:
         sh = shingles(ids, k)
@@ -142,7 +154,7 @@ def matches(text: str | None, items: Items, size: int, least: float) -> list[tup
         counts[k] = np.cumsum(counts[k])
     found: dict[int, tuple[int, int, int, float, int]] = {}
     full = None
-    for n in np.unique(items.sizes).tolist():
+    for n, index in items.sized.items():
         k = min(n, size)  # items of fewer words are one shorter shingle
         count = counts[k]
         width, own_parts = max(1, min(n, len(ids)) - k + 1), n - k + 1  # shingles in a window, in the item
@@ -155,15 +167,15 @@ def matches(text: str | None, items: Items, size: int, least: float) -> list[tup
         if full is None:
             full = np.array([get(w) or word_id(w) for w in own], np.uint64)
         sh = shingles(full, k)
-        target = items.sizes == n
         for low in range(0, len(starts), CHUNK):
             part = starts[low : low + CHUNK]
-            prints = _window_prints(sh, part, width)
-            for w, i, d in _candidates(prints, items, target):
-                first = int(part[w])
-                s = _same(np.sort(sh[first : first + width]), items.parts[i])
-                if s >= least and (i not in found or (s, -first) > (found[i][3], -found[i][1])):
-                    found[i] = (i, first, min(n, len(ids)), s, int(d))
+            at, which, bits = _candidates(_window_prints(sh, part, width), index)
+            for i in np.unique(which).tolist():
+                own_at = which == i
+                best = _verify(sh, part[at[own_at]], width, items.parts[index.items[i]], least)
+                item = int(index.items[i])
+                if best is not None and (item not in found or (best[1], -best[0]) > (found[item][3], -found[item][1])):
+                    found[item] = (item, best[0], min(n, len(ids)), best[1], int(bits[own_at][part[at[own_at]] == best[0]][0]))
     return list(found.values())
 
 
@@ -180,21 +192,34 @@ def _window_prints(sh: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
     return out
 
 
-def _candidates(prints: np.ndarray, items: Items, target: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(window, item, differing bits) of all within RADIUS, by looking up each block."""
-    for b in range(BLOCKS):
-        value = ((prints >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
-        lists = [items.blocks[b][v] for v in value]
-        w = np.repeat(np.arange(len(prints)), [len(x) for x in lists])
-        i = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        w, i = w[target[i]], i[target[i]]
-        x = prints[w] ^ items.prints[i]
-        near = np.bitwise_count(x) <= RADIUS
-        # A pair that an earlier block has met is not met again.
-        for e in range(b):
-            near &= np.bitwise_count((x >> np.uint64(e * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)) > NEAR
-        w, i, d = w[near], i[near], np.bitwise_count(x[near])
-        yield from zip(w.tolist(), i.tolist(), d.tolist(), strict=True)
+def _candidates(prints: np.ndarray, index: Sized) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, item, differing bits) of all within RADIUS, by looking up every block."""
+    key = (_blocks(prints).astype(np.int64) + (np.arange(BLOCKS) << BLOCK_BITS)).ravel()
+    first, n = index.starts[key], index.starts[key + 1] - index.starts[key]
+    w = np.repeat(np.arange(len(key)) // BLOCKS, n)
+    i = index.near[np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)]
+    d = np.bitwise_count(prints[w] ^ index.prints[i])
+    pair = np.unique((w * len(index.prints) + i)[d <= RADIUS])  # met in several blocks
+    w, i = pair // len(index.prints), pair % len(index.prints)
+    return w, i, np.bitwise_count(prints[w] ^ index.prints[i])
+
+
+def _verify(sh: np.ndarray, starts: np.ndarray, width: int, item: np.ndarray, least: float) -> tuple[int, float] | None:
+    """The first of the most similar windows, and its similarity, if that reaches ``least``."""
+    low, high = int(starts[0]), int(starts[-1]) + width
+    own = sh[low:high]
+    inside = item[np.searchsorted(item, own).clip(max=len(item) - 1)] == own
+    count = np.concatenate([[0], np.cumsum(inside)])
+    both = np.minimum(count[starts - low + width] - count[starts - low], len(item))  # as if nothing repeated: a bound
+    bound = both / (width + len(item) - both)
+    best = None
+    for k in np.lexsort((starts, -bound)).tolist():
+        if bound[k] < least or best is not None and bound[k] <= best[1]:
+            break
+        s = _same(np.sort(sh[starts[k] : starts[k] + width]), item)
+        if s >= least and (best is None or s > best[1] or s == best[1] and starts[k] < best[0]):
+            best = int(starts[k]), s
+    return best
 
 
 def item_passes(bench: DataFrame, id_col: str, text_col: str, size: int, pass_words: int = PASS_WORDS) -> Iterator[Items]:

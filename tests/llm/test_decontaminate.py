@@ -69,12 +69,13 @@ def test_many_passes_give_the_same(spark):
 def test_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     items = D.prepare([(i, " ".join(map(str, rng.integers(0, 99, 12)))) for i in range(50)], 5)
-    prints = items.prints.copy()
+    index = items.sized[12]
+    prints = index.prints.copy()
     for k in range(len(prints)):
         for b in rng.choice(64, k % 30, replace=False):
             prints[k] ^= np.uint64(1) << np.uint64(b)
-    got = sorted(D._candidates(prints, items, np.ones(50, bool)))
-    d = np.bitwise_count(prints[:, None] ^ items.prints[None, :])
+    got = sorted(zip(*(x.tolist() for x in D._candidates(prints, index)), strict=True))
+    d = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
     assert got == sorted((int(w), int(i), int(d[w, i])) for w, i in np.argwhere(d <= D.RADIUS))
 
 
