@@ -39,10 +39,6 @@ class Seq:
         return F.floor(F.col(self.order) / F.lit(self.size)).cast("long")
 
 
-def _carry_window(seq: Seq) -> WindowSpec:
-    return Window.partitionBy(*seq.keys).orderBy("_blk")
-
-
 def _clustered(d: DataFrame, keys: Iterable[str]) -> tuple[DataFrame, Column]:
     """``d`` shuffled by (key, block), and an aggregate that touches all its
     columns.
@@ -50,13 +46,18 @@ def _clustered(d: DataFrame, keys: Iterable[str]) -> tuple[DataFrame, Column]:
     A carry needs the rows twice: summed per block, and as they are. Column
     pruning would make these two shuffles of the same input different, and
     everything upstream would run twice. With the aggregate in use both want
-    the same columns, so Spark reuses one shuffle for both. The join back would
-    drop null keys on one side only; dropping them here keeps both sides alike.
+    the same columns, so Spark reuses one shuffle for both. Key and block are
+    one struct ``_g``, which is never null and equals itself with null fields,
+    so rows with a null key or a null order stay and find their carry.
     """
-    for c in (*keys, "_blk"):
-        d = d.where(F.col(c).isNotNull())
+    d = d.withColumn("_g", F.struct(*keys, "_blk"))
     hashable = [f.name for f in d.schema.fields if "map<" not in f.dataType.simpleString()]
-    return d.repartition(*keys, "_blk"), F.max(F.hash(*hashable)).alias("_touch")
+    return d.repartition("_g"), F.max(F.hash(*hashable)).alias("_touch")
+
+
+def _by_key(keys: Iterable[str]) -> WindowSpec:
+    """Blocks of a whole key in order; the block of null orders comes first."""
+    return Window.partitionBy(*[F.col("_g")[k] for k in keys]).orderBy(F.col("_g")["_blk"])
 
 
 def number_rows(
@@ -70,18 +71,19 @@ def number_rows(
 
     ``bucket`` must not decrease along ``order_by``; it bounds how many rows a
     task sorts. Rows are counted per bucket first, and the earlier buckets'
-    total is added to the rank inside the bucket.
+    total is added to the rank inside the bucket. Null keys are a key of their
+    own; rows with a null bucket (a null order) come first.
     """
     keys = tuple(keys)
     d, touch = _clustered(df.withColumn("_blk", bucket), keys)
-    sizes = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"), touch).where(F.col("_touch").isNotNull())
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_blk").orderBy(*order_by))
+    sizes = d.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), touch).where(F.col("_touch").isNotNull())
+    before = _by_key(keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_g").orderBy(*order_by))
     return (
-        d.join(offsets, [*keys, "_blk"])
+        d.join(offsets, "_g")
         .withColumn(out, (F.col("_off") + local - 1).cast("long"))
-        .drop("_blk", "_off")
+        .drop("_g", "_blk", "_off")
     )
 
 
@@ -139,6 +141,7 @@ def scan(
 
     ``sums``: running total including the row; ``shifted_sums``: excluding it;
     ``last`` / ``next``: nearest non-null value at or before / at or after it.
+    Null keys are a key of their own; null orders come before all others.
     """
     sums, shifted_sums = dict(sums or {}), dict(shifted_sums or {})
     last, next_ = dict(last or {}), dict(next or {})
@@ -147,21 +150,21 @@ def scan(
 
     d, touch = _clustered(d, seq.keys)
     aggs = [F.sum(f"_i_{n}").alias(f"_t_{n}") for n in (*sums, *shifted_sums)]
-    known = {n: F.when(F.col(f"_i_{n}").isNotNull(), F.col(seq.order)) for n in (*last, *next_)}
+    place = F.struct(seq.order, *seq.ties)  # orders null orders too
+    known = {n: F.when(F.col(f"_i_{n}").isNotNull(), place) for n in (*last, *next_)}
     aggs += [F.max_by(f"_i_{n}", known[n]).alias(f"_t_{n}") for n in last]
     aggs += [F.min_by(f"_i_{n}", known[n]).alias(f"_t_{n}") for n in next_]
-    totals = d.groupBy(*seq.keys, "_blk").agg(*aggs, touch).where(F.col("_touch").isNotNull())
-    back = _carry_window(seq).rowsBetween(Window.unboundedPreceding, -1)
-    fwd = _carry_window(seq).rowsBetween(1, Window.unboundedFollowing)
+    totals = d.groupBy("_g").agg(*aggs, touch).where(F.col("_touch").isNotNull())
+    back = _by_key(seq.keys).rowsBetween(Window.unboundedPreceding, -1)
+    fwd = _by_key(seq.keys).rowsBetween(1, Window.unboundedFollowing)
     carry = totals.select(
-        *seq.keys,
-        "_blk",
+        "_g",
         *[F.sum(f"_t_{n}").over(back).alias(f"_c_{n}") for n in (*sums, *shifted_sums)],
         *[F.last(f"_t_{n}", ignorenulls=True).over(back).alias(f"_c_{n}") for n in last],
         *[F.first(f"_t_{n}", ignorenulls=True).over(fwd).alias(f"_c_{n}") for n in next_],
     )
 
-    w = Window.partitionBy(*seq.keys, "_blk").orderBy(seq.order, *seq.ties)
+    w = Window.partitionBy("_g").orderBy(seq.order, *seq.ties)
     upto, prior = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     onward = w.rowsBetween(0, Window.unboundedFollowing)
     local = {n: F.sum(f"_i_{n}").over(upto) for n in sums}
@@ -176,7 +179,7 @@ def scan(
         (F.coalesce(F.col(f"_l_{n}"), zero) + F.coalesce(F.col(f"_c_{n}"), zero)).alias(n)
         for n in (*sums, *shifted_sums)
     ] + [F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in (*last, *next_)]
-    return d.join(carry, [*seq.keys, "_blk"]).select(*keep, *out)
+    return d.join(carry, "_g").select(*keep, *out)
 
 
 def with_runs(df: DataFrame, seq: Seq, value: Column) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from kinetable.operators.blocks import Seq, number_rows, scan
+from kinetable.operators.blocks import Seq, fit_bucket, number_rows, scan
 
 #: Order units per task for whole-table scans.
 GLOBAL_BLOCK = 1 << 20
@@ -25,13 +26,17 @@ def seeded_rank(df: DataFrame, keys: list[str], ids: list[str], seed: int = 0, k
     """0-based rank in a seeded order, per ``keys``.
 
     Pass ``key`` for an order of your own and ``bucket``, a non-decreasing
-    function of it, to spread the ranking.
+    function of it, to spread the ranking; without one, buckets are cut from
+    the range of a numeric key.
     """
     if key is None:
         key = seeded_key(ids, seed)
         bucket = F.shiftright(F.col("_k"), 48)
     d = df.withColumn("_k", key)
-    return number_rows(d, keys, ["_k", *ids], F.col("_k") if bucket is None else bucket, out).drop("_k")
+    if bucket is None:
+        numeric = isinstance(d.schema["_k"].dataType, NumericType)
+        bucket = fit_bucket(d, keys, F.col("_k")) if numeric else F.col("_k")
+    return number_rows(d, keys, ["_k", *ids], bucket, out).drop("_k")
 
 
 def table_count(df: DataFrame) -> Column:
@@ -53,12 +58,12 @@ def quota(df: DataFrame, order: list[str], n: int = 90) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def reserve(available: DataFrame, slots: DataFrame, folder: str, order: str, batch: int, max_slots: int) -> DataFrame:
+def reserve(available: DataFrame, slots: DataFrame, folder: str, order: str, batch: int) -> DataFrame:
     """Up to ``batch`` items, folder by folder, each folder bounded by its
-    free slots. ``slots`` has the folder and ``free``; ``max_slots`` bounds
-    ``free`` so that ranking keeps only that many rows per map task."""
+    free slots. ``slots`` has the folder and ``free``. No folder gives more
+    than ``batch`` items, so ranking keeps only that many rows per map task."""
     w = Window.partitionBy(folder).orderBy(order)
-    d = available.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_slots)
+    d = available.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= batch)
     d = d.join(slots, folder).where(F.col("_r") <= F.col("free"))
     return d.orderBy(folder, order).limit(batch).drop("_r", "free")
 

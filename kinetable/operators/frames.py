@@ -45,10 +45,14 @@ def _fit(df: DataFrame, keys: list[str], frame: str, n: int, source: Column) ->
     return g.join(df, [*keys, frame]).drop("length")
 
 
-def pad_to(df: DataFrame, keys: list[str], frame: str, n: int) -> DataFrame:
-    """Exactly ``n`` rows per clip: cut, or repeat the last row; ``is_valid``
-    is the length mask."""
-    return _fit(df, keys, frame, n, F.least(F.col("out_frame"), F.col("length") - 1))
+def pad_to(df: DataFrame, keys: list[str], frame: str, n: int, cut: bool = False) -> DataFrame:
+    """Exactly ``n`` rows per clip, the last row repeated; ``is_valid`` is the
+    length mask. A longer clip is an error unless ``cut`` is asked for."""
+    last = F.least(F.col("out_frame"), F.col("length") - 1)
+    if not cut:
+        text = F.concat(F.lit("a clip of "), F.col("length").cast("string"), F.lit(f" rows does not fit into {n}"))
+        last = F.when(F.col("length") > n, F.raise_error(text).cast("long")).otherwise(last)
+    return _fit(df, keys, frame, n, last)
 
 
 def loop_to(df: DataFrame, keys: list[str], frame: str, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 from kinetable.functions import boxes as B
 from kinetable.operators.blocks import number_rows
 
-#: Largest cost matrix one task solves; beyond it the group is an error.
-MAX_CELLS = 4_000_000
-
 
 def pair_body_face(bodies: DataFrame, faces: DataFrame, body_name: str, face_name: str) -> DataFrame:
     """Inner join of files named ``<id>_body`` and ``<id>_face``."""
@@ -48,38 +46,60 @@ def landmark_cost(face_points: list[tuple[Column, Column]], body_points: list[tu
     )
 
 
-def solve_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum-cost 1:1 assignment of a rectangular matrix by shortest
-    augmenting paths with dual prices."""
-    flip = cost.shape[0] > cost.shape[1]
-    c = cost.T if flip else cost
-    n, m = c.shape
-    price_r, price_c = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for row in range(n):
-        dist, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        cur, base, col = row, 0.0, -1
+def solve_assignment(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which of the pairs (left, right, cost) make the cheapest of the largest
+    1:1 assignments.
+
+    Shortest augmenting paths with dual prices over the pairs that exist, so
+    memory and each step follow the pairs and not the product of the sides.
+    Every left node may stay alone at a price above any saving; paths never
+    leave the connected component they start in.
+    """
+    if not len(cost):
+        return np.zeros(0, int)
+    wall = float((np.abs(cost).max() + 1.0) * (len(np.unique(left)) + len(np.unique(right)) + 1))
+    low = float(min(cost.min(), 0.0))
+    pairs: dict[int, list[tuple[int, float, int]]] = {}
+    for k, (i, j, c) in enumerate(zip(left.tolist(), right.tolist(), cost.tolist(), strict=True)):
+        pairs.setdefault(i, []).append((j, c - low, k))
+    mate: dict[int, tuple[int, int]] = {}  # left node: its right node and pair
+    owner: dict[int, int] = {}  # right node: its left node
+    price_l, price_r = dict.fromkeys(pairs, 0.0), dict.fromkeys(right.tolist(), 0.0)
+    for start in pairs:
+        dist: dict[int, float] = {}
+        via: dict[int, tuple[int, int]] = {}  # right node: the left node and pair it was reached by
+        done: dict[int, float] = {}
+        reached, heap, cur, base = {start: 0.0}, [], start, 0.0
+        alone = (np.inf, start)  # the cheapest way to leave some left node alone
         while True:
-            slack = base + c[cur] - price_r[cur] - price_c
-            better = ~done & (slack < dist)
-            dist[better], via[better] = slack[better], col
-            col = int(np.where(done, np.inf, dist).argmin())
-            base = dist[col]
-            done[col] = True
-            if owner[col] < 0:
+            alone = min(alone, (base + wall - price_l[cur], cur))
+            for j, c, k in pairs[cur]:
+                way = base + c - price_l[cur] - price_r[j]
+                if j not in done and way < dist.get(j, np.inf):
+                    dist[j], via[j] = way, (cur, k)
+                    heapq.heappush(heap, (way, j))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or alone[0] <= heap[0][0]:
+                base = alone[0]
+                end = mate.pop(alone[1])[0] if alone[1] != start else None
+                break
+            base, end = heapq.heappop(heap)
+            done[end] = base
+            if end not in owner:
                 break
-            cur = owner[col]
-        seen = done & (owner >= 0)
-        price_r[owner[seen]] += base - dist[seen]
-        price_r[row] += base
-        price_c[done] -= base - dist[done]
-        while col >= 0:
-            prev = via[col]
-            owner[col] = row if prev < 0 else owner[prev]
-            col = prev
-    cols = np.nonzero(owner >= 0)[0]
-    rows = owner[cols]
-    return (cols, rows) if flip else (rows, cols)
+            cur = owner[end]
+            reached[cur] = base
+        for i, way in reached.items():
+            price_l[i] += base - way
+        for j, way in done.items():
+            price_r[j] -= base - way
+        while end is not None:  # shift the pairs along the path
+            i, k = via[end]
+            before = mate.get(i)
+            mate[i], owner[end] = (end, k), i
+            end = before[0] if i != start else None
+    return np.array(sorted(k for _, k in mate.values()), int)
 
 
 def assign_min_cost(costs: DataFrame, group: list[str], left: str, right: str, cost: str = "cost", cutoff: float | None = None) -> DataFrame:
@@ -87,23 +107,16 @@ def assign_min_cost(costs: DataFrame, group: list[str], left: str, right: str, c
 
     A group is one scene's persons. Pairs absent from the table are never
     assigned; with ``cutoff`` only pairs cheaper than it are kept.
+    A group's memory follows its pairs in the table.
     """
     fields = {f.name: f.dataType.simpleString() for f in costs.schema.fields}
     names = [*group, left, right, cost]
     schema = ", ".join(f"`{c}` {fields[c]}" for c in names)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        li, lu = pd.factorize(pdf[left], sort=True)
-        ri, ru = pd.factorize(pdf[right], sort=True)
-        if len(lu) * len(ru) > MAX_CELLS:
-            raise ValueError(f"group with {len(lu)} x {len(ru)} candidates is too large for one assignment")
-        vals = pdf[cost].to_numpy(dtype=float)
-        wall = (np.abs(vals).max() + 1.0) * (len(lu) + len(ru) + 1)
-        m, at = np.full((len(lu), len(ru)), wall), np.zeros((len(lu), len(ru)), int)
-        m[li, ri], at[li, ri] = vals, np.arange(len(pdf))
-        r, c = solve_assignment(m)
-        ok = m[r, c] < (wall if cutoff is None else min(wall, cutoff))
-        return pdf.iloc[at[r, c][ok]][names]
+        pdf = pdf[pdf[cost].notna()]
+        chosen = pdf.iloc[solve_assignment(pd.factorize(pdf[left], sort=True)[0], pd.factorize(pdf[right], sort=True)[0], pdf[cost].to_numpy(dtype=float))]
+        return (chosen if cutoff is None else chosen[chosen[cost] < cutoff])[names]
 
     return costs.select(*names).groupBy(*group).applyInPandas(solve, schema)
 

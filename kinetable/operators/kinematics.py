@@ -183,7 +183,7 @@ def center_on_camera(df: DataFrame, seq: Seq, scene: list[str], clean: Column, t
     of any flag, per body; the third axis is negated first.
 
     ``clean`` is the row's own (per body) cleanliness. A body without a clean
-    row in the run uses the run's middle frame.
+    row in the run uses the run's middle frame, or its own nearest to that.
     """
     o = F.col(seq.order)
     frames = df.groupBy(*scene, seq.order).agg(F.min(clean).alias("_ok"))
@@ -198,7 +198,7 @@ def center_on_camera(df: DataFrame, seq: Seq, scene: list[str], clean: Column, t
     d = df.join(all_scenes, scene)
     inside = (o >= F.col("_s")) & (o < F.col("_e")) & clean
     off = d.groupBy(*seq.keys).agg(
-        *[F.coalesce(F.avg(F.when(inside, F.col(c))), F.max(F.when(o == F.col("_m"), F.col(c)))).alias(f"_o{i}") for i, c in enumerate(cam)]
+        *[F.coalesce(F.avg(F.when(inside, F.col(c))), F.min_by(F.col(c), F.struct(F.abs(o - F.col("_m")), o))).alias(f"_o{i}") for i, c in enumerate(cam)]
     )
     out = df.join(off, list(seq.keys))
     signs = (1.0, 1.0, -1.0)

@@ -51,21 +51,22 @@ def match_faces(bodies: DataFrame, faces: DataFrame) -> DataFrame:
 
 def smooth_track(df: DataFrame, seq: Seq, col: str, island: int, sigma: float, edge: str = "reflect") -> DataFrame:
     """Clear short non-zero islands of a vector column, then smooth it over
-    time with Gaussian weights."""
+    time with Gaussian weights. Null vectors keep their place and carry no
+    weight."""
     d = with_runs(df.withColumn("_on", F.exists(col, lambda v: v != 0)), seq, F.col("_on"))
     short = F.col("_on") & ~F.col("touches_start") & ~F.col("touches_end") & (F.col("run_end") - F.col("run_start") + 1 < island)
     d = d.withColumn(col, F.transform(col, lambda v: F.when(short, 0.0).otherwise(v.cast("double"))))
     d = d.drop("_on", "run_start", "run_end", "touches_start", "touches_end")
     r, place = int(4 * sigma + 0.5), _EDGES[edge]
     w = F.array(*[F.lit(x) for x in gaussian_weights(sigma, r)])
-    d = neighbors(d, seq, r, r, {"_l": lambda s: F.collect_list(col).over(s.rowsBetween(-r, r)), "_b": lambda s: F.count(F.lit(1)).over(s.rowsBetween(-r, -1)).cast("int")})
-    m = F.size("_l")
-    total = F.aggregate(
-        F.sequence(F.lit(0), F.lit(2 * r)),
-        F.transform(col, lambda v: F.lit(0.0)),
-        lambda acc, k: F.zip_with(acc, F.get("_l", place(F.col("_b") + k - r, m)), lambda a, v: a + F.get(w, k) * v),
-    )
-    return d.withColumn(col, total).drop("_l", "_b")
+    d = neighbors(d, seq, r, r, {"_l": lambda s: F.collect_list(F.struct(F.col(col).alias("v"))).over(s.rowsBetween(-r, r)), "_b": lambda s: F.count(F.lit(1)).over(s.rowsBetween(-r, -1)).cast("int")})
+    value = lambda k: F.get("_l", place(F.col("_b") + k - r, F.size("_l")))["v"]
+    known = F.filter(F.sequence(F.lit(0), F.lit(2 * r)), lambda k: value(k).isNotNull())
+    share = F.aggregate(F.transform(known, lambda k: F.get(w, k)), F.lit(0.0), lambda a, v: a + v)
+    zero = F.transform(F.coalesce(*[value(F.lit(k)) for k in range(r, 2 * r + 1)], *[value(F.lit(k)) for k in range(r)]), lambda v: F.lit(0.0))
+    total = F.aggregate(known, zero, lambda acc, k: F.zip_with(acc, value(k), lambda a, v: a + v * F.get(w, k)))
+    mean = F.when(F.size(known) == 2 * r + 1, total).otherwise(F.transform(total, lambda v: v / share))
+    return d.withColumn(col, mean).drop("_l", "_b")
 
 
 def merge_scenes(bodies: DataFrame, faces: DataFrame, smooth: bool = True, emotion_window: int = 20, island: int = 5, sigma: float = 1.0) -> DataFrame:

@@ -9,6 +9,8 @@ one very long video becomes many tasks.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field, fields
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kinetable.operators.blocks import Seq, neighbors, number_rows, scan, with_runs
 from kinetable.operators.joins import fold_rows, solve_assignment
+from kinetable.session import cut
 
 
 @dataclass(frozen=True)
@@ -123,7 +126,7 @@ def segment_step(s: SegmentState, row: dict, r: SegmentRules) -> tuple | None:
     if s.targets and not row["target_visible"]:
         s.missing += 1
         if s.missing >= r.fps and s.open:
-            done = _close(s, r, s.missing, ["no target"])
+            done = _close(s, r, s.missing, [*reasons, "no target"])
             if not r.strict_ref:
                 s.missing = 0
             return done
@@ -264,7 +267,9 @@ class FaceTracker:
         hit: set[int] = set()
         if self.tracks and len(boxes):
             cost = self._costs(boxes, embs)
-            for i, j in zip(*solve_assignment(cost)):
+            left, right = np.indices(cost.shape).reshape(2, -1)
+            best = solve_assignment(left, right, cost.ravel())
+            for i, j in zip(left[best], right[best]):
                 if cost[i, j] < 1 - self.iou_min:
                     self._update(self.tracks[i], boxes[j], embs[j])
                     hit.add(int(i))
@@ -299,17 +304,18 @@ def track_faces(df: DataFrame, keys: list[str], order: str, max_miss: int = 30,
 
     One row per detection (x1..y2, ``embedding`` or null). Frames without a
     detection age the tracks; after more silent frames than ``max_miss``
-    allows, all tracks are gone, so the video is split there and identities
-    are numbered per piece in order of appearance.
+    allows, all tracks are gone, so the video is split there. Identities are
+    numbered in order of appearance and count on from piece to piece.
     """
     # A silent frame ages a track twice (predict and miss), so this many empty it.
     silent = max_miss // 2 + 1
     frames = df.select(*keys, order).distinct()
     seq = Seq(tuple(keys), order)
     prev = _with_previous(frames, seq)
-    cut = (F.col(order) - F.col("_before") - 1 >= silent).cast("long")
-    pieces = scan(prev, seq, sums={"piece": F.coalesce(cut, F.lit(0))}).drop("_before")
-    d = df.join(pieces, [*keys, order])
+    opens = (F.col(order) - F.col("_before") - 1 >= silent).cast("long")
+    pieces = scan(prev, seq, sums={"piece": F.coalesce(opens, F.lit(0))}).drop("_before")
+    both = reduce(and_, [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, order)])
+    d = df.alias("d").join(pieces.alias("p"), both).select("d.*", "piece")
     kind = dict(d.dtypes)[order]
 
     def start() -> FaceFeed:
@@ -317,7 +323,13 @@ def track_faces(df: DataFrame, keys: list[str], order: str, max_miss: int = 30,
 
     d = d.select(*keys, "piece", F.col(order).alias("frame"), "x1", "y1", "x2", "y2", "embedding")
     out = fold_rows(d, [*keys, "piece"], "frame", start, FaceFeed.add, FaceFeed.flush, f"frame {kind}, {FACE_FIELDS}")
-    return out.withColumnRenamed("frame", order)
+    out = cut(out)
+    last = out.groupBy(*keys, "piece").agg(F.max("face_id").cast("long").alias("_n"))
+    before = scan(last, Seq(tuple(keys), "piece"), shifted_sums={"_off": F.col("_n")}).drop("_n")
+    same = reduce(and_, [F.col(f"d.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, "piece")])
+    named = out.alias("d").join(before.alias("b"), same).select("d.*", "_off")
+    named = named.withColumn("face_id", (F.col("face_id") + F.col("_off")).cast("int")).drop("_off")
+    return named.withColumnRenamed("frame", order)
 
 
 @dataclass

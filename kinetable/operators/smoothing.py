@@ -11,18 +11,20 @@ from kinetable.operators.blocks import Seq, neighbors
 
 
 def list_mode(labels: Column) -> Column:
-    """Most frequent entry; the one seen first wins ties."""
+    """Most frequent entry; the one seen first wins ties. Null is an entry
+    like any other, and the mode of an empty list."""
     kinds = F.array_distinct(labels)
-    counts = F.transform(kinds, lambda k: F.size(F.filter(labels, lambda x: x == k)))
-    return F.element_at(kinds, F.array_position(counts, F.array_max(counts)).cast("int"))
+    counts = F.transform(kinds, lambda k: F.size(F.filter(labels, lambda x: x.eqNullSafe(k))))
+    return F.get(kinds, F.array_position(counts, F.array_max(counts)).cast("int") - 1)
 
 
 def trailing_mode(df: DataFrame, seq: Seq, label: str, width: int = 20, out: str = "smoothed") -> DataFrame:
-    """Majority label of the last ``width`` rows including the current one."""
+    """Majority label of the last ``width`` rows including the current one.
+    Rows without a label count as the label null."""
     d = neighbors(
-        df, seq, width - 1, 0, {"_ls": lambda w: F.collect_list(label).over(w.rowsBetween(-(width - 1), 0))}
+        df, seq, width - 1, 0, {"_ls": lambda w: F.collect_list(F.struct(F.col(label).alias("v"))).over(w.rowsBetween(-(width - 1), 0))}
     )
-    return d.withColumn(out, list_mode(F.col("_ls"))).drop("_ls")
+    return d.withColumn(out, list_mode(F.transform("_ls", lambda x: x["v"]))).drop("_ls")
 
 
 def gaussian_weights(sigma: float, radius: int) -> list[float]:
@@ -49,23 +51,26 @@ def gaussian_smooth(
     """Gaussian-weighted mean over ``radius`` rows to each side.
 
     Near a sequence border the window list is shorter and its missing places
-    are read through the edge rule.
+    are read through the edge rule. Null rows keep their place and carry no
+    weight: the mean is over the others, null if there are none.
     """
     r = int(4 * sigma + 0.5) if radius is None else radius
     place = _EDGES[edge]
     weights = F.array(*[F.lit(x) for x in gaussian_weights(sigma, r)])
     names = {c: f"_w{i}" for i, c in enumerate(cols)}
-    stage = {n: (lambda w, c=c: F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(-r, r))) for c, n in names.items()}
+    stage = {n: (lambda w, c=c: F.collect_list(F.struct(F.col(c).cast("double").alias("v"))).over(w.rowsBetween(-r, r))) for c, n in names.items()}
     stage["_before"] = lambda w: F.count(F.lit(1)).over(w.rowsBetween(-r, -1)).cast("int")
     d = neighbors(df, seq, r, r, stage)
 
     def smooth(n: str) -> Column:
         m = F.size(n)
-        terms = F.transform(
-            F.sequence(F.lit(0), F.lit(2 * r)),
-            lambda k: F.get(weights, k) * F.get(F.col(n), place(F.col("_before") + k - r, m)),
-        )
-        return F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)
+        value = lambda k: F.get(F.col(n), place(F.col("_before") + k - r, m))["v"]
+        steps = F.sequence(F.lit(0), F.lit(2 * r))
+        known = F.filter(steps, lambda k: value(k).isNotNull())
+        add = lambda a, v: a + v
+        total = F.aggregate(F.transform(known, lambda k: F.get(weights, k) * value(k)), F.lit(0.0), add)
+        share = F.aggregate(F.transform(known, lambda k: F.get(weights, k)), F.lit(0.0), add)
+        return F.when(F.size(known) == 2 * r + 1, total).when(F.size(known) > 0, total / share)
 
     return d.withColumns({c: smooth(n) for c, n in names.items()}).drop("_before", *names.values())
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -167,22 +167,31 @@ def frechet_distance(a: DataFrame, b: DataFrame, vec: str, standardize: bool = F
 
 
 def kernel_distance(a: DataFrame, b: DataFrame, ident: str, vec: str, subsets: int = 50, size: int = 1000, seed: int = 0,
-                    key: Column | None = None, degree: int = 3, coef: float = 1.0) -> DataFrame:
+                    key: Callable[[Column], Column] | None = None, degree: int = 3, coef: float = 1.0) -> DataFrame:
     """Unbiased polynomial MMD^2 per random subset of ``size`` rows each.
 
-    One distributed top-n picks the rows of all subsets; each subset is then
-    one bounded task. Subsets are disjoint draws.
+    Every subset is drawn anew from the whole table, without replacement: the
+    rows smallest by ``key`` (a function of the subset's number, a seeded hash
+    if not given). The last of them is found from ids alone, with
+    ranks pruned map-side; vectors up to it then make one bounded task a subset. A table of fewer rows gives all of them,
+    and one of fewer than two a null.
     """
     def draw(df: DataFrame, side: int) -> DataFrame:
-        k = F.xxhash64(ident, F.lit(seed + side)) if key is None else key
-        w = Window.orderBy("_k", ident)
-        d = df.select(F.col(ident), F.col(vec).cast("array<double>").alias("x"), k.alias("_k"))
-        d = d.orderBy("_k", ident).limit(subsets * size)  # bounded by the parameters
-        d = d.withColumn("subset", F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("int"))
-        return d.select("subset", F.lit(side).alias("side"), "x")
+        s = F.col("subset")
+        k = F.xxhash64(F.col(ident), F.lit(seed + side), s) if key is None else key(s)
+        every = F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))).alias("subset")
+        rank = F.row_number().over(Window.partitionBy("subset").orderBy("_k", ident))
+        ids = df.select(ident, every).withColumn("_k", k)
+        last = ids.withColumn("_r", rank).where(F.col("_r") <= size).groupBy("subset").agg(F.max(F.struct("_k", ident)).alias("_last"))
+        rows = df.select(ident, F.col(vec).cast("array<double>").alias("x"), every).withColumn("_k", k)
+        near = rows.join(F.broadcast(last), "subset").where(F.struct("_k", ident) <= F.col("_last"))  # one row for each subset
+        return near.withColumn("_r", rank).where(F.col("_r") <= size).select("subset", F.lit(side).alias("side"), "x")
 
     def mmd(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _stack(pdf["x"][pdf["side"] == 0]), _stack(pdf["x"][pdf["side"] == 1])
+        left, right = pdf["x"][pdf["side"] == 0], pdf["x"][pdf["side"] == 1]
+        if len(left) < 2 or len(right) < 2:
+            return pd.DataFrame({"subset": [int(pdf["subset"].iloc[0])], "mmd2": [None]})
+        x, y = _stack(left), _stack(right)
         kern = lambda p, q: (p @ q.T / p.shape[1] + coef) ** degree
         kx, ky, kxy = kern(x, x), kern(y, y), kern(x, y)
         m, n = len(x), len(y)

@@ -9,7 +9,12 @@ from kinetable.operators.blocks import Seq
 from kinetable.plans.base import EV_SQL, event_track, events
 from kinetable.plans.registry import query, table
 
-OKEY, OSQL = (F.col("o_orderkey") * 7919) % 10007, "(o_orderkey * 7919) % 10007"
+OSQL = "(o_orderkey * 7919) % 10007"
+
+
+def okey():
+    return (F.col("o_orderkey") * 7919) % 10007
+
 
 
 @query(
@@ -36,7 +41,7 @@ SELECT c_nationkey, c_custkey FROM r JOIN s USING (c_nationkey) WHERE k <= free
 def reserve(spark, sf):
     c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
     slots = c.select("c_nationkey", (1 + F.col("c_nationkey") % 4).alias("free")).distinct()
-    return BU.reserve(c.where("c_acctbal > 0").drop("c_acctbal"), slots, "c_nationkey", "c_custkey", 40, 4)
+    return BU.reserve(c.where("c_acctbal > 0").drop("c_acctbal"), slots, "c_nationkey", "c_custkey", 40)
 
 
 @query("top_n_by", "SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
@@ -52,7 +57,7 @@ def top_n_overall(spark, sf):
 
 @query("subsample", f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {OSQL}, o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r <= greatest(1, floor(n * 0.1))")
 def subsample(spark, sf):
-    return BU.subsample(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 0.1, key=OKEY)
+    return BU.subsample(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], 0.1, key=okey())
 
 
 @query(
@@ -70,7 +75,7 @@ s AS (SELECT o_orderkey, CASE WHEN r < floor(n * 0.15) THEN 'test' WHEN r < floo
 
 
 def splitted(spark, sf):
-    return BU.split(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], key=OKEY)
+    return BU.split(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], key=okey())
 
 
 @query("split", SPLIT_SQL + " SELECT * FROM s")

@@ -13,7 +13,10 @@ from kinetable.plans.q_filters import BOX_SQL, boxes, keypoints
 from kinetable.plans.registry import query
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
-BOX = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+
+
+def box():
+    return tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
 
 
 def r6(c, name):
@@ -29,7 +32,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, round(n / (s + 1000 - n), 6) AS corn
 )
 def iou(spark, sf):
     other = tuple(F.lit(v) for v in (20.0, 5.0, 60.0, 30.0))
-    return boxes(spark, sf).select(*KEY, r6(B.iou(BOX, other), "corner"), r6(B.iou(BOX, other, True), "inclusive"), r6(B.area_ratio(BOX, other), "ratio"))
+    return boxes(spark, sf).select(*KEY, r6(B.iou(box(), other), "corner"), r6(B.iou(box(), other, True), "inclusive"), r6(B.area_ratio(box(), other), "ratio"))
 
 
 @query(
@@ -38,8 +41,8 @@ def iou(spark, sf):
 SELECT l_orderkey, l_linenumber, l_partkey, round(cx, 6) AS cx, round(cy, 6) AS cy, round(s, 6) AS size, round(cx - s/2, 6) AS left_x, round(100 - x2, 6) AS flip_x FROM c""",
 )
 def box_convert(spark, sf):
-    cx, cy, s = B.center_size(BOX)
-    return boxes(spark, sf).select(*KEY, r6(cx, "cx"), r6(cy, "cy"), r6(s, "size"), r6(B.from_center_size(cx, cy, s)[0], "left_x"), r6(B.flip(BOX, 100.0)[0], "flip_x"))
+    cx, cy, s = B.center_size(box())
+    return boxes(spark, sf).select(*KEY, r6(cx, "cx"), r6(cy, "cy"), r6(s, "size"), r6(B.from_center_size(cx, cy, s)[0], "left_x"), r6(B.flip(box(), 100.0)[0], "flip_x"))
 
 
 KP_SQL = f"""{EMB_SQL}, kp AS (SELECT vec_id, i, e[(3*i) % 64 + 1] AS x, e[(3*i+1) % 64 + 1] AS y, abs(e[(3*i+2) % 64 + 1] * 8) AS conf FROM emb CROSS JOIN (SELECT unnest(range(0, 17)) AS i))"""

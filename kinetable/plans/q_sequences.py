@@ -13,7 +13,6 @@ from kinetable.operators.blocks import Seq
 from kinetable.plans.base import EV, EV_SQL, GRID, GRID_SQL, OFF_TIE, event_track, grid_spans, observed_grid
 from kinetable.plans.registry import query
 
-HIGH = F.col("value") > 60
 RUNS_SQL = """runs AS (
   SELECT user_id, flag, min(pos) AS start, max(pos) + 1 AS stop, count(*) AS length
   FROM (SELECT *, pos - row_number() OVER (PARTITION BY user_id, flag ORDER BY pos) AS grp
@@ -21,6 +20,10 @@ RUNS_SQL = """runs AS (
   GROUP BY user_id, flag, grp)"""
 
 
+def high():
+    return F.col("value") > 60
+
+
 @query(
     "clean_tracks",
     f"""WITH {GRID_SQL},
@@ -83,7 +86,7 @@ SELECT e.user_id, e.pos,
 FROM ev e JOIN runs r ON r.user_id = e.user_id AND e.pos >= r.start AND e.pos < r.stop JOIN n ON n.user_id = e.user_id""",
 )
 def remove_islands(spark, sf):
-    d = event_track(spark, sf, "value").withColumn("x", F.when(HIGH, F.col("value")).otherwise(0.0)).drop("value")
+    d = event_track(spark, sf, "value").withColumn("x", F.when(high(), F.col("value")).otherwise(0.0)).drop("value")
     return RU.remove_islands(d, EV, ["x"], 3).withColumn("x", F.round("x", 6))
 
 
@@ -104,7 +107,7 @@ SELECT user_id, pos, round(CASE
   ELSE 0 END, 6) AS x FROM j""",
 )
 def fill_zero_gaps(spark, sf):
-    d = event_track(spark, sf, "value").withColumn("x", F.when(HIGH, F.col("value")).otherwise(0.0)).drop("value")
+    d = event_track(spark, sf, "value").withColumn("x", F.when(high(), F.col("value")).otherwise(0.0)).drop("value")
     return RU.fill_zero_gaps(d, EV, "x", 3).withColumn("x", F.round("x", 6))
 
 
@@ -159,7 +162,7 @@ def moving_average_replicate(spark, sf):
 
 @query("true_runs", f"WITH {EV_SQL}, {RUNS_SQL} SELECT user_id, start, stop, length FROM runs WHERE flag")
 def true_runs(spark, sf):
-    return RU.true_runs(event_track(spark, sf, "value"), EV, HIGH)
+    return RU.true_runs(event_track(spark, sf, "value"), EV, high())
 
 
 @query(
@@ -169,7 +172,7 @@ SELECT user_id, start, stop, length, CAST(floor((start + stop - 1) / 2) AS BIGIN
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS r FROM runs WHERE NOT flag) WHERE r = 1""",
 )
 def longest_run(spark, sf):
-    return RU.longest_run(event_track(spark, sf, "value"), EV, ~HIGH)
+    return RU.longest_run(event_track(spark, sf, "value"), EV, ~high())
 
 
 @query(
@@ -179,7 +182,7 @@ SELECT user_id, start, stop, length, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS rank FROM runs WHERE flag) WHERE rank <= 3""",
 )
 def top_k_spans(spark, sf):
-    return RU.top_k_spans(event_track(spark, sf, "value"), EV, HIGH, 3)
+    return RU.top_k_spans(event_track(spark, sf, "value"), EV, high(), 3)
 
 
 @query("densify", f"WITH {GRID_SQL} SELECT user_id, frame, round(v, 6) AS v FROM dense")
@@ -256,7 +259,7 @@ c AS (
 SELECT * FROM c WHERE stop > start""",
 )
 def trim_flagged(spark, sf):
-    return RU.trim_flagged(event_track(spark, sf, "value"), EV, HIGH, 4)
+    return RU.trim_flagged(event_track(spark, sf, "value"), EV, high(), 4)
 
 
 @query(

@@ -11,7 +11,6 @@ from kinetable.plans.base import EMB_SQL, embeddings
 from kinetable.plans.registry import query
 
 #: Seeded order keys that both engines compute alike.
-KEY_A, KEY_B = (F.col("vec_id") * 7919) % 10007, (F.col("vec_id") * 104729) % 10007
 SQL_A, SQL_B = "(vec_id * 7919) % 10007", "(vec_id * 104729) % 10007"
 
 BOOK_SQL = """book AS (
@@ -37,6 +36,14 @@ def assigned(spark, sf):
     return e.join(hit, "vec_id")
 
 
+def key_a():
+    return (F.col("vec_id") * 7919) % 10007
+
+
+def key_b():
+    return (F.col("vec_id") * 104729) % 10007
+
+
 @query(
     "knn",
     f"""WITH {EMB_SQL} SELECT pool, qid, pid, round(d, 6) AS distance, rank FROM (
@@ -212,16 +219,17 @@ def frechet_distance(spark, sf):
 @query(
     "kernel_distance",
     f"""WITH {EMB_SQL}, m AS (SELECT avg(label) AS m FROM emb),
-a AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY {SQL_A}, vec_id) - 1) / 100) AS INT) AS subset FROM emb WHERE label < (SELECT m FROM m)),
-b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY {SQL_A}, vec_id) - 1) / 100) AS INT) AS subset FROM emb WHERE label >= (SELECT m FROM m)),
+s AS (SELECT CAST(unnest(range(0, 3)) AS INT) AS subset),
+a AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY (vec_id * 7919 + subset * 4001) % 10007, vec_id) AS r FROM emb CROSS JOIN s WHERE label < (SELECT m FROM m) QUALIFY r <= 100),
+b AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY (vec_id * 7919 + subset * 4001) % 10007, vec_id) AS r FROM emb CROSS JOIN s WHERE label >= (SELECT m FROM m) QUALIFY r <= 100),
 xx AS (SELECT p.subset, sum(power(list_inner_product(p.e, q.e) / 64 + 1, 3)) / (100 * 99) AS v FROM a p JOIN a q ON p.subset = q.subset AND p.vec_id <> q.vec_id GROUP BY 1),
 yy AS (SELECT p.subset, sum(power(list_inner_product(p.e, q.e) / 64 + 1, 3)) / (100 * 99) AS v FROM b p JOIN b q ON p.subset = q.subset AND p.vec_id <> q.vec_id GROUP BY 1),
 xy AS (SELECT p.subset, avg(power(list_inner_product(p.e, q.e) / 64 + 1, 3)) AS v FROM a p JOIN b q ON p.subset = q.subset GROUP BY 1)
-SELECT subset, round(xx.v + yy.v - 2 * xy.v, 8) AS mmd2 FROM xx JOIN yy USING (subset) JOIN xy USING (subset) WHERE subset < 2""",
+SELECT subset, round(xx.v + yy.v - 2 * xy.v, 8) AS mmd2 FROM xx JOIN yy USING (subset) JOIN xy USING (subset)""",
 )
 def kernel_distance(spark, sf):
     a, b = _halves(spark, sf)
-    d = VM.kernel_distance(a, b, "vec_id", "e", subsets=2, size=100, key=KEY_A)
+    d = VM.kernel_distance(a, b, "vec_id", "e", subsets=3, size=100, key=lambda s: (F.col("vec_id") * 7919 + s * 4001) % 10007)
     return d.select("subset", F.round("mmd2", 8).alias("mmd2"))
 
 
@@ -235,7 +243,7 @@ b AS (SELECT * FROM (SELECT label, e, row_number() OVER ({part} ORDER BY {SQL_B}
     f"WITH {EMB_SQL}, {_draws('', 300)} SELECT round(avg(list_distance(a.e, b.e)), 6) AS diversity FROM a JOIN b USING (k)",
 )
 def diversity(spark, sf):
-    return VM.diversity(embeddings(spark, sf), "vec_id", "e", 300, KEY_A, KEY_B).select(F.round("diversity", 6).alias("diversity"))
+    return VM.diversity(embeddings(spark, sf), "vec_id", "e", 300, key_a(), key_b()).select(F.round("diversity", 6).alias("diversity"))
 
 
 @query(
@@ -244,7 +252,7 @@ def diversity(spark, sf):
 SELECT round(avg(list_distance(a.e, b.e)), 6) AS multimodality FROM a JOIN b ON a.label = b.label AND a.k = b.k""",
 )
 def multimodality(spark, sf):
-    d = VM.multimodality(embeddings(spark, sf), "label", "vec_id", "e", 10, KEY_A, KEY_B)
+    d = VM.multimodality(embeddings(spark, sf), "label", "vec_id", "e", 10, key_a(), key_b())
     return d.select(F.round("multimodality", 6).alias("multimodality"))
 
 
@@ -256,7 +264,7 @@ SELECT round((SELECT avg(list_distance(a2.e, b2.e)) FROM a2 JOIN b2 USING (k) WH
   round((SELECT sum(list_distance(a.e, b.e)) FROM a JOIN b ON a.label = b.label AND a.k = b.k) / (20 * (SELECT count(DISTINCT label) FROM emb)), 6) AS multimodality""",
 )
 def label_diversity(spark, sf):
-    d = VM.label_diversity(embeddings(spark, sf), "label", "vec_id", "e", 200, 20, KEY_A, KEY_B)
+    d = VM.label_diversity(embeddings(spark, sf), "label", "vec_id", "e", 200, 20, key_a(), key_b())
     return d.select(F.round("diversity", 6).alias("diversity"), F.round("multimodality", 6).alias("multimodality"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_PRIVATE: dict[str, str] = {}
+
 
 def build_session(app: str = "kinetable", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -27,12 +31,25 @@ def build_session(app: str = "kinetable", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a private one only if none is set."""
+    """Use the shared folder the cluster names; a session in one process may
+    go without and gets a private one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
+
+
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; without it a private folder, removed when
+    Python ends, but only for a ``local`` master, where all see it."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kinetable-ckpt-", dir=os.environ.get("TMPDIR")))
+    if shared:
+        return shared
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if sc.applicationId not in _PRIVATE:
+        _PRIVATE[sc.applicationId] = tempfile.mkdtemp(prefix="kinetable-", dir=os.environ.get("TMPDIR"))
+        atexit.register(shutil.rmtree, _PRIVATE[sc.applicationId], ignore_errors=True)
+    return _PRIVATE[sc.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +22,10 @@ def write_index(df: DataFrame, path: str) -> None:
 def write_dataset(df: DataFrame, path: str, keys: list[str], partition: list[str], buckets: int = 256) -> DataFrame:
     """Append the scenes that are not there yet; returns what was written.
 
-    ``partition`` columns become folders. Existing keys are found by an anti
-    join, so a second run writes nothing. Rows are spread by key before the
-    write, which bounds files per folder.
+    ``partition`` columns become folders. Existing keys are found by a
+    null-safe anti join, so a second run writes nothing; only the folders that
+    ``df`` has rows for are read. Rows are spread by key before the write,
+    which bounds files per folder.
     """
     spark = df.sparkSession
     new = df
@@ -32,7 +36,12 @@ def write_dataset(df: DataFrame, path: str, keys: list[str], partition: list[str
             raise
         seen = None
     if seen is not None:
-        new = df.join(seen.select(*keys).distinct(), keys, "left_anti")
+        here = df.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(partition)]).distinct()
+        same_folder = [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(partition)]
+        if same_folder:
+            seen = seen.join(here, reduce(and_, same_folder), "left_semi")
+        seen = seen.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(keys)]).distinct()
+        new = df.join(seen, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(keys)]), "left_anti")
     spread = F.pmod(F.xxhash64(*keys), F.lit(buckets))
     new.repartition(*partition, spread).write.mode("append").partitionBy(*partition).parquet(path)
     return new

@@ -8,8 +8,6 @@ mixed). Sinks are tables on shared storage; nothing is gathered on the driver.
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kinetable.operators import segments as SG
-from kinetable.session import ensure_checkpoint_dir
+from kinetable.session import shared_base
 
 
 def _types(df: DataFrame, cols: list[str]) -> str:
@@ -140,9 +138,7 @@ def expire_leases_stream(events: DataFrame, lease: float = 9000.0, delay: str =
 
 def stream_folder(spark, name: str) -> str:
     """A fresh folder on the shared checkpoint storage."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:

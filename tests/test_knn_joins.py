@@ -61,13 +61,34 @@ def test_rvq_and_decode(spark):
 @pytest.mark.parametrize("shape", [(1, 1), (2, 5), (5, 2), (4, 4), (6, 7), (7, 6)])
 def test_assignment_is_optimal(shape):
     r = np.random.default_rng(sum(shape))
+    i, j = (x.ravel() for x in np.indices(shape))
     for _ in range(20):
-        c = r.integers(0, 9, shape).astype(float)
-        a, b = J.solve_assignment(c)
-        assert len(set(a)) == len(set(b)) == min(shape)
+        c = r.integers(-4, 9, shape).astype(float)
+        k = J.solve_assignment(i, j, c.ravel())
+        assert len(set(i[k])) == len(set(j[k])) == len(k) == min(shape)
         m = c if shape[0] <= shape[1] else c.T
         best = min(m[range(m.shape[0]), list(p)].sum() for p in itertools.permutations(range(m.shape[1]), m.shape[0]))
-        assert c[a, b].sum() == best
+        assert c.ravel()[k].sum() == best
+
+
+def test_sparse_assignment_is_the_cheapest_of_the_largest():
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        n, m = r.integers(1, 6, 2)
+        i, j = np.nonzero(r.random((n, m)) < 0.5)
+        c = r.integers(0, 9, len(i)).astype(float)
+        k = J.solve_assignment(i, j, c)
+        assert len(set(i[k])) == len(set(j[k])) == len(k)
+        fits = [s for n_ in range(len(i) + 1) for s in itertools.combinations(range(len(i)), n_) if n_ <= 5 and len(set(i[list(s)])) == len(set(j[list(s)])) == n_]
+        assert (-len(k), c[k].sum()) == min((-len(s), c[list(s)].sum()) for s in fits)
+
+
+def test_assignment_follows_the_pairs():
+    n = 30_000  # a dense matrix of this many persons would not fit
+    i = np.concatenate([np.arange(n), np.arange(n - 1)])
+    j = np.concatenate([np.arange(n), np.arange(1, n)])
+    k = J.solve_assignment(i, j, np.concatenate([np.full(n, 2.0), np.full(n - 1, 1.0)]))
+    assert len(k) == n and set(k) == set(range(n))
 
 
 def test_assign_groups_and_cutoff(spark):

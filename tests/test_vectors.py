@@ -49,6 +49,16 @@ def test_kernel_distance_is_near_zero_for_one_source(spark):
     assert d.count() == 2
 
 
+def test_kernel_distance_draws_each_subset_from_all_rows(spark):
+    df, _ = vecs(spark, 25)
+    shifted = df.withColumn("v", F.transform("v", lambda x: x + 3))
+    got = VM.kernel_distance(df, shifted, "id", "v", subsets=5, size=10, seed=3).collect()
+    assert sorted(r["subset"] for r in got) == list(range(5)) and all(r["mmd2"] > 0.5 for r in got)
+    one = df.where("id = 0")
+    few = VM.kernel_distance(one, one, "id", "v", subsets=2, size=10).collect()
+    assert [r["mmd2"] for r in few] == [None, None]
+
+
 def test_pca_matches_numpy(spark):
     df, x = vecs(spark)
     got = np.stack([r["pc"] for r in VM.pca(df, "v", 2).orderBy("id").collect()])
@@ -91,7 +101,9 @@ def test_budget_reserve_and_weights(spark):
     assert [r["granted"] for r in got] == [10.0, 10.0, 5.0]
     a = spark.createDataFrame([("f", i) for i in range(5)] + [("g", 9)], "folder string, i long")
     s = spark.createDataFrame([("f", 2), ("g", 0)], "folder string, free int")
-    assert BU.reserve(a, s, "folder", "i", 5, 3).count() == 2
+    assert BU.reserve(a, s, "folder", "i", 5).count() == 2
+    free = spark.createDataFrame([("f", 8), ("g", 0)], "folder string, free int")
+    assert BU.reserve(a, free, "folder", "i", 50).count() == 5
     assert abs(BU.sampling_weights(d, "d").agg(F.sum("weight")).first()[0] - 1) < 1e-12
     assert BU.subsample(d, ["o"], 0.01).count() == 1
 
