@@ -27,7 +27,26 @@ def build_session(app: str = "kinetable", master: str | None = None, **conf: str
         b = b.master(master)
     for k, v in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    if not is_local(spark):
+        ship_package(spark)
+    return spark
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Give the workers this package, so that they need not have it installed."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="kinetable-zip-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = shutil.make_archive(os.path.join(folder, "kinetable"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(made)
+    return made
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -44,7 +63,7 @@ def shared_base(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
-    if not (sc.master == "local" or sc.master.startswith("local[")):
+    if not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.applicationId not in _PRIVATE:
         _PRIVATE[sc.applicationId] = tempfile.mkdtemp(prefix="kinetable-", dir=os.environ.get("TMPDIR"))

@@ -127,3 +127,20 @@ def test_storage_has_to_be_shared():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_base(Session)
+
+
+def test_package_for_the_workers(spark):
+    import zipfile
+
+    from kinetable.session import ship_package
+
+    names = zipfile.ZipFile(ship_package(spark)).namelist()
+    assert "kinetable/operators/blocks.py" in names
+
+
+def test_oracles_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.oracle_sql()) > 200)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True).stdout.strip() == "True"
