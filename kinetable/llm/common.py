@@ -3,30 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from kinetable.session import is_local, shared_base
 
 
 def shared_folder(spark: SparkSession) -> str:
     """URI of a new folder under ``spark.checkpoint.dir``, deleted when the driver ends.
 
-    Only a session in one process (``local[..]``) may go without the setting.
+    Only a session in one process may go without the setting.
     """
     sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if sc.applicationId not in _LOCAL:
-            _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="kinetable-")
-        base = f"file://{_LOCAL[sc.applicationId]}"
-    elif "://" not in base and not base.startswith("file:"):
-        base = f"file://{os.path.abspath(base)}" if sc.master.startswith("local") else base
+    base = shared_base(spark)
+    base = f"file://{os.path.abspath(base)}" if "://" not in base and not base.startswith("file:") and is_local(spark) else base
     path = f"{base.rstrip('/')}/kinetable-{uuid.uuid4().hex}"
     jvm_path = sc._jvm.org.apache.hadoop.fs.Path(path)
     fs = jvm_path.getFileSystem(sc._jsc.hadoopConfiguration())
