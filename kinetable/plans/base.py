@@ -95,3 +95,36 @@ def joint_table(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         "clip", "frame", "joint", at(0).alias("px"), at(1).alias("py"), at(2).alias("pz"), at(1).alias("gx"), at(2).alias("gy"), at(0).alias("gz")
     )
+
+
+#: Planar joints whose truth is no similar copy of the prediction, so that
+#: alignments leave an error; in a plane the best one has a closed form.
+PLANAR_SQL = f"""{EMB_SQL},
+jt AS (
+  SELECT label AS clip, pos AS frame, j AS joint, e[3*j+1] AS px, e[3*j+2] AS py, 0.0 AS pz,
+         2 * e[3*j+2] + 0.5 * e[3*j+3] AS gx, 2 * e[3*j+3] - e[3*j+1] AS gy, 0.0 AS gz
+  FROM emb CROSS JOIN (SELECT unnest(range(0, 21)) AS j))"""
+
+
+def planar_table(spark: SparkSession, sf: str) -> DataFrame:
+    d = joint_table(spark, sf)
+    zero = F.lit(0.0)
+    return d.withColumns({"gx": 2 * F.col("py") + 0.5 * F.col("pz"), "gy": 2 * F.col("pz") - F.col("px"), "gz": zero, "pz": zero})
+
+
+def planar_fit(keys: str, src: str = "jt", where: str = "true", scale: bool = True, name: str = "fit") -> str:
+    """Common tables with the best planar similarity of each group: s, r00..r11, tx, ty."""
+    return f"""{name}_m AS (
+  SELECT {keys}, avg(px) AS mpx, avg(py) AS mpy, avg(gx) AS mgx, avg(gy) AS mgy,
+         avg(px*gx) - avg(px)*avg(gx) AS a, avg(px*gy) - avg(px)*avg(gy) AS b, avg(py*gx) - avg(py)*avg(gx) AS c, avg(py*gy) - avg(py)*avg(gy) AS d,
+         avg(px*px + py*py) - avg(px)*avg(px) - avg(py)*avg(py) AS v
+  FROM {src} WHERE {where} GROUP BY {keys}),
+{name}_r AS (
+  SELECT *, CASE WHEN a*d - b*c >= 0 THEN 1 ELSE -1 END AS turn, sqrt(power(a + turn*d, 2) + power(b - turn*c, 2)) AS h,
+         {"h / v" if scale else "1.0::DOUBLE"} AS s, (a + turn*d) / h AS r00, (b - turn*c) / h AS r10, -turn * r10 AS r01, turn * r00 AS r11
+  FROM {name}_m),
+{name} AS (SELECT *, mgx - s*(r00*mpx + r01*mpy) AS tx, mgy - s*(r10*mpx + r11*mpy) AS ty FROM {name}_r)"""
+
+
+#: Distance to the truth after a planar fit.
+PLANAR_ERROR = "sqrt(power(gx - s*(r00*px + r01*py) - tx, 2) + power(gy - s*(r10*px + r11*py) - ty, 2))"

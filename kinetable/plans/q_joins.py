@@ -55,9 +55,27 @@ def face_body_cost(spark, sf):
     return cost_table(spark, sf).withColumn("cost", F.round(F.col("cost") + OFF_TIE, 4))
 
 
-@query("assign_min_cost")
+#: All ways to give each face a free body or none, three faces at most.
+ASSIGN_SQL = f"""WITH RECURSIVE {COST_SQL},
+fa AS (SELECT user_id, face, row_number() OVER (PARTITION BY user_id ORDER BY face) AS k FROM (SELECT DISTINCT user_id, face FROM cost)),
+opt AS (SELECT user_id, face, body, cost FROM cost UNION ALL SELECT DISTINCT user_id, face, NULL, 0.0 FROM cost),
+ways AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS used, []::STRUCT(face BIGINT, body BIGINT, cost DOUBLE)[] AS pairs, 0.0::DOUBLE AS total FROM fa
+  UNION ALL
+  SELECT w.user_id, fa.k, CASE WHEN o.body IS NULL THEN used ELSE list_append(used, o.body) END,
+         CASE WHEN o.body IS NULL THEN pairs ELSE list_append(pairs, {{'face': o.face, 'body': o.body, 'cost': o.cost}}) END, total + o.cost
+  FROM ways w JOIN fa ON fa.user_id = w.user_id AND fa.k = w.k + 1 JOIN opt o ON o.user_id = fa.user_id AND o.face = fa.face
+  WHERE o.body IS NULL OR NOT list_contains(used, o.body)),
+best AS (
+  SELECT user_id, pairs FROM ways WHERE (user_id, k) IN (SELECT user_id, max(k) FROM fa GROUP BY 1)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY len(pairs) DESC, total) = 1)
+SELECT user_id, p.face AS face, p.body AS body, round(p.cost + {OFF_TIE}, 4) AS cost FROM (SELECT user_id, unnest(pairs) AS p FROM best)"""
+
+
+@query("assign_min_cost", ASSIGN_SQL)
 def assign_min_cost(spark, sf):
-    return J.assign_min_cost(cost_table(spark, sf), ["user_id"], "face", "body")
+    d = J.assign_min_cost(cost_table(spark, sf), ["user_id"], "face", "body")
+    return d.withColumn("cost", F.round(F.col("cost") + OFF_TIE, 4))
 
 
 @query(

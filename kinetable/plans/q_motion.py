@@ -9,14 +9,15 @@ from kinetable.functions import vectors as V
 from kinetable.operators import motion_metrics as MM
 from kinetable.operators import stats as ST
 from kinetable.operators.blocks import Seq
-from kinetable.plans.base import EMB_SQL, JOINT, JOINT_SQL, clip_frames, joint_table
+from kinetable.plans.base import EMB_SQL, JOINT, JOINT_SQL, PLANAR_ERROR, PLANAR_SQL, clip_frames, joint_table, planar_fit, planar_table
 from kinetable.plans.registry import query
 
 FRAME = ["clip", "frame"]
 DIST = "sqrt((px-gx)*(px-gx)+(py-gy)*(py-gy)+(pz-gz)*(pz-gz))"
-ROOTED_SQL = f"""{JOINT_SQL}, rt AS (
+_ROOTED = """, rt AS (
   SELECT j.clip, j.frame, j.joint, j.px - r.px AS px, j.py - r.py AS py, j.pz - r.pz AS pz, j.gx - r.gx AS gx, j.gy - r.gy AS gy, j.gz - r.gz AS gz
   FROM jt j JOIN jt r ON r.clip = j.clip AND r.frame = j.frame AND r.joint = 0)"""
+ROOTED_SQL, PLANAR_ROOTED_SQL = JOINT_SQL + _ROOTED, PLANAR_SQL + _ROOTED
 
 
 def rounded(d, n=6):
@@ -32,14 +33,9 @@ def mpjpe(spark, sf):
     return rounded(MM.mpjpe(MM.visible(pairs), FRAME, "joint", keys=["clip"]))
 
 
-# The truth is the prediction with its axes rotated, so an alignment must
-# recover that rotation and leave no error.
-CLIPS_SQL = "(SELECT DISTINCT label AS clip FROM embeddings)"
-
-
-@query("pa_mpjpe", f"SELECT clip, 0.0::DOUBLE AS pa_mpjpe FROM {CLIPS_SQL}")
+@query("pa_mpjpe", f"WITH {PLANAR_SQL}, {planar_fit('clip, frame')} SELECT clip, round(avg({PLANAR_ERROR}), 6) AS pa_mpjpe FROM jt JOIN fit USING (clip, frame) GROUP BY 1")
 def pa_mpjpe(spark, sf):
-    return rounded(MM.pa_mpjpe(joint_table(spark, sf), FRAME, ["clip"]))
+    return rounded(MM.pa_mpjpe(planar_table(spark, sf), FRAME, ["clip"]))
 
 
 ACC_SQL = """SELECT clip, joint, frame,
@@ -59,11 +55,11 @@ def accel_error(spark, sf):
 
 @query(
     "mr_metrics",
-    f"""WITH {ROOTED_SQL}, a AS ({ACC_SQL.format(src='rt')})
-SELECT (SELECT round(avg({DIST}), 6) FROM rt) AS mpjpe, 0.0::DOUBLE AS pa_mpjpe, round(avg(sqrt(ax*ax+ay*ay+az*az)), 6) AS accel FROM a""",
+    f"""WITH {PLANAR_ROOTED_SQL}, a AS ({ACC_SQL.format(src='rt')}), {planar_fit('clip, frame', 'rt')}
+SELECT (SELECT round(avg({DIST}), 6) FROM rt) AS mpjpe, (SELECT round(avg({PLANAR_ERROR}), 6) FROM rt JOIN fit USING (clip, frame)) AS pa_mpjpe, round(avg(sqrt(ax*ax+ay*ay+az*az)), 6) AS accel FROM a""",
 )
 def mr_metrics(spark, sf):
-    return rounded(MM.mr_metrics(joint_table(spark, sf), JOINT, ["clip"], "frame", "joint"))
+    return rounded(MM.mr_metrics(planar_table(spark, sf), JOINT, ["clip"], "frame", "joint"))
 
 
 @query(
@@ -76,36 +72,47 @@ def camera_metrics(spark, sf):
     return rounded(MM.camera_metrics(joint_table(spark, sf), FRAME, "joint"), 4)
 
 
-@query("global_metrics", f"SELECT clip, 0.0::DOUBLE AS wa2_mpjpe, 0.0::DOUBLE AS waa_mpjpe FROM {CLIPS_SQL}")
+@query(
+    "global_metrics",
+    f"""WITH {PLANAR_SQL}, ch AS (SELECT *, CAST(floor(frame / 10) AS BIGINT) AS chunk FROM jt),
+{planar_fit('clip, chunk', 'ch', 'frame % 10 < 2', name='two')}, {planar_fit('clip, chunk', 'ch', name='whole')},
+w2 AS (SELECT clip, round(avg({PLANAR_ERROR}) * 1000, 4) AS wa2_mpjpe FROM ch JOIN two USING (clip, chunk) GROUP BY 1),
+wa AS (SELECT clip, round(avg({PLANAR_ERROR}) * 1000, 4) AS waa_mpjpe FROM ch JOIN whole USING (clip, chunk) GROUP BY 1)
+SELECT * FROM w2 JOIN wa USING (clip)""",
+)
 def global_metrics(spark, sf):
-    return rounded(MM.global_metrics(joint_table(spark, sf), ["clip"], "frame", 10), 4)
+    return rounded(MM.global_metrics(planar_table(spark, sf), ["clip"], "frame", 10), 4)
 
 
-def roots(spark, sf):
-    return joint_table(spark, sf).where("joint = 0")
-
-
-@query("root_translation_error", f"SELECT clip, 0.0::DOUBLE AS rte FROM {CLIPS_SQL}")
+@query(
+    "root_translation_error",
+    f"""WITH {PLANAR_SQL}, ro AS (SELECT * FROM jt WHERE joint = 0), {planar_fit('clip', 'ro', scale=False)},
+st AS (SELECT clip, sqrt(power(lead(gx) OVER w - gx, 2) + power(lead(gy) OVER w - gy, 2)) AS d FROM ro WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+pl AS (SELECT clip, sum(d) AS path FROM st GROUP BY 1),
+er AS (SELECT clip, avg({PLANAR_ERROR}) AS e FROM ro JOIN fit USING (clip) GROUP BY 1)
+SELECT clip, round(100 * e / path, 6) AS rte FROM er JOIN pl USING (clip)""",
+)
 def root_translation_error(spark, sf):
-    return rounded(MM.root_translation_error(roots(spark, sf), Seq(("clip",), "frame")))
+    return rounded(MM.root_translation_error(planar_table(spark, sf).where("joint = 0"), Seq(("clip",), "frame")))
 
 
-ALIGN_SQL = f"SELECT clip, 1.0::DOUBLE AS s, 0.0::DOUBLE AS tx, 1.0::DOUBLE AS r01, 0.0::DOUBLE AS r00 FROM {CLIPS_SQL}"
+def align_sql(scale: bool) -> str:
+    return f"WITH {PLANAR_SQL}, {planar_fit('clip', scale=scale)} SELECT clip, round(s, 6) + 0.0 AS s, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty, round(r00, 6) + 0.0 AS r00, round(r01, 6) + 0.0 AS r01 FROM fit"
 
 
 def alignment(d):
-    at = lambda c, i: F.round(F.get(c, F.lit(i)), 6) + 0.0
-    return d.select("clip", F.round("s", 6).alias("s"), at("shift", 0).alias("tx"), at("rot", 1).alias("r01"), at("rot", 0).alias("r00"))
+    at = lambda c, i, name: (F.round(F.get(c, F.lit(i)), 6) + 0.0).alias(name)
+    return d.select("clip", (F.round("s", 6) + 0.0).alias("s"), at("shift", 0, "tx"), at("shift", 1, "ty"), at("rot", 0, "r00"), at("rot", 1, "r01"))
 
 
-@query("align_rigid_job", ALIGN_SQL)
+@query("align_rigid_job", align_sql(False))
 def align_rigid_job(spark, sf):
-    return alignment(MM.align_groups(joint_table(spark, sf), ["clip"], scale=False))
+    return alignment(MM.align_groups(planar_table(spark, sf), ["clip"], scale=False))
 
 
-@query("align_similarity_job", ALIGN_SQL)
+@query("align_similarity_job", align_sql(True))
 def align_similarity_job(spark, sf):
-    return alignment(MM.align_groups(joint_table(spark, sf), ["clip"]))
+    return alignment(MM.align_groups(planar_table(spark, sf), ["clip"]))
 
 
 @query(

@@ -216,6 +216,20 @@ def frechet_distance(spark, sf):
     return VM.frechet_distance(a, b, "e")
 
 
+@query(
+    "frechet_distance_plane",
+    f"""WITH {EMB_SQL}, m AS (SELECT avg(label) AS m FROM emb),
+s AS (SELECT label < (SELECT m FROM m) AS low, avg(e[1]) AS x, avg(e[2]) AS y, var_samp(e[1]) AS a, covar_samp(e[1], e[2]) AS b, var_samp(e[2]) AS c FROM emb GROUP BY 1)
+SELECT round(power(p.x - q.x, 2) + power(p.y - q.y, 2) + p.a + p.c + q.a + q.c
+  - 2 * sqrt(p.a*q.a + 2*p.b*q.b + p.c*q.c + 2 * sqrt((p.a*p.c - p.b*p.b) * (q.a*q.c - q.b*q.b))), 6) AS frechet
+FROM s p JOIN s q ON p.low AND NOT q.low""",
+)
+def frechet_distance_plane(spark, sf):
+    """In two dimensions the root of the product of the covariances has a closed form."""
+    a, b = (d.withColumn("e", F.slice("e", 1, 2)) for d in _halves(spark, sf))
+    return VM.frechet_distance(a, b, "e").select(F.round("frechet", 6).alias("frechet"))
+
+
 @query(
     "kernel_distance",
     f"""WITH {EMB_SQL}, m AS (SELECT avg(label) AS m FROM emb),
@@ -371,6 +385,20 @@ def pca(spark, sf):
     return d.select("vec_id", F.round(F.get("pc", F.lit(0)), 6).alias("pc1"), F.round(F.get("pc", F.lit(1)), 6).alias("pc2"))
 
 
+@query(
+    "pca_plane",
+    f"""WITH {EMB_SQL}, v AS (SELECT var_samp(e[1]) AS a, covar_samp(e[1], e[2]) AS b, var_samp(e[2]) AS c FROM emb),
+w AS (SELECT (a + c) / 2 AS m, sqrt(power((a - c) / 2, 2) + b * b) AS r FROM v)
+SELECT round(m + r, 6) AS var1, round(m - r, 6) AS var2, 0.0::DOUBLE AS cov FROM w""",
+)
+def pca_plane(spark, sf):
+    """The axes of a plane have the eigenvalues as variances and do not covary."""
+    pc = [F.get("pc", F.lit(i)) for i in range(2)]
+    d = VM.pca(embeddings(spark, sf).withColumn("e", F.slice("e", 1, 2)), "e", 2)
+    cov = F.round(F.covar_samp(*pc), 6) + 0.0
+    return d.agg(F.round(F.var_samp(pc[0]), 6).alias("var1"), F.round(F.var_samp(pc[1]), 6).alias("var2"), F.when(cov == 0, 0.0).otherwise(cov).alias("cov"))
+
+
 @query(
     "label_scatter_summary",
     f"""WITH {EMB_SQL} SELECT label, count(*) AS n, round(avg(e[1]), 6) AS x_mean, round(stddev_pop(e[1]), 6) AS x_std,
