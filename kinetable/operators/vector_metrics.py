@@ -84,10 +84,13 @@ def compose_stats(blocks: DataFrame, choice: DataFrame) -> DataFrame:
 def _co_moments(df: DataFrame, vec: str, mean: list[float]) -> DataFrame:
     """Per (i, j) with i <= j the sum of centered products.
 
-    Partition matrices are folded to ``FOLD`` before the (i, j) grouping, so
-    the shuffle does not grow with the number of partitions times D squared.
+    A task sums all its input into one matrix, and tasks are as many as the
+    cluster runs in two waves, not as many as the input has splits; matrices
+    are then folded in two steps before the (i, j) grouping. So the shuffle
+    follows the cores times D squared and not the data.
     """
     mu = np.asarray(mean)
+    tasks = max(FOLD, 2 * df.sparkSession.sparkContext.defaultParallelism)
 
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = np.zeros((len(mu), len(mu)))
@@ -106,8 +109,10 @@ def _co_moments(df: DataFrame, vec: str, mean: list[float]) -> DataFrame:
             yield pd.DataFrame({"i": list(acc), "row": list(acc.values())})
 
     schema = "i int, row array<double>"
-    p = df.select(F.col(vec).alias("x")).mapInPandas(part, schema)
-    p = p.repartition(FOLD).mapInPandas(fold, schema)
+    p = df.select(F.col(vec).alias("x")).coalesce(tasks).mapInPandas(part, schema)
+    if tasks > FOLD:
+        p = p.repartition(max(FOLD, int(tasks**0.5))).mapInPandas(fold, schema)
+    p = p.repartition(FOLD, "i").mapInPandas(fold, schema)
     d = p.select("i", F.posexplode("row").alias("j", "v")).where("i <= j")
     return d.groupBy("i", "j").agg(F.sum("v").alias("s"))
 
@@ -377,9 +382,14 @@ def pca(df: DataFrame, vec: str, k: int) -> DataFrame:
     w, v = np.linalg.eigh(c)
     axes = v[:, np.argsort(-w)[:k]]
     axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
-    lit = F.array(*[F.array(*[F.lit(float(t)) for t in axes[:, j]]) for j in range(axes.shape[1])])
-    center = F.array(*[F.lit(float(t)) for t in mu])
-    return df.withColumn("pc", F.transform(lit, lambda ax: V.dot(V.sub(F.col(vec), center), ax)))
+
+    @F.pandas_udf("array<double>")
+    def project(v: pd.Series) -> pd.Series:
+        known = v.notna()
+        found = iter((_stack(v[known]) - mu) @ axes if known.any() else ())
+        return pd.Series([next(found) if k else None for k in known], index=v.index, dtype=object)
+
+    return df.withColumn("pc", project(F.col(vec).cast("array<double>")))
 
 
 def label_scatter_summary(df: DataFrame, label: str, coords: dict[str, Column]) -> DataFrame:

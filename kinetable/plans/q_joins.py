@@ -111,15 +111,16 @@ u AS (SELECT avg(q) AS q FROM v)
 SELECT doc_id, count(*) AS n, round(sum(coalesce(v.q, u.q)), 4) AS q FROM w LEFT JOIN v USING (word) CROSS JOIN u GROUP BY 1""",
 )
 def vocab_lookup(spark, sf):
-    """Vocabulary: words of labelled documents with their summed quality."""
+    """Vocabulary: words of labelled documents with their summed quality.
+    A document's equal words are counted before anything is joined."""
     from kinetable.functions.text import words
 
-    w = table(spark, sf, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word"))
-    v = w.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").groupBy("word").agg(F.sum("quality").cast("double").alias("q"))
+    w = table(spark, sf, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    v = w.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").groupBy("word").agg(F.sum(F.col("quality") * F.col("n")).cast("double").alias("q"))
     unk = v.agg(F.lit("<unk>").alias("word"), F.array(F.avg("q")).alias("vec"))
     vocab = v.select("word", F.array("q").alias("vec")).unionByName(unk)
     d = J.vocab_lookup(w, vocab, "word", "<unk>")
-    return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("vec", F.lit(0))), 4).alias("q"))
+    return d.groupBy("doc_id").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.get("vec", F.lit(0))), 4).alias("q"))
 
 
 @query(
