@@ -97,20 +97,18 @@ class WordCoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [None if "\n\n" in t or "  " in (x := t.replace("\n", " \n")) else x.split(" ") for t in texts]
-        fresh = set().union(*(s[1:] for s in split if s)).difference(self.known)
-        got = self._learn(fresh)
+        # A line feed put before the text makes its first word one like the others; its id is cut off again.
+        split = [None if "\n\n" in t or "  " in (x := "\n" + t.replace("\n", " \n")) else x.split(" ") for t in texts]
+        got = self._learn(set().union(*(s for s in split if s)).difference(self.known))
         if len(self.known) + len(got) <= WORDS:
             self.known.update(got)
         self.known.fresh = got
-        known = self.known.__getitem__
         out = []
         for t, s in zip(texts, split, strict=True):
-            if s is None or s[0][-1:].isspace():
+            try:
+                out.append(self._plain(t) if s is None else b"".join(map(self.known.__getitem__, s))[4:])
+            except TypeError:  # a None among the words
                 out.append(self._plain(t))
-                continue
-            ids = [self._plain(s[0]) if s[0] else b"", *map(known, s[1:])]
-            out.append(self._plain(t) if None in ids else b"".join(ids))
         return out
 
 
