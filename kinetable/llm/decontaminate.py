@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from kinetable.llm.common import stage
 
 #: Words of benchmark text that one pass over the documents looks for.
-PASS_WORDS = 2_000_000
+PASS_WORDS = 500_000
 
 #: 64 bits in 8 blocks: two fingerprints within 23 bits differ by at most 2 in some block.
 RADIUS, BLOCKS = 23, 8
