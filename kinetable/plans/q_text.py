@@ -327,3 +327,69 @@ def index_file(spark, sf):
     d = table(spark, sf, "orders").select(F.concat(F.lit("p/"), "o_custkey").alias("source_path"), k.alias("start_frame"), (k + 9).alias("end_frame"), F.concat(F.lit("n"), "o_orderkey").alias("new_name"))
     WR.write_index(d, path)
     return RD.read_index(spark, path)
+
+
+# ---- through files -------------------------------------------------------------------
+
+
+def _folder(spark, name):
+    from kinetable.streaming.state import stream_folder
+
+    return stream_folder(spark, name)
+
+
+@query(
+    "read_segments_files",
+    """SELECT 'clip ' || o_custkey AS name, CAST(o_orderkey % 80000 AS DOUBLE) AS start_s, CAST(o_orderkey % 80000 + 5 AS DOUBLE) AS end_s,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'crowded,weird position' ELSE '' END AS flags FROM orders""",
+)
+def read_segments_files(spark, sf):
+    """Segment files written by the writer and opened by the reader."""
+    flags = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("crowded"), F.lit("weird position"))).otherwise(F.array().cast("array<string>"))
+    t = (F.col("o_orderkey") % 80000).cast("double")
+    path = _folder(spark, "segments")
+    WR.write_segments(table(spark, sf, "orders").select(F.concat(F.lit("clip "), "o_custkey").alias("name"), t.alias("start_s"), (t + 5).alias("end_s"), flags.alias("flags")), path)
+    return RD.read_segments(spark, path).select("name", "start_s", "end_s", F.array_join("flags", ",").alias("flags"))
+
+
+@query(
+    "read_scene_list_files",
+    "SELECT CAST(o_orderkey % 1000 AS INT) AS scene, CAST(o_orderkey % 80000 AS DOUBLE) AS start_s, CAST(o_orderkey % 80000 + 5 AS DOUBLE) AS end_s FROM orders",
+)
+def read_scene_list_files(spark, sf):
+    """Scene lists in text files, opened by the reader."""
+    t = (F.col("o_orderkey") % 80000).cast("double")
+    path = _folder(spark, "scenes")
+    line = F.concat(F.lit("Scene "), F.col("o_orderkey") % 1000, F.lit(": "), X.to_timecode(t), F.lit(" - "), X.to_timecode(t + 5))
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
+    return RD.read_scene_list(spark, path).select("scene", "start_s", "end_s")
+
+
+@query(
+    "read_captions_files",
+    "SELECT 'v' || CAST(floor(c_custkey / 100) AS BIGINT) AS video_id, CAST(c_custkey AS VARCHAR) AS scene_id, c_name AS text FROM customer",
+)
+def read_captions_files(spark, sf):
+    """One caption document for each hundred customers, a file each."""
+    path = _folder(spark, "captions")
+    group = F.floor(F.col("c_custkey") / 100)
+    entry = F.struct(F.concat(F.lit("v"), group, F.lit("/"), "c_custkey"), "c_name")
+    docs_ = table(spark, sf, "customer").groupBy(group.alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    docs_.repartition("g").write.partitionBy("g").text(path)
+    return RD.read_captions(spark, path)
+
+
+@query(
+    "read_arrays_files",
+    """SELECT CAST(vec_id // 100 AS BIGINT) AS file, count(*) AS length, round(sum(embedding[1]::DOUBLE), 6) AS x, round(sum(embedding[64]::DOUBLE), 6) AS y FROM embeddings GROUP BY 1""",
+)
+def read_arrays_files(spark, sf):
+    """Blocks of embeddings saved as ``.npy`` by the tasks and opened by the reader."""
+    path = _folder(spark, "arrays")
+    block = F.floor(F.col("vec_id") / 100)
+    rows = table(spark, sf, "embeddings").select(block.alias("file"), F.struct("vec_id", "embedding").alias("r")).groupBy("file").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["embedding"]).alias("vecs"))
+    WR.write_arrays(rows, "file", "vecs", path)
+    d = RD.read_arrays(spark, path)
+    name = F.regexp_extract("path", r"([0-9]+)\.npy$", 1).cast("long")
+    at = lambda i: F.round(F.sum(F.get("vec", F.lit(i))), 6)
+    return d.groupBy(name.alias("file")).agg(F.count("frame").alias("length"), at(0).alias("x"), at(63).alias("y"))

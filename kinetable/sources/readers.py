@@ -159,7 +159,7 @@ def read_arrays(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
                     a = np.asarray(a, dtype=np.float64)
                     a = a.reshape(len(a), -1) if a.ndim else a.reshape(1, 1)
                 except Exception as e:  # noqa: BLE001 - any bad file is a reject row
-                    yield pd.DataFrame({"path": [p], "frame": [None], "vec": [None], "length": [None], "error": [str(e)[:200]]})
+                    yield pd.DataFrame({"path": [p], "frame": [None], "vec": [None], "length": [None], "error": [str(e)]})
                     continue
                 for s in range(0, len(a), rows):
                     b = a[s : s + rows]

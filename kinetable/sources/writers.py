@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +66,26 @@ def segment_lines(df: DataFrame) -> DataFrame:
 
 def write_segments(df: DataFrame, path: str) -> None:
     segment_lines(df).select("value").write.mode("overwrite").text(path)
+
+
+def write_arrays(df: DataFrame, name: str, rows: str, path: str) -> None:
+    """Each row's array of vectors as ``<name>.npy`` in the folder ``path``.
+
+    Tasks write under another name and move the file into place, so a repeated
+    attempt leaves one whole file.
+    """
+
+    def save(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        fs.create_dir(base, recursive=True)
+        for pdf in it:
+            for n, vecs in zip(pdf[name], pdf[rows]):
+                raw = io.BytesIO()
+                np.save(raw, np.stack([np.asarray(v, dtype=np.float64) for v in vecs]))
+                aside = f"{base}/.{n}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside) as out:
+                    out.write(raw.getvalue())
+                fs.move(aside, f"{base}/{n}.npy")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    df.select(name, rows).mapInPandas(save, "n long").agg(F.sum("n")).collect()
