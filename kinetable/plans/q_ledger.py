@@ -156,7 +156,7 @@ def track_faces(spark, sf):
 
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    d = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    d = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 100).parquet(sf)
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

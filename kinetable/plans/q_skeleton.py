@@ -190,14 +190,22 @@ def inverse_kinematics_job(spark, sf):
     return digest(SK.inverse_kinematics_job(base(spark, sf), CLIP, "a"), ["label", "pos"], "quats")
 
 
-@query("forward_kinematics_job", f"WITH {J22_SQL} SELECT label, pos, 0.0::DOUBLE AS gap FROM j22")
+@query(
+    "forward_kinematics_job",
+    f"""WITH {J22_SQL} SELECT label, pos, 0.0::DOUBLE AS gap,
+  round(sqrt(list_sum(list_transform(range(1, 67), lambda i: power(a[i] - a[(i - 1) % 3 + 1], 2)))), 6) AS stretched FROM j22""",
+)
 def forward_kinematics_job(spark, sf):
-    """Offsets and rotations from the joints give the joints back."""
+    """Offsets and rotations from the joints give the joints back; offsets
+    twice as long move each joint by its distance from the root."""
     d = SK.inverse_kinematics_job(base(spark, sf), CLIP, "a").withColumn(
         "o", PO.skeleton_offsets(F.col("a"), SK.BODY_22.parents(), list(SK.BODY_22.raw))
     )
-    d = SK.forward_kinematics_job(d.withColumn("root", F.slice("a", 1, 3)), "quats", "root", "o")
-    return d.select("label", "pos", F.round(V.distance(F.col("joints"), F.col("a")), 6).alias("gap"))
+    d = d.withColumn("root", F.slice("a", 1, 3))
+    gap = F.round(V.distance(F.col("joints"), F.col("a")), 6)
+    long = SK.forward_kinematics_job(d.withColumn("o", F.transform("o", lambda v: v * 2)), "quats", "root", "o").select("label", "pos", gap.alias("stretched"))
+    d = SK.forward_kinematics_job(d, "quats", "root", "o").select("label", "pos", gap.alias("gap"))
+    return d.join(long, ["label", "pos"])
 
 
 @query("retarget_job")
@@ -274,16 +282,23 @@ def average_rotations(spark, sf):
     return digest(SK.average_rotations(d, "a", "b"), ["label", "pos"], "average")
 
 
-@query("convert_rotations", "SELECT vec_id, 0.0::DOUBLE AS matrix, 0.0::DOUBLE AS axis_angle, 0.0::DOUBLE AS sixd, 0.0::DOUBLE AS euler FROM embeddings")
+@query(
+    "convert_rotations",
+    f"""WITH {QUAT_SQL} SELECT vec_id, 0.0::DOUBLE AS matrix, 0.0::DOUBLE AS axis_angle, 0.0::DOUBLE AS sixd, 0.0::DOUBLE AS euler,
+  round(2 * acos(least(1.0, abs(a[1]))), 6) AS angle, round(2 * (a[2]*a[3] - a[1]*a[4]), 6) AS m01, round(1 - 2 * (a[3]*a[3] + a[4]*a[4]), 6) AS m00 FROM qs""",
+)
 def convert_rotations(spark, sf):
-    """Every representation reached from a quaternion and back."""
+    """Every representation reached from a quaternion and back, and what a
+    matrix and an axis with its angle hold on the way."""
     d = quats(spark, sf).select("vec_id", R.standardize(F.col("qa")).alias("q"))
+    zero = F.array(*[F.lit(0.0)] * 3)
+    seen = {"matrix": {"m00": F.get("matrix", F.lit(0)), "m01": F.get("matrix", F.lit(1))}, "axis_angle": {"angle": V.distance(F.col("axis_angle"), zero)}}
     for k in ("matrix", "axis_angle", "sixd"):
-        there = SK.convert_rotations(d.withColumn(k, F.col("q")), k, "quaternion", k)
+        there = SK.convert_rotations(d.withColumn(k, F.col("q")), k, "quaternion", k).withColumns(seen.get(k, {}))
         d = SK.convert_rotations(there, k, k, "quaternion")
     e = R.standardize(R.euler_to_quat(R.quat_to_euler(F.col("q"))))
     d = d.withColumn("euler", e)
-    return d.select("vec_id", *[F.round(V.distance(F.col(k), F.col("q")), 6).alias(k) for k in ("matrix", "axis_angle", "sixd", "euler")])
+    return d.select("vec_id", *[F.round(V.distance(F.col(k), F.col("q")), 6).alias(k) for k in ("matrix", "axis_angle", "sixd", "euler")], *[F.round(k, 6).alias(k) for k in ("angle", "m00", "m01")])
 
 
 @query("pose_noise")
