@@ -254,7 +254,7 @@ def contaminated(
     window is returned, the first one of equals. Words are lower-cased runs of
     letters and digits, so case, punctuation and line breaks do not matter. A
     window is compared with the items whose SimHash differs in at most 23 of 64
-    bits; at similarity 0.8 that many differ about once in a million windows.
+    bits; at similarity 0.8 more differ in about one window of 100,000.
     Null, empty and wordless texts, of documents or items, match nothing. Rows
     that repeat are judged row by row. Other columns do not matter. Extra
     passes over the documents are made only for a benchmark too large for one.
