@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetable.llm import decontaminate, line_dedup, packing, simhash_dedup, toxicity
+from kinetable.llm import decontaminate, line_dedup, packing, shingle_dedup, toxicity
 from kinetable.llm.common import held_out, stage
 from kinetable.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """One document of each group stays that pairs with a 5-word Jaccard similarity of 0.8 or more link."""
+    return shingle_dedup.drop_similar(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
