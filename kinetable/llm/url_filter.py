@@ -15,7 +15,10 @@ ROUNDS, DAMPING, WRITE_EVERY = 10, 0.85, 5
 #: A host is blocked when its distrust exceeds its trust this many times.
 RATIO = 1.0
 
-#: Digits kept of a score, so that the order of sums does not decide a verdict.
+#: Share by which distrust has to be over that, so that the order of sums does not decide a verdict at any size of scores.
+MARGIN = 1e-9
+
+#: Digits that the SQL keeps; too few where scores are small, as on large host graphs.
 DIGITS = 9
 
 
@@ -102,14 +105,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     """One row per row of ``pages``: page_id, host, path, rule, verdict, trust, distrust.
 
     The longest rule that fits decides; without one, the host does: block if
-    its distrust is over ``ratio`` times its trust, else allow. Null urls and
+    its distrust is over ``ratio`` times its trust (by more than a share of
+    MARGIN), else allow; no score is rounded. Null urls and
     urls without :// have empty host and path and are allowed. Null html has no
     links. Repeated rows are judged alike. Other columns do not matter.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     text, verdict = rule_of(host, path, rules)
     own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), text.alias("rule"), verdict.alias("ruled"))
-    scores = stage(host_scores(pages, rules, url_col, html_col, rounds).select("host", F.round("trust", DIGITS).alias("trust"), F.round("distrust", DIGITS).alias("distrust")))
+    scores = stage(host_scores(pages, rules, url_col, html_col, rounds))
     got = own.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    other = F.when(F.col("distrust") > F.col("trust") * ratio, F.lit("block")).otherwise(F.lit("allow"))
+    other = F.when(F.col("distrust") > F.col("trust") * (ratio * (1 + MARGIN)), F.lit("block")).otherwise(F.lit("allow"))
     return got.select("page_id", "host", "path", "rule", F.coalesce("ruled", other).alias("verdict"), "trust", "distrust")

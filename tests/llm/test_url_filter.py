@@ -77,3 +77,18 @@ def test_scores_by_plain_rounds(spark):
 
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def html(*targets):
+    return "".join(f'<a href="http://{t}/">' for t in targets)
+
+
+def test_small_scores_still_decide(spark):
+    """Distrust of 6e-12 and no trust: five times one link out of a hundred to a blocked host."""
+    rows, target = [("http://bad.com/de/1", "")], "bad.com"
+    for level in range(5):
+        rows += [(f"http://h{level}x{k}.net/", html(target)) for k in range(100)]
+        target = f"h{level}x0.net"
+    got = {r.host: r for r in U.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()}
+    assert 0 < got[target].distrust < 1e-10 and got[target].trust == 0
+    assert all(r.verdict == "block" for r in got.values())
