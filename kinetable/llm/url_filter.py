@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from kinetable.llm.common import stage
 
-#: Rounds of spreading, share that follows links, rounds between written tables.
+#: Rounds of spreading in the SQL, share that follows links, rounds between written tables.
 ROUNDS, DAMPING, WRITE_EVERY = 10, 0.85, 5
 
+#: Spreading ends when no score has changed by a larger share of itself between two written tables.
+TOLERANCE = 1e-9
+
 #: A host is blocked when its distrust exceeds its trust this many times.
 RATIO = 1.0
 
@@ -70,7 +73,7 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return own.select("src", F.explode("hosts").alias("dst")).filter("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str = "url", html_col: str = "html", rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """host, trust and distrust of every host with a page or a link.
 
     Trust is personalised PageRank that restarts at hosts with pages that rules
@@ -79,6 +82,8 @@ def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str
     Hosts without links out keep nothing. Both are spread in one chain of
     rounds: a weighted link table keyed by (kind, from), whose sums are
     combined before each shuffle, and a table written every few rounds.
+    Without a number of ``rounds`` they go on until every host that seeds reach
+    has a score and none changes by more than TOLERANCE of itself.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     ruled = pages.select(host.alias("host"), rule_of(host, path, rules)[1].alias("verdict")).filter("host <> ''").groupBy("host")
@@ -91,17 +96,26 @@ def host_scores(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url_col: str
     sums = start.groupBy("kind").agg(F.sum("w").alias("s"))
     start = stage(start.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("w") / F.col("s")).alias("seed")))  # two rows are broadcast
     rank = start.withColumnRenamed("seed", "score")
-    for k in range(rounds):
+    if rounds is None:  # sums that only grow, so that the change shows what is still on the way
+        rank = stage(rank.withColumn("score", F.col("score") * (1 - damping)))
+    before, k, moving = rank, 0, rounds is not None or not edges.isEmpty()
+    while moving and (rounds is None or k < rounds):
         moved = rank.withColumnRenamed("host", "a").join(edges, ["kind", "a"]).select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         rank = moved.union(start.select("kind", "host", F.col("seed") * (1 - damping))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (k + 1) % WRITE_EVERY == 0:
+        k += 1
+        if k % WRITE_EVERY == 0:
             rank = stage(rank)
+            if rounds is None:
+                was = before.select("kind", "host", F.col("score").alias("was"))
+                changed = F.col("score") - F.coalesce("was", F.lit(0.0)) > F.col("score") * TOLERANCE
+                moving = not rank.join(was, ["kind", "host"], "left").filter(changed).isEmpty()
+                before = rank
     by_kind = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0))
     every = rank.select("host", "kind", "score").union(seeds.select("host", F.lit("none"), F.lit(0.0)))
     return every.groupBy("host").agg(by_kind("trust").alias("trust"), by_kind("distrust").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS, ratio: float = RATIO) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int | None = None, ratio: float = RATIO) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, trust, distrust.
 
     The longest rule that fits decides; without one, the host does: block if

@@ -92,3 +92,15 @@ def test_small_scores_still_decide(spark):
     got = {r.host: r for r in U.judge(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()}
     assert 0 < got[target].distrust < 1e-10 and got[target].trust == 0
     assert all(r.verdict == "block" for r in got.values())
+
+
+def test_hosts_far_from_every_seed_are_reached(spark):
+    """A chain of 14 links to a blocked host."""
+    pages = [("http://bad.com/de/1", ["good.com"], "block"), *[(f"http://c{k}.net/", [f"c{k - 1}.net" if k else "bad.com"], None) for k in range(14)]]
+    pages += [("http://good.com/fr/1", ["far.net"], "allow")]
+    df = spark.createDataFrame([(i, u, html(*ts)) for i, (u, ts, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.host: r for r in U.judge(df).collect()}
+    want = plain_scores(pages, rounds=100)
+    for h, r in got.items():
+        assert (r.trust, r.distrust) == pytest.approx((want["allow"].get(h, 0), want["block"].get(h, 0)), rel=1e-7)
+    assert got["c13.net"].distrust > 0 and got["c13.net"].verdict == "block"
