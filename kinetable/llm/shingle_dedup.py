@@ -75,7 +75,8 @@ def _described(docs: DataFrame, id_col: str, text_col: str, words: int, least: f
         frequent = sent.value
         for b in batches:
             fp, sid, n, late, last, prefix = [], [], [], [], [], []
-            for x in b.column(1).field(at).to_pylist():
+            for x in b.column(1).field(at):  # one text at a time is a Python string
+                x = x.as_py()
                 own = shingle_hashes(x, words)
                 hot = np.zeros(len(own), bool)
                 if len(frequent):
@@ -118,10 +119,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
         for b in batches:
             memo: dict[int, set[bytes]] = {}
             keep = []
-            for i, j, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for j, x, y in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):  # one pair of texts at a time
                 if j not in memo:
-                    memo = {j: shingle_set(y, words)}
-                keep.append(similarity(shingle_set(x, words), memo[j]) >= least)
+                    memo = {j: shingle_set(y.as_py(), words)}
+                keep.append(similarity(shingle_set(x.as_py(), words), memo[j]) >= least)
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     left = own.select(F.col("sid").alias("a"), F.col("text").alias("x"))
