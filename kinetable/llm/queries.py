@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import decontaminate, language_id, line_dedup, packing, pq_dedup, secrets, simhash_dedup, toxicity, url_filter, warc
+from kinetable.llm import bpe, decontaminate, language_id, line_dedup, packing, pq_dedup, secrets, simhash_dedup, toxicity, url_filter, warc
 from kinetable.llm.common import held_out
 
 
@@ -160,6 +160,11 @@ FROM p LEFT JOIN score USING (host)
 """
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_text=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Entry] = {
     "op1_warc": Entry(op1_warc, OP1_SQL),
     "op2_decontamination": Entry(op2_decontamination),
@@ -171,4 +176,5 @@ QUERIES: dict[str, Entry] = {
     "op8_embedding_dedup": Entry(op8_embedding_dedup, OP8_SQL),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
     "op10_url_filter": Entry(op10_url_filter, _op10_sql()),
+    "op12_bpe_round_trip": Entry(op12_bpe_round_trip),
 }
