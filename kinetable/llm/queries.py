@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import bpe, decontaminate, language_id, line_dedup, packing, pq_dedup, secrets, simhash_dedup, toxicity, url_filter, warc
+from kinetable.llm import bpe, conversation_trie, decontaminate, language_id, line_dedup, packing, pq_dedup, secrets, simhash_dedup, toxicity, url_filter, warc
 from kinetable.llm.common import held_out
 
 
@@ -160,6 +160,44 @@ FROM p LEFT JOIN score USING (host)
 """
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    return conversation_trie.regrafted_trie(_table(spark, sf_dir, "conversations"), head, F.col("conv") - F.col("conv") % 5, most=8).drop("enter_at", "exit_at")
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of a string's bytes in DuckDB's SQL, bit by bit."""
+    byte = lambda i: f"CAST('0x' || substr(hex(encode({text})), 2 * {i} - 1, 2) AS UBIGINT)"
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(range(1, 1 + octet_length(encode({text}))), lambda i: {byte('i')})"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {codes}), lambda a, b: {step}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT c, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS turns FROM t GROUP BY c),
+h AS (SELECT c, turns, CAST({crc32_sql("CAST(c AS VARCHAR)")} % 9 AS BIGINT) AS h, c - c % 5 AS base FROM o),
+r AS (
+  SELECT h.c, list_concat(coalesce(list_slice(b.turns, 1, h.h), []), list_slice(h.turns, h.h + 1, len(h.turns))) AS seq
+  FROM h LEFT JOIN o b ON b.c = h.base),
+m AS (SELECT c, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth, seq FROM r),
+p AS (SELECT c, n, depth, list_slice(seq, 1, depth) AS path FROM m),
+node AS (
+  SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(coalesce(path[depth].t, '')) AS saving,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY path, depth),
+child AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child USING (path)),
+up AS (SELECT unnest(range(0, depth + 1)) AS d, path, n_children, saving FROM full_node),
+sub AS (SELECT list_slice(path, 1, d) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saving) AS saved_tokens FROM up GROUP BY 1)
+SELECT a.conv_id, a.depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, CAST(sub.n_leaves AS BIGINT) AS n_leaves,
+       CAST(sub.saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_node a JOIN sub USING (path) LEFT JOIN node b ON a.depth > 0 AND b.path = list_slice(a.path, 1, a.depth - 1)
+"""
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path(), with_text=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -176,5 +214,6 @@ QUERIES: dict[str, Entry] = {
     "op8_embedding_dedup": Entry(op8_embedding_dedup, OP8_SQL),
     "op9_simhash_dedup": Entry(op9_simhash_dedup),
     "op10_url_filter": Entry(op10_url_filter, _op10_sql()),
+    "op11_conversation_trie": Entry(op11_conversation_trie, OP11_SQL),
     "op12_bpe_round_trip": Entry(op12_bpe_round_trip),
 }
