@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetable.llm import bpe, conversation_trie, decontaminate, language_id, line_dedup, packing, pq_dedup, secrets, simhash_dedup, toxicity, url_filter, warc
+from kinetable.llm import bpe, conversation_trie, decontaminate, language_id, line_dedup, packing, pq_dedup, secrets, simhash_dedup, spelling, toxicity, url_filter, warc
 from kinetable.llm.common import held_out
 
 
@@ -203,6 +203,35 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[a-z\x{{00C0}}-\x{{00FF}}]{{6,}}')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, CAST(doc_id AS VARCHAR) || ':' || run AS said FROM run GROUP BY doc_id, run),
+hashed AS (SELECT run, n, CAST({crc32_sql("said")} AS BIGINT) AS h FROM counted),
+edited AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+place AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+less AS (SELECT DISTINCT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM place),
+near AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT l.word, v.word FROM less l JOIN v ON l.rest = v.word
+  UNION SELECT v.word, l.word FROM less l JOIN v ON l.rest = v.word),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(near, (-v.n, near)) AS form, max(v.n) AS form_n FROM near JOIN v ON v.word = near.near GROUP BY near.word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * v.n THEN form END AS form, CASE WHEN form_n >= 5 * v.n THEN form_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN chain c USING (word) JOIN f g ON g.word = c.root WHERE g.form IS NULL
+"""
+
+
 QUERIES: dict[str, Entry] = {
     "op1_warc": Entry(op1_warc, OP1_SQL),
     "op2_decontamination": Entry(op2_decontamination),
@@ -216,4 +245,5 @@ QUERIES: dict[str, Entry] = {
     "op10_url_filter": Entry(op10_url_filter, _op10_sql()),
     "op11_conversation_trie": Entry(op11_conversation_trie, OP11_SQL),
     "op12_bpe_round_trip": Entry(op12_bpe_round_trip),
+    "op13_spelling_variants": Entry(op13_spelling_variants, OP13_SQL),
 }

@@ -85,10 +85,15 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _BASE)))
 
 
+def _sized(n: int) -> np.uint64:
+    """What a length adds to a number."""
+    return np.uint64(n * int(_LENGTH) & 0xFFFFFFFFFFFFFFFF)
+
+
 def number(values: np.ndarray) -> np.ndarray:
     """A 64-bit number for each row of symbols' values: a polynomial of them, and their count."""
     n = values.shape[1]
-    return (values * _powers(n)[:n][::-1]).sum(axis=1, dtype=np.uint64) + np.uint64(n) * _LENGTH
+    return (values * _powers(n)[:n][::-1]).sum(axis=1, dtype=np.uint64) + _sized(n)
 
 
 def neighbourhood(values: np.ndarray, every: np.ndarray) -> np.ndarray:
@@ -107,13 +112,13 @@ def neighbourhood(values: np.ndarray, every: np.ndarray) -> np.ndarray:
         after[:, i] = after[:, i + 1] + values[:, i] * power[n - 1 - i]
     keys, keep = [number(values)[:, None]], [np.ones((m, 1), bool)]
     i = np.arange(n)
-    keys.append(before[:, :n] * power[n - 1 - i] + after[:, 1:] + np.uint64(n - 1) * _LENGTH)
+    keys.append(before[:, :n] * power[n - 1 - i] + after[:, 1:] + _sized(n - 1))
     keep.append(np.append(np.ones((m, min(n, 1)), bool), values[:, 1:] != values[:, :-1], axis=1))  # of equal ones the first goes
     for v in every:
-        keys.append(before[:, :n] * power[n - i] + v * power[n - 1 - i] + after[:, 1:] + np.uint64(n) * _LENGTH)
+        keys.append(before[:, :n] * power[n - i] + v * power[n - 1 - i] + after[:, 1:] + _sized(n))
         keep.append(values != v)
         j = np.arange(n + 1)
-        keys.append(before * power[n + 1 - j] + v * power[n - j] + after + np.uint64(n + 1) * _LENGTH)
+        keys.append(before * power[n + 1 - j] + v * power[n - j] + after + _sized(n + 1))
         keep.append(np.append(values != v, np.ones((m, 1), bool), axis=1))  # before an equal one is the same as behind it
     return np.concatenate(keys, axis=1), np.concatenate(keep, axis=1)
 
