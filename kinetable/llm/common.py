@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,13 +32,69 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+#: Folders of all staged tables, in the order in which they were made; None where one was freed.
+_STAGED: list[str | None] = []
+
+
+def mark() -> int:
+    """How many tables were staged so far, for ``made_since``."""
+    return len(_STAGED)
+
+
+def made_since(start: int, end: int | None = None) -> list[str]:
+    """Folders of the tables staged since one mark, up to another one."""
+    return [f for f in _STAGED[start:end] if f is not None]
+
+
+def free(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for f in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(conf).delete(path, True)
+        _STAGED[_STAGED.index(f)] = None
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are over; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/table"
+    folder = shared_folder(df.sparkSession)
+    _STAGED.append(folder)
+    path = f"{folder}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ArrowFunction = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: ArrowFunction) -> ArrowFunction:
+    """``run``, which gives what its worker no longer needs back to the system when the task is over: workers stay for the next one."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets tasks and Python workers exchange ``rows`` rows at once, as whole documents are long, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def task_count(spark: SparkSession, rows: int, per_task: int = 200_000) -> int:
     """Partitions for ``rows`` small rows; at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))

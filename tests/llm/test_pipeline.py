@@ -1,16 +1,17 @@
 """The pipeline against plain Python, on a corpus with every awkward row."""
 
 import random
-import zlib
 
 import corpus_pipeline as C
 import pytest
 from tokenizers import Tokenizer
 
 from kinetable.llm import toxicity
+from kinetable.llm.common import held_out
 from kinetable.llm.queries import tokenizer_path
 from tests.llm.test_decontaminate import plain as item_similarity
-from tests.llm.test_simhash_dedup import plain_classes, plain_fingerprint
+from tests.llm.test_shingle_dedup import plain_set
+from tests.llm.test_simhash_dedup import plain_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, row int, component_id double, score string"
 
@@ -62,23 +63,26 @@ def drop_lines(docs):
 
 
 def one_of_each(docs):
+    """One document of each class that 5-word Jaccard similarities of 0.8 link."""
+    sets = [plain_set(t) for _, t in docs]
     fps = [plain_fingerprint(t) for _, t in docs]
-    cls = plain_classes(fps)
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if root[i] != root[j] and (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
     best = {}
-    for (i, t), f in zip(docs, fps, strict=True):
-        rank = (i is None, i or 0, f)
-        if cls[f] not in best or rank < best[cls[f]][0]:
-            best[cls[f]] = rank, (i, t)
+    for k, r in enumerate(root):
+        rank = (docs[k][0] is None, docs[k][0] or 0, fps[k])
+        if r not in best or rank < best[r][0]:
+            best[r] = rank, docs[k]
     return [v for _, v in best.values()]
 
 
 def test_run_by_plain_python(spark, sf):
     docs, labels, items = corpus()
-    y = {i: v for i, v in labels if i is not None and v is not None and zlib.crc32(str(i).encode()) % 5}
-    seen = {}
-    for i, t in sorted((r for r in docs if r[0] in y), key=lambda r: (r[0], r[1] or "")):
-        seen.setdefault(t, y[i])
-    model = toxicity.fit(list(seen), list(seen.values()))
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    model = toxicity.train(table("documents"), table("labels"), keep=lambda c: ~held_out(c))
     kept = [(i, t) for (i, t), s in zip(docs, toxicity._scores(model, toxicity.Reader(model), [t for _, t in docs])[0], strict=True) if s < 0.5]
     assert 20 < len(docs) - len(kept) < 50
     kept = one_of_each(drop_lines(kept))

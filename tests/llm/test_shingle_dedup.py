@@ -55,10 +55,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [4, 2, 10**9])
-def test_all_pairs_by_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(D, "FREQUENT", frequent)
-    monkeypatch.setattr(D, "HUB_ROUNDS", 0 if frequent == 2 else 3)
+@pytest.mark.parametrize("frequent, rounds, leaders, unit", [(4, 3, 256, 2000), (2, 0, 256, 2000), (10**9, 3, 1, 6), (10**9, 0, 1, 4)])
+def test_all_pairs_by_brute_force(spark, monkeypatch, frequent, rounds, leaders, unit):
+    for name, value in {"FREQUENT": frequent, "LEADER_ROUNDS": rounds, "LEADERS": leaders, "UNIT_ROWS": unit, "OUT_ROWS": 30}.items():
+        monkeypatch.setattr(D, name, value)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, fp string")
     got = D.drop_similar(df)
@@ -90,23 +90,38 @@ def test_empty(spark):
     assert D.drop_similar(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_whole_pipeline_by_plain_python(spark, tmp_path_factory, monkeypatch):
-    """The pipeline's own test, with the stage's rule in place of the 3-bit one."""
-    from tests.llm import test_pipeline as P
-
-    def one_of_each(docs):
-        fps, sets = [P.plain_fingerprint(t) for _, t in docs], [plain_set(t) for _, t in docs]
-        root = list(range(len(docs)))
-        for i in range(len(docs)):
-            for j in range(i):
-                if root[i] != root[j] and (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0) >= 0.8:
-                    root = [root[j] if r == root[i] else r for r in root]
-        best = {}
-        for k, r in enumerate(root):
-            rank = (docs[k][0] is None, docs[k][0] or 0, fps[k])
-            if r not in best or rank < best[r][0]:
-                best[r] = rank, docs[k]
-        return [v for _, v in best.values()]
-
-    monkeypatch.setattr(P, "one_of_each", one_of_each)
-    P.test_run_by_plain_python(spark, P.sf.__wrapped__(spark, tmp_path_factory) if hasattr(P.sf, "__wrapped__") else P.sf._get_wrapped_function()(spark, tmp_path_factory))
+def test_one_passage_in_all_documents(spark, monkeypatch):
+    """Documents that share a passage of half their length are not alike; copies of one are."""
+    monkeypatch.setattr(D, "FREQUENT", 10**9)
+    monkeypatch.setattr(D, "UNIT_ROWS", 20)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(i, " ".join([*rng.choices(words, k=50), *passage, *rng.choices(words, k=10)])) for i in range(150)]
+    rows += [(500 + i, rows[i % 3][1] + " more" * (i % 2)) for i in range(60)]
+    got = D.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(150))
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.append(rng.permutation(a)[: int(rng.integers(0, n + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 60))).astype(np.uint64)))
+        x, y = D.sketch(a), D.sketch(b)
+        w = min(len(x), len(y))
+        assert np.bitwise_count(D.folded(x, w) ^ D.folded(y, w)).sum() <= len(np.setxor1d(a, b))
+        similar = len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+        assert not similar or D.may_match(len(a), x, np.array([len(b)]), y[None], 0.8)[0] >= 0
+
+
+def test_shared_rows_over_batches():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        sh = np.sort(rng.integers(0, 12, int(rng.integers(0, 25))))
+        cuts = np.sort(rng.integers(0, len(sh) + 1, 4))
+        batches = [D.pa.RecordBatch.from_arrays([D.pa.array(x), D.pa.array(x)], ["sh", "sid"]) for x in np.split(sh, cuts)]
+        got = [v for b in D._shared(iter(batches)) for v in b.column(0).to_pylist()]
+        values, n = np.unique(sh, return_counts=True)
+        assert got == [v for v in sh.tolist() if n[values.tolist().index(v)] > 1]
