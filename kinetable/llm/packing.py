@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetable.llm.common import stage
+from kinetable.llm.common import lean, stage
 
 END_ID = 2
 
@@ -24,15 +24,6 @@ WORDS = 1_000_000
 BLOCK_PIECES = 100_000
 
 
-class _Known(dict):
-    """Remembered words; others are looked up among the batch's own."""
-
-    fresh: dict[str, bytes | None] = {}
-
-    def __missing__(self, word: str) -> bytes | None:
-        return self.fresh[word]
-
-
 class WordCoder:
     """Ids of whole texts by a byte-level BPE file, with repeated words encoded once.
 
@@ -51,7 +42,7 @@ class WordCoder:
         width = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}  # a letter of the byte alphabet a byte
         self.width = np.zeros(max(width) + 1, np.int64)
         self.width[list(width)] = list(width.values())
-        self.known = _Known()  # None: white space where it does not stand alone
+        self.known: dict[str, bytes | bool] = {}  # False: white space where it does not stand alone
         self.marks: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
@@ -71,12 +62,15 @@ class WordCoder:
         raw, at = ids.tobytes(), (4 * (at + 1)).tolist()
         return {w: raw[a:b] for w, a, b in zip(words, [0, *at[:-1]], at, strict=True)}
 
-    def _learn(self, fresh: set[str]) -> dict[str, bytes | None]:
-        got: dict[str, bytes | None] = {w: self._plain(w or " ") for w in ("", "\n") if w in fresh}
+    def _learn(self, fresh: set[str]) -> dict[str, bytes | bool]:
+        got: dict[str, bytes | bool] = {w: self._plain(w or " ") for w in ("", "\n") if w in fresh}
         ended, plain = [], set()
         for w in fresh.difference(got):
+            if w.isalnum():
+                plain.add(w)
+                continue
             if w[0].isspace() and (w[0] != "\n" or w[1].isspace()) or w[-1].isspace():
-                got[w] = None
+                got[w] = False
                 continue
             stem = w.rstrip(MARKS)
             if stem != w and stem[-1:].isalnum():
@@ -99,15 +93,18 @@ class WordCoder:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         # A line feed put before the text makes its first word one like the others; its id is cut off again.
         split = [None if "\n\n" in t or "  " in (x := "\n" + t.replace("\n", " \n")) else x.split(" ") for t in texts]
-        got = self._learn(set().union(*(s for s in split if s)).difference(self.known))
+        # The words of these texts get a dictionary of their own, small enough to stay at hand; each is looked up once among all words.
+        words = set().union(*(s for s in split if s))
+        here = dict(zip(words, map(self.known.get, words), strict=True))
+        got = self._learn({w for w, x in here.items() if x is None})
+        here.update(got)
         if len(self.known) + len(got) <= WORDS:
             self.known.update(got)
-        self.known.fresh = got
         out = []
         for t, s in zip(texts, split, strict=True):
             try:
-                out.append(self._plain(t) if s is None else b"".join(map(self.known.__getitem__, s))[4:])
-            except TypeError:  # a None among the words
+                out.append(self._plain(t) if s is None else b"".join(map(here.__getitem__, s))[4:])
+            except TypeError:  # a False among the words
                 out.append(self._plain(t))
         return out
 
@@ -147,7 +144,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
                     cols.append(pa.array(kept, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
-    return run
+    return lean(run)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
