@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -10,16 +9,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetable.llm.common import part_of, sampled
+from kinetable.llm.common import lean, part_of, sampled
 
-#: Labelled rows that the fit sees at most, about; half of them toxic where there are enough.
-MAX_DOCS = 8000
+#: Labelled texts that the fit sees at most, about, half of them toxic where there are enough, and code points of the longest of them.
+MAX_DOCS, FIT_CHARS = 8000, 20_000
 
-#: Where labels are sampled for the fit, the cut-offs come from counts of all others' scores in steps of this size, between these bounds.
-SCORE_STEP, SCORE_BOUND = 0.01, 40.0
+#: One labelled id in so many is kept out of the fit, by hash; all of these set the thresholds.
+CUT_FOLDS = 5
+
+#: The thresholds come from counts of scores in steps of this size, between these bounds; rows of other languages that enter a language's counts.
+SCORE_STEP, SCORE_BOUND, PRIOR = 0.01, 40.0, 5.0
 
 #: Embedding size, filters of each width, documents a word has to occur in to get an embedding.
 DIM, FILTERS, WIDTHS, MIN_DOCS = 8, 8, (1, 2, 3), 3
@@ -149,7 +151,7 @@ def _known(hashes: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
-    """Fits the network on four fifths of the texts and the thresholds on the rest.
+    """Fits the network; its thresholds are 0.
 
     The first embedding component starts as the hash's log odds, the others
     small and random; all are trained by Adagrad on the weighted log loss.
@@ -157,8 +159,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
-    order = rng.permutation(len(y))
-    held, train = order[: len(y) // 5], order[len(y) // 5 :]
+    train = rng.permutation(len(y))
     own = lambda h: [np.unique(np.array([h(w) for w in set(_WORD.findall((texts[i] or "").lower()))], np.int64)) for i in train]
     words, word_z = _known(own(word_hash), y[train])
     prefixes, prefix_z = _known(own(prefix_hash), y[train])
@@ -169,7 +170,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
         v[0] = 0
         return v.astype(np.float32)
 
-    m = Model(words, prefixes, table(word_z), table(prefix_z))
+    m = Model(words, prefixes, table(word_z), table(prefix_z), thresholds={"": 0.0})
     for width in WIDTHS:
         f = rng.normal(0, 0.2, (width, DIM, FILTERS))
         f[:, 0] = np.abs(f[:, 0]) + 0.3 / width
@@ -180,7 +181,6 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
     if not positive or positive == len(train):
         m.out[:] = 0
         m.shift = 3.0 if len(train) and positive else -3.0
-        m.thresholds = {"": 0.0}
         return m
     reader = Reader(m)
     docs = [reader.read(t) for t in texts]
@@ -229,30 +229,9 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 0) -> Model:
                 squares[name][uniq] += total * total
                 vec[uniq] -= RATE * total / np.sqrt(squares[name][uniq])
         train = rng.permutation(train)
-    scores = np.concatenate([_logits(m, [docs[i][:2] for i in held[k : k + 256]]) for k in range(0, len(held), 256)]) if len(held) else np.zeros(0)
-    langs = np.array([docs[i][2] for i in held])
-    m.thresholds = {"": best_threshold(scores, y[held])}
-    for lang in FUNCTION_WORDS:
-        own = langs == lang
-        if (y[held][own] == 1).sum() >= 5 and (y[held][own] == 0).sum() >= 5:
-            m.thresholds[lang] = best_threshold(scores[own], y[held][own])
     return m
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap between scores among those with the best F1; 0 if a class is missing."""
-    if not (y == 1).any() or not (y == 0).any():
-        return 0.0
-    order = np.argsort(-scores, kind="stable")
-    s, hit = scores[order], np.cumsum(y[order] == 1)
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + hit[-1])
-    gap = np.append(s[:-1] - s[1:], 1.0)
-    f1[gap <= 0] = -1
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    k = best[np.argmax(gap[best])]
-    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 0.5)
-
-
 def _labelled(labels: DataFrame, id_col: str, label_col: str, keep) -> DataFrame:
     """id and y: one label for each id."""
     y = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -265,91 +244,91 @@ def _shares(y: DataFrame, max_docs: int) -> dict[int, float]:
     return {k: part_of(n.get(k, 0), max_docs // 2) for k in (0, 1)}
 
 
+def _for_cuts(doc_id: Column) -> Column:
+    """Whether an id's labels set the thresholds instead of the network."""
+    return F.pmod(F.xxhash64(F.lit(29), doc_id), F.lit(CUT_FOLDS)) == 0
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, keep=None) -> list[tuple[str | None, int]]:
-    """A repeatable sample of about ``max_docs`` labelled texts, repeats removed.
+    """A repeatable sample of about ``max_docs`` labelled texts of at most FIT_CHARS code points, repeats removed.
 
     The share of each class comes from its count over all labelled rows, and
-    the sample follows a hash of the id. An id with several labels has the
-    largest; null labels and ids do not count.
+    the sample follows a hash of the id; ids that set the thresholds are not in
+    it. An id with several labels has the largest, one with several texts the
+    first of them; null labels and ids do not count.
     """
-    y = _labelled(labels, id_col, label_col, keep)
+    y = _labelled(labels, id_col, label_col, keep).filter(~_for_cuts(F.col("id")))
     share = _shares(y, max_docs)
     parts = [sampled(y.filter(F.col("y") == k), "id", share[k]) for k in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # about max_docs ids and labels at most
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    got = rows.select("id", "text", "y").collect()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.coalesce(F.char_length("text"), F.lit(0)) <= FIT_CHARS)
+    got = rows.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
     seen: dict[str | None, int] = {}
-    for r in sorted(got, key=lambda r: (r["id"], r["text"] or "")):
+    for r in sorted(got, key=lambda r: r["id"]):
         seen.setdefault(r["text"], r["y"])
     return list(seen.items())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS, keep=None) -> Model:
-    """Fits on a bounded sample; where that leaves labelled rows out, all of them set the thresholds.
+    """Fits the network on a bounded sample of four fifths of the labelled ids; all rows of the last fifth set the thresholds.
 
-    The sample has its own mix of classes, so a threshold with the best F1 on
-    it would not be one for the rows as they are.
+    That holds at every size: the fifth has the classes and languages mixed as
+    they are, and the network has seen none of its ids.
     """
     rows = training_rows(docs, labels, id_col, text_col, label_col, max_docs, keep)
     model = fit([t for t, _ in rows], [y for _, y in rows])
-    y = _labelled(labels, id_col, label_col, keep)
-    if min(_shares(y, max_docs).values()) < 1:
-        model.thresholds = whole_thresholds(docs, y, model, [t for t, _ in rows], id_col, text_col)
+    model.thresholds = thresholds_of(score_counts(docs, _labelled(labels, id_col, label_col, keep), model, id_col, text_col, keep))
     return model
 
 
-def text_key(text: str | None) -> int:
-    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
+def score_counts(docs: DataFrame, y: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep=None) -> list[tuple[str, int, float, float]]:
+    """(language, label, score, rows) of all rows of ``docs`` whose id has a label in ``y`` (id, y) and sets thresholds.
 
-
-def whole_thresholds(docs: DataFrame, y: DataFrame, model: Model, fitted: list[str | None], id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
-    """Thresholds by language with the best F1 over all rows of ``docs`` with a label in ``y`` (id, y).
-
-    Only rows whose text the sample does not have are scored for it; they weigh
-    as much as their language's and class's rows all together. What reaches the
-    driver are counts by language, label and step of the score.
+    Scores are counted in steps, so what reaches the driver does not grow with
+    the rows. Rows are scored before they meet their labels, so no text is shuffled.
     """
-    known = np.sort(np.array([text_key(t) for t in fitted], np.int64))
-    sent = docs.sparkSession.sparkContext.broadcast((model, known))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, own = sent.value
+        m = sent.value
         reader = Reader(m)
         for batch in batches:
-            steps, langs, seen = [], [], []
             for low in range(0, batch.num_rows, 64):
-                texts = batch.column(1).slice(low, 64).to_pylist()
-                part = [reader.read(t) for t in texts]
-                steps.append(np.floor(np.clip(_logits(m, [d[:2] for d in part]), -SCORE_BOUND, SCORE_BOUND) / SCORE_STEP).astype(np.int32))
-                langs += [d[2] for d in part]
-                seen += np.isin([text_key(t) for t in texts], own).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(steps) if steps else np.zeros(0, np.int32)), pa.array(seen, pa.bool_())], ["id", "lang", "step", "seen"])
-
-    # Scored before they meet their labels, so that no text is shuffled.
-    scored = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL").mapInArrow(run, "id long, lang string, step int, seen boolean")
-    counts = scored.join(y.filter(F.col("y").isin(0, 1)), "id").groupBy("lang", "y", "seen", "step").agg(F.count("*").alias("n")).collect()
+                part = [reader.read(t) for t in batch.column(1).slice(low, 64).to_pylist()]
+                step = np.floor(np.clip(_logits(m, [d[:2] for d in part]), -SCORE_BOUND, SCORE_BOUND) / SCORE_STEP).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, 64), pa.array([d[2] for d in part], pa.string()), pa.array(step)], ["id", "lang", "step"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & _for_cuts(F.col("id")))
+    rows = rows if keep is None else rows.filter(keep(F.col("id")))
+    counts = rows.mapInArrow(lean(run), "id long, lang string, step int").join(y.filter(F.col("y").isin(0, 1)), "id").groupBy("lang", "y", "step").agg(F.count("*").alias("n")).collect()
     sent.unpersist()  # workers need not hold this model beside the one they score with
-    total: dict[tuple[str, int], int] = {}
-    free: dict[tuple[str, int], int] = {}
-    for r in counts:
-        key = r["lang"], r["y"]
-        total[key] = total.get(key, 0) + r["n"]
-        free[key] = free.get(key, 0) + (0 if r["seen"] else r["n"])
-    cells = [(r["lang"], r["y"], (r["step"] + 0.5) * SCORE_STEP, r["n"] * total[r["lang"], r["y"]] / free[r["lang"], r["y"]]) for r in counts if not r["seen"]]
+    return [(r["lang"], r["y"], (r["step"] + 0.5) * SCORE_STEP, float(r["n"])) for r in sorted(counts, key=lambda r: (r["lang"], r["y"], r["step"]))]
+
+
+def thresholds_of(cells: list[tuple[str, int, float, float]]) -> dict[str, float]:
+    """The cut with the best F1 for each language, and '' for all, from (language, label, score, rows).
+
+    A language's rows count in full and all rows with a weight of
+    PRIOR / (PRIOR + the rows of its rarer class): a language without a toxic
+    row has nearly the common cut, one with many its own.
+    """
 
     def cut(own: list[tuple[str, int, float, float]]) -> float:
         return best_weighted(np.array([c[2] for c in own]), np.array([c[1] for c in own]), np.array([c[3] for c in own]))
 
-    both = all(any(c[1] == k for c in cells) for k in (0, 1))
-    out = {"": cut(cells) if both else model.thresholds[""]}
+    out = {"": cut(cells)}
     for lang in FUNCTION_WORDS:
-        if min(free.get((lang, k), 0) for k in (0, 1)) >= 5:
-            out[lang] = cut([c for c in cells if c[0] == lang])
+        own = [c for c in cells if c[0] == lang]
+        rarer = min(sum(c[3] for c in own if c[1] == k) for k in (0, 1))
+        share = PRIOR / (PRIOR + rarer)
+        out[lang] = cut(own + [(*c[:3], c[3] * share) for c in cells])
     return out
 
 
 def best_weighted(scores: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """``best_threshold`` of rows that count ``weight`` times."""
+    """The middle of the widest gap between scores among those with the best F1 of rows that count ``weight`` times; 0 if a class is missing."""
+    if not (weight * (y == 1)).any() or not (weight * (y == 0)).any():
+        return 0.0
     values, at = np.unique(-scores, return_inverse=True)
     hit = np.cumsum(np.bincount(at, weight * (y == 1), len(values)))
     taken = np.cumsum(np.bincount(at, weight, len(values)))
@@ -385,13 +364,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value)
         for batch in batches:
-            s, langs = _scores(sent.value, reader, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(s.astype(np.float64)), pa.array((s >= 0.5).astype(np.int32)), pa.array(langs, pa.string())], ["doc_id", "score", "predicted", "language"]
-            )
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                s, langs = _scores(sent.value, reader, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(s.astype(np.float64)), pa.array((s >= 0.5).astype(np.int32)), pa.array(langs, pa.string())], ["doc_id", "score", "predicted", "language"]
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, language string")
+    return rows.mapInArrow(lean(run), "doc_id long, score double, predicted int, language string")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -402,7 +383,9 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value)
         for batch in batches:
-            s, _ = _scores(sent.value, reader, batch.column(at).to_pylist())
-            yield batch.filter(pa.array(s < 0.5))
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                s, _ = _scores(sent.value, reader, part.column(at).to_pylist())
+                yield part.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
