@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.llm import mph
-from kinetable.llm.common import shared_folder, stage
+from kinetable.llm.common import lean, shared_folder, stage
 
 #: The white space that a key is stripped of, and the two hash seeds.
 WHITE = b" \t\n\x0b\x0c\r"
 SLOT_SEED, PRINT_SEED = 42, 1042
 
-#: Distinct repeated lines in one shard, and bytes of shards that a worker keeps.
+#: Distinct repeated lines in one shard, bytes of shards that a worker keeps, bytes of rows that a task holds while it goes through the shards.
 SHARD_KEYS = 1_000_000
-CACHE_BYTES = 256 << 20
+CACHE_BYTES = 192 << 20
+HELD_BYTES = 64 << 20
 
 _CACHE: OrderedDict[str, tuple] = OrderedDict()
 
@@ -64,7 +65,7 @@ def _line_rows(min_chars: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 2) -> DataFrame:
     """Keys found in ``min_docs`` rows or more: h and f (two 64-bit hashes), n rows, keeper (largest id).
 
     A row counts once however often it repeats the key; counts are combined before the shuffle.
@@ -124,34 +125,41 @@ def build_index(repeated: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[str,
     return folder, files
 
 
-def _shard(folder: str, name: str) -> tuple:
-    uri = f"{folder}/{name}"
-    if uri in _CACHE:
-        _CACHE.move_to_end(uri)
-        return _CACHE[uri]
+def _read_shard(uri: str) -> tuple:
     fs, path = pafs.FileSystem.from_uri(uri)
     with fs.open_input_file(path) as f:
         row = pq.read_table(f).to_pylist()[0]
-    got = (
+    return (
         mph.Index(np.array(row["sizes"], np.int64), np.frombuffer(row["bits"], np.uint8)), np.frombuffer(row["prints"], np.uint64),
         np.frombuffer(row["counts"], np.uint64), np.frombuffer(row["keepers"], np.int64), np.frombuffer(row["no_keeper"], bool), np.frombuffer(row["extra"], np.uint64),
     )
-    _CACHE[uri] = got
+
+
+def _shard(folder: str, name: str) -> tuple:
+    uri = f"{folder}/{name}"
+    if uri in _CACHE:
+        _CACHE.move_to_end(uri)
+        return _CACHE[uri]
+    _CACHE[uri] = _read_shard(uri)
     size = lambda x: sum(a.nbytes for a in x[1:]) + x[0].packed.nbytes + x[0].before.nbytes
     while len(_CACHE) > 1 and sum(map(size, _CACHE.values())) > CACHE_BYTES:
         _CACHE.popitem(last=False)
-    return got
+    return _CACHE[uri]
 
 
-def probe(folder: str, files: list[str | None], h: np.ndarray, f: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> np.ndarray:
-    """True where the key (h, f) is indexed and the row's id is not its keeper. Shards are visited one after another."""
+def probe(folder: str, files: list[str | None], h: np.ndarray, f: np.ndarray, ids: np.ndarray, no_id: np.ndarray, min_docs: int) -> np.ndarray:
+    """True where the key (h, f) is indexed with a count of ``min_docs`` or more and the row's id is not its keeper.
+
+    Each shard is visited once, those that are at hand first.
+    """
     out = np.zeros(len(h), bool)
     shard = np.mod(h.view(np.int64), np.int64(len(files)))
-    for s in np.unique(shard):
-        if files[s] is None:
-            continue
-        index, prints, _, keepers, no_keeper, extra = _shard(folder, files[s])
-        at = np.flatnonzero(shard == s)
+    order = np.argsort(shard, kind="stable")
+    which, low = np.unique(shard[order], return_index=True)
+    rows = {int(s): order[a:b] for s, a, b in zip(which, low, np.append(low, len(order))[1:], strict=True) if files[s] is not None}
+    for s in sorted(rows, key=lambda s: f"{folder}/{files[s]}" not in _CACHE):
+        index, prints, counts, keepers, no_keeper, extra = _shard(folder, files[s])
+        at = rows[s]
         slot = index.slots(h[at])
         hit = (slot >= 0) & (prints[np.maximum(slot, 0)] == f[at]) if len(prints) else np.zeros(len(at), bool)
         for j, x in enumerate(extra):
@@ -159,29 +167,53 @@ def probe(folder: str, files: list[str | None], h: np.ndarray, f: np.ndarray, id
             slot, hit = np.where(same, len(index) + j, slot), hit | same
         at, slot = at[hit], slot[hit]
         keeps = np.where(no_keeper[slot], no_id[at], (keepers[slot] == ids[at]) & ~no_id[at])
-        out[at] = ~keeps
+        out[at] = ~keeps & (counts[slot] >= min_docs)
     return out
 
 
-def _judge(batch: pa.RecordBatch, id_at: int, text_at: int, folder: str, files: list[str | None], min_chars: int) -> list[tuple[list[bytes], int]]:
-    """(kept lines, number of lines) of each row."""
-    docs = [(x or "").encode().split(b"\n") for x in batch.column(text_at).to_pylist()]
-    keys, row = [], []
-    place = []
-    for i, lines in enumerate(docs):
-        for j, k in enumerate(_keys(lines, min_chars)):
-            if k:
-                keys.append(k)
-                row.append(i)
-                place.append(j)
-    h, f = _hashes(keys)
-    ids = batch.column(id_at)
-    no_id = np.array(ids.is_null())[row] if row else np.zeros(0, bool)
-    number = np.asarray(ids.cast(pa.int64()).fill_null(0))[row] if row else np.zeros(0, np.int64)
-    gone: dict[int, set[int]] = {}
-    for k in np.flatnonzero(probe(folder, files, h, f, number, no_id)):
-        gone.setdefault(row[k], set()).add(place[k])
-    return [([x for j, x in enumerate(lines) if j not in gone[i]] if i in gone else lines, len(lines)) for i, lines in enumerate(docs)]
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about HELD_BYTES, so that a task goes through the shards as seldom as it can."""
+    own: list[pa.RecordBatch] = []
+    for b in batches:
+        if own and sum(x.nbytes for x in own) + b.nbytes > HELD_BYTES:
+            yield own
+            own = []
+        own.append(b)
+    if own:
+        yield own
+
+
+def _judge(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, folder: str, files: list[str | None], min_chars: int, min_docs: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[bytes], int]]]]:
+    """Each batch, in parts of some rows, with (kept lines, number of lines) of each row."""
+    for own in _held(batches):
+        parts = [b.slice(k, 512) for b in own for k in range(0, b.num_rows, 512)]
+        h, f, ids, no_id, row, place = [], [], [], [], [], []
+        for part in parts:  # of the lines only hashes are held
+            keys, rows, places = [], [], []
+            for i, x in enumerate(part.column(text_at)):
+                for j, k in enumerate(_keys((x.as_py() or "").encode().split(b"\n"), min_chars)):
+                    if k:
+                        keys.append(k)
+                        rows.append(i)
+                        places.append(j)
+            own_ids = part.column(id_at)
+            for to, x in zip((h, f), _hashes(keys), strict=True):
+                to.append(x)
+            row.append(np.array(rows, np.int64))
+            place.append(np.array(places, np.int64))
+            no_id.append(np.asarray(own_ids.is_null().to_numpy(zero_copy_only=False))[row[-1]])
+            ids.append(np.asarray(own_ids.cast(pa.int64()).fill_null(0))[row[-1]])
+        if not parts:
+            continue
+        gone_at = probe(folder, files, *map(np.concatenate, (h, f, ids, no_id)), min_docs)
+        low = 0
+        for part, r, p in zip(parts, row, place, strict=True):
+            gone: dict[int, set[int]] = {}
+            for k in np.flatnonzero(gone_at[low : low + len(r)]):
+                gone.setdefault(int(r[k]), set()).add(int(p[k]))
+            low += len(r)
+            docs = [(x or "").encode().split(b"\n") for x in part.column(text_at).to_pylist()]
+            yield part, [([x for j, x in enumerate(lines) if j not in gone[i]] if i in gone else lines, len(lines)) for i, lines in enumerate(docs)]
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -192,13 +224,14 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows lose all their lines but those of the largest id that holds them. A
     null or empty text is one empty line. A null id counts as a document and
     is smaller than every id; rows that repeat an id each count, and all rows
-    with the largest id keep the line. Other columns do not matter.
+    with the largest id keep the line. Other columns do not matter. The index
+    holds every key of two rows or more with its count; the count of the slot
+    that a line falls on decides.
     """
-    folder, files = build_index(repeated_lines(docs, id_col, text_col, min_chars, min_docs))
+    folder, files = build_index(repeated_lines(docs, id_col, text_col, min_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = _judge(batch, 0, 1, folder, files, min_chars)
+        for batch, got in _judge(batches, 0, 1, folder, files, min_chars, min_docs):
             kept = [b"\n".join(x) for x, _ in got]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -217,12 +250,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A text that loses nothing stays as it is, null included. ``chars_col``, if
     given, is set to the new length in code points where the text changed.
     """
-    folder, files = build_index(repeated_lines(docs, id_col, text_col, min_chars, min_docs))
+    folder, files = build_index(repeated_lines(docs, id_col, text_col, min_chars))
     at = {n: i for i, n in enumerate(docs.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = _judge(batch, at[id_col], at[text_col], folder, files, min_chars)
+        for batch, got in _judge(batches, at[id_col], at[text_col], folder, files, min_chars, min_docs):
             old = batch.column(at[text_col]).to_pylist()
             new = [x if len(k) == n else b"\n".join(k).decode() for x, (k, n) in zip(old, got, strict=True)]
             cols = list(batch.columns)
@@ -232,4 +264,4 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 cols[at[chars_col]] = pa.array([w if len(k) == n else len(x) for w, x, (k, n) in zip(was, new, got, strict=True)], cols[at[chars_col]].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
