@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from kinetable.operators.blocks import Seq, fit_bucket, number_rows, scan
+from kinetable.operators.selection import Cut, cut_at
 
 #: Order units per task for whole-table scans.
 GLOBAL_BLOCK = 1 << 20
@@ -76,10 +77,28 @@ def top_n_by(df: DataFrame, order: list[Column | str], n: int, keys: list[str] |
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
+def _first_rows(d: DataFrame, order: list[str], counts: list[int]) -> list[Cut | None] | None:
+    """For each of ``counts`` the cut that so many rows of ``d`` come before, None if all do.
+
+    None in place of the list if a cut runs through rows that are equal in
+    ``order``: then only a rank can tell them apart.
+    """
+    cuts = [cut_at(d, order, n) for n in counts]
+    return None if any(c is not None and c.before for c in cuts) else cuts
+
+
 def subsample(df: DataFrame, ids: list[str], frac: float, seed: int = 0, key: Column | None = None, bucket: Column | None = None) -> DataFrame:
-    """Exactly max(1, int(frac * n)) rows without replacement."""
-    n = F.greatest(F.lit(1), F.floor(table_count(df) * F.lit(frac)))
-    return seeded_rank(df, [], ids, seed, key, bucket, "_r").where(F.col("_r") < n).drop("_r")
+    """Exactly max(1, int(frac * n)) rows without replacement.
+
+    The row that ends the sample is found by counting; rows are then compared
+    with it where they are, so none is moved.
+    """
+    d = df.withColumn("_k", seeded_key(ids, seed) if key is None else key)
+    cuts = _first_rows(d, ["_k", *ids], [max(1, int(d.count() * frac))])
+    if cuts is None:
+        n = F.greatest(F.lit(1), F.floor(table_count(df) * F.lit(frac)))
+        return seeded_rank(df, [], ids, seed, key, bucket, "_r").where(F.col("_r") < n).drop("_r")
+    return (d if cuts[0] is None else d.where(cuts[0].above())).drop("_k")
 
 
 def trim_and_sample(df: DataFrame, seq: Seq, keep: float = 0.3, seed: int = 0, key: Column | None = None, bucket: Column | None = None) -> DataFrame:
@@ -97,14 +116,21 @@ def split(df: DataFrame, ids: list[str], test: float = 0.15, val: float = 0.05,
     """Label rows test (first int(test*n)), val (next int(val*n)) or train.
 
     With ``group`` whole groups (a clip and its mirrored copy) are ranked, so
-    they stay together.
+    they stay together; ``key`` is then a function of the group. The rows
+    that end the parts are found by counting, and rows are labelled by
+    comparison with them: no row is moved.
     """
-    units = df.select(*(group or ids)).distinct() if group else df
-    n = table_count(units)
-    t, v = F.floor(n * F.lit(test)), F.floor(n * F.lit(val))
-    r = seeded_rank(units, [], group or ids, seed, key, bucket, "_r")
-    r = r.withColumn("split", F.when(F.col("_r") < t, "test").when(F.col("_r") < t + v, "val").otherwise("train")).drop("_r")
-    return df.join(r, group) if group else r
+    own = group or ids
+    d = df.withColumn("_k", seeded_key(own, seed) if key is None else key)
+    units = d.select("_k", *own).distinct() if group else d
+    n = units.count()
+    t, v = int(n * test), int(n * val)
+    cuts = _first_rows(units, ["_k", *own], [t, t + v])
+    if cuts is None:
+        r = seeded_rank(df, [], ids, seed, key, bucket, "_r")
+        return r.withColumn("split", F.when(F.col("_r") < t, "test").when(F.col("_r") < t + v, "val").otherwise("train")).drop("_r")
+    first, second = (F.lit(True) if c is None else c.above() for c in cuts)
+    return d.withColumn("split", F.when(first, "test").when(second, "val").otherwise("train")).drop("_k")
 
 
 def sampling_weights(df: DataFrame, length: str) -> DataFrame:
