@@ -161,10 +161,15 @@ def per_sequence(df: DataFrame, keys: tuple[str, ...], **aggs: Column) -> DataFr
     """Attach per-sequence aggregates to every row.
 
     Aggregates are combined map-side; the result has one row per sequence and
-    is joined back, so no sequence is gathered in one task.
+    is joined back, so no sequence is gathered in one task. Null keys are a
+    sequence like any other.
     """
     a = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(a, list(keys))
+    if not keys:
+        return df.join(a)
+    a = a.withColumnsRenamed({k: f"_j_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in keys]
+    return df.join(a, same).drop(*[f"_j_{k}" for k in keys])
 
 
 def put_on_floor(df: DataFrame, keys: tuple[str, ...], y: str) -> DataFrame:
@@ -248,6 +253,40 @@ def contact_drift_correct(
     )
 
 
+class Pull:
+    """How a stretch of frames moves an offset of k steps, for every k at once.
+
+    A frame adds a step to offsets up to one threshold and takes one from those
+    from another on, so it keeps their order. What several frames do in a row
+    is therefore a list of pieces, each of which moves all its k alike; a frame
+    cuts two of them at most.
+    """
+
+    def __init__(self) -> None:
+        self.starts = np.array([-(1 << 60)], np.int64)  # first k of each piece
+        self.moves = np.zeros(1, np.int64)
+
+    def add(self, up_to: int, down_from: int) -> None:
+        """Puts a frame behind the others: offsets up to ``up_to`` go up a step, those from ``down_from`` on go down."""
+        at = self._cut(up_to + 1), self._cut(down_from)
+        i, j = np.searchsorted(self.starts, at)
+        self.moves[:i] += 1
+        self.moves[j:] -= 1
+        same = np.append(False, self.moves[1:] == self.moves[:-1])
+        if same.any():
+            self.starts, self.moves = self.starts[~same], self.moves[~same]
+
+    def _cut(self, value: int) -> int:
+        """The first k that has come to ``value`` or more, made the start of a piece."""
+        ends = np.append(self.starts[1:] - 1, 1 << 60) + self.moves  # where the last k of each piece has come to
+        p = int(np.searchsorted(ends, value))
+        k = max(int(self.starts[p]), value - int(self.moves[p]))
+        if k != self.starts[p]:
+            self.starts, self.moves = np.insert(self.starts, p + 1, k), np.insert(self.moves, p + 1, self.moves[p])
+        return k
+
+    def __call__(self, k: int) -> int:
+        return k + int(self.moves[np.searchsorted(self.starts, k, side="right") - 1])
 
 
 def camera_drift_correct(df: DataFrame, seq: Seq, joints: int = 6, far: float = 0.25, step: float = 0.02) -> DataFrame:
@@ -256,42 +295,103 @@ def camera_drift_correct(df: DataFrame, seq: Seq, joints: int = 6, far: float =
     Columns: x, y, z (world root), rx, ry, rz (its root joint), cx, cy, cz
     (the camera track seen in the world), ``static_points`` (3 numbers per
     static joint), ``static_logits`` (per joint) and ``low`` (lowest joint
-    height). Where the root is off by more than ``far`` on an axis, every later
-    frame moves by at most ``step``; then the mean displacement of joints with
-    contact probability above 0.8 is removed from the ground plane.
-
-    The pull depends on all earlier pulls, so rows of a clip are read in order
-    and in chunks, with only the current offset and previous joints kept.
+    height). Where the root is off by ``far`` (at least ``step``) or more on an
+    axis, every later frame moves by ``step``; then the mean displacement of
+    joints with contact probability above 0.8 is removed from the ground plane.
+    A frame without a root or camera position pulls nothing.
+
+    The pull depends on all earlier pulls. A block of frames is summed up as
+    what it does to any offset (``Pull``); these maps, one row per block, give
+    each block the offset it begins with and the frame before it, and all
+    blocks of a clip are then corrected apart from each other. The holding
+    part is a running sum.
     """
-    keys = list(seq.keys)
-    names = [*keys, seq.order, "x", "y", "z", "floor"]
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in names)
-
-    def correct(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pulled, held, last, frozen = np.zeros(3), np.zeros(3), None, None
-        for pdf in parts:
-            root = pdf[["rx", "ry", "rz"]].to_numpy(float)
-            cam = pdf[["cx", "cy", "cz"]].to_numpy(float)
-            pts = np.stack([np.asarray(v, float) for v in pdf["static_points"]]).reshape(len(pdf), joints, 3)
-            on = 1 / (1 + np.exp(-np.stack([np.asarray(v, float) for v in pdf["static_logits"]]))) > 0.8
-            out, low = pdf[["x", "y", "z"]].to_numpy(float), pdf["low"].to_numpy(float)
-            floor = np.empty(len(pdf))
-            for i in range(len(pdf)):
-                if last is not None:
-                    off = root[i] - pulled - cam[i]
-                    off[np.abs(off) < far] = 0.0
-                    pulled = pulled + np.clip(off, -step, step)
-                here = pts[i] - pulled
-                if last is not None:
-                    slide = ((here - last) * frozen[:, None]).sum(0) / max(1, frozen.sum())
-                    held = held + slide * np.array([1.0, 0.0, 1.0])
-                last, frozen = here, on[i]
-                out[i] -= pulled + held
-                floor[i] = low[i] - pulled[1]
-            res = pdf[[*keys, seq.order]].copy()
-            res[["x", "y", "z"]], res["floor"] = out, floor
-            yield res[names]
-
-    d = sequence_udf(df, keys, seq.order, correct, schema)
-    return per_sequence(d, seq.keys, _g=F.min("floor")).withColumn("y", F.col("y") - F.col("_g")).drop("_g", "floor")
+    if far < step:
+        raise ValueError("far has to be at least step")
+    keys, o = list(seq.keys), seq.order
+    root, cam = ["rx", "ry", "rz"], ["cx", "cy", "cz"]
+    own = df.withColumn("_blk", seq.block())
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    key_kinds = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def aims(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf[root].to_numpy(float) - pdf[cam].to_numpy(float)
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(o, kind="stable", na_position="first")
+        aim = aims(pdf)
+        starts, moves, begun = [], [], []
+        for axis in range(3):
+            pull, k = Pull(), 0
+            for i, e in enumerate(aim[:, axis]):
+                if np.isnan(e):
+                    continue
+                pull.add(int(np.floor((e - far) / step)), int(np.ceil((e + far) / step)))
+                if i:  # the clip's first frame is not pulled
+                    k += _pulls(e, k)
+            starts.append(pull.starts.tolist())
+            moves.append(pull.moves.tolist())
+            begun.append(k)
+        out = pdf[[*keys, "_blk"]].head(1).copy()
+        out["_starts"], out["_moves"], out["_begun"] = [starts], [moves], [begun]
+        out["_points"], out["_logits"] = [pdf["static_points"].iloc[-1]], [pdf["static_logits"].iloc[-1]]
+        return out
+
+    def _pulls(e: float, k: int) -> int:
+        return 1 if k <= np.floor((e - far) / step) else -1 if k >= np.ceil((e + far) / step) else 0
+
+    def handed_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk", na_position="first")
+        k, points, logits, rows = None, None, None, []
+        for r in pdf.to_dict("records"):
+            rows.append((k if k is not None else [0, 0, 0], points, logits, k is None))
+            if k is None:
+                k = list(r["_begun"])
+            else:
+                k = [x + int(m[np.searchsorted(s, x, side="right") - 1]) for x, s, m in zip(k, r["_starts"], r["_moves"], strict=True)]
+            points, logits = r["_points"], r["_logits"]
+        out = pdf[[*keys, "_blk"]].copy()
+        for name, column in zip(("_k", "_points", "_logits", "_first"), zip(*rows, strict=True), strict=True):
+            out[name] = list(column)
+        return out
+
+    names = [*keys, o, "x", "y", "z", "_floor", "_slide_x", "_slide_z"]
+
+    def corrected(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(o, kind="stable", na_position="first")
+        state = carry.iloc[0]
+        aim, n = aims(pdf), len(pdf)
+        k = np.zeros((n, 3), np.int64)
+        for axis in range(3):
+            now = int(state["_k"][axis])
+            for i, e in enumerate(aim[:, axis]):
+                if not np.isnan(e) and (i or not state["_first"]):
+                    now += _pulls(e, now)
+                k[i, axis] = now
+        pulled = k * step
+        points = np.stack([np.asarray(v, float) for v in pdf["static_points"]]).reshape(n, joints, 3)
+        on = 1 / (1 + np.exp(-np.stack([np.asarray(v, float) for v in pdf["static_logits"]]))) > 0.8
+        here = points - pulled[:, None]
+        if state["_first"]:
+            before, was = np.concatenate([here[:1], here[:-1]]), np.concatenate([np.zeros_like(on[:1]), on[:-1]])
+        else:
+            last = np.asarray(state["_points"], float).reshape(1, joints, 3) - np.asarray(state["_k"], float) * step
+            before = np.concatenate([last, here[:-1]])
+            was = np.concatenate([1 / (1 + np.exp(-np.asarray(state["_logits"], float)[None])) > 0.8, on[:-1]])
+        slide = ((here - before) * was[:, :, None]).sum(axis=1) / np.maximum(1, was.sum(axis=1))[:, None]
+        out = pdf[[*keys, o]].copy()
+        out[["x", "y", "z"]] = pdf[["x", "y", "z"]].to_numpy(float) - pulled
+        out["_floor"], out["_slide_x"], out["_slide_z"] = pdf["low"].to_numpy(float) - pulled[:, 1], slide[:, 0], slide[:, 2]
+        return out[names]
+
+    blocks = own.groupBy(*keys, "_blk").applyInPandas(
+        summed, f"{key_kinds}, _blk bigint, _starts array<array<bigint>>, _moves array<array<bigint>>, _begun array<bigint>, _points {kinds['static_points']}, _logits {kinds['static_logits']}"
+    )
+    carry = blocks.groupBy(*keys).applyInPandas(
+        handed_on, f"{key_kinds}, _blk bigint, _k array<bigint>, _points {kinds['static_points']}, _logits {kinds['static_logits']}, _first boolean"
+    )
+    schema = ", ".join(f"`{c}` {kinds[c] if c in (*keys, o) else 'double'}" for c in names)
+    d = own.groupBy(*keys, "_blk").cogroup(carry.groupBy(*keys, "_blk")).applyInPandas(corrected, schema)
+    d = scan(d, seq, sums={"_held_x": F.col("_slide_x"), "_held_z": F.col("_slide_z")})
+    d = d.withColumns({"x": F.col("x") - F.col("_held_x"), "z": F.col("z") - F.col("_held_z")}).drop("_held_x", "_held_z", "_slide_x", "_slide_z")
+    return per_sequence(d, seq.keys, _g=F.min("_floor")).withColumn("y", F.col("y") - F.col("_g")).drop("_g", "_floor")

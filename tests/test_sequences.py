@@ -218,3 +218,58 @@ def test_local_velocity_heights(spark):
         if height == "absolute":
             want[:, 1] = p[:, 1]
         np.testing.assert_allclose(got, want, atol=1e-9)
+
+
+def pulled_by_rows(rows, joints, far=0.25, step=0.02):
+    """Frame by frame, with the offset counted in steps."""
+    k, held, last, frozen, out = np.zeros(3, int), np.zeros(3), None, None, []
+    for r in rows:
+        pts = np.array(r["static_points"]).reshape(joints, 3)
+        on = 1 / (1 + np.exp(-np.array(r["static_logits"]))) > 0.8
+        if last is not None:
+            e = np.array([r["rx"], r["ry"], r["rz"]]) - np.array([r["cx"], r["cy"], r["cz"]])
+            k = k + np.where(k <= np.floor((e - far) / step), 1, np.where(k >= np.ceil((e + far) / step), -1, 0))
+        here = pts - k * step
+        if last is not None:
+            held = held + ((here - last) * frozen[:, None]).sum(0) / max(1, frozen.sum()) * np.array([1.0, 0.0, 1.0])
+        last, frozen = here, on
+        out.append((*(np.array([r["x"], r["y"], r["z"]]) - k * step - held), r["low"] - k[1] * step))
+    out = np.array(out)
+    out[:, 1] -= out[:, 3].min()
+    return out[:, :3]
+
+
+@pytest.mark.parametrize("size", [7, 64, 3840])
+def test_camera_drift_in_blocks_is_the_row_loop(spark, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for clip, n in ((1, 400), (2, 1), (None, 90)):
+        drift = np.cumsum(rng.normal(0, 0.08, (n, 3)), axis=0)
+        for i in range(n):
+            p = rng.normal(0, 1, 3)
+            rows.append({"clip": clip, "pos": i, **dict(zip("xyz", p.tolist())), **dict(zip(("rx", "ry", "rz"), (p + drift[i]).tolist())), **dict(zip(("cx", "cy", "cz"), p.tolist())),
+                         "static_points": rng.normal(0, 1, 6).tolist(), "static_logits": rng.normal(1, 2, 2).tolist(), "low": float(p[1] - 1)})
+    kind = "clip long, pos long, x double, y double, z double, rx double, ry double, rz double, cx double, cy double, cz double, static_points array<double>, static_logits array<double>, low double"
+    df = spark.createDataFrame([tuple(r.values()) for r in rng.permutation(np.array(rows, object)).tolist()], kind)
+    out = K.camera_drift_correct(df, Seq(("clip",), "pos", size), 2)
+    assert sorted(out.columns) == ["clip", "pos", "x", "y", "z"]
+    got = {(r.clip, r.pos): (r.x, r.y, r.z) for r in out.collect()}
+    assert len(got) == len(rows)
+    for clip in (1, 2, None):
+        own = [r for r in rows if r["clip"] == clip]
+        np.testing.assert_allclose([got[clip, r["pos"]] for r in own], pulled_by_rows(own, 2), atol=1e-9)
+
+
+def test_pull_maps_every_offset():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        pull, frames = K.Pull(), []
+        for _ in range(int(rng.integers(0, 60))):
+            a = int(rng.integers(-20, 20))
+            frames.append((a, a + int(rng.integers(2, 12))))
+            pull.add(*frames[-1])
+        for k in range(-90, 91):
+            now = k
+            for a, b in frames:
+                now += 1 if now <= a else -1 if now >= b else 0
+            assert pull(k) == now
