@@ -150,7 +150,27 @@ def contact_drift_correct(spark, sf):
     return rounded(K.contact_drift_correct(roots, js, Seq(("clip",), "frame"), "joint", "logit"))
 
 
-@query("camera_drift_correct")
+def _drift_sql() -> str:
+    """The offset, in steps of 0.02 an axis, frame by frame; joints are held by a running sum."""
+    move = lambda i: f"""p.k{i} + CASE WHEN p.k{i} <= floor((f.a[{i + 1}] - f.a[{i + 4}] - 0.1) / 0.02) THEN 1
+  WHEN p.k{i} >= ceil((f.a[{i + 1}] - f.a[{i + 4}] + 0.1) / 0.02) THEN -1 ELSE 0 END"""
+    held = "1 / (1 + exp(-20 * b[25 + j])) > 0.8"
+    slide = lambda c, k: f"""coalesce(list_sum(list_transform(range(0, 6), lambda j: CASE WHEN {held}
+  THEN a[{c} + 3 * j] - {k} * 0.02 - (b[{c} + 3 * j] - l{k} * 0.02) ELSE 0 END)) / greatest(1, len(list_filter(range(0, 6), lambda j: {held}))), 0)"""
+    return f"""WITH RECURSIVE {J22_SQL},
+pull AS (
+  SELECT label, pos, 0 AS k0, 0 AS k1, 0 AS k2 FROM j22 WHERE pos = 0
+  UNION ALL SELECT f.label, f.pos, {move(0)}, {move(1)}, {move(2)} FROM pull p JOIN j22 f ON f.label = p.label AND f.pos = p.pos + 1),
+q AS (
+  SELECT f.label, f.pos, a, k0, k1, k2, lag(a) OVER w AS b, lag(k0) OVER w AS lk0, lag(k2) OVER w AS lk2
+  FROM j22 f JOIN pull USING (label, pos) WINDOW w AS (PARTITION BY f.label ORDER BY f.pos)),
+s AS (SELECT *, {slide(7, "k0")} AS sx, {slide(9, "k2")} AS sz FROM q)
+SELECT label, pos, round(a[1] - k0 * 0.02 - sum(sx) OVER up, 6) AS x, round(a[2] - k1 * 0.02 - min(list_min(a) - k1 * 0.02) OVER (PARTITION BY label), 6) AS y,
+       round(a[3] - k2 * 0.02 - sum(sz) OVER up, 6) AS z
+FROM s WINDOW up AS (PARTITION BY label ORDER BY pos)"""
+
+
+@query("camera_drift_correct", _drift_sql())
 def camera_drift_correct(spark, sf):
     at = lambda i: F.get("a", F.lit(i))
     d = joints22(spark, sf).select(
