@@ -96,8 +96,8 @@ def put_on_floor(spark, sf):
 
 @query(
     "xz_origin",
-    f"""WITH {JOINT_SQL}, f AS (SELECT clip, px AS ox, pz AS oz FROM jt WHERE frame = 0 AND joint = 0)
-SELECT clip, frame, CAST(joint AS INT) AS joint, round(px - ox, 6) AS x, round(pz - oz, 6) AS z FROM jt JOIN f USING (clip)""",
+    f"""WITH {JOINT_SQL} SELECT clip, frame, CAST(joint AS INT) AS joint,
+       round(px - min(px) FILTER (frame = 0 AND joint = 0) OVER (PARTITION BY clip), 6) AS x, round(pz - min(pz) FILTER (frame = 0 AND joint = 0) OVER (PARTITION BY clip), 6) AS z FROM jt""",
 )
 def xz_origin(spark, sf):
     d = K.xz_origin(joint_table(spark, sf), ("clip",), "frame", "px", "pz", F.col("joint") == 0)
