@@ -23,18 +23,19 @@ def densify(df: DataFrame, seq: Seq, spans: DataFrame) -> DataFrame:
     return g.join(df, [*seq.keys, seq.order], "left")
 
 
+def between(o: Column, x: Column, a: Column, b: Column) -> Column:
+    """``x``, or the line at ``o`` through the known samples (t, v) before and after it."""
+    lerp = a["v"] + (b["v"] - a["v"]) * (o - a["t"]) / (b["t"] - a["t"])
+    return F.when(x.isNotNull(), x.cast("double")).otherwise(F.coalesce(lerp, a["v"], b["v"]))
+
+
 def interpolate_gaps(df: DataFrame, seq: Seq, cols: list[str]) -> DataFrame:
     """Linear inside gaps, held at both ends."""
     o = F.col(seq.order)
     pick = {c: F.when(F.col(c).isNotNull(), F.struct(o.alias("t"), F.col(c).cast("double").alias("v"))) for c in cols}
     d = scan(df, seq, last={f"_l{i}": pick[c] for i, c in enumerate(cols)}, next={f"_n{i}": pick[c] for i, c in enumerate(cols)})
 
-    def value(i: int, c: str) -> Column:
-        a, b = F.col(f"_l{i}"), F.col(f"_n{i}")
-        lerp = a["v"] + (b["v"] - a["v"]) * (o - a["t"]) / (b["t"] - a["t"])
-        return F.when(F.col(c).isNotNull(), F.col(c).cast("double")).otherwise(F.coalesce(lerp, a["v"], b["v"]))
-
-    out = {c: value(i, c) for i, c in enumerate(cols)}
+    out = {c: between(o, F.col(c), F.col(f"_l{i}"), F.col(f"_n{i}")) for i, c in enumerate(cols)}
     return d.withColumns(out).drop(*[f"_{p}{i}" for p in "ln" for i in range(len(cols))])
 
 

@@ -81,8 +81,21 @@ def fill_zero_gaps(df: DataFrame, seq: Seq, col: str, width: int) -> DataFrame:
     over ``width`` rows and up again before the end; border runs ramp on their
     one known side."""
     x = F.col(col).cast("double")
-    d = with_runs(df.withColumn("_zero", x == 0), seq, F.col("_zero"))
-    d = scan(d, seq, last={"_lv": F.when(~F.col("_zero"), x)}, next={"_rv": F.when(~F.col("_zero"), x)})
+    o = F.col(seq.order)
+    kinds = {"full": x != 0, "zero": x == 0, "none": x.isNull()}
+    seen = {k: F.when(c, F.struct(o.alias("t"), x.alias("v"))) for k, c in kinds.items()}
+    d = df.withColumn("_zero", x == 0)
+    d = scan(d, seq, last={f"_l_{k}": c for k, c in seen.items()}, next={f"_n_{k}": c for k, c in seen.items()}, ends=("_first", "_last"))
+    other = F.col("_zero")  # a run ends where a row of another kind stands; null rows are a kind of their own
+
+    def border(side: str, pick) -> Column:
+        t = {k: F.col(f"_{side}_{k}")["t"] for k in kinds}
+        return F.when(other, pick(t["full"], t["none"])).when(other.isNull(), pick(t["full"], t["zero"]))
+
+    d = d.withColumns({
+        "run_start": F.coalesce(border("l", F.greatest) + 1, "_first"), "run_end": F.coalesce(border("n", F.least) - 1, "_last"),
+        "_lv": F.col("_l_full")["v"], "_rv": F.col("_n_full")["v"],
+    })
     n = F.col("run_end") - F.col("run_start") + 1
     i = F.col(seq.order) - F.col("run_start") + 1  # 1-based place in the run
     j = F.col("run_end") - F.col(seq.order) + 1  # 1-based from the end

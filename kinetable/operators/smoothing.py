@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from kinetable.operators.blocks import Seq, neighbors
+from kinetable.operators.blocks import Seq, WindowExpr, neighbors
 
 
 def list_mode(labels: Column) -> Column:
@@ -75,26 +75,32 @@ def gaussian_smooth(
     return d.withColumns({c: smooth(n) for c, n in names.items()}).drop("_before", *names.values())
 
 
+def mean_reach(width: int, edge: str) -> tuple[int, int]:
+    """Rows before and after that a mean over ``width`` rows reads."""
+    hi = (width - 1) // 2 if edge == "zero" else width // 2
+    return (width - 1 - hi if edge == "zero" else width // 2), hi
+
+
+def mean_window(c: str, width: int, edge: str) -> WindowExpr:
+    lo, hi = mean_reach(width, edge)
+
+    def expr(w: WindowSpec) -> Column:
+        f = w.rowsBetween(-lo, hi)
+        x = F.col(c).cast("double")
+        s = F.sum(x).over(f)
+        if edge == "replicate":
+            left = F.lit(lo) - F.count(F.lit(1)).over(w.rowsBetween(-lo, -1))
+            right = F.lit(hi) - F.count(F.lit(1)).over(w.rowsBetween(1, hi))
+            s = s + left * F.first(x).over(f) + right * F.last(x).over(f)
+        return s / F.lit(float(lo + hi + 1))
+
+    return expr
+
+
 def moving_average(df: DataFrame, seq: Seq, cols: list[str], width: int, edge: str = "zero") -> DataFrame:
     """Mean over ``width`` rows. ``zero`` pads with zeros (for even widths the
     window reaches one row further back); ``replicate`` repeats border rows."""
-    hi = (width - 1) // 2 if edge == "zero" else width // 2
-    lo = (width - 1 - hi) if edge == "zero" else width // 2
-    span = lo + hi + 1
-
-    def mean(c: str):
-        def expr(w):
-            f = w.rowsBetween(-lo, hi)
-            x = F.col(c).cast("double")
-            s = F.sum(x).over(f)
-            if edge == "replicate":
-                left = F.lit(lo) - F.count(F.lit(1)).over(w.rowsBetween(-lo, -1))
-                right = F.lit(hi) - F.count(F.lit(1)).over(w.rowsBetween(1, hi))
-                s = s + left * F.first(x).over(f) + right * F.last(x).over(f)
-            return s / F.lit(float(span))
-
-        return expr
-
-    stage = {f"_m{i}": mean(c) for i, c in enumerate(cols)}
+    lo, hi = mean_reach(width, edge)
+    stage = {f"_m{i}": mean_window(c, width, edge) for i, c in enumerate(cols)}
     d = neighbors(df, seq, lo, hi, stage)
     return d.withColumns({c: F.col(f"_m{i}") for i, c in enumerate(cols)}).drop(*stage)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinetable.functions import boxes as B
-from kinetable.operators.blocks import Seq, grid, neighbors, scan
-from kinetable.operators.resample import densify, interpolate_gaps
+from kinetable.operators.blocks import Seq, grid, neighbors, pipeline, scan
+from kinetable.operators.resample import between
 from kinetable.operators.runs import max_gap
-from kinetable.operators.smoothing import moving_average
+from kinetable.operators.smoothing import mean_reach, mean_window
 
 
 def track_gate(df: DataFrame, seq: Seq, present: Column, max_missing: int = 60, min_duration: int = 30) -> DataFrame:
@@ -32,20 +32,50 @@ def clean_tracks(
     """Densify, drop bad tracks, interpolate, smooth twice, flag.
 
     Flags mark interpolated frames and, through ``anomaly`` (an expression on
-    ``prev_<col>`` and ``<col>``), frames that jump.
+    ``prev_<col>`` and ``<col>``), frames that jump. All steps share one
+    shuffle of the detections; see :func:`kinetable.operators.blocks.pipeline`.
+    A null key is a key of its own.
     """
-    dense = densify(detections, seq, spans)
+    o = F.col(seq.order)
+    frames = grid(spans, seq.keys, F.col("first"), F.col("last"), seq.order).withColumn("_grid", F.lit(True))
+    rows = frames.unionByName(detections.withColumn("_grid", F.lit(False)), allowMissingColumns=True)
+    lo, hi = mean_reach(width, "replicate")
     present = F.col(cols[0]).isNotNull()
-    kept = track_gate(dense, seq, present, max_missing, min_duration)
-    d = dense.join(kept, list(seq.keys), "left_semi").withColumn("interpolated", ~present)
-    d = interpolate_gaps(d, seq, cols)
-    for _ in range(2):
-        d = moving_average(d, seq, cols, width, "replicate")
-    if anomaly is None:
-        return d.withColumn("flagged", F.col("interpolated"))
-    d = neighbors(d, seq, 1, 0, {f"prev_{c}": (lambda w, c=c: F.lag(c).over(w)) for c in cols})
-    d = d.withColumn("flagged", F.col("interpolated") | F.coalesce(anomaly, F.lit(False)))
-    return d.drop(*[f"prev_{c}" for c in cols])
+
+    def densified(d: DataFrame, w: WindowSpec) -> DataFrame:
+        """Detections on the grid, and grid frames without one."""
+        at = Window.partitionBy("_g", seq.order)
+        d = d.withColumns({"_on": F.max("_grid").over(at), "_seen": F.min("_grid").over(at)})
+        d = d.where(F.col("_on") & (F.col("_seen") | ~F.col("_grid"))).drop("_on", "_seen")
+        mine = F.when(present & ~F.col("_halo"), o)
+        return d.withColumn("_gap", mine - F.last(mine, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) - 1)
+
+    here = F.when(~F.col("_halo"), o)
+    summary = {
+        "_a": F.min(here), "_z": F.max(here), "_p": F.min(F.when(present, here)), "_q": F.max(F.when(present, here)), "_m": F.max("_gap"),
+    }
+
+    def good(blocks: DataFrame, whole: WindowSpec, back: WindowSpec) -> DataFrame:
+        lead = F.col("_p") - F.coalesce(F.max("_q").over(back), F.min("_a").over(whole) - 1) - 1
+        tail = F.max("_z").over(whole) - F.max("_q").over(whole)
+        d = blocks.withColumns({"_lead": lead, "_tail": tail, "_long": F.max("_q").over(whole) - F.min("_p").over(whole) + 1})
+        d = d.withColumn("_worst", F.max(F.greatest("_m", "_lead", "_tail")).over(whole))
+        return d.where((F.col("_worst") <= max_missing) & (F.col("_long") >= min_duration))
+
+    def smoothed(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("interpolated", ~present).withColumns({c: between(o, F.col(c), F.col(f"_l{i}"), F.col(f"_n{i}")) for i, c in enumerate(cols)})
+        for _ in range(2):
+            d = d.withColumns({f"_s{i}": mean_window(c, width, "replicate")(w) for i, c in enumerate(cols)})
+            d = d.withColumns({c: F.col(f"_s{i}") for i, c in enumerate(cols)})
+        if anomaly is None:
+            return d.withColumn("flagged", F.col("interpolated"))
+        d = d.withColumns({f"prev_{c}": F.lag(c).over(w) for c in cols})
+        return d.withColumn("flagged", F.col("interpolated") | F.coalesce(anomaly, F.lit(False)))
+
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(o.alias("t"), F.col(c).cast("double").alias("v"))) for c in cols}
+    last, following = ({f"_{p}{i}": known[c] for i, c in enumerate(cols)} for p in "ln")
+    d = pipeline(rows, seq, 2 * lo + 1, 2 * hi, last, following, densified, summary, good, smoothed)
+    return d.select(*seq.keys, seq.order, *[c for c in detections.columns if c not in (*seq.keys, seq.order)], "interpolated", "flagged")
 
 
 def variation_anomalies(df: DataFrame, seq: Seq, step: Column, size: Column, ratio: float = 0.2) -> DataFrame:
