@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinetable.functions import vectors as V
 from kinetable.operators.blocks import number_rows
-from kinetable.operators.budget import GLOBAL_BLOCK, seeded_rank
+from kinetable.operators.budget import GLOBAL_BLOCK
 from kinetable.operators.knn import knn
 
 #: Partial sums are folded to this many rows before their final grouping.
@@ -280,26 +280,79 @@ def confidence(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def reconstruction_report(pairs: DataFrame, ident: str, real: str, pred: str, pool_size: int = 32, n: int = 300, runs: int = 3, seed: int = 0) -> DataFrame:
-    """Distribution and matching metrics of predicted against real vectors,
-    repeated with fresh draws: metric, mean, ci."""
-    rows = None
-    fid = frechet_distance(pairs.select(F.col(real).alias("v")), pairs.select(F.col(pred).alias("v")), "v")
-    for run in range(runs):
-        order = seeded_rank(pairs, [], [ident], seed + run, out="_o")
-        pooled = order.withColumn("pool", F.floor(F.col("_o") / pool_size).cast("long"))
-        a, b = (F.xxhash64(F.col(ident), F.lit(seed + 1000 * (run + 1) + s)) for s in (1, 2))
-        found = [
-            fid.select(F.lit("frechet").alias("metric"), F.col("frechet").alias("value")),
-            diversity(pairs, ident, real, n, a, b).select(F.lit("diversity_real"), "diversity"),
-            diversity(pairs, ident, pred, n, a, b).select(F.lit("diversity_pred"), "diversity"),
-            matching_score(pairs, real, pred).select(F.lit("matching"), "matching_score"),
-        ]
-        rp = r_precision(pooled, pooled, ident, pred, real, "pool", 3)
-        found += [rp.select(F.lit(f"r_precision_{i}"), f"top_{i}") for i in (1, 2, 3)]
-        for f in found:
-            f = f.toDF("metric", "value")
-            rows = f if rows is None else rows.unionByName(f)
+def pooled_matches(df: DataFrame, run: str, pool: str, ident: str, cond: str, vecs: dict[str, str], k: int = 3, batch: int = 64) -> DataFrame:
+    """Per run and kind of vector: rows, rows whose own vector is the 1..k nearest to
+    their condition within the pool, and the summed distance to it.
+
+    ``vecs`` names the vector column of each kind. Ties go to the lower id.
+    ``batch`` pools meet in one task and leave one row a kind; a pool is small by
+    its definition.
+    """
+    near = [f"near_{i}" for i in range(1, k + 1)]
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        sums = {kind: np.zeros(k + 2) for kind in vecs}
+        for _, g in pdf.groupby(pool):
+            g = g.sort_values(ident)
+            c = _stack(g[cond])
+            for kind, col in vecs.items():
+                x = _stack(g[col])
+                d = np.sqrt(((c[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+                own = np.diag(d)
+                before = np.tril(np.ones(d.shape, dtype=bool), -1)  # candidates of a lower id
+                rank = (d < own[:, None]).sum(1) + ((d == own[:, None]) & before).sum(1)
+                sums[kind] += [len(g), own.sum(), *((rank < i).sum() for i in range(1, k + 1))]
+        return pd.DataFrame([[pdf[run].iloc[0], kind, int(v[0]), v[1], *v[2:].astype(int)] for kind, v in sums.items()])
+
+    schema = f"run int, kind string, n long, dist double, {', '.join(f'{c} long' for c in near)}"
+    d = df.select(F.col(run).cast("int").alias(run), pool, ident, cond, *vecs.values()).withColumn("_many", F.floor(F.col(pool) / batch))
+    parts = d.groupBy(run, "_many").applyInPandas(meet, schema)
+    return parts.groupBy("run", "kind").agg(*[F.sum(c).alias(c) for c in ("n", "dist", *near)])
+
+
+def reconstruction_report(
+    pairs: DataFrame, ident: str, real: str, pred: str, cond: str | None = None, pool_size: int = 32, n: int = 300, runs: int = 3, seed: int = 0,
+    frechet: bool = True, order: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None,
+    draws: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None,
+) -> DataFrame:
+    """Distribution and matching metrics of real and predicted vectors over
+    repeated pools and draws: metric, mean, ci.
+
+    ``cond`` is the vector both sides are matched against (of the caption); without
+    one the predictions are matched against the real vectors. All runs go through one
+    pass: the table is numbered once per run in a seeded order and cut into pools.
+    ``order`` gives that order as a key and a bucket of it, both functions of the run,
+    and ``draws`` the two keys of the diversity draws. Rows with a null vector are left
+    out. A value that needs no draw, such as the Fréchet distance, has the interval 0.
+    """
+    used = [c for c in (real, pred, cond) if c]
+    known = pairs.select(ident, *dict.fromkeys(used))
+    for c in used:
+        known = known.where(F.col(c).isNotNull())
+    d = known.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    r = F.col("run")
+    if order is None:
+        hashed = lambda run: F.xxhash64(ident, F.lit(seed), run)
+        order = hashed, lambda run: F.shiftright(hashed(run), 48)
+    if draws is None:
+        draws = tuple((lambda run, s=s: F.xxhash64(F.col(ident), F.lit(seed + s), run)) for s in (1, 2))
+    placed = number_rows(d.withColumn("_k", order[0](r)), ["run"], ["_k", ident], order[1](r), "_o")
+    placed = placed.withColumn("pool", F.floor(F.col("_o") / pool_size))
+    kinds = {"real": real, "pred": pred} if cond else {"pred": pred}
+    m = pooled_matches(placed, "run", "pool", ident, cond or real, kinds, 3)
+    each = {"matching": F.col("dist") / F.col("n"), **{f"r_precision_{i}": F.col(f"near_{i}") / F.col("n") for i in (1, 2, 3)}}
+    named = F.explode(F.map_from_arrays(F.array(*[F.concat(F.lit(f"{name}_"), "kind") for name in each]), F.array(*each.values())))
+    rows = m.select(named.alias("metric", "value"))
+    def drawn(key: Callable[[Column], Column], name: str) -> DataFrame:
+        k = F.row_number().over(Window.partitionBy("run").orderBy(key(r), ident)).alias("draw")
+        return d.select("run", k, F.struct(F.col(real).alias("real"), F.col(pred).alias("pred")).alias(name)).where(F.col("draw") <= n)
+
+    both = drawn(draws[0], "a").join(drawn(draws[1], "b"), ["run", "draw"])
+    far = both.groupBy("run").agg(*[F.avg(V.distance(F.col(f"a.{c}"), F.col(f"b.{c}"))).alias(f"diversity_{c}") for c in ("real", "pred")])
+    rows = rows.unionByName(far.unpivot("run", ["diversity_real", "diversity_pred"], "metric", "value").select("metric", "value"))
+    if frechet:
+        fid = frechet_distance(known.select(F.col(real).alias("v")), known.select(F.col(pred).alias("v")), "v")
+        rows = rows.unionByName(fid.select(F.lit("frechet").alias("metric"), F.col("frechet").alias("value")))
     return confidence(rows, ["metric"], "value")
 
 

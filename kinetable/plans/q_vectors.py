@@ -313,9 +313,38 @@ def matching_score(spark, sf):
     return VM.matching_score(next_pairs(spark, sf), "p", "t").select(F.round("matching_score", 6).alias("matching_score"))
 
 
-@query("reconstruction_report")
+@query(
+    "reconstruction_report",
+    f"""WITH {NEXT_SQL}, runs AS (SELECT CAST(unnest(range(0, 3)) AS INT) AS run),
+tri AS (SELECT pr.vec_id, t, p, [0.75 * t[x] + 0.25 * n.e[x] FOR x IN range(1, 65)] AS c FROM pr JOIN emb n ON n.vec_id = pr.vec_id + 2),
+o AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY run ORDER BY (vec_id * 7919 + run * 4001) % 10007, vec_id) - 1) / 32) AS BIGINT) AS pool,
+  row_number() OVER (PARTITION BY run ORDER BY (vec_id * 104729 + run * 31) % 10009, vec_id) AS ka,
+  row_number() OVER (PARTITION BY run ORDER BY (vec_id * 611953 + run * 17) % 10037, vec_id) AS kb FROM tri CROSS JOIN runs),
+rk AS (SELECT a.run, a.vec_id AS q, b.vec_id AS x, list_distance(a.c, b.t) AS dt, list_distance(a.c, b.p) AS dp,
+  row_number() OVER (PARTITION BY a.run, a.vec_id ORDER BY list_distance(a.c, b.t), b.vec_id) AS rt,
+  row_number() OVER (PARTITION BY a.run, a.vec_id ORDER BY list_distance(a.c, b.p), b.vec_id) AS rp FROM o a JOIN o b ON a.run = b.run AND a.pool = b.pool),
+own AS (SELECT * FROM rk WHERE q = x), ks AS (SELECT unnest(range(1, 4)) AS i),
+v AS (SELECT run, 'matching_real' AS metric, avg(dt) AS value FROM own GROUP BY run
+  UNION ALL SELECT run, 'matching_pred', avg(dp) FROM own GROUP BY run
+  UNION ALL SELECT run, 'r_precision_' || i || '_real', avg(CASE WHEN rt <= i THEN 1.0 ELSE 0 END) FROM own CROSS JOIN ks GROUP BY run, i
+  UNION ALL SELECT run, 'r_precision_' || i || '_pred', avg(CASE WHEN rp <= i THEN 1.0 ELSE 0 END) FROM own CROSS JOIN ks GROUP BY run, i
+  UNION ALL SELECT a.run, 'diversity_real', avg(list_distance(a.t, b.t)) FROM o a JOIN o b ON a.run = b.run AND a.ka = b.kb WHERE a.ka <= 300 GROUP BY a.run
+  UNION ALL SELECT a.run, 'diversity_pred', avg(list_distance(a.p, b.p)) FROM o a JOIN o b ON a.run = b.run AND a.ka = b.kb WHERE a.ka <= 300 GROUP BY a.run)
+SELECT metric, round(avg(value), 6) AS mean, round(1.96 * stddev_pop(value) / sqrt(count(*)), 6) AS ci FROM v GROUP BY metric""",
+)
 def reconstruction_report(spark, sf):
-    return VM.reconstruction_report(next_pairs(spark, sf), "vec_id", "t", "p", runs=2)
+    """Real and predicted vectors against a condition between them; the Fréchet distance has a query of its own."""
+    from kinetable.functions import vectors as V
+
+    e = embeddings(spark, sf).select((F.col("vec_id") - 2).alias("vec_id"), F.col("e").alias("n"))
+    d = next_pairs(spark, sf).join(e, "vec_id").withColumn("c", V.zip_map(F.col("t"), F.col("n"), lambda t, n: 0.75 * t + 0.25 * n))
+    key = lambda m, k, p: lambda run: (F.col("vec_id") * m + run * k) % p
+    place = key(7919, 4001, 10007)
+    d = VM.reconstruction_report(
+        d, "vec_id", "t", "p", "c", runs=3, frechet=False, order=(place, lambda run: F.floor(place(run) / 128)),
+        draws=(key(104729, 31, 10009), key(611953, 17, 10037)),
+    )
+    return d.select("metric", F.round("mean", 6).alias("mean"), F.round("ci", 6).alias("ci"))
 
 
 @query(

@@ -151,3 +151,41 @@ def test_metric_set(spark):
     ms.activate("n", False)
     row = ms.record(ms.compute(d))
     assert row == {"m": 2.0, "m_weighted": 4.0, "total": 4.0} and ms.history["total"] == [4.0]
+
+
+def test_reconstruction_report_by_plain_loops(spark):
+    r = np.random.default_rng(8)
+    n, runs, size = 75, 3, 8
+    real = r.normal(size=(n, 4))
+    pred, cond = real + r.normal(size=(n, 4)), real + 0.4 * r.normal(size=(n, 4))
+    pred[10] = pred[11] = pred[12]  # ties go to the lower id
+    df = spark.createDataFrame([(i, *(v[i].tolist() for v in (real, pred, cond))) for i in range(n)] + [(n, None, [0.0] * 4, [0.0] * 4)],
+                               "id long, t array<double>, p array<double>, c array<double>")
+    key = lambda m, p: (lambda run: (F.col("id") * m + run * 31) % p)
+    plain = lambda m, p, run: sorted(range(n), key=lambda i: ((i * m + run * 31) % p, i))
+    want = {}
+    for run in range(runs):
+        order = plain(17, 101, run)
+        pools = [sorted(order[a : a + size]) for a in range(0, n, size)]
+        for kind, x in (("real", real), ("pred", pred)):
+            ranks = []
+            for pool in pools:
+                for i in pool:
+                    near = sorted(pool, key=lambda j: (np.sqrt(((cond[i] - x[j]) ** 2).sum()), j))
+                    ranks.append(near.index(i))
+            for k in (1, 2, 3):
+                want.setdefault(f"r_precision_{k}_{kind}", []).append(np.mean([a < k for a in ranks]))
+            want.setdefault(f"matching_{kind}", []).append(np.sqrt(((cond - x) ** 2).sum(1)).mean())
+            a, b = plain(23, 103, run)[:20], plain(29, 107, run)[:20]
+            want.setdefault(f"diversity_{kind}", []).append(np.sqrt(((x[a] - x[b]) ** 2).sum(1)).mean())
+    d = VM.reconstruction_report(df, "id", "t", "p", "c", size, 20, runs, order=(key(17, 101), lambda run: F.floor(key(17, 101)(run) / 9)),
+                                 draws=(key(23, 103), key(29, 107)))
+    got = {x["metric"]: (x["mean"], x["ci"]) for x in d.collect()}
+    assert got.pop("frechet")[1] == 0 and set(got) == set(want)
+    for m, v in want.items():
+        np.testing.assert_allclose(got[m], (np.mean(v), 1.96 * np.std(v) / np.sqrt(runs)), atol=1e-9)
+    assert got["r_precision_1_real"][1] > 0 and got["diversity_pred"][1] > 0
+    alone = {x["metric"] for x in VM.reconstruction_report(df, "id", "t", "p", pool_size=size, n=20, runs=2).collect()}
+    assert alone == {"frechet", "matching_pred", "diversity_real", "diversity_pred", *(f"r_precision_{k}_pred" for k in (1, 2, 3))}
+    empty = VM.reconstruction_report(df.limit(0), "id", "t", "p", "c", frechet=False)
+    assert empty.count() == 0
