@@ -185,6 +185,48 @@ def ledger_state_stream(spark, sf):
     return ST.latest_by(out, ["item"]).select("item", "owner", "state", F.unix_micros("ts").alias("ts"))
 
 
+@query(
+    "segment_by_gap_stream",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 10 HOUR THEN 1 ELSE 0 END AS b FROM events),
+s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(epoch_us(ts)) AS start, max(epoch_us(ts)) AS stop, count(*) AS "rows" FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 10 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def segment_by_gap_stream(spark, sf):
+    """Sessions of event time, each written once the watermark has passed its silence."""
+    d = event_stream(spark, sf).withWatermark("ts", "1 hour")
+    out = ST.run_available(LE.segment_by_gap(d, ["user_id"], "ts", "10 hours"), ST.stream_folder(spark, "sessions"))
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("stop").alias("stop"), "rows")
+
+
+@query(
+    "heartbeat_activity_stream",
+    f"""WITH {LED_SQL}, b AS (SELECT owner, ts, epoch_us(ts) // 300000000 * 300000000 AS start FROM le WHERE state = 'available')
+SELECT owner, start, count(*) AS beats, max(epoch_us(ts)) AS last FROM b GROUP BY 1, 2
+HAVING start + 300000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM b)""",
+)
+def heartbeat_activity_stream(spark, sf):
+    """Beats per owner and interval, written when the watermark closes the interval."""
+    e = event_stream(spark, sf).where("event_type = 'view'")
+    d = LE.heartbeat_activity(e.select((F.col("user_id") % 20).cast("string").alias("owner"), "ts"))
+    out = ST.run_available(d, ST.stream_folder(spark, "beats"))
+    return out.select("owner", F.unix_micros("start").alias("start"), "beats", F.unix_micros("last").alias("last"))
+
+
+@query(
+    "expire_leases_stream",
+    f"""WITH {LED_SQL} SELECT item, owner, (epoch_us(ts) // 1000 + 43200000) * 1000 AS expired_at FROM st
+WHERE state = 'in_progress' AND epoch_us(ts) // 1000 + 43200000 < (SELECT epoch_us(now) // 1000 - 3600000 FROM now)""",
+)
+def expire_leases_stream(spark, sf):
+    """Leases whose end the watermark has passed without a later state of the item."""
+    e = event_stream(spark, sf)
+    state = F.when(F.col("event_type").isin("purchase", "error", "signup", "view"), "other").otherwise("in_progress")
+    d = e.select(F.concat("user_id", F.lit("/"), F.col("event_id") % 3).alias("item"), (F.col("user_id") % 20).cast("string").alias("owner"), state.alias("state"), "ts")
+    out = ST.run_available(ST.expire_leases_stream(d, 43200.0), ST.stream_folder(spark, "leases"))
+    return out.select("item", "owner", F.unix_micros("expired_at").alias("expired_at"))
+
+
 @query(
     "new_files_only",
     "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
