@@ -389,7 +389,52 @@ def read_arrays_files(spark, sf):
     block = F.floor(F.col("vec_id") / 100)
     rows = table(spark, sf, "embeddings").select(block.alias("file"), F.struct("vec_id", "embedding").alias("r")).groupBy("file").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["embedding"]).alias("vecs"))
     WR.write_arrays(rows, "file", "vecs", path)
-    d = RD.read_arrays(spark, path)
+    d = RD.read_arrays(spark, path, limit=40_000)  # a full file has 51,328 bytes: read in two ranges; the last one whole if shorter
     name = F.regexp_extract("path", r"([0-9]+)\.npy$", 1).cast("long")
     at = lambda i: F.round(F.sum(F.get("vec", F.lit(i))), 6)
     return d.groupBy(name.alias("file")).agg(F.count("frame").alias("length"), at(0).alias("x"), at(63).alias("y"))
+
+
+@query(
+    "read_video_manifest_files",
+    "SELECT s_name AS title, 'http://v/' || s_suppkey AS url, s_acctbal::DOUBLE AS fps, '2024-03-09 10:11:12' AS accessed, 'n' || s_nationkey AS request FROM supplier",
+)
+def read_video_manifest_files(spark, sf):
+    """A manifest file per video (a supplier), written by the tasks and opened by the reader."""
+    path = _folder(spark, "manifests")
+    line = F.concat("s_name", F.lit(" | http://v/"), "s_suppkey", F.lit(" | fps:"), "s_acctbal", F.lit(" | accessed:09/03/2024 10:11:12\n | request: n"), "s_nationkey")
+    d = table(spark, sf, "supplier").select(line.alias("value"), "s_suppkey")
+    d.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    return RD.read_video_manifest(spark, path).select("title", "url", "fps", F.date_format("accessed", "yyyy-MM-dd HH:mm:ss").alias("accessed"), "request")
+
+
+@query(
+    "read_caption_lines_files",
+    "SELECT p_name AS caption, CAST(len(string_split(p_name, ' ')) AS INT) AS tokens, CAST(p_size AS DOUBLE) AS from_s, p_retailprice AS to_s FROM part",
+)
+def read_caption_lines_files(spark, sf):
+    """Caption lines in text files, opened by the reader."""
+    path = _folder(spark, "lines")
+    line = F.concat("p_name", F.lit("#"), F.replace("p_name", F.lit(" "), F.lit("/ADJ ")), F.lit("/NOUN#"), "p_size", F.lit("#"), "p_retailprice")
+    table(spark, sf, "part").select(line.alias("value")).write.text(path)
+    return RD.read_caption_lines(spark, path).select("caption", F.size("tokens").alias("tokens"), "from_s", "to_s")
+
+
+@query(
+    "read_ledger_files",
+    """SELECT 'u' || user_id AS item, CASE WHEN user_id % 3 = 0 THEN 'failed' WHEN user_id % 3 = 1 THEN 'processed' ELSE 'in_progress' END AS state,
+  'o' || user_id % 20 AS owner, max(epoch_us(ts)) // 1000000 AS ts FROM events GROUP BY user_id""",
+)
+def read_ledger_files(spark, sf):
+    """One tracking document per owner with the items of its users, opened by the reader."""
+    path = _folder(spark, "ledgers")
+    u = events(spark, sf).groupBy("user_id").agg(F.unix_seconds(F.max("ts")).alias("t"))
+    owner = F.concat(F.lit("o"), F.col("user_id") % 20)
+    state = F.element_at(F.array(F.lit("failed"), F.lit("processed"), F.lit("in_progress")), (F.col("user_id") % 3 + 1).cast("int"))
+    info = F.struct(F.col("t").cast("double").alias("timestamp"), F.col("owner").alias("pid"))
+    items = u.select("t", owner.alias("owner"), state.alias("state"), F.concat(F.lit("u"), "user_id").alias("item"))
+    per = items.groupBy("owner", "state").agg(F.map_from_entries(F.collect_list(F.struct("item", info))).alias("m"))
+    docs_ = per.groupBy("owner").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("state", "m")))).alias("value"))
+    docs_.repartition("owner").write.partitionBy("owner").text(path)
+    found, _ = RD.read_ledger(spark, path)
+    return found.select("item", "state", "owner", F.unix_seconds("ts").alias("ts"))

@@ -7,10 +7,14 @@ works on any table with the same text column.
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,10 +150,64 @@ ARRAY_SCHEMA = T.StructType(
 )
 
 
-def read_arrays(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
+#: Files of more bytes are read in ranges of about so many.
+ARRAY_RANGE = 64 << 20
+
+RANGE_SCHEMA = "path string, start long, stop long, error string"
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A file of Spark's file listing, for reads at any place."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    fs, name = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return fs.open_input_file(name)
+
+
+def _array_header(f: pa.NativeFile) -> tuple[tuple[int, ...], bool, np.dtype, int]:
+    """Shape, column order, type and place of the first entry of a ``.npy`` file."""
+    raw = io.BytesIO(f.read_at(min(1 << 16, f.size()), 0))
+    version = np.lib.format.read_magic(raw)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(raw)
+    if dtype.hasobject:
+        raise ValueError("object arrays are refused")
+    np.zeros(1, dtype).astype(np.float64)  # raises for records and text
+    if not shape or not math.prod(shape):
+        raise ValueError("an array without rows")
+    if f.size() < raw.tell() + math.prod(shape) * dtype.itemsize:
+        raise ValueError("the file ends before its last entry")
+    return shape, fortran, dtype, raw.tell()
+
+
+def _array_rows(f: pa.NativeFile, start: int, stop: int) -> np.ndarray:
+    """Rows ``start`` to ``stop`` as vectors; only their bytes are read."""
+    shape, fortran, dtype, at = _array_header(f)
+    width, size = math.prod(shape[1:]), dtype.itemsize
+    read = lambda first, n: np.frombuffer(f.read_at(n * size, at + first * size), dtype=dtype)
+    if not fortran:
+        return read(start * width, (stop - start) * width).reshape(stop - start, width).astype(np.float64)
+    # entries of one row lie a whole column apart
+    cols = np.stack([read(j * shape[0] + start, stop - start) for j in range(width)], axis=1)
+    return cols.reshape(stop - start, *shape[1:], order="F").reshape(stop - start, width).astype(np.float64)
+
+
+def read_arrays(spark: SparkSession, path: str, rows: int = 4096, limit: int = ARRAY_RANGE) -> DataFrame:
     """Plain ``.npy`` files as one row per leading index. A file that cannot
     be read becomes one reject row with ``error``; object arrays are refused.
-    Arrays are sent on in slices of ``rows``."""
+    Arrays are sent on in slices of ``rows``.
+
+    Files of up to ``limit`` bytes are read whole, by Spark. Of a larger one a task
+    reads the header and gives row ranges of ``limit`` bytes, and other tasks read
+    each just its bytes, through ``pyarrow.fs``. A row is the least unit.
+    """
+
+    def frames(p: str, a: np.ndarray, first: int, total: int) -> Iterator[pd.DataFrame]:
+        for s in range(0, len(a), rows):
+            b = a[s : s + rows]
+            yield pd.DataFrame({"path": p, "frame": np.arange(first + s, first + s + len(b)), "vec": list(b), "length": total, "error": None})
+
+    def reject(p: str, e: object) -> pd.DataFrame:
+        return pd.DataFrame({"path": [p], "frame": [None], "vec": [None], "length": [None], "error": [str(e)]})
 
     def load(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -159,14 +217,38 @@ def read_arrays(spark: SparkSession, path: str, rows: int = 4096) -> DataFrame:
                     a = np.asarray(a, dtype=np.float64)
                     a = a.reshape(len(a), -1) if a.ndim else a.reshape(1, 1)
                 except Exception as e:  # noqa: BLE001 - any bad file is a reject row
-                    yield pd.DataFrame({"path": [p], "frame": [None], "vec": [None], "length": [None], "error": [str(e)]})
+                    yield reject(p, e)
+                    continue
+                yield from frames(p, a, 0, len(a))
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for p in pdf["path"]:
+                try:
+                    with _opened(p) as f:
+                        shape, _, dtype, _ = _array_header(f)
+                except ValueError as e:
+                    yield pd.DataFrame({"path": [p], "start": [0], "stop": [0], "error": [str(e)]})
+                    continue
+                step = max(1, limit // max(1, math.prod(shape[1:]) * dtype.itemsize))
+                starts = np.arange(0, shape[0], step)
+                yield pd.DataFrame({"path": p, "start": starts, "stop": np.minimum(starts + step, shape[0]), "error": None})
+
+    def fetch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for p, start, stop, error in zip(pdf["path"], pdf["start"], pdf["stop"], pdf["error"]):
+                if error is not None:
+                    yield reject(p, error)
                     continue
-                for s in range(0, len(a), rows):
-                    b = a[s : s + rows]
-                    yield pd.DataFrame({"path": p, "frame": np.arange(s, s + len(b)), "vec": list(b), "length": len(a), "error": None})
+                with _opened(p) as f:
+                    yield from frames(p, _array_rows(f, int(start), int(stop)), int(start), _array_header(f)[0][0])
 
     d = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
-    return d.select("path", "content").mapInPandas(load, ARRAY_SCHEMA)
+    small = d.where(F.col("length") <= limit).select("path", "content").mapInPandas(load, ARRAY_SCHEMA)
+    ranges = d.where(F.col("length") > limit).select("path").mapInPandas(cut, RANGE_SCHEMA)
+    # a given number, as tables of a few bytes would be put into one task
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return small.unionByName(ranges.repartition(tasks).mapInPandas(fetch, ARRAY_SCHEMA))
 
 
 def parse_caption_lines(df: DataFrame, value: str = "value") -> DataFrame:
