@@ -35,6 +35,7 @@ ALPHABETS = {
     "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF", "letters": LOWER, "LETTERS": UPPER, "base32": UPPER + "234567", "base36": DIGITS + LOWER, "BASE36": DIGITS + UPPER,
     "Letters": UPPER + LOWER, "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
 }
+_PART = re.compile(r"[A-Za-z0-9]+")
 _RUN = np.zeros(128, bool)
 _RUN[[ord(c) for c in UPPER + LOWER + DIGITS + "+/-_"]] = True
 
@@ -132,13 +133,42 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[Span]:
     return out
 
 
+def _parts(text: str, runs: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the battery judges: whole runs with one alphabet that meet no pattern span.
+
+    Of other runs, what lies outside the spans is cut at + / - _; parts of
+    MIN_RUN code points or more count.
+    """
+    spans: list[list[int]] = []  # taken, those that meet as one
+    for a, b in sorted(taken):
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    out, first = [], 0
+    for a, b in runs:
+        if b - a < MIN_RUN:
+            continue
+        while first < len(spans) and spans[first][1] <= a:
+            first += 1
+        free, at, k = [], a, first
+        while k < len(spans) and spans[k][0] < b:
+            free.append((at, spans[k][0]))
+            at = spans[k][1]
+            k += 1
+        if k == first and infer(text[a:b]) is not None:
+            out.append((a, b))
+        else:
+            out += [m.span() for x, y in [*free, (at, b)] for m in _PART.finditer(text, x, y) if m.end() - m.start() >= MIN_RUN]
+    return out
+
+
 def scan_text(text: str | None) -> list[Span]:
-    """Base spans, and every other run that the battery lets pass as random, with its chance in text."""
+    """Base spans, and every other part of a run that has an encoding, with what the battery and the text say of it."""
     text = text or ""
     runs = _runs(text, min(MIN_ACCESS, MIN_RUN))
     out = base_spans(text, runs)
-    taken = sorted((s.start, s.end) for s in out)
-    rest = [(a, b) for a, b in runs if b - a >= MIN_RUN and not any(s < b and a < e for s, e in taken)]
+    rest = _parts(text, runs, [(s.start, s.end) for s in out])
     if rest:
         letters = np.bincount(np.frombuffer(text.encode("ascii", "ignore"), np.uint8), minlength=128)
         for a, b in rest:
@@ -185,10 +215,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc_id and spans (kind, start, end, encoding, p, battery) by start and kind.
 
     Offsets are code points, ends exclusive. Pattern spans always stay. A run
-    of letters and digits that meets no pattern span is added as ``random`` if
-    the battery does not reject randomness in its encoding and its chance in
-    the document's own text passes the false-discovery control among all such
-    runs of its length class in the corpus. Null and empty texts have no spans.
+    of letters, digits and + / - _ is added as ``random`` if the battery does
+    not reject randomness in its encoding and its chance in the document's own
+    text passes the false-discovery control among all such runs of its length
+    class in the corpus. Runs that mix the signs of two encodings, such as a
+    key at the end of a path, and what pattern spans leave of a run are cut at
+    these signs and judged part by part. Null and empty texts have no spans.
     Repeated rows are scanned alike. Other columns do not matter.
     """
     fields = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("p", pa.float64()), ("battery", pa.float64())])

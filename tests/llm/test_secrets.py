@@ -77,6 +77,78 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_runs_of_two_encodings_and_runs_around_spans_are_judged_by_parts():
+    rng = random.Random(3)
+    key = "".join(rng.choices(S.ALPHABETS["base62"], k=40))
+    spans = lambda t: [(s.kind, t[s.start : s.end]) for s in S.scan_text(t)]
+    assert spans("see io/my-app/" + key + " there") == [("random", key)]
+    assert spans("é io+my_app-" + key) == [("random", key)]
+    access = "AKIA" + "B7" * 8
+    assert spans(access + "/" + key) == [("access", access), ("random", key)]
+    assert spans(key + "_" + access + "-" + key + "/x") == [("random", key), ("access", access), ("random", key)]
+    assert spans("deadbeef" * 4 + "Z" + "deadbeef" * 4) == [("hex", "deadbeef" * 4)] * 2
+    assert spans("token=" + key + "/" + key[:19]) == [("assign", "token=" + key + "/" + key[:19])]
+    assert spans("a/b-" + "1" * 30) == spans("1" * 30) == []
+    long = ("io/my-app/" + key + " ") * 3000 + "é" + "secret=" + key
+    assert spans(long) == [("random", key)] * 3000 + [("assign", "secret=" + key)]
+
+
+def plain_parts(text, taken):
+    """Runs and parts by a walk over the code points."""
+    inside = [c.isascii() and (c.isalnum() or c in "+/-_") for c in text]
+    spans = {i for a, b in taken for i in range(a, b)}
+    out, a = [], 0
+    while a < len(text):
+        b = a
+        while b < len(text) and inside[b]:
+            b += 1
+        if b - a >= 20:
+            if not spans & set(range(a, b)) and not (set("+/") & set(text[a:b]) and set("-_") & set(text[a:b])):
+                out.append((a, b))
+            else:
+                x = a
+                for i in range(a, b + 1):
+                    if i == b or i in spans or text[i] in "+/-_":
+                        if i - x >= 20:
+                            out.append((x, i))
+                        x = i + 1
+        a = b + 1
+    return [(a, b) for a, b in out if not text[a:b].isdigit()]
+
+
+def test_whole_scan_by_brute_force(spark):
+    """Every run of a corpus by plain loops, and the step-up over sorted p-values."""
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choices(S.ALPHABETS["base62"], k=n))
+    rows = []
+    for i in range(120):
+        w = ["".join(rng.choices(["the", "tion", "and", "ing", "her", "ent", "es", "or", "/", "-"], k=rng.randint(1, 12))) for _ in range(60)]
+        if i % 6 == 0:
+            w.insert(3, rng.choice(["", "io/my-app/", "AKIA" + "C3" * 8 + "_", "password: abc123xyz "]) + key(rng.choice([30, 44, 100])))
+        rows.append((i, " ".join(w)))
+    judged = []
+    for i, t in rows:
+        base = plain(t)
+        parts = plain_parts(t, [(a, b) for _, a, b in base])
+        letters = [0] * 128
+        for c in t:
+            letters[ord(c)] += 1
+        for a, b in parts:
+            for c in t[a:b]:
+                letters[ord(c)] -= 1
+        for a, b in parts:
+            e = S.infer(t[a:b])
+            judged.append((i, a, b, S.text_chance(t[a:b], e, S.np.array(letters)), S.battery(t[a:b], e)))
+    want = {(i, kind, a, b) for i, t in rows for kind, a, b in plain(t)}
+    for low, high in zip((0, *S.LENGTH_CLASSES), S.LENGTH_CLASSES, strict=False):
+        own = sorted((j for j in judged if low <= j[2] - j[1] < high), key=lambda j: j[3])
+        n = max((k for k, j in enumerate(own, 1) if j[3] * len(own) <= S.FALSE_SHARE * k), default=0)
+        want |= {(i, "random", a, b) for i, a, b, _, even in own[:n] if even >= S.ALPHA}
+    got = S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, s.kind, s.start, s.end) for r in got for s in r.spans} == want
+    assert sum(k == "random" for _, k, _, _ in want) >= 12
+
+
 def test_redact():
     spans = [S.Span("hex", 2, 5), S.Span("assign", 0, 4), S.Span("hex", 8, 9)]
     assert S.redact("0123456789", spans) == "[secret]567[secret]9"
