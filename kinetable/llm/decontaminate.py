@@ -64,6 +64,22 @@ def _signs(x: np.ndarray) -> np.ndarray:
     return np.unpackbits(y.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
 
+def _numbered(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers for the ``at``-th occurrence (from 1) of shingles in a window; the first keeps its own.
+
+    A weighted set becomes a plain one: two windows share as many numbered
+    shingles as the minimum of the weights, so a shingle that comes often moves
+    as many fingerprint bits as others of its weight, not one direction alone.
+    """
+    return x + (at - 1).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+
+
+def _occurrences(x: np.ndarray) -> np.ndarray:
+    """Which occurrence of its value each place of a sorted array is, from 1."""
+    place = np.arange(len(x))
+    return place - np.maximum.accumulate(np.where(np.concatenate([[True], x[1:] != x[:-1]]), place, 0)) + 1
+
+
 def _bits(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
@@ -115,7 +131,7 @@ def prepare(rows: list[tuple], size: int) -> Items:
         ids.append(item)
         sizes.append(len(own))
         parts.append(np.sort(shingles(seq, size)))
-    prints = _bits(np.array([_signs(p).sum(axis=0) for p in parts])) if parts else np.zeros(0, np.uint64)
+    prints = _bits(np.array([_signs(_numbered(p, _occurrences(p))).sum(axis=0) for p in parts])) if parts else np.zeros(0, np.uint64)
     sized = {n: _index(at := np.flatnonzero(np.array(sizes) == n), prints[at]) for n in sorted(set(sizes))}
     known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     sieve = np.zeros(1 << SIEVE_BITS, bool)
@@ -180,18 +196,58 @@ def matches(text: str | None, items: Items, size: int, least: float) -> list[tup
 
 
 def _window_prints(sh: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of the windows at ``starts``, summed over each stretch of near starts."""
+    """Fingerprints of the windows at ``starts``, summed over each stretch of near starts.
+
+    Where shingles repeat in a window, sums of first occurrences are corrected:
+    a window that moves by one place gains the last occurrence of the shingle
+    that enters and loses the last one of the shingle that leaves.
+    """
     out = np.empty(len(starts), np.uint64)
     cut = np.concatenate([[0], np.flatnonzero(np.diff(starts) > width) + 1, [len(starts)]])
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         first = starts[a]
-        sums = np.cumsum(_signs(sh[first : starts[b - 1] + width]), axis=0, dtype=np.int32)
+        part = sh[first : starts[b - 1] + width]
+        sums = np.cumsum(_signs(part), axis=0, dtype=np.int32)
         sums = np.concatenate([np.zeros((1, 64), np.int32), sums])
         own = starts[a:b] - first
-        out[a:b] = _bits(sums[own + width] - sums[own])
+        sums = sums[own + width] - sums[own]
+        order = np.argsort(part, kind="stable")
+        near = np.flatnonzero((part[order][1:] == part[order][:-1]) & (np.diff(order) < width))
+        if len(near):
+            sums = sums + _repeats(part, order, width)[own]
+        out[a:b] = _bits(sums)
     return out
 
 
+def _repeats(part: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """By start of a window, what numbering its shingles adds to the sum of their signs."""
+    n = len(part)
+    value = np.empty(n, np.int64)  # equal shingles have one number
+    value[order] = np.cumsum(np.concatenate([[False], part[order][1:] != part[order][:-1]]))
+    keys = value[order] * (n + 1) + order  # sorted: by value, then place
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    place = np.arange(n)
+    # Occurrences in the window that ends with a place, and in the one that begins with it.
+    ending = rank - np.searchsorted(keys, value * (n + 1) + np.maximum(place - width + 1, 0)) + 1
+    starting = np.searchsorted(keys, value * (n + 1) + np.minimum(place + width, n)) - rank
+    change = np.zeros((n - width + 1, 64), np.int32)
+
+    def extra(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return _signs(_numbered(part[at], count[at])) - _signs(part[at])
+
+    at = np.flatnonzero(ending > 1)
+    for low in range(0, len(at), CHUNK):
+        # All that enter before the first window is whole count for it.
+        x = at[low : low + CHUNK]
+        np.add.at(change, np.maximum(x - width + 1, 0), extra(x, ending))
+    at = np.flatnonzero((starting > 1) & (place < n - width))
+    for low in range(0, len(at), CHUNK):
+        x = at[low : low + CHUNK]
+        change[x + 1] -= extra(x, starting)
+    return np.cumsum(change, axis=0, dtype=np.int32)
+
+
 def _candidates(prints: np.ndarray, index: Sized) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, item, differing bits) of all within RADIUS, by looking up every block."""
     key = (_blocks(prints).astype(np.int64) + (np.arange(BLOCKS) << BLOCK_BITS)).ravel()
@@ -254,7 +310,8 @@ def contaminated(
     window is returned, the first one of equals. Words are lower-cased runs of
     letters and digits, so case, punctuation and line breaks do not matter. A
     window is compared with the items whose SimHash differs in at most 23 of 64
-    bits; at similarity 0.8 more differ in about one window of 100,000.
+    bits; at similarity 0.8 more differ in about one window of 100,000, whether
+    or not shingles repeat, as each occurrence counts as a shingle of its own.
     Null, empty and wordless texts, of documents or items, match nothing. Rows
     that repeat are judged row by row. Other columns do not matter. Extra
     passes over the documents are made only for a benchmark too large for one.

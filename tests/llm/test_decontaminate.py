@@ -79,6 +79,49 @@ def test_blocks_find_all_within_the_radius():
     assert got == sorted((int(w), int(i), int(d[w, i])) for w, i in np.argwhere(d <= D.RADIUS))
 
 
+@pytest.mark.parametrize("width", [1, 2, 7, 40])
+def test_prints_of_windows_equal_those_of_plain_counts(width):
+    rng = np.random.default_rng(2)
+    for kinds in (3, 12, 5000):
+        sh = D.shingles(rng.integers(0, kinds, 300).astype(np.uint64), 1)
+        for starts in (np.arange(300 - width + 1), np.sort(rng.choice(300 - width + 1, 40, replace=False))):
+            want = []
+            for a in starts:
+                sums, seen = np.zeros(64, np.int64), Counter()
+                for x in sh[a : a + width]:
+                    seen[x] += 1
+                    sums += D._signs(D._numbered(np.array([x]), np.array([seen[x]])))[0]
+                want.append(D._bits(sums[None])[0])
+            assert D._window_prints(sh, starts, width).tolist() == want
+
+
+def test_repeated_shingles_do_not_leave_the_radius():
+    missed = far = 0
+    for k in range(300):
+        item = [f"a{k}x{i}" for i in range(104)]
+        # 93 words of the item, then one filler over and over: weighted similarity is just above 0.8.
+        text = " ".join([*item[:93], *["filler"] * 11])
+        assert plain(text, " ".join(item)) >= 0.8
+        got = D.matches(text, D.prepare([(k, " ".join(item))], 5), 5, 0.8)
+        missed += not got
+        far += bool(got) and got[0][4] > 20
+    assert missed == 0 and far < 30
+
+
+def test_a_text_longer_than_one_chunk_of_windows():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(8)]
+    item = rng.choices(vocabulary, k=12)
+    words = rng.choices(vocabulary, k=3 * D.CHUNK)
+    words[2 * D.CHUNK + 5 : 2 * D.CHUNK + 5] = item
+    words[40:40] = [*item[:11], "other"]
+    # Shingles of one word over few words: nearly every window needs a fingerprint.
+    got = D.matches(" ".join(words), D.prepare([(1, " ".join(item))], 1), 1, 0.8)
+    sims = [sum((Counter(words[a : a + 12]) & Counter(item)).values()) for a in range(len(words) - 11)]
+    best = max(sims)
+    assert [(i, a, n) for i, a, n, *_ in got] == [(0, sims.index(best), 12)] and got[0][3] == best / (24 - best)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
