@@ -8,15 +8,16 @@ one very long video becomes many tasks.
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, field, fields
 from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetable.operators.blocks import Seq, neighbors, number_rows, scan, with_runs
+from kinetable.operators.blocks import Seq, number_rows, scan
 from kinetable.operators.joins import fold_rows, solve_assignment
 from kinetable.session import cut
 
@@ -166,36 +167,128 @@ def segment_end(s: SegmentState, r: SegmentRules) -> tuple | None:
     return _close(s, r, s.missing, ["end of video"]) if s.open else None
 
 
-def split_at_silence(df: DataFrame, seq: Seq, rules: SegmentRules) -> DataFrame:
+#: A run of frames that the rules see alike; ``flow`` is 1 above ``high``, -1 below ``low``.
+RUN = ("human", "small", "flow", "is_repeat", "target_visible", "has_targets", "crowded", "odd_pose")
+
+
+def signal_runs(signals: DataFrame, seq: Seq, rules: SegmentRules) -> DataFrame:
+    """Frames in runs of equal signals: first frame ``frame``, ``length`` and :data:`RUN`.
+
+    Runs end at a hole in the frames and at the end of a block, so one shuffle
+    by (key, block) forms them. Null signals count as false, a null or NaN
+    flow as not sampled; without a human only the target matters.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    human, flow = yes(F.col("human")), F.col("flow")
+    kind = F.when(flow.isNull() | F.isnan(flow), 0).when(flow > rules.high, 1).when(flow < rules.low, -1).otherwise(0)
+    own = {"human": human, "small": human & yes(F.col("max_area") < rules.box_area), "flow": F.when(human, kind).otherwise(0)}
+    own |= {c: yes(F.col(c)) & (F.lit(True) if c == "target_visible" else human) for c in RUN[3:]}
+    here = F.struct(*RUN)
+    d = signals.select(*seq.keys, F.col(seq.order).cast("long").alias("frame"), seq.block().alias("_blk"), *[c.alias(n) for n, c in own.items()])
+    w = Window.partitionBy(*seq.keys, "_blk").orderBy("frame")
+    before = F.lag(F.struct(here.alias("v"), F.col("frame").alias("f"))).over(w)
+    starts = before.isNull() | (before["v"] != here) | (before["f"] + 1 != F.col("frame"))
+    d = d.withColumn("_run", F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = d.groupBy(*seq.keys, "_blk", "_run").agg(F.min("frame").alias("frame"), F.count(F.lit(1)).alias("length"), F.first(here).alias("_v"))
+    return runs.select(*seq.keys, "frame", "length", *[F.col("_v")[c].alias(c) for c in RUN])
+
+
+def split_at_silence(runs: DataFrame, seq: Seq, rules: SegmentRules) -> DataFrame:
     """Number the pieces of each video that can be processed on their own.
 
     A piece starts at a human frame with a large box and a new detection right
     after a stretch without humans long enough to close any segment: there all
     counters are zero or are reset by the frame itself, so running the pieces
-    apart gives the same segments as running the video through.
+    apart gives the same segments as running the video through. ``runs`` are
+    those of :func:`signal_runs`, with frames that have no holes.
     """
-    d = with_runs(df, seq, F.col("human"))
-    d = neighbors(d, seq, 1, 0, {"_gap": lambda w: F.lag("run_start").over(w)})
-    first = F.col("human") & (F.col(seq.order) == F.col("run_start"))
-    silent = F.col("run_start") - F.col("_gap") >= max(1, rules.frames(rules.no_human))
-    opens = first & silent & (F.col("max_area") >= rules.box_area) & ~F.col("is_repeat")
-    d = scan(d, seq, sums={"piece": F.coalesce(opens, F.lit(False)).cast("long")})
-    return d.drop("run_start", "run_end", "touches_start", "touches_end", "_gap")
+    seq = Seq(seq.keys, "frame", seq.size)
+    stop, human = F.col("frame") + F.col("length"), F.col("human")
+    opens = F.struct(F.col("frame").alias("at"), (~F.col("small") & ~F.col("is_repeat")).alias("ok"))
+    d = scan(runs, seq, last={"_silent": F.when(human, stop)}, next={"_next": F.when(human, opens)}, ends=("_first", "_last"))
+    # on the last run of a silent stretch: how long that was, and what follows
+    long = stop - F.coalesce("_silent", "_first") >= max(1, rules.frames(rules.no_human))
+    ends = ~human & (F.col("_next.at") == stop) & F.col("_next.ok") & long
+    d = d.withColumn("_ends", F.coalesce(ends, F.lit(False)).cast("long")).drop("_silent", "_next", "_first", "_last")
+    return scan(d, seq, shifted_sums={"piece": F.col("_ends")}).drop("_ends")
+
+
+def quiet_frames(s: SegmentState, run: dict, r: SegmentRules) -> int:
+    """How many next frames of a run do nothing but move counters."""
+    human = run["human"]
+    if not s.open:
+        return 0 if human else run["length"]
+    free = [r.longest - s.written]
+    if human:
+        free.append(r.frozen - 1 - (s.repeats if run["is_repeat"] else 0))
+        free.append(0 if r.frames(r.no_human) <= 0 else run["length"])
+        if s.seen < int(r.fps):
+            free.append(int(r.fps) - s.seen - 1)
+        if run["small"]:
+            free.append(r.frames(r.small_box) - s.small - 1)
+        if run["flow"]:
+            free.append(r.frames(r.high_flow) - s.fast - 1 if run["flow"] > 0 else r.frames(r.static_flow) - s.still - 1)
+    else:
+        free.append(r.frames(r.no_human) - s.silent - 1)
+    if s.targets and not run["target_visible"]:
+        each = 2 if r.strict_ref and not human else 1
+        free.append(math.ceil((r.fps - s.missing) / each) - 1)
+    return max(0, min(run["length"], *free))
+
+
+def pass_frames(s: SegmentState, run: dict, r: SegmentRules, n: int) -> None:
+    """Move the counters by ``n`` quiet frames."""
+    if run["human"]:
+        s.silent, s.seen = 0, s.seen + n
+        s.repeats = s.repeats + n if run["is_repeat"] else 0
+        s.crowded |= run["crowded"]
+        s.odd |= run["odd_pose"]
+        s.small = s.small + n if run["small"] else 0
+        if run["flow"] > 0:
+            s.fast, s.still = s.fast + n, 0
+        elif run["flow"] < 0:
+            s.fast, s.still = 0, s.still + n
+    else:
+        s.silent, s.small = s.silent + n, s.small + n
+        if r.strict_ref:
+            s.missing += n
+    if s.targets and not run["target_visible"]:
+        s.missing += n
+    if s.open:
+        total = s.written + s.buffered + n
+        s.buffered = min(s.buffered + n, r.frames(r.margin))
+        s.written = total - s.buffered
+
+
+def segment_run(s: SegmentState, run: dict, r: SegmentRules) -> list[tuple]:
+    """Closed segments of a run: from one frame that may fire a rule to the next, with all between at once."""
+    out, at, left = [], int(run["frame"]), int(run["length"])
+    row = {**run, "max_area": -math.inf if run["small"] else r.box_area, "flow": math.copysign(math.inf, run["flow"]) if run["flow"] else None}
+    while left:
+        n = quiet_frames(s, {**run, "length": left}, r)
+        if n:
+            pass_frames(s, run, r, n)
+        else:
+            n = 1
+            done = segment_step(s, {**row, "frame": at}, r)
+            out += [done] if done else []
+        at, left = at + n, left - n
+    return out
 
 
 def segment_scenes(signals: DataFrame, seq: Seq, rules: SegmentRules = SegmentRules()) -> DataFrame:  # noqa: B008
     """Segments of every video from its per-frame signals.
 
-    Without ``strict_ref`` videos are split at silences first and the pieces
-    run in parallel; segments are then numbered by start.
+    Spark forms runs of frames with equal signals first; only these reach the
+    state machine, which passes all frames of a run but those that fire a rule
+    at once. Without ``strict_ref`` videos are split at silences and the
+    pieces run in parallel; segments are then numbered by start.
     """
-    split = not rules.strict_ref
-    d = split_at_silence(signals, seq, rules) if split else signals.withColumn("piece", F.lit(0).cast("long"))
-    d = d.select(*seq.keys, "piece", F.col(seq.order).alias("frame"), *SIGNALS[1:])
+    d = signal_runs(signals, seq, rules)
+    d = d.withColumn("piece", F.lit(0).cast("long")) if rules.strict_ref else split_at_silence(d, seq, rules)
 
-    def step(s: SegmentState, row: dict) -> list[tuple]:
-        done = segment_step(s, row, rules)
-        return [done] if done else []
+    def step(s: SegmentState, run: dict) -> list[tuple]:
+        return segment_run(s, run, rules)
 
     def end(s: SegmentState) -> list[tuple]:
         done = segment_end(s, rules)

@@ -52,7 +52,7 @@ def to_spark(spark, pdf):
 def test_split_pieces_give_the_same_segments(spark, seed):
     pdf = signals(seed)
     d = to_spark(spark, pdf)
-    assert SG.split_at_silence(d, SEQ, RULES).agg(F.max("piece")).first()[0] > 3
+    assert SG.split_at_silence(SG.signal_runs(d, SEQ, RULES), SEQ, RULES).agg(F.max("piece")).first()[0] > 3
     got = SG.segment_scenes(d, SEQ, RULES).toPandas()
     rows = sorted(repr((r.video, r.start, r.frames, r.crowded, r.odd_pose, list(r.reasons))) for r in got.itertuples())
     assert rows == direct(pdf, RULES)
@@ -67,6 +67,64 @@ def test_strict_mode_runs_whole_videos(spark):
     assert sorted(repr((r.video, r.start, r.frames, r.crowded, r.odd_pose, list(r.reasons))) for r in got.itertuples()) == direct(pdf, rules)
 
 
+def runs_of(rows, rules, most):
+    """Rows in runs of at most ``most`` frames, as plain loops form them."""
+    out = []
+    for row in rows:
+        h, flow = row["human"], row["flow"]
+        kind = 0 if flow is None or flow != flow else 1 if flow > rules.high else -1 if flow < rules.low else 0
+        v = {"human": h, "small": h and row["max_area"] < rules.box_area, "flow": kind if h else 0, "target_visible": row["target_visible"]}
+        v |= {c: h and row[c] for c in ("is_repeat", "has_targets", "crowded", "odd_pose")}
+        if out and out[-1]["length"] < most and {k: out[-1][k] for k in v} == v:
+            out[-1]["length"] += 1
+        else:
+            out.append({"frame": row["frame"], "length": 1, **v})
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_runs_give_what_frames_give(strict):
+    """Long runs, every rule, and runs cut anywhere; the state is the same at the end of each run."""
+    r = np.random.default_rng(21)
+    fired, steps, frames = set(), 0, 0
+    for _ in range(150):
+        rules = SG.SegmentRules(
+            fps=float(r.choice([4.0, 7.5, 30.0])), min_segment=0.0, no_human=float(r.choice([0.2, 0.5, 2.0])), small_box=float(r.choice([0.5, 2.0])), static_flow=1.0, high_flow=1.5,
+            margin=float(r.choice([0.0, 1.0, 2.0])), box_area=10.0, high=0.9, low=0.05, frozen=int(r.choice([3, 10])), longest=int(r.choice([20, 200])), strict_ref=strict,
+        )
+        rows = []
+        while len(rows) < 400:
+            one = dict(
+                human=bool(r.random() < 0.8), max_area=float(r.choice([5, 20, 30])), flow=[None, float("nan"), 0.01, 0.5, 0.95][r.integers(5)], is_repeat=bool(r.random() < 0.2),
+                target_visible=bool(r.random() < 0.8), has_targets=bool(r.random() < 0.8), crowded=bool(r.random() < 0.1), odd_pose=bool(r.random() < 0.1),
+            )
+            rows += [{**one, "frame": len(rows) + i} for i in range(int(r.integers(1, 80)))]
+        a, b, got, want, k = SG.SegmentState(), SG.SegmentState(), [], [], 0
+        for run in runs_of(rows, rules, int(r.choice([5, 1000]))):
+            got += SG.segment_run(a, run, rules)
+            for _ in range(run["length"]):
+                want += [x for x in [SG.segment_step(b, rows[k], rules)] if x]
+                k += 1
+            assert a == b
+        assert got == want and k == len(rows)
+        fired |= {x for w in want for x in w[-1]}
+    assert fired == {"frozen", "small box", "high flow", "static", "no target", "too long", "no human"}
+
+
+def test_runs_are_formed_by_spark(spark):
+    pdf = signals(4, 200)
+    pdf["max_area"], pdf["is_repeat"], pdf["target_visible"], pdf["crowded"], pdf["odd_pose"] = 20.0, False, True, False, False
+    got = SG.signal_runs(to_spark(spark, pdf), Seq(("video",), "frame", 1000), RULES).orderBy("video", "frame").collect()
+    want = []
+    for v, g in pdf.groupby("video"):
+        want += [{"video": v, **x} for x in runs_of([{**x, "flow": x["flow"]} for x in g.to_dict("records")], RULES, 10**9)]
+    assert [x.asDict() for x in got] == want
+    nulls = spark.createDataFrame([(None, 0, None, None, None, None, None, None, None, None), (None, 1, True, None, None, None, None, None, None, None), (None, 5, True, None, None, None, None, None, None, None)], SCHEMA)
+    got = SG.signal_runs(nulls, SEQ, RULES).orderBy("frame").collect()
+    assert [(x.frame, x.length, x.human, x.small, x.flow, x.target_visible) for x in got] == [(0, 1, False, False, 0, False), (1, 1, True, False, 0, False), (5, 1, True, False, 0, False)]
+    assert SG.segment_scenes(nulls.limit(0), SEQ, RULES).collect() == []
+
+
 def test_simple_segment():
     rules = SG.SegmentRules(fps=10.0)
     s, got = SG.SegmentState(), []
