@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,39 +172,97 @@ def frechet_distance(a: DataFrame, b: DataFrame, vec: str, standardize: bool = F
     return a.sparkSession.createDataFrame([(frechet_between(m1, c1, m2, c2),)], "frechet double")
 
 
+def smallest_keys(df: DataFrame, keys: Column, subsets: int, size: int) -> DataFrame:
+    """For each of ``subsets`` numbers in the array ``keys`` the ``size`` smallest of all rows: subset, key.
+
+    Every task keeps a bottom-k sketch, of at most ``size`` numbers a subset;
+    sketches are merged in two steps, so no merge reads those of all tasks.
+    Null comes first and NaN last, as Spark orders them.
+    """
+    low = F.transform(keys, lambda k: F.coalesce(k.cast("double"), F.lit(float("-inf"))))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, subsets))
+        for b in batches:
+            held = np.concatenate([held, b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, subsets)])
+            if len(held) > size:
+                held = np.partition(held, size - 1, axis=0)[:size]
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(subsets, dtype=np.int32), len(held))), pa.array(held.T.ravel())], ["subset", "key"])
+
+    d = df.select(low.alias("k")).mapInArrow(sketch, "subset int, key double").withColumn("_part", F.spark_partition_id() % 64)
+    for group in (["subset", "_part"], ["subset"]):
+        d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("key"))).where(F.col("_r") <= size)
+    return d.select("subset", "key")
+
+
 def kernel_distance(a: DataFrame, b: DataFrame, ident: str, vec: str, subsets: int = 50, size: int = 1000, seed: int = 0,
-                    key: Callable[[Column], Column] | None = None, degree: int = 3, coef: float = 1.0) -> DataFrame:
-    """Unbiased polynomial MMD^2 per random subset of ``size`` rows each.
+                    key: Callable[[Column], Column] | None = None, degree: int = 3, coef: float = 1.0, var_at: int | None = None) -> DataFrame:
+    """Unbiased polynomial MMD^2 per random subset of ``size`` rows each, and its variance: subset, mmd2, variance.
 
     Every subset is drawn anew from the whole table, without replacement: the
     rows smallest by ``key`` (a function of the subset's number, a seeded hash
-    if not given). The last of them is found from ids alone, with
-    ranks pruned map-side; vectors up to it then make one bounded task a subset. A table of fewer rows gives all of them,
-    and one of fewer than two a null.
+    if not given; a number). A sketch of the keys, made from ids alone, gives
+    the largest that each subset takes; one scan of the vectors then keeps
+    the rows that some subset takes, and they make one bounded task a subset.
+    A table of fewer rows gives all of them, and one of fewer than two a null.
+
+    ``variance`` is the unbiased estimate for samples of ``var_at`` rows (of
+    the smaller table's, if not given); null if the two draws differ in size
+    or have fewer than three rows.
     """
+    every = F.sequence(F.lit(0), F.lit(subsets - 1))
+
     def draw(df: DataFrame, side: int) -> DataFrame:
-        s = F.col("subset")
-        k = F.xxhash64(F.col(ident), F.lit(seed + side), s) if key is None else key(s)
-        every = F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))).alias("subset")
-        rank = F.row_number().over(Window.partitionBy("subset").orderBy("_k", ident))
-        ids = df.select(ident, every).withColumn("_k", k)
-        last = ids.withColumn("_r", rank).where(F.col("_r") <= size).groupBy("subset").agg(F.max(F.struct("_k", ident)).alias("_last"))
-        rows = df.select(ident, F.col(vec).cast("array<double>").alias("x"), every).withColumn("_k", k)
-        near = rows.join(F.broadcast(last), "subset").where(F.struct("_k", ident) <= F.col("_last"))  # one row for each subset
+        one = (lambda s: F.xxhash64(F.col(ident), F.lit(seed + side), s)) if key is None else key
+        keys = F.transform(every, one)
+        last = smallest_keys(df.select(ident), keys, subsets, size).groupBy("subset").agg(F.max("key").alias("key"))
+        last = last.agg(F.map_from_entries(F.collect_list(F.struct("subset", "key"))).alias("m")).scalar()  # one entry for each subset
+        rows = df.select(ident, F.col(vec).cast("array<double>").alias("x"), keys.alias("_keys"), last.alias("_last"))
+        value = lambda s: F.coalesce(F.get("_keys", s).cast("double"), F.lit(float("-inf")))
+        near = rows.withColumn("subset", F.explode(F.filter(every, lambda s: value(s) <= F.try_element_at("_last", s))))
+        rank = F.row_number().over(Window.partitionBy("subset").orderBy(F.get("_keys", F.col("subset")), ident))
         return near.withColumn("_r", rank).where(F.col("_r") <= size).select("subset", F.lit(side).alias("side"), "x")
 
     def mmd(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf["x"][pdf["side"] == 0], pdf["x"][pdf["side"] == 1]
-        if len(left) < 2 or len(right) < 2:
-            return pd.DataFrame({"subset": [int(pdf["subset"].iloc[0])], "mmd2": [None]})
-        x, y = _stack(left), _stack(right)
-        kern = lambda p, q: (p @ q.T / p.shape[1] + coef) ** degree
-        kx, ky, kxy = kern(x, x), kern(y, y), kern(x, y)
-        m, n = len(x), len(y)
-        v = (kx.sum() - np.trace(kx)) / (m * (m - 1)) + (ky.sum() - np.trace(ky)) / (n * (n - 1)) - 2 * kxy.mean()
-        return pd.DataFrame({"subset": [int(pdf["subset"].iloc[0])], "mmd2": [float(v)]})
-
-    return draw(a, 0).unionByName(draw(b, 1)).groupBy("subset").applyInPandas(mmd, "subset int, mmd2 double")
+        sides = [pdf["x"][pdf["side"] == i] for i in (0, 1)]
+        value, z1, z2 = None, None, None
+        if min(map(len, sides)) > 1:
+            x, y = map(_stack, sides)
+            kern = lambda p, q: (p @ q.T / p.shape[1] + coef) ** degree
+            cross = kern(x, y)
+            value, parts = -2 * float(cross.mean()), []
+            for own, over in ((kern(x, x), cross), (kern(y, y), cross.T)):
+                np.fill_diagonal(own, 0.0)
+                m = len(own)
+                value += float(own.sum()) / (m * (m - 1))
+                if len(x) == len(y) > 2:
+                    parts.append(_spread(own, over))
+            if parts:
+                z1, z2 = (float(sum(p)) for p in zip(*parts, strict=True))
+        return pd.DataFrame({"subset": [int(pdf["subset"].iloc[0])], "mmd2": [value], "z1": [z1], "z2": [z2]})
+
+    d = draw(a, 0).unionByName(draw(b, 1)).groupBy("subset").applyInPandas(mmd, "subset int, mmd2 double, z1 double, z2 double")
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    m = (F.least(count(a), count(b)) if var_at is None else F.lit(var_at)).cast("double")
+    return d.select("subset", "mmd2", ((4 * (m - 2) * F.col("z1") + 2 * F.col("z2")) / (m * (m - 1))).alias("variance"))
+
+
+def _spread(own: np.ndarray, over: np.ndarray) -> tuple[float, float]:
+    """One side's share of the variances of the kernel's mean given one row, and given two rows.
+
+    ``own``: the kernel of m rows without its diagonal; ``over``: that of the
+    rows with the m of the other side.
+    """
+    m = len(own)
+    pairs = m * (m - 1)
+    near, far = own.sum(axis=1), over.sum(axis=1)
+    square, far_square, both = float((own**2).sum()), float((over**2).sum()), float(near @ far) / (m * pairs)
+    a, r = float(near.sum()) / pairs, float(far.sum()) / m**2
+    centre = a * a + r * r - 2 * a * r  # of the own and the crossed mean
+    one = (float(near @ near) - square) / (pairs * (m - 2)) + (float(far @ far) - far_square) / (m * pairs) - 2 * both - centre
+    two = square / pairs + far_square / m**2 - 4 * both - centre + 2 * a * r
+    return one, two
 
 
 def kernel_summary(per_subset: DataFrame) -> DataFrame:
@@ -385,6 +444,20 @@ def codebook_ema_step(assigned: DataFrame, state: DataFrame, vec: str, mu: float
     return d.withColumn("value", F.when(F.col("code_count") >= 1, F.col("code_sum") / F.col("code_count")).otherwise(fresh))
 
 
+def reseed_vectors(codes: DataFrame, rows: DataFrame, ident: str, vec: str, key: Column | None = None, seed: int = 0) -> DataFrame:
+    """A drawn row's vector for each code, no row twice: code, seed_vec.
+
+    The i-th code takes the i-th row in the order of ``key`` (a seeded hash if
+    not given); the draw keeps as many rows a task as there are codes, and
+    codes beyond the rows get none. The codebook is bounded by its nature.
+    """
+    n = codes.count()
+    k = F.xxhash64(ident, F.lit(seed)) if key is None else key
+    drawn = rows.select(k.alias("_k"), F.col(ident).alias("_id"), F.col(vec).alias("seed_vec")).orderBy("_k", "_id").limit(n)
+    drawn = drawn.withColumn("_r", F.row_number().over(Window.orderBy("_k", "_id"))).select("_r", "seed_vec")
+    return codes.select("code", F.row_number().over(Window.orderBy("code")).alias("_r")).join(drawn, "_r").drop("_r")
+
+
 def commit_loss(df: DataFrame, a: str, b: str) -> DataFrame:
     """Mean squared difference over all entries."""
     return df.agg((F.sum(V.sq_distance(F.col(a), F.col(b))) / F.sum(F.size(a))).alias("commit_loss"))

@@ -131,7 +131,76 @@ def frame_signals(spark, sf):
     )
 
 
-@query("segment_scenes")
+def _segments_sql(r: SG.SegmentRules) -> str:
+    """The rules frame by frame: every level reads the one inside it, the recursion joins a user's next frame."""
+    n, fps = r.frames, int(r.fps)
+    keep = lambda own: ", ".join(c for c in STATE if c not in own)
+
+    def level(inner: str, **own: str) -> str:
+        state = keep(own)
+        return f"SELECT user_id, pos, {SEEN}, reasons, done, {state}{', ' if state else ''}{', '.join(f'{e} AS {c}' for c, e in own.items())} FROM ({inner})"
+
+    SEEN = "h, small_box, kind, rep, vis, cr, od"
+    STATE = ("is_open", "start", "written", "buffered", "silent", "repeats", "small", "still", "fast", "missing", "cut", "seen", "targets", "crowded", "odd")
+    sig = f"""sig AS (SELECT user_id, pos, event_type <> 'error' AS h, value < {r.box_area} AS small_box,
+  CASE WHEN pos % 5 = 0 AND value > {r.high} THEN 1 WHEN pos % 5 = 0 AND value < {r.low} THEN -1 ELSE 0 END AS kind,
+  value < 3 AS rep, value > 15 AS vis, value > 200 AS cr, value > 250 AS od FROM ev)"""
+    joined = f"""SELECT g.user_id, g.pos, g.h, g.small_box, g.kind, g.rep, g.vis, g.cr, g.od, CAST([] AS VARCHAR[]) AS reasons, CAST(NULL AS BIGINT[]) AS done, {', '.join(f's.{c}' for c in STATE)}
+  FROM st s JOIN sig g ON g.user_id = s.user_id AND g.pos = s.pos + 1"""
+    # counters of the frame
+    d = level(
+        joined, silent="CASE WHEN h THEN 0 ELSE silent + 1 END", seen="CASE WHEN h THEN seen + 1 ELSE seen END",
+        repeats="CASE WHEN NOT h THEN repeats WHEN rep THEN repeats + 1 ELSE 0 END", small="CASE WHEN NOT h OR small_box THEN small + 1 ELSE 0 END",
+        fast="CASE WHEN h AND kind = 1 THEN fast + 1 WHEN h AND kind = -1 THEN 0 ELSE fast END", still="CASE WHEN h AND kind = -1 THEN still + 1 WHEN h AND kind = 1 THEN 0 ELSE still END",
+        crowded="crowded OR (h AND cr)", odd="odd OR (h AND od)",
+    )
+    # what fires; has_targets is always true here
+    why = (("frozen", f"h AND repeats >= {r.frozen}"), ("small box", f"h AND small_box AND small >= {n(r.small_box)}"), ("high flow", f"h AND kind = 1 AND fast >= {n(r.high_flow)}"), ("static", f"h AND kind = -1 AND still >= {n(r.static_flow)}"))
+    fires = dict(why)
+    hits = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in why)
+    d = level(
+        d, targets=f"CASE WHEN h AND seen = {fps} THEN true ELSE targets END", repeats=f"CASE WHEN {fires['frozen']} THEN 0 ELSE repeats END",
+        cut=f"CASE WHEN {fires['high flow']} THEN least(fast, buffered) WHEN {fires['static']} THEN least(still, buffered) WHEN {fires['small box']} THEN least(small, buffered) ELSE cut END",
+        small=f"CASE WHEN {fires['small box']} THEN 0 ELSE small END", fast=f"CASE WHEN {fires['high flow']} THEN 0 ELSE fast END", still=f"CASE WHEN {fires['static']} THEN 0 ELSE still END",
+    ).replace("reasons, done", f"list_filter([{hits}], lambda x: x IS NOT NULL) AS reasons, done", 1)
+    # a human opens a segment
+    opens = "h AND NOT is_open"
+    zero = {c: f"CASE WHEN {opens} THEN 0 ELSE {c} END" for c in ("written", "still", "fast", "seen", "missing", "cut")}
+    d = level(d, is_open="is_open OR h", start=f"CASE WHEN {opens} THEN pos + 1 ELSE start END", targets=f"CASE WHEN {opens} THEN false ELSE targets END", **zero)
+    # a target that stays away closes it: ``done`` holds start, frames and 1 for this way
+    d = level(d, missing="CASE WHEN targets AND NOT vis THEN missing + 1 ELSE missing END")
+    lost = f"targets AND NOT vis AND missing >= {r.fps} AND is_open"
+    d = level(d).replace("reasons, done", f"""CASE WHEN {lost} THEN list_append(reasons, 'no target') WHEN written >= {r.longest} THEN list_append(reasons, 'too long') ELSE reasons END AS reasons,
+  CASE WHEN {lost} THEN [start, written + greatest(0, buffered - missing), 1] END AS done""", 1)
+    grown = f"greatest(0, buffered + 1 - {n(r.margin)})"
+    adds = "done IS NULL AND is_open"
+    d = level(
+        d, written=f"CASE WHEN {adds} AND len(reasons) = 0 THEN written + {grown} ELSE written END",
+        buffered=f"CASE WHEN {adds} AND len(reasons) = 0 THEN buffered + 1 - {grown} WHEN {adds} THEN buffered + 1 ELSE buffered END",
+    )
+    # a fired rule or silence closes it
+    quiet = f"silent >= {n(r.no_human)}"
+    closes = f"done IS NULL AND is_open AND (len(reasons) > 0 OR {quiet})"
+    d = level(d).replace("reasons, done", f"""CASE WHEN {closes} AND {quiet} THEN list_append(reasons, 'no human') ELSE reasons END AS reasons,
+  CASE WHEN {closes} THEN [start, written + greatest(0, buffered - CASE WHEN {quiet} THEN least(silent, buffered) ELSE cut END), 2] ELSE done END AS done""", 1)
+    d = f"SELECT *, crowded AS was_crowded, odd AS was_odd FROM ({d})"
+    after = {c: f"CASE WHEN done IS NOT NULL THEN 0 ELSE {c} END" for c in ("written", "buffered", "missing")}
+    after |= {c: f"CASE WHEN done IS NOT NULL THEN false ELSE {c} END" for c in ("is_open", "crowded", "odd")}
+    after |= {c: f"CASE WHEN done[3] = 2 THEN 0 ELSE {c} END" for c in ("still", "fast", "seen", "cut")}
+    after["targets"] = "CASE WHEN done[3] = 2 THEN false ELSE targets END"
+    step = f"SELECT user_id, pos, reasons, done, was_crowded, was_odd, {', '.join(f'{after.get(c, c)} AS {c}' for c in STATE)} FROM ({d})"
+    truth = ("is_open", "targets", "crowded", "odd")
+    first = f"""SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS reasons, CAST(NULL AS BIGINT[]) AS done, false AS was_crowded, false AS was_odd,
+  {', '.join(f'false AS {c}' if c in truth else f'CAST(0 AS BIGINT) AS {c}' for c in STATE)} FROM sig"""
+    return f"""WITH RECURSIVE {EV_SQL}, {sig}, st AS ({first} UNION ALL {step}),
+z AS (SELECT user_id, max(pos) AS pos FROM sig GROUP BY 1),
+o AS (SELECT user_id, done[1] AS start, done[2] AS frames, was_crowded AS crowded, was_odd AS odd_pose, array_to_string(reasons, ',') AS reasons FROM st WHERE done IS NOT NULL
+  UNION ALL SELECT user_id, start, written + greatest(0, buffered - missing), crowded, odd, 'end of video' FROM st JOIN z USING (user_id, pos) WHERE is_open)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start) AS INT) AS number, CAST(start AS INT) AS start, CAST(frames AS INT) AS frames, crowded, odd_pose, reasons
+FROM o WHERE frames >= {n(r.min_segment)}"""
+
+
+@query("segment_scenes", _segments_sql(SIG_RULES))
 def segment_scenes(spark, sf):
     d = SG.segment_scenes(frame_signals(spark, sf), EV, SIG_RULES)
     return d.select("user_id", "number", "start", "frames", "crowded", "odd_pose", F.array_join("reasons", ",").alias("reasons"))

@@ -85,6 +85,30 @@ def local_velocity(spark, sf):
     return d.select("label", "pos", F.round(F.get("local_vel", F.lit(0)), 6).alias("vx"), F.round("drift", 6).alias("drift"))
 
 
+@query(
+    "local_velocity_height",
+    f"""WITH {QUAT_SQL}, d AS (SELECT label, pos, v, lead(v) OVER w AS n, lag(v) OVER w AS p FROM qs WINDOW w AS (PARTITION BY label ORDER BY pos)),
+s AS (SELECT label, pos, v, coalesce(n[1] - v[1], v[1] - p[1], 0) AS x, coalesce(n[2] - v[2], v[2] - p[2], 0) AS y, coalesce(n[3] - v[3], v[3] - p[3], 0) AS z FROM d),
+r AS (SELECT *, first_value(v) OVER (PARTITION BY label ORDER BY pos) AS o, sum(y) OVER (PARTITION BY label ORDER BY pos) AS up FROM s)
+SELECT label, pos, round(cos(pos * 1.4) * x - sin(pos * 1.4) * z, 6) AS vx, round(sin(pos * 1.4) * x + cos(pos * 1.4) * z, 6) AS vz, round(up, 6) AS cumulative, round(v[2], 6) AS absolute,
+  round(v[1] - o[1], 6) AS path_x, round(v[2] - o[2], 6) AS path_y, round(v[3] - o[3], 6) AS path_z, round(v[2], 6) AS path_height FROM r""",
+)
+def local_velocity_height(spark, sf):
+    """Velocities in the frame of a body that turns about the vertical, with both kinds of height, and the paths rebuilt from them."""
+    turn = F.col("pos") * 0.7
+    d = quats(spark, sf).select("label", "pos", "va", F.array(F.cos(turn), F.lit(0.0), F.sin(turn), F.lit(0.0)).alias("q"))
+    at = lambda c, i: F.round(F.get(c, F.lit(i)), 6)
+    out = None
+    for kind in ("cumulative", "absolute"):
+        v = K.local_velocity(d, CLIP, "va", "q", True, kind)
+        v = K.integrate_local_velocity(v, CLIP, "local_vel", "q", True, kind)
+        path = {"path_x": at("rolled", 0), "path_y": at("rolled", 1), "path_z": at("rolled", 2)} if kind == "cumulative" else {"path_height": at("rolled", 1)}
+        own = {"vx": at("local_vel", 0), "vz": at("local_vel", 2)} if kind == "cumulative" else {}
+        v = v.select("label", "pos", at("local_vel", 1).alias(kind), *[c.alias(n) for n, c in {**own, **path}.items()])
+        out = v if out is None else out.join(v, ["label", "pos"])
+    return out
+
+
 @query(
     "put_on_floor",
     f"WITH {JOINT_SQL} SELECT clip, frame, CAST(joint AS INT) AS joint, round(py - min(py) OVER (PARTITION BY clip), 6) AS y FROM jt",

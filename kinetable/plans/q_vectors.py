@@ -236,15 +236,20 @@ def frechet_distance_plane(spark, sf):
 s AS (SELECT CAST(unnest(range(0, 3)) AS INT) AS subset),
 a AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY (vec_id * 7919 + subset * 4001) % 10007, vec_id) AS r FROM emb CROSS JOIN s WHERE label < (SELECT m FROM m) QUALIFY r <= 100),
 b AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY (vec_id * 7919 + subset * 4001) % 10007, vec_id) AS r FROM emb CROSS JOIN s WHERE label >= (SELECT m FROM m) QUALIFY r <= 100),
-xx AS (SELECT p.subset, sum(power(list_inner_product(p.e, q.e) / 64 + 1, 3)) / (100 * 99) AS v FROM a p JOIN a q ON p.subset = q.subset AND p.vec_id <> q.vec_id GROUP BY 1),
-yy AS (SELECT p.subset, sum(power(list_inner_product(p.e, q.e) / 64 + 1, 3)) / (100 * 99) AS v FROM b p JOIN b q ON p.subset = q.subset AND p.vec_id <> q.vec_id GROUP BY 1),
-xy AS (SELECT p.subset, avg(power(list_inner_product(p.e, q.e) / 64 + 1, 3)) AS v FROM a p JOIN b q ON p.subset = q.subset GROUP BY 1)
-SELECT subset, round(xx.v + yy.v - 2 * xy.v, 8) AS mmd2 FROM xx JOIN yy USING (subset) JOIN xy USING (subset)""",
+ab AS (SELECT *, 0 AS side FROM a UNION ALL SELECT *, 1 FROM b),
+k AS (SELECT p.subset, p.side, p.vec_id, p.side = q.side AS own, power(list_inner_product(p.e, q.e) / 64 + 1, 3) AS k FROM ab p JOIN ab q ON p.subset = q.subset AND p.vec_id <> q.vec_id),
+f AS (SELECT subset, side, vec_id, sum(k) FILTER (own) AS s, sum(k * k) FILTER (own) AS s2, sum(k) FILTER (NOT own) AS r, sum(k * k) FILTER (NOT own) AS r2 FROM k GROUP BY 1, 2, 3),
+t AS (SELECT subset, side, sum(s * s) AS ss, sum(s2) AS q, sum(s) AS s, sum(r * r) AS rr, sum(r2) AS w, sum(r) AS r, sum(s * r) AS sr FROM f GROUP BY 1, 2),
+z AS (SELECT subset, sum(s) / 9900 - 2 * max(r) / 10000 AS mmd2,
+  sum((ss - q) / 970200 - power(s / 9900, 2) + (rr - w) / 990000 - power(r / 10000, 2) - 2 * sr / 990000 + 2 * s * r / 99000000) AS z1,
+  sum(q / 9900 - power(s / 9900, 2) + w / 10000 - power(r / 10000, 2) - 4 * sr / 990000 + 4 * s * r / 99000000) AS z2 FROM t GROUP BY 1),
+n AS (SELECT least(count(*) FILTER (label < (SELECT m FROM m)), count(*) FILTER (label >= (SELECT m FROM m))) AS n FROM emb)
+SELECT subset, round(mmd2, 8) AS mmd2, round((4 * (n - 2) * z1 + 2 * z2) / (n * (n - 1)), 11) AS variance FROM z CROSS JOIN n""",
 )
 def kernel_distance(spark, sf):
     a, b = _halves(spark, sf)
     d = VM.kernel_distance(a, b, "vec_id", "e", subsets=3, size=100, key=lambda s: (F.col("vec_id") * 7919 + s * 4001) % 10007)
-    return d.select("subset", F.round("mmd2", 8).alias("mmd2"))
+    return d.select("subset", F.round("mmd2", 8).alias("mmd2"), F.round("variance", 11).alias("variance"))
 
 
 def _draws(part: str, n: int) -> str:
@@ -369,6 +374,23 @@ def codebook_ema_step(spark, sf):
     return d.select(F.col("code").cast("int").alias("code"), "i", *[F.round(c, 6).alias(c) for c in ("code_sum", "code_count", "value")])
 
 
+@query(
+    "codebook_reseed",
+    f"""WITH {ASSIGN_SQL}, used AS (SELECT vec_id, code, e FROM asg WHERE code % 3 <> 0), n AS (SELECT code, i, sum(e[i]) AS s, count(*) AS n FROM used CROSS JOIN (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
+seed AS (SELECT code, e FROM (SELECT code, row_number() OVER (ORDER BY code) AS r FROM book) JOIN (SELECT e, row_number() OVER (ORDER BY {SQL_A}, vec_id) AS r FROM used) USING (r)),
+u AS (SELECT book.code, i, 0.5 * c[i] + 0.5 * coalesce(s, 0) AS cs, 0.5 + 0.5 * coalesce(n, 0) AS cc, seed.e[i] AS fresh
+  FROM book CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN n USING (code, i) LEFT JOIN seed USING (code))
+SELECT code, CAST(i - 1 AS INT) AS i, cc < 1 AS reseeded, round(CASE WHEN cc >= 1 THEN cs / cc ELSE fresh END, 6) AS value FROM u""",
+)
+def codebook_reseed(spark, sf):
+    """A third of the codes gets no rows, falls below one and starts again from drawn vectors."""
+    codes = centroids(spark, sf)
+    state = codes.select("code", F.col("vec").alias("code_sum"), F.lit(1.0).alias("code_count"))
+    used = assigned(spark, sf).where("code % 3 <> 0")
+    d = VM.codebook_ema_step(used.select("code", "e"), state, "e", 0.5, VM.reseed_vectors(codes.select("code"), used, "vec_id", "e", key_a()))
+    return d.select(F.col("code").cast("int").alias("code"), "i", (F.col("code_count") < 1).alias("reseeded"), F.round("value", 6).alias("value"))
+
+
 @query(
     "commit_loss",
     f"WITH {ASSIGN_SQL} SELECT round(avg(d * d) / 64, 8) AS commit_loss FROM asg",
