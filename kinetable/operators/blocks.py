@@ -213,12 +213,13 @@ def pipeline(
     seq: Seq,
     before: int,
     after: int,
-    last: Mapping[str, Column],
-    next: Mapping[str, Column],
+    last: Mapping[str, Column] | None = None,
+    next: Mapping[str, Column] | None = None,
     local: Callable[[DataFrame, WindowSpec], DataFrame] | None = None,
     summary: Mapping[str, Column] | None = None,
     keep: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame] | None = None,
     then: Callable[[DataFrame, WindowSpec], DataFrame] | None = None,
+    carried: Iterable[str] = (),
 ) -> DataFrame:
     """Scans, a filter on whole sequences and bounded windows behind one shuffle of the rows.
 
@@ -226,21 +227,26 @@ def pipeline(
     scans are right on halo rows too, so ``then`` may run windows over what it
     derives from them. In order:
 
-    * ``local(rows, window)`` prepares the rows of a block,
+    * ``local(rows, window)`` prepares the rows of a block, halo rows too
+      (``_halo``; ``_ahead`` where they lie before the block),
     * ``last`` / ``next`` are the nearest non-null values as in :func:`scan`,
     * ``summary`` holds aggregates of a block's own rows; ``keep(blocks, whole,
       back)`` filters whole sequences by them, with windows over all blocks of
-      a sequence and over those before a block,
+      a sequence and over those before a block; columns it adds for ``then``,
+      such as what earlier blocks sum up to, are named in ``carried``,
     * ``then(rows, window)`` adds columns that reach ``before`` and ``after``.
 
     Positions must be dense and not null; a block is as long as the reach at
     least. One carry row per block serves all scans and the filter.
     """
+    last, next, carried = dict(last or {}), dict(next or {}), list(carried)
     seq = Seq(seq.keys, seq.order, max(seq.size, before, after), seq.ties)
     w = Window.partitionBy("_g").orderBy(seq.order, *seq.ties)
     d, touch, passes = _clustered(_with_halo(df, seq, before, after), seq.keys)
+    given = set(d.columns)
     if local:
-        d = local(d, w)
+        d = local(d.withColumn("_ahead", F.col("_halo") & (F.col(seq.order) < F.col("_g")["_blk"] * F.lit(seq.size))), w).drop("_ahead")
+    made = [c for c in d.columns if c not in given]
     d = d.withColumns({f"_i_{n}": c for n, c in {**last, **next}.items()})
 
     own, offset, place = ~F.col("_halo"), F.pmod(F.col(seq.order), F.lit(seq.size)), F.struct(seq.order, *seq.ties)
@@ -259,16 +265,16 @@ def pipeline(
     ).alias(f"_c_{n}")
     if keep:
         totals = keep(totals, whole, blocks.rowsBetween(first, -1))
-    carry = totals.select("_g", *[far(F.last, n, -1, (first, -2)) for n in last], *[far(F.first, n, 1, (2, end)) for n in next])
+    carry = totals.select("_g", *carried, *[far(F.last, n, -1, (first, -2)) for n in last], *[far(F.first, n, 1, (2, end)) for n in next])
 
     upto, onward = w.rowsBetween(first, 0), w.rowsBetween(0, end)
     near_by = {n: F.last(f"_i_{n}", ignorenulls=True).over(upto) for n in last}
     near_by |= {n: F.first(f"_i_{n}", ignorenulls=True).over(onward) for n in next}
-    d = d.withColumns({f"_l_{n}": c for n, c in near_by.items()}).where(passes(*[f"_l_{n}" for n in near_by])).join(carry, "_g")
+    d = d.withColumns({f"_l_{n}": c for n, c in near_by.items()}).where(passes(*[f"_l_{n}" for n in near_by], *(made if carried else ()))).join(carry, "_g")
     d = d.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in (*last, *next)})
     if then:
         d = then(d, w)
-    return d.where(own).drop("_g", "_halo", *[f"_{p}_{n}" for p in "ilc" for n in (*last, *next)])
+    return d.where(own).drop("_g", "_halo", *carried, *[f"_{p}_{n}" for p in "ilc" for n in (*last, *next)])
 
 
 def with_runs(df: DataFrame, seq: Seq, value: Column) -> DataFrame:

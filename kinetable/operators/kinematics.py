@@ -6,15 +6,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinetable.functions import rotation as R
 from kinetable.functions.vectors import vec
-from kinetable.operators.blocks import Seq, neighbors, scan
+from kinetable.operators.blocks import Seq, neighbors, pipeline, scan
 from kinetable.operators.joins import sequence_udf
 from kinetable.operators.runs import longest_run
-from kinetable.operators.smoothing import gaussian_smooth
+from kinetable.operators.smoothing import gaussian_parts, gaussian_radius, gaussian_smooth
 
 
 def finite_diff(df: DataFrame, seq: Seq, cols: list[str], order: int = 1, fps: float = 1.0) -> DataFrame:
@@ -95,13 +95,40 @@ def yaw_integrate(df: DataFrame, seq: Seq, yaw_vel: str, vx: str, vz: str, dt: f
     The heading of row i is the sum of the earlier yaw velocities; planar
     velocities are turned by minus the heading at the next row before they
     are summed. ``dt`` scales the yaw velocity.
+
+    A block of rows is summed up as the turn and the path it adds, seen from
+    its own start; the turns of earlier blocks turn its path, and turned paths
+    add up. So both integrals need one shuffle of the rows and one carry.
     """
     k = 1.0 if dt is None else dt
-    d = scan(df, seq, shifted_sums={"heading": F.col(yaw_vel) * k}, sums={"_turned": F.col(yaw_vel) * k})
-    # velocity i moves the body from row i to i + 1, whose heading is _turned
-    c, s = F.cos(2 * F.col("_turned")), F.sin(2 * F.col("_turned"))
-    d = d.withColumns({"_wx": c * F.col(vx) - s * F.col(vz), "_wz": s * F.col(vx) + c * F.col(vz)})
-    return scan(d, seq, shifted_sums={"x": F.col("_wx"), "z": F.col("_wz")}).drop("_turned", "_wx", "_wz")
+    zero, first = F.lit(0.0), Window.unboundedPreceding
+    step = F.col(yaw_vel) * k
+
+    def turn(a: Column, x: Column, z: Column) -> tuple[Column, Column]:
+        c, s = F.cos(2 * a), F.sin(2 * a)
+        return c * x - s * z, s * x + c * z
+
+    def local(d: DataFrame, w: WindowSpec) -> DataFrame:
+        upto, prior = w.rowsBetween(first, 0), w.rowsBetween(first, -1)
+        d = d.withColumns({"_a": F.coalesce(F.sum(step).over(prior), zero), "_turned": F.coalesce(F.sum(step).over(upto), zero)})
+        # velocity i moves the body from row i to i + 1, whose heading is _turned
+        wx, wz = turn(F.col("_turned"), F.col(vx), F.col(vz))
+        d = d.withColumns({"_wx": wx, "_wz": wz})
+        return d.withColumns({f"_s{c}": F.coalesce(F.sum(f"_w{c}").over(prior), zero) for c in "xz"}).drop("_turned")
+
+    def keep(blocks: DataFrame, whole: WindowSpec, back: WindowSpec) -> DataFrame:
+        d = blocks.withColumn("_a0", F.coalesce(F.sum("_ba").over(back), zero))
+        x, z = turn(F.col("_a0"), F.col("_bx"), F.col("_bz"))
+        d = d.withColumns({"_tx": x, "_tz": z})
+        return d.withColumns({f"_{c}0": F.coalesce(F.sum(f"_t{c}").over(back), zero) for c in "xz"})
+
+    def then(d: DataFrame, w: WindowSpec) -> DataFrame:
+        x, z = turn(F.col("_a0"), F.col("_sx"), F.col("_sz"))
+        out = {"heading": F.col("_a0") + F.col("_a"), "x": F.col("_x0") + x, "z": F.col("_z0") + z}
+        return d.withColumns(out).drop("_a", "_wx", "_wz", "_sx", "_sz")
+
+    summary = {"_ba": F.sum(step), "_bx": F.sum("_wx"), "_bz": F.sum("_wz")}
+    return pipeline(df, seq, 0, 0, local=local, summary=summary, keep=keep, then=then, carried=("_a0", "_x0", "_z0"))
 
 
 def delta_theta(df: DataFrame, seq: Seq, quat: str) -> DataFrame:
@@ -232,25 +259,50 @@ def contact_drift_correct(
     ``frames``: keys, order, x, y, z. ``joints``: keys, order, joint id,
     jx, jy, jz and a contact logit. Per step the displacements of joints with
     a positive logit are averaged with softmax weights and taken out; x and z
-    are smoothed and the lowest joint is put at height 0.
+    are smoothed and the lowest joint is put at height 0. Joints on frames
+    that are not in ``frames`` are left out.
+
+    A frame and its joints, bounded by the skeleton, become one row. Blocks of
+    these hold halo rows for the step and the smoothing; what earlier blocks
+    drift by and the lowest joint of all come from one carry row per block.
     """
-    keys, o = list(seq.keys), seq.order
-    jseq = Seq((*seq.keys, joint), o, seq.size)
-    d = neighbors(joints, jseq, 0, 1, {f"_n{c}": (lambda w, c=c: F.lead(c).over(w)) for c in ("jx", "jy", "jz")})
-    d = d.where(F.col("_njx").isNotNull() & (F.col(logit) > 0)).withColumn("_e", F.exp(F.col(logit)))
-    drift = d.groupBy(*keys, o).agg(
-        *[(F.sum(F.col("_e") * (F.col(f"_nj{a}") - F.col(f"j{a}"))) / F.sum("_e")).alias(f"_d{a}") for a in "xyz"]
-    )
-    out = frames.join(drift, [*keys, o], "left")
-    out = scan(out, seq, shifted_sums={f"_s{a}": F.coalesce(f"_d{a}", F.lit(0.0)) for a in "xyz"})
-    out = out.withColumns({f"_p{a}": F.col(a) - F.col(f"_s{a}") for a in "xyz"})
-    out = gaussian_smooth(out, seq, ["_px", "_pz"], sigma, "replicate")
-    moved = joints.join(out.select(*keys, o, (F.col("_py") - F.col("y")).alias("_dy")), [*keys, o])
-    floor = moved.groupBy(*keys).agg(F.min(F.col("jy") + F.col("_dy")).alias("_floor"))
-    out = out.join(floor, keys, "left")
-    return out.select(
-        *keys, o, F.col("_px").alias("x"), (F.col("_py") - F.coalesce("_floor", F.lit(0.0))).alias("y"), F.col("_pz").alias("z")
-    )
+    keys, o, r = list(seq.keys), seq.order, gaussian_radius(sigma)
+    point = F.struct(F.col(joint).alias("j"), *[F.col(f"j{a}").cast("double").alias(a) for a in "xyz"], F.col(logit).cast("double").alias("e"))
+    own = frames.select(*keys, o, F.struct(*"xyz").alias("_root"))
+    rows = own.unionByName(joints.select(*keys, o, point.alias("_point")), allowMissingColumns=True)
+    d = rows.groupBy(*keys, o).agg(F.max("_root").alias("_root"), F.collect_list("_point").alias("_points"))
+    d = d.where(F.col("_root").isNotNull()).select(*keys, o, *[F.col("_root")[a].cast("double").alias(a) for a in "xyz"], "_points")
+    zero, first = F.lit(0.0), Window.unboundedPreceding
+    add = lambda a, v: a + v
+
+    def local(d: DataFrame, w: WindowSpec) -> DataFrame:
+        after = lambda p: F.get(F.filter("_next", lambda q: q["j"] == p["j"]), F.lit(0))
+        d = d.withColumn("_next", F.lead("_points").over(w))
+        moves = F.transform(F.filter("_points", lambda p: p["e"] > 0), lambda p: F.struct(p.alias("p"), after(p).alias("q"), F.exp(p["e"]).alias("e")))
+        d = d.withColumn("_moves", F.filter(moves, lambda m: m["q"]["x"].isNotNull()))
+        weight = F.aggregate(F.transform("_moves", lambda m: m["e"]), zero, add)
+        mean = lambda a: F.aggregate(F.transform("_moves", lambda m: F.coalesce(m["e"] * (m["q"][a] - m["p"][a]), zero)), zero, add) / weight
+        d = d.withColumns({f"_d{a}": F.when(F.size("_moves") > 0, mean(a)).otherwise(zero) for a in "xyz"})
+        d = d.withColumns({f"_s{a}": F.coalesce(F.sum(f"_d{a}").over(w.rowsBetween(first, -1)), zero) for a in "xyz"})
+        # steps of halo rows before the block are in the earlier blocks' sums already
+        d = d.withColumns({f"_h{a}": F.when(F.col("_ahead"), F.col(f"_d{a}")) for a in "xyz"})
+        low = F.when(~F.col("_halo"), F.array_min(F.transform("_points", lambda p: p["y"])) - F.col("_sy"))
+        return d.withColumn("_low", low).drop("_next", "_moves")
+
+    def keep(blocks: DataFrame, whole: WindowSpec, back: WindowSpec) -> DataFrame:
+        d = blocks.withColumns({f"_c{a}": F.coalesce(F.sum(f"_b{a}").over(back), zero) - F.coalesce(f"_p{a}", zero) for a in "xyz"})
+        return d.withColumn("_floor", F.coalesce(F.min(F.col("_lowest") - F.col("_cy")).over(whole), zero))
+
+    stage, means = gaussian_parts(["x", "z"], sigma, "replicate")
+
+    def then(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumns({a: F.col(a) - F.col(f"_s{a}") - F.col(f"_c{a}") for a in "xyz"})
+        return d.withColumns({n: f(w) for n, f in stage.items()}).withColumns({**means, "y": F.col("y") - F.col("_floor")})
+
+    summary = {f"_b{a}": F.sum(F.when(~F.col("_halo"), F.col(f"_d{a}"))) for a in "xyz"}
+    summary |= {f"_p{a}": F.sum(f"_h{a}") for a in "xyz"} | {"_lowest": F.min("_low")}
+    out = pipeline(d, seq, r, max(r, 1) + 1, local=local, summary=summary, keep=keep, then=then, carried=("_cx", "_cy", "_cz", "_floor"))
+    return out.select(*keys, o, "x", "y", "z")
 
 
 class Pull:

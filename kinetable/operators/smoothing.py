@@ -45,22 +45,18 @@ def _clamp(i: Column, m: Column) -> Column:
 _EDGES = {"reflect": _mirror, "replicate": _clamp, "nearest": _clamp}
 
 
-def gaussian_smooth(
-    df: DataFrame, seq: Seq, cols: list[str], sigma: float, edge: str = "reflect", radius: int | None = None
-) -> DataFrame:
-    """Gaussian-weighted mean over ``radius`` rows to each side.
+def gaussian_radius(sigma: float, radius: int | None = None) -> int:
+    return int(4 * sigma + 0.5) if radius is None else radius
 
-    Near a sequence border the window list is shorter and its missing places
-    are read through the edge rule. Null rows keep their place and carry no
-    weight: the mean is over the others, null if there are none.
-    """
-    r = int(4 * sigma + 0.5) if radius is None else radius
+
+def gaussian_parts(cols: list[str], sigma: float, edge: str = "reflect", radius: int | None = None) -> tuple[dict[str, WindowExpr], dict[str, Column]]:
+    """The bounded windows that a Gaussian mean of ``cols`` reads, and the means made from them."""
+    r = gaussian_radius(sigma, radius)
     place = _EDGES[edge]
     weights = F.array(*[F.lit(x) for x in gaussian_weights(sigma, r)])
     names = {c: f"_w{i}" for i, c in enumerate(cols)}
     stage = {n: (lambda w, c=c: F.collect_list(F.struct(F.col(c).cast("double").alias("v"))).over(w.rowsBetween(-r, r))) for c, n in names.items()}
     stage["_before"] = lambda w: F.count(F.lit(1)).over(w.rowsBetween(-r, -1)).cast("int")
-    d = neighbors(df, seq, r, r, stage)
 
     def smooth(n: str) -> Column:
         m = F.size(n)
@@ -72,7 +68,21 @@ def gaussian_smooth(
         share = F.aggregate(F.transform(known, lambda k: F.get(weights, k)), F.lit(0.0), add)
         return F.when(F.size(known) == 2 * r + 1, total).when(F.size(known) > 0, total / share)
 
-    return d.withColumns({c: smooth(n) for c, n in names.items()}).drop("_before", *names.values())
+    return stage, {c: smooth(n) for c, n in names.items()}
+
+
+def gaussian_smooth(
+    df: DataFrame, seq: Seq, cols: list[str], sigma: float, edge: str = "reflect", radius: int | None = None
+) -> DataFrame:
+    """Gaussian-weighted mean over ``radius`` rows to each side.
+
+    Near a sequence border the window list is shorter and its missing places
+    are read through the edge rule. Null rows keep their place and carry no
+    weight: the mean is over the others, null if there are none.
+    """
+    r = gaussian_radius(sigma, radius)
+    stage, means = gaussian_parts(cols, sigma, edge, radius)
+    return neighbors(df, seq, r, r, stage).withColumns(means).drop(*stage)
 
 
 def mean_reach(width: int, edge: str) -> tuple[int, int]:

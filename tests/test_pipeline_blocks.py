@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinetable.operators import kinematics as K
 from kinetable.operators import runs as RU
 from kinetable.operators import tracks as TR
 from kinetable.operators.blocks import Seq, scan
@@ -140,3 +141,72 @@ def test_shuffles(spark, tmp_path):
     assert exchanges(TR.clean_tracks(d, spans, seq(64), ["v"], jump)) <= 3
     assert exchanges(RU.fill_zero_gaps(d, seq(64), "v", 3)) <= 3
     assert exchanges(RU.true_runs(d, seq(64), F.col("v") > 3)) <= 3
+
+
+def path_data():
+    r = np.random.default_rng(8)
+    return {"a": r.normal(size=(41, 3)), "b": r.normal(size=(1, 3)), None: r.normal(size=(13, 3))}
+
+
+@pytest.mark.parametrize("size", [2, 7, 4096])
+def test_yaw_integrate_by_a_plain_loop(spark, size):
+    want = {}
+    for k, v in path_data().items():
+        a = x = z = 0.0
+        for i, (yaw, vx, vz) in enumerate(v):
+            want[k, i] = (a, x, z)
+            a += yaw * 0.5
+            x, z = x + np.cos(2 * a) * vx - np.sin(2 * a) * vz, z + np.sin(2 * a) * vx + np.cos(2 * a) * vz
+    rows = [(k, i, *map(float, r), i) for k, v in path_data().items() for i, r in enumerate(v)]
+    d = K.yaw_integrate(spark.createDataFrame(rows, "k string, pos long, yaw double, vx double, vz double, more long"), seq(size), "yaw", "vx", "vz", 0.5)
+    assert d.columns == ["k", "pos", "yaw", "vx", "vz", "more", "heading", "x", "z"]
+    got = {(r.k, r.pos): (r.heading, r.x, r.z) for r in d.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_yaw_integrate_keeps_null_values_and_orders(spark):
+    rows = [("a", None, 1.0, 1.0, 1.0), ("a", 0, None, 1.0, 0.0), ("a", 1, 0.5, None, 2.0), ("a", 5, 0.5, 1.0, 0.0)]
+    got = {r.pos: (r.heading, r.x, r.z) for r in K.yaw_integrate(spark.createDataFrame(rows, "k string, pos long, yaw double, vx double, vz double"), seq(2), "yaw", "vx", "vz").collect()}
+    t = (np.cos(2) - np.sin(2), np.sin(2) + np.cos(2))  # null orders come first; a null step adds nothing
+    u = (t[0] + np.cos(2), t[1] + np.sin(2))
+    assert {k: pytest.approx(v) for k, v in got.items()} == {None: (0, 0, 0), 0: (1, *t), 1: (1, *u), 5: (1.5, *u)}
+
+
+def drift_data():
+    r = np.random.default_rng(3)
+    return {k: (r.normal(size=(n, 3)), r.normal(size=(n, 4, 3)), r.normal(size=(n, 4))) for k, n in (("a", 50), ("b", 2), (None, 17))}
+
+
+@pytest.mark.parametrize("size", [3, 12, 4096])
+def test_contact_drift_by_a_plain_loop(spark, size):
+    sigma, radius = 1.0, 4
+    w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    want, frames, joints = {}, [], []
+    for k, (root, j, logit) in drift_data().items():
+        p, off = [], np.zeros(3)
+        for i in range(len(root)):
+            p.append(root[i] - off)
+            on = logit[i] > 0
+            if i + 1 < len(root) and on.any():
+                e = np.exp(logit[i][on])
+                off = off + (e[:, None] * (j[i + 1][on] - j[i][on])).sum(0) / e.sum()
+        p = np.array(p)
+        floor = (j[:, :, 1] + (p[:, 1] - root[:, 1])[:, None]).min()
+        flat = [np.convolve(np.pad(p[:, c], radius, mode="edge"), w / w.sum(), "valid") for c in (0, 2)]
+        want |= {(k, i): (flat[0][i], p[i, 1] - floor, flat[1][i]) for i in range(len(root))}
+        frames += [(k, i, *map(float, root[i])) for i in range(len(root))]
+        joints += [(k, i, q, *map(float, j[i, q]), float(logit[i, q])) for i in range(len(root)) for q in range(4)]
+    joints.append(("elsewhere", 0, 0, 0.0, -9.0, 0.0, 1.0))  # no frame of that name
+    f = spark.createDataFrame(frames, "k string, pos long, x double, y double, z double")
+    d = K.contact_drift_correct(f, spark.createDataFrame(joints, "k string, pos long, joint int, jx double, jy double, jz double, logit double"), seq(size), "joint", "logit", sigma)
+    got = {(r.k, r.pos): (r.x, r.y, r.z) for r in d.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_integrals_take_few_shuffles(spark, tmp_path):
+    rows = spark.range(300).select((F.col("id") % 3).alias("k"), F.floor(F.col("id") / 3).alias("pos"), *[F.rand(i).alias(c) for i, c in enumerate(("x", "y", "z", "e"))])
+    rows.write.parquet(str(tmp_path / "d"))
+    rows = spark.read.parquet(str(tmp_path / "d"))
+    assert exchanges(K.yaw_integrate(rows, seq(64), "e", "x", "y")) <= 3
+    joints = rows.select("k", "pos", F.lit(0).alias("joint"), *[F.col(c).alias(f"j{c}") for c in "xyz"], "e")
+    assert exchanges(K.contact_drift_correct(rows.select("k", "pos", "x", "y", "z"), joints, seq(64), "joint", "e")) <= 5
