@@ -14,10 +14,10 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from kinetable.operators.blocks import Seq, number_rows, scan
+from kinetable.operators.blocks import Seq, number_rows, pipeline, scan
 from kinetable.operators.joins import fold_rows, solve_assignment
 from kinetable.session import cut
 
@@ -194,7 +194,7 @@ def signal_runs(signals: DataFrame, seq: Seq, rules: SegmentRules) -> DataFrame:
 
 
 def split_at_silence(runs: DataFrame, seq: Seq, rules: SegmentRules) -> DataFrame:
-    """Number the pieces of each video that can be processed on their own.
+    """Name the pieces of each video that can be processed on their own, by their first frame (-1 for the first).
 
     A piece starts at a human frame with a large box and a new detection right
     after a stretch without humans long enough to close any segment: there all
@@ -203,14 +203,28 @@ def split_at_silence(runs: DataFrame, seq: Seq, rules: SegmentRules) -> DataFram
     those of :func:`signal_runs`, with frames that have no holes.
     """
     seq = Seq(seq.keys, "frame", seq.size)
-    stop, human = F.col("frame") + F.col("length"), F.col("human")
-    opens = F.struct(F.col("frame").alias("at"), (~F.col("small") & ~F.col("is_repeat")).alias("ok"))
-    d = scan(runs, seq, last={"_silent": F.when(human, stop)}, next={"_next": F.when(human, opens)}, ends=("_first", "_last"))
-    # on the last run of a silent stretch: how long that was, and what follows
-    long = stop - F.coalesce("_silent", "_first") >= max(1, rules.frames(rules.no_human))
-    ends = ~human & (F.col("_next.at") == stop) & F.col("_next.ok") & long
-    d = d.withColumn("_ends", F.coalesce(ends, F.lit(False)).cast("long")).drop("_silent", "_next", "_first", "_last")
-    return scan(d, seq, shifted_sums={"piece": F.col("_ends")}).drop("_ends")
+    least, first = max(1, rules.frames(rules.no_human)), Window.unboundedPreceding
+    at, human, ok = F.col("frame"), F.col("human"), ~F.col("small") & ~F.col("is_repeat")
+
+    def local(d: DataFrame, w: WindowSpec) -> DataFrame:
+        before = F.last(F.when(human, at + F.col("length")), ignorenulls=True).over(w.rowsBetween(first, -1))
+        d = d.withColumn("_before", before)  # the end of the last human run of the block
+        d = d.withColumn("_opens", F.when(human & ok & (at - F.col("_before") >= least), at))
+        return d.withColumn("_since", F.last("_opens", ignorenulls=True).over(w.rowsBetween(first, 0)))
+
+    def keep(blocks: DataFrame, whole: WindowSpec, back: WindowSpec) -> DataFrame:
+        # what the first human run of a block follows is known from earlier blocks only
+        prior = F.coalesce(F.last("_stop", ignorenulls=True).over(back), F.min("_least").over(whole))
+        d = blocks.withColumn("_opened", F.when(F.col("_head.ok") & (F.col("_head.at") - prior >= least), F.col("_head.at")))
+        return d.withColumn("_piece", F.last(F.coalesce("_own", "_opened"), ignorenulls=True).over(back))
+
+    def then(d: DataFrame, w: WindowSpec) -> DataFrame:
+        piece = F.coalesce("_since", F.when(at >= F.col("_opened"), F.col("_opened")), "_piece", F.lit(-1).cast("long"))
+        return d.withColumn("piece", piece).drop("_before", "_opens", "_since")
+
+    head = F.max(F.when(human & F.col("_before").isNull(), F.struct(at.alias("at"), ok.alias("ok"))))
+    summary = {"_head": head, "_stop": F.max(F.when(human, at + F.col("length"))), "_own": F.max("_opens"), "_least": F.min(at)}
+    return pipeline(runs, seq, 0, 0, local=local, summary=summary, keep=keep, then=then, carried=("_opened", "_piece"))
 
 
 def quiet_frames(s: SegmentState, run: dict, r: SegmentRules) -> int:
