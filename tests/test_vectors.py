@@ -59,6 +59,25 @@ def test_kernel_distance_draws_each_subset_from_all_rows(spark):
     assert [r["mmd2"] for r in few] == [None, None]
 
 
+def test_kernel_subsets_by_plain_loops(spark):
+    """The sketch takes the rows of smallest key, ties by id; the SQL of the query checks the variance."""
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(23, 5)), r.normal(size=(31, 5)) + 0.3
+    make = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(7)
+    got = VM.kernel_distance(make(a), make(b), "id", "v", subsets=3, size=9, key=lambda s: (F.col("id") * 5 + s * 3) % 8).collect()
+    for row in got:
+        own = [sorted(range(len(x)), key=lambda i: ((i * 5 + row.subset * 3) % 8, i))[:9] for x in (a, b)]
+        x, y = a[own[0]], b[own[1]]
+        kern = lambda p, q: (p @ q / 5 + 1) ** 3
+        mixed = [kern(x[i], y[j]) for i in range(9) for j in range(9)]
+        inner = lambda p: sum(kern(p[i], p[j]) for i in range(9) for j in range(9) if i != j) / 72
+        assert row.mmd2 == pytest.approx(inner(x) + inner(y) - 2 * np.mean(mixed))
+        assert row.variance is not None and np.isfinite(row.variance)
+    assert [r.subset for r in sorted(got)] == [0, 1, 2]
+    uneven = VM.kernel_distance(make(a[:4]), make(b), "id", "v", subsets=1, size=9).first()
+    assert uneven.mmd2 is not None and uneven.variance is None
+
+
 def test_pca_matches_numpy(spark):
     df, x = vecs(spark)
     got = np.stack([r["pc"] for r in VM.pca(df, "v", 2).orderBy("id").collect()])
