@@ -279,7 +279,8 @@ def align_person_timelines(spark, sf):
 @query("pad_to", f"""WITH {EV_SQL}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1)
 SELECT e.user_id, f AS out_frame, e.value + 0.0 AS value, f < n AS is_valid FROM ev e JOIN n USING (user_id) CROSS JOIN (SELECT unnest(range(0, 100)) AS f) WHERE e.pos = least(f, n - 1)""")
 def pad_to(spark, sf):
-    return FR.pad_to(event_track(spark, sf, "value"), ["user_id"], "pos", 100).select("user_id", "out_frame", "value", "is_valid")
+    """Clips of 100 rows; users with more events give their first 100."""
+    return FR.pad_to(event_track(spark, sf, "value"), ["user_id"], "pos", 100, cut=True).select("user_id", "out_frame", "value", "is_valid")
 
 
 @query("loop_to", f"""WITH {EV_SQL}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1)

@@ -84,6 +84,16 @@ def test_pad_to_refuses_longer_clips(spark):
     assert FR.pad_to(d, ["k"], "f", 6).count() == 6
 
 
+def test_pad_to_query_takes_users_of_any_length(spark, tmp_path):
+    from kinetable.plans.q_joins import pad_to
+
+    rows = [(u, i, u, float(i)) for u, n in ((1, 130), (2, 30)) for i in range(n)]
+    d = spark.createDataFrame(rows, "u long, event_id long, user_id long, value double")
+    d.select((F.timestamp_seconds(F.col("event_id") * 60)).alias("ts"), "event_id", "user_id", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.user_id, r.out_frame): (r.value, r.is_valid) for r in pad_to(spark, str(tmp_path)).collect()}
+    assert got == {(u, f): (float(min(f, n - 1)), f < n) for u, n in ((1, 130), (2, 30)) for f in range(100)}
+
+
 def test_center_on_camera_uses_the_nearest_frame(spark):
     rows = [("s", 0, i, 1.0, 10.0 + i, True) for i in range(5)] + [("s", 1, i, 1.0, 20.0 + i, False) for i in (0, 1)]
     d = spark.createDataFrame(rows, "scene string, body int, frame long, t double, c double, ok boolean")
