@@ -76,13 +76,13 @@ def segment_scenes_stream(df: DataFrame, keys: list[str], order: str, rules: SG.
 
 
 def _pack(t: SG.FaceTracker, at: int | None) -> str:
-    rows = [[x.ident, x.mean.tolist(), x.cov.tolist(), None if x.embedding is None else x.embedding.tolist(), x.missed] for x in t.tracks]
+    rows = [[x.ident, x.mean, x.cov, None if x.embedding is None else x.embedding.tolist(), x.missed] for x in t.tracks]
     return json.dumps([t.next_id, None if at is None else int(at), rows])
 
 
 def _unpack(text: str, tracker: SG.FaceTracker) -> int | None:
     tracker.next_id, at, rows = json.loads(text)
-    tracker.tracks = [SG.FaceTrack(i, np.array(m), np.array(c), None if e is None else np.array(e), k) for i, m, c, e, k in rows]
+    tracker.tracks = [SG.FaceTrack(i, m, c, None if e is None else np.array(e), k) for i, m, c, e, k in rows]
     return at
 
 

@@ -236,3 +236,31 @@ def test_face_identities_count_on_after_silence(spark):
     ids = {f: sorted(r.face_id for r in got if r.frame == f and r.k == "v") for f in (0, 100, 300)}
     assert ids == {0: [1, 2], 100: [3, 4], 300: [5, 6]}
     assert [r.face_id for r in got if r.k is None] == [1]
+
+
+def test_tracker_equals_the_matrix_filter():
+    f, h, r = np.eye(7) + np.eye(7, k=4) * (np.arange(7)[:, None] < 3), np.eye(4, 7), np.random.default_rng(4)
+    t = SG.FaceTracker(max_miss=10**9)
+    box = np.array([10.0, 20.0, 70.0, 90.0])
+    t.step(box[None], [None])
+    mean, cov = np.array([*t.measure(box.tolist()), 0.0, 0.0, 0.0]), np.eye(7) * 10
+    for n in range(40):
+        mean, cov = f @ mean, f @ cov @ f.T + np.eye(7) * 0.01
+        if n % 3:
+            t.step(np.zeros((0, 4)), [])
+            continue
+        box = box + r.normal(0, 0.5, 4)
+        t.step(box[None], [None])
+        gain = np.linalg.solve(h @ cov @ h.T + np.eye(4), h @ cov).T
+        mean, left = mean + gain @ (np.array(t.measure(box.tolist())) - h @ mean), np.eye(7) - gain @ h
+        cov = left @ cov @ left.T + gain @ gain.T
+    assert len(t.tracks) == 1
+    np.testing.assert_allclose(t.tracks[0].mean, mean, rtol=1e-9)
+    for i in range(3):
+        np.testing.assert_allclose(t.tracks[0].cov[i], cov[np.ix_([i, 4 + i], [i, 4 + i])].ravel(), rtol=1e-9)
+    np.testing.assert_allclose(t.tracks[0].cov[3], [cov[3, 3]], rtol=1e-9)
+    for shape in ((1, 5), (5, 1)):
+        c = r.integers(0, 3, shape).astype(float)
+        i, j = np.indices(shape).reshape(2, -1)
+        k = SG.solve_assignment(i, j, c.ravel())
+        assert SG.FaceTracker._pairs(c) == list(zip(i[k], j[k]))
