@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinetable.functions import rotation as R
 from kinetable.functions import vectors as V
@@ -161,19 +163,31 @@ def _flat(a: np.ndarray) -> list[np.ndarray]:
     return list(a.reshape(len(a), -1))
 
 
+#: Rows that exist as Python objects at a time.
+MAP_ROWS = 1024
+
+
 def map_rows(df: DataFrame, fn: Callable[[pd.DataFrame], dict], new: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add or replace columns computed per Arrow batch."""
+    """Add or replace columns, computed for ``MAP_ROWS`` rows at a time. The
+    other columns of an Arrow batch pass as they are."""
     keep = [f for f in df.schema.fields if f.name not in new and f.name not in drop]
     added = T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in new.items()))
     schema = T.StructType(keep + added.fields)
-    names = [f.name for f in schema.fields]
+    kinds = {f.name: to_arrow_type(f.dataType) for f in added.fields}
+
+    def column(values: list | np.ndarray | pd.Series, kind: pa.DataType) -> pa.Array:
+        v = pd.Series(values)
+        return pa.Array.from_pandas(v, mask=v.isnull(), type=kind)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            if len(pdf):
-                yield pdf.assign(**fn(pdf))[names]
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for s in range(0, batch.num_rows, MAP_ROWS):
+                part = batch.slice(s, MAP_ROWS)
+                made = fn(part.to_pandas(integer_object_nulls=True, date_as_object=True))
+                cols = [part.column(f.name) for f in keep] + [column(made[c], kind) for c, kind in kinds.items()]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 # ---- jobs ------------------------------------------------------------------

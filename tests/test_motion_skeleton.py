@@ -217,3 +217,10 @@ def test_pose_dimension_is_checked(spark):
     d = spark.createDataFrame([([0.0] * 7,)], "p array<double>")
     with pytest.raises(Exception, match="pose dimension"):
         d.select(PO.pose_slices(F.col("p"))["root"]).collect()
+
+
+def test_map_rows_holds_few_rows_and_passes_the_rest(spark):
+    d = spark.range(0, 5000, 1, 1).select("id", F.when(F.col("id") % 2 == 0, F.col("id").cast("int")).alias("half"), F.array(F.col("id").cast("double")).alias("v"))
+    got = SK.map_rows(d, lambda p: {"n": [len(p)] * len(p), "v": [a * 2 for a in p["v"]]}, {"n": "long", "v": "array<double>"}).collect()
+    assert [(r.id, r.half, r.v) for r in got] == [(i, None if i % 2 else i, [2.0 * i]) for i in range(5000)]
+    assert max(r.n for r in got) <= SK.MAP_ROWS < 5000
