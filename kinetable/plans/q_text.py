@@ -375,7 +375,7 @@ def read_captions_files(spark, sf):
     group = F.floor(F.col("c_custkey") / 100)
     entry = F.struct(F.concat(F.lit("v"), group, F.lit("/"), "c_custkey"), "c_name")
     docs_ = table(spark, sf, "customer").groupBy(group.alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    docs_.repartition("g").write.partitionBy("g").text(path)
+    WR.write_texts(docs_, "g", "value", path)
     return RD.read_captions(spark, path)
 
 
@@ -404,7 +404,7 @@ def read_video_manifest_files(spark, sf):
     path = _folder(spark, "manifests")
     line = F.concat("s_name", F.lit(" | http://v/"), "s_suppkey", F.lit(" | fps:"), "s_acctbal", F.lit(" | accessed:09/03/2024 10:11:12\n | request: n"), "s_nationkey")
     d = table(spark, sf, "supplier").select(line.alias("value"), "s_suppkey")
-    d.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    WR.write_texts(d, "s_suppkey", "value", path)
     return RD.read_video_manifest(spark, path).select("title", "url", "fps", F.date_format("accessed", "yyyy-MM-dd HH:mm:ss").alias("accessed"), "request")
 
 

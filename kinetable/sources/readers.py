@@ -28,7 +28,12 @@ INDEX_SCHEMA = "source_path string, start_frame int, end_frame int, new_name str
 
 def _files(spark: SparkSession, path: str, whole: bool) -> DataFrame:
     d = spark.read.text(path, wholetext=whole, recursiveFileLookup=True)
-    return d.select("value", F.col("_metadata.file_path").alias("path"))
+    d = d.select("value", F.col("_metadata.file_path").alias("path"))
+    if whole:  # each file counts as megabytes to Spark, so many small ones would make too many tasks
+        least = 8 * spark.sparkContext.defaultParallelism
+        if (parts := d.rdd.getNumPartitions()) > least:
+            d = d.coalesce(max(least, parts // 64))
+    return d
 
 
 def parse_video_manifest(df: DataFrame, value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,43 @@ def write_segments(df: DataFrame, path: str) -> None:
     segment_lines(df).select("value").write.mode("overwrite").text(path)
 
 
+def write_texts(df: DataFrame, key: str, text: str, path: str, folders: int = 64) -> None:
+    """A text file per ``key`` with the lines of its texts, in one of several folders.
+
+    The number of tasks is given, as Spark would put a table of few bytes into
+    one task. Each puts its files into place as in :func:`write_arrays`.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("value")).repartition(tasks, "key")
+    d = d.groupBy("key").agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    d = d.withColumn("folder", F.pmod(F.xxhash64("key"), F.lit(folders)))
+
+    def save(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = _folder_of(path)
+        made = set()
+        for pdf in it:
+            for k, v, at in zip(pdf["key"], pdf["value"], pdf["folder"]):
+                if at not in made:
+                    fs.create_dir(f"{base}/{at}", recursive=True)
+                    made.add(at)
+                _put(fs, f"{base}/{at}", "null" if k is None else "key=" + quote(k, safe=""), "txt", f"{v}\n".encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    d.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+
+
+def _folder_of(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def _put(fs: pafs.FileSystem, folder: str, name: str, kind: str, content: bytes) -> None:
+    aside = f"{folder}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(aside) as out:
+        out.write(content)
+    fs.move(aside, f"{folder}/{name}.{kind}")
+
+
 def write_arrays(df: DataFrame, name: str, rows: str, path: str) -> None:
     """Each row's array of vectors as ``<name>.npy`` in the folder ``path``.
 
@@ -76,16 +114,13 @@ def write_arrays(df: DataFrame, name: str, rows: str, path: str) -> None:
     """
 
     def save(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        fs, base = _folder_of(path)
         fs.create_dir(base, recursive=True)
         for pdf in it:
             for n, vecs in zip(pdf[name], pdf[rows]):
                 raw = io.BytesIO()
                 np.save(raw, np.stack([np.asarray(v, dtype=np.float64) for v in vecs]))
-                aside = f"{base}/.{n}-{uuid.uuid4().hex}"
-                with fs.open_output_stream(aside) as out:
-                    out.write(raw.getvalue())
-                fs.move(aside, f"{base}/{n}.npy")
+                _put(fs, base, n, "npy", raw.getvalue())
             yield pd.DataFrame({"n": [len(pdf)]})
 
     df.select(name, rows).mapInPandas(save, "n long").agg(F.sum("n")).collect()

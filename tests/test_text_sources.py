@@ -48,6 +48,23 @@ def test_small_text_functions(spark):
     assert one(spark, "video_12_merged_scene_3_body_0").select(X.clip_short_name(F.col("t"))).first()[0] == "12_3_0"
 
 
+def test_many_small_files_are_written_by_many_tasks(spark, tmp_path):
+    d = spark.range(0, 300, 1, 1).select("id", F.concat(F.lit("t"), "id", F.lit(" | u | fps:2 | accessed:09/03/2024 10:11:12\n | request: r")).alias("value"))
+    d = d.unionByName(d.where("id = 7")).unionByName(d.where("id < 2").withColumn("value", F.lit(None).cast("string")))
+    path = str(tmp_path / "m")
+    WR.write_texts(d, "id", "value", path)
+    files = list((tmp_path / "m").rglob("*.txt"))
+    assert len(files) == 300 and len({f.parent for f in files}) > 32  # so many folders are listed by tasks
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # one file a partition
+    try:
+        got = RD.read_video_manifest(spark, path)
+        assert got.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+        assert sorted(r.title for r in got.collect()) == sorted(f"t{i}" for i in range(300))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "metadata.txt").write_text(
