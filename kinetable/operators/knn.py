@@ -8,8 +8,9 @@ Three plans, chosen by measured sizes:
   best per query, which are then merged;
 * neither: points are grouped around pivots. Distances to the pivots bound
   every query's k-th distance (triangle inequality), so a query only visits
-  cells that can hold a neighbour. Cells and the queries visiting them are cut
-  into blocks, so a crowded cell is many tasks.
+  cells that can hold a neighbour. Small cells are packed into blocks and large
+  ones cut, as are the queries visiting them: a vector is sent once per block
+  it meets, and a crowded cell is many tasks.
 
 Only the k best per query and block ever leave a task. Ties go to the lower id.
 """
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 
 #: Largest matrix that is broadcast, in bytes.
 BROADCAST_BYTES = 64 << 20
-#: Rows per block side in the pivot plan, and number of pivots.
-BLOCK_ROWS = 4096
+#: Bytes of vectors per block side in the pivot plan, and number of pivots.
+BLOCK_BYTES = 16 << 20
 PIVOTS = 256
+#: Distances held at once, and candidates whose vectors are.
+STEP_CELLS, STEP_PAIRS = 2_000_000, 32_768
 
 _OUT = "pool long, qid long, pid long, distance double"
 
@@ -44,7 +47,7 @@ def top_k(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.nda
     """
     rows, ids, dist = [], [], []
     x2 = np.einsum("ij,ij->i", x, x)
-    step = max(1, 4_000_000 // max(1, len(x)))
+    step = max(1, STEP_CELLS // max(1, len(x)))
     for a in range(0, len(q), step):
         b = q[a : a + step]
         approx = np.einsum("ij,ij->i", b, b)[:, None] - 2 * b @ x.T + x2[None]
@@ -52,7 +55,10 @@ def top_k(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.nda
         kth = np.partition(approx, kk - 1, axis=1)[:, kk - 1]
         slack = 1e-9 * (1.0 + np.abs(x2).max() + np.einsum("ij,ij->i", b, b))
         r, c = np.nonzero(approx <= (kth + slack)[:, None])
-        d = np.sqrt(((b[r] - x[c]) ** 2).sum(axis=1))
+        d = np.empty(len(r))
+        for s in range(0, len(r), STEP_PAIRS):  # many equal vectors make many candidates
+            e = slice(s, s + STEP_PAIRS)
+            d[e] = np.sqrt(((b[r[e]] - x[c[e]]) ** 2).sum(axis=1))
         order = np.lexsort((xid[c], d, r))
         r, c, d = r[order], c[order], d[order]
         first = np.searchsorted(r, r)
@@ -64,10 +70,14 @@ def top_k(q: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.nda
 
 
 def _by_pool(qp: np.ndarray, q: np.ndarray, qid: np.ndarray, xp: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> pd.DataFrame:
+    def of(pools: np.ndarray, p: int) -> np.ndarray | slice:
+        hit = pools == p
+        return slice(None) if hit.all() else np.nonzero(hit)[0]  # a slice copies nothing
+
     out = []
     for p in np.unique(qp):
-        qi, xi = np.nonzero(qp == p)[0], np.nonzero(xp == p)[0]
-        if len(xi):
+        qi, xi = of(qp, p), of(xp, p)
+        if len(xid[xi]):
             r, i, d = top_k(q[qi], x[xi], xid[xi], k)
             out.append(pd.DataFrame({"pool": p, "qid": qid[qi][r], "pid": i, "distance": d}))
     return pd.concat(out) if out else pd.DataFrame({"pool": [], "qid": [], "pid": [], "distance": []}).astype("int64")
@@ -133,46 +143,60 @@ def _cells_plan(q: DataFrame, x: DataFrame, k: int, block: int, pivots: int, poo
 
     placed = x.mapInPandas(place, "pool long, pid long, x array<double>, cell long, reach double")
     cells = placed.groupBy("pool", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach"))
-    by_pool = cells.groupBy("pool").agg(F.collect_list(F.struct("cell", "n", "reach")).alias("cells"))  # <= pivots entries
+    # cells of up to a block are packed into packs of up to two; each other cell is a pack of several blocks
+    small, ahead = F.col("n") <= block, Window.partitionBy("pool").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.when(small, F.col("n"))).over(ahead), F.lit(0))
+    cells = cells.withColumn("pack", F.when(small, F.floor(filled / block)).otherwise(-1 - F.col("cell")))
+    cells = cells.withColumn("xb", F.when(small, F.lit(1)).otherwise(F.ceil(F.col("n") / block)).cast("long"))
+    names = ("cell", "n", "reach", "pack")
+    by_pool = cells.groupBy("pool").agg(F.collect_list(F.struct(*names)).alias("_c"))  # <= pivots entries
+    by_pool = by_pool.select("pool", *[F.col(f"_c.{c}").alias(f"{c}s") for c in names])
+
+    def packs(d: np.ndarray, cell: np.ndarray, n: np.ndarray, reach: np.ndarray, pack: np.ndarray) -> list[int]:
+        far, near = d[cell] + reach, d[cell] - reach
+        order = np.argsort(far)
+        full = np.searchsorted(np.cumsum(n[order]), k)
+        bound = far[order][full] if full < len(order) else np.inf
+        return np.unique(pack[near <= bound * (1 + 1e-9) + 1e-6]).tolist()
+
+    if pooled:
+        near, alike = q.join(by_pool, "pool"), None
+    else:
+        near, head = q, by_pool.drop("pool").first()
+        alike = sc.broadcast([np.array(v) for v in head] if head else None)
 
     def visit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             d = to_pivots(_matrix(pdf["q"]))
-            picks = []
-            for row, cs in zip(d, pdf["cells"]):
-                c = np.array([e["cell"] for e in cs])
-                n = np.array([e["n"] for e in cs])
-                r = np.array([e["reach"] for e in cs])
-                far, near = row[c] + r, row[c] - r
-                order = np.argsort(far)
-                full = np.searchsorted(np.cumsum(n[order]), k)
-                bound = far[order][full] if full < len(order) else np.inf
-                picks.append(c[near <= bound * (1 + 1e-9) + 1e-6].tolist())
-            yield pd.DataFrame({"pool": pdf["pool"], "qid": pdf["qid"], "q": pdf["q"], "cells": picks})
-
-    near = q.join(by_pool, "pool") if pooled else q.withColumn("cells", by_pool.select("cells").scalar())
+            if alike is None:
+                picks = [packs(*row) for row in zip(d, *[pdf[f"{c}s"] for c in names])]
+            else:
+                picks = [packs(row, *alike.value) if alike.value else [] for row in d]
+            yield pd.DataFrame({"pool": pdf["pool"], "qid": pdf["qid"], "q": pdf["q"], "packs": picks})
+
     visits = (
-        near.mapInPandas(visit, "pool long, qid long, q array<double>, cells array<long>")
-        .select("pool", "qid", "q", F.explode("cells").alias("cell"))
+        near.mapInPandas(visit, "pool long, qid long, q array<double>, packs array<long>")
+        .select("pool", "qid", "q", F.explode("packs").alias("pack"))
     )
-    sizes = cells.select("pool", "cell", F.ceil(F.col("n") / block).alias("xb")).join(
-        visits.groupBy("pool", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("qb")), ["pool", "cell"]
+    sizes = cells.groupBy("pool", "pack").agg(F.max("xb").alias("xb")).join(
+        visits.groupBy("pool", "pack").agg(F.ceil(F.count(F.lit(1)) / block).alias("qb")), ["pool", "pack"]
     )
 
     def cut(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        d = df.join(sizes, ["pool", "cell"])
+        d = df.join(sizes, ["pool", "pack"])
         d = d.withColumn("_own", F.pmod(F.xxhash64(key), F.col(own)))
         return d.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
 
-    left = cut(visits, "qid", "qb", "xb").select("pool", "cell", F.col("_own").alias("a"), F.col("_other").alias("b"), "qid", "q")
-    right = cut(placed, "pid", "xb", "qb").select("pool", "cell", F.col("_other").alias("a"), F.col("_own").alias("b"), "pid", "x")
+    left = cut(visits, "qid", "qb", "xb").select("pool", "pack", F.col("_own").alias("a"), F.col("_other").alias("b"), "qid", "q")
+    packed = placed.join(cells.select("pool", "cell", "pack"), ["pool", "cell"])
+    right = cut(packed, "pid", "xb", "qb").select("pool", "pack", F.col("_other").alias("a"), F.col("_own").alias("b"), "pid", "x")
 
     def solve(ql: pd.DataFrame, xr: pd.DataFrame) -> pd.DataFrame:
         if not len(ql) or not len(xr):
             return pd.DataFrame({"pool": [], "qid": [], "pid": [], "distance": []}).astype("int64")
         return _by_pool(ql["pool"].to_numpy(), _matrix(ql["q"]), ql["qid"].to_numpy(), xr["pool"].to_numpy(), _matrix(xr["x"]), xr["pid"].to_numpy(), k)
 
-    g = ["pool", "cell", "a", "b"]
+    g = ["pool", "pack", "a", "b"]
     return _merge(left.groupBy(*g).cogroup(right.groupBy(*g)).applyInPandas(solve, _OUT), k)
 
 
@@ -186,13 +210,14 @@ def knn(
     pvec: str,
     pool: tuple[str, str] | None = None,
     plan: str = "auto",
-    block: int = BLOCK_ROWS,
+    block: int | None = None,
     pivots: int = PIVOTS,
 ) -> DataFrame:
     """(pool, qid, pid, distance, rank) of the k nearest points by L2.
 
     Ids are integers. ``pool`` names the columns that must be equal. ``plan``
-    is auto, points, queries or cells. Fewer than k points give fewer rows.
+    is auto, points, queries or cells; ``block`` is the rows of a block in the
+    last one. Fewer than k points give fewer rows.
     """
     def side(df: DataFrame, i: str, v: str, p: str | None, ni: str, nv: str) -> DataFrame:
         pc: Column = F.lit(0) if p is None else F.col(p)
@@ -200,15 +225,15 @@ def knn(
 
     q = side(queries, qid, qvec, pool and pool[0], "qid", "q")
     x = side(points, pid, pvec, pool and pool[1], "pid", "x")
+    head = x.select(F.size("x")).first()
+    dim = max(head[0], 1) if head else 1
     if plan == "auto":
-        head = x.select(F.size("x")).first()
-        dim = head[0] if head else 1
         plan = "points" if _fits(x, dim) else "queries" if _fits(q, dim) else "cells"
     if plan == "points":
         return _points_plan(q, x, k)
     if plan == "queries":
         return _queries_plan(q, x, k)
-    return _cells_plan(q, x, k, block, pivots, pool is not None)
+    return _cells_plan(q, x, k, block or max(1, BLOCK_BYTES // (8 * dim)), pivots, pool is not None)
 
 
 def knn_blend(

@@ -1,4 +1,6 @@
 import itertools
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -31,6 +33,24 @@ def test_knn_equals_brute_force(spark, plan):
         np.testing.assert_allclose([by[i][k + 1][1] for k in range(len(order))], d[order])
 
 
+def test_cells_plan_sends_vectors_once_per_block(spark):
+    q, _, _ = points(spark, 64, 3, 4)
+    d = N.knn(q, q, 2, "id", "v", "id", "v", plan="cells", block=64, pivots=16)
+    assert {(r.qid, r.rank): r.pid for r in d.collect()} == {(r.qid, r.rank): r.pid for r in N.knn(q, q, 2, "id", "v", "id", "v").collect()}
+    rows = re.search(r"FlatMapCoGroupsInPandas.*", d._jdf.queryExecution().optimizedPlan().toString())
+    assert rows and "pack#" in rows.group() and "cell#" not in rows.group()  # one group for all cells that fit into a block
+
+
+def test_top_k_of_many_equal_vectors_stays_small():
+    x = np.ones((3000, 64))
+    tracemalloc.start()
+    r, i, d = N.top_k(x[:600], x, np.arange(3000), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert i.reshape(600, 3).tolist() == [[0, 1, 2]] * 600 and not d.any()
+    assert peak < 500e6  # 1.8 million candidates with their vectors are 1.8 GB
+
+
 def test_knn_fewer_points_than_k(spark):
     q, _, _ = points(spark, 4, 2, 2)
     x, _, _ = points(spark, 3, 2, 3)
