@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from kinetable.functions import vectors as V
 from kinetable.operators.blocks import number_rows
-from kinetable.operators.budget import GLOBAL_BLOCK
 from kinetable.operators.knn import knn
 
+#: Order units per task when rows with their vectors are dealt to pools.
+POOL_BLOCK = 1 << 14
 #: Partial sums are folded to this many rows before their final grouping.
 FOLD = 32
 
@@ -313,7 +314,7 @@ def label_diversity(df: DataFrame, label: str, ident: str, vec: str, n: int, quo
 
 def make_pools(df: DataFrame, order: str, size: int = 32, out: str = "pool") -> DataFrame:
     """Cut the table into consecutive pools of ``size`` rows."""
-    d = number_rows(df, [], [order], F.floor(F.col(order) / GLOBAL_BLOCK), "_n")
+    d = number_rows(df, [], [order], F.floor(F.col(order) / POOL_BLOCK), "_n")
     return d.withColumn(out, F.floor(F.col("_n") / size).cast("long")).drop("_n")
 
 

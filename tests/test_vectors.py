@@ -208,3 +208,11 @@ def test_reconstruction_report_by_plain_loops(spark):
     assert alone == {"frechet", "matching_pred", "diversity_real", "diversity_pred", *(f"r_precision_{k}_pred" for k in (1, 2, 3))}
     empty = VM.reconstruction_report(df.limit(0), "id", "t", "p", "c", frechet=False)
     assert empty.count() == 0
+
+
+def test_pools_are_dealt_by_many_tasks(spark):
+    d = spark.range(0, 40_000, 1, 4).select((F.col("id") + 20_000).alias("id"))
+    got = VM.make_pools(d, "id", 32)
+    assert got.where(F.col("pool") != F.floor((F.col("id") - 20_000) / 32)).count() == 0
+    blocks = d.select(F.floor(F.col("id") / VM.POOL_BLOCK)).distinct().count()
+    assert blocks > 1  # no task has to sort all rows
