@@ -166,11 +166,12 @@ def scan(
     values = {f"_i_{n}": c for n, c in inputs.items()}
     w = Window.partitionBy("_g").orderBy(seq.order, *seq.ties)
     if near is None:
-        d, touch, passes = _clustered(df.withColumns({"_blk": seq.block(), **values}), seq.keys)
+        d, touch, passes = _clustered(df.withColumn("_blk", seq.block()), seq.keys)
     else:
         before, after, stage = near
         d, touch, passes = _clustered(_with_halo(df, seq, before, after), seq.keys)
-        d = d.withColumns({n: fn(w) for n, fn in stage.items()}).where(~F.col("_halo")).withColumns(values)
+        d = d.withColumns({n: fn(w) for n, fn in stage.items()}).where(~F.col("_halo"))
+    d = d.withColumns(values)  # behind the shuffle, so that wide values are sent once
     aggs = [F.sum(f"_i_{n}").alias(f"_t_{n}") for n in (*sums, *shifted_sums)]
     place = F.struct(seq.order, *seq.ties)  # orders null orders too
     known = {n: F.when(F.col(f"_i_{n}").isNotNull(), place) for n in (*last, *next_)}
@@ -180,21 +181,24 @@ def scan(
         aggs += [F.min(seq.order).alias("_t_first"), F.max(seq.order).alias("_t_last")]
     totals = d.groupBy("_g").agg(*aggs, touch).where(F.col("_touch").isNotNull())
     totals, whole, blocks = _by_key(totals, seq.keys)
-    back, fwd = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends at the last row is read anew for every row, so what follows is walked to backwards
+    back, fwd = (o.rowsBetween(Window.unboundedPreceding, -1) for o in (blocks, whole.orderBy(F.desc("_b"))))
     carry = totals.select(
         "_g",
         *[F.sum(f"_t_{n}").over(back).alias(f"_c_{n}") for n in (*sums, *shifted_sums)],
         *[F.last(f"_t_{n}", ignorenulls=True).over(back).alias(f"_c_{n}") for n in last],
-        *[F.first(f"_t_{n}", ignorenulls=True).over(fwd).alias(f"_c_{n}") for n in next_],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(fwd).alias(f"_c_{n}") for n in next_],
         *([F.min("_t_first").over(whole).alias(ends[0]), F.max("_t_last").over(whole).alias(ends[1])] if ends else []),
     )
 
     upto, prior = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
+    onward = Window.partitionBy("_g").orderBy(F.desc("_nth")).rowsBetween(Window.unboundedPreceding, 0)
     local = {n: F.sum(f"_i_{n}").over(upto) for n in sums}
     local |= {n: F.sum(f"_i_{n}").over(prior) for n in shifted_sums}
     local |= {n: F.last(f"_i_{n}", ignorenulls=True).over(upto) for n in last}
-    local |= {n: F.first(f"_i_{n}", ignorenulls=True).over(onward) for n in next_}
+    if next_:
+        d = d.withColumn("_nth", F.row_number().over(w))
+    local |= {n: F.last(f"_i_{n}", ignorenulls=True).over(onward) for n in next_}
     d = d.withColumns({f"_l_{n}": c for n, c in local.items()})
     if local:
         d = d.where(passes(*[f"_l_{n}" for n in local]))

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetable.functions import vectors as V
-from kinetable.operators.blocks import Seq, neighbors, with_runs
+from kinetable.operators.blocks import Seq, WindowExpr, neighbors
 from kinetable.operators.filters import nan_gate
 from kinetable.operators.joins import assign_min_cost, face_body_cost, landmark_cost
 from kinetable.operators.kinematics import center_on_camera, origin_shift
 from kinetable.operators.resample import bracket, target_grid
 from kinetable.operators.runs import renumber_kept, trim_flagged
 from kinetable.operators.skeleton import from_matrices, map_rows, quat_mul, to_matrices
-from kinetable.operators.smoothing import _EDGES, gaussian_weights, trailing_mode
+from kinetable.operators.smoothing import _EDGES, gaussian_weights, trailing_parts
 from kinetable.session import cut
 
 SCENE = ["video_id", "scene_id"]
@@ -49,24 +49,50 @@ def match_faces(bodies: DataFrame, faces: DataFrame) -> DataFrame:
     return assign_min_cost(face_body_cost(f, b, SCENE, "frame", "face_id", "body_id", cost), SCENE, "face_id", "body_id")
 
 
+def track_parts(cols: list[str], seq: Seq, island: int, sigma: float, edge: str = "reflect") -> tuple[int, list[dict[str, WindowExpr]], dict[str, Column]]:
+    """How far :func:`smooth_track` reaches to both sides, its stages of bounded windows, and the means made from them.
+
+    A non-zero run is shorter than ``island`` and touches no border where
+    other rows stand on both sides of it within ``island`` rows.
+    """
+    r, place, near = int(4 * sigma + 0.5), _EDGES[edge], max(island - 1, 1)
+    w = F.array(*[F.lit(x) for x in gaussian_weights(sigma, r)])
+    on, clear, cleared, listed = {}, {}, {}, {"_b": lambda s: F.count(F.lit(1)).over(s.rowsBetween(-r, -1)).cast("int")}
+    for i, c in enumerate(cols):
+        off = F.when(~F.coalesce(F.col(f"_on{i}"), F.lit(False)), F.col(seq.order))
+        run = lambda s, off=off: F.min(off).over(s.rowsBetween(1, near)) - F.max(off).over(s.rowsBetween(-near, -1)) - 1
+        on[f"_on{i}"] = lambda s, c=c: F.exists(c, lambda v: v != 0)
+        clear[f"_short{i}"] = lambda s, i=i, run=run: F.col(f"_on{i}") & (run(s) < island)
+        cleared[c] = lambda s, i=i, c=c: F.when(F.col(f"_short{i}"), F.transform(c, lambda v: F.lit(0.0))).otherwise(F.col(c).cast("array<double>"))
+        listed[f"_l{i}"] = lambda s, c=c: F.collect_list(F.struct(F.col(c).alias("v"))).over(s.rowsBetween(-r, r))
+
+    def mean(rows: str) -> Column:
+        value = lambda k: F.get(rows, place(F.col("_b") + k - r, F.size(rows)))["v"]
+        known = F.filter(F.sequence(F.lit(0), F.lit(2 * r)), lambda k: value(k).isNotNull())
+        share = F.aggregate(F.transform(known, lambda k: F.get(w, k)), F.lit(0.0), lambda a, v: a + v)
+        zero = F.transform(F.coalesce(*[value(F.lit(k)) for k in range(r, 2 * r + 1)], *[value(F.lit(k)) for k in range(r)]), lambda v: F.lit(0.0))
+        total = F.aggregate(known, zero, lambda acc, k: F.zip_with(acc, value(k), lambda a, v: a + v * F.get(w, k)))
+        return F.when(F.size(known) == 2 * r + 1, total).otherwise(F.transform(total, lambda v: v / share))
+
+    return r + near, [on, clear, cleared, listed], {c: mean(f"_l{i}") for i, c in enumerate(cols)}
+
+
 def smooth_track(df: DataFrame, seq: Seq, col: str, island: int, sigma: float, edge: str = "reflect") -> DataFrame:
     """Clear short non-zero islands of a vector column, then smooth it over
     time with Gaussian weights. Null vectors keep their place and carry no
     weight."""
-    d = with_runs(df.withColumn("_on", F.exists(col, lambda v: v != 0)), seq, F.col("_on"))
-    short = F.col("_on") & ~F.col("touches_start") & ~F.col("touches_end") & (F.col("run_end") - F.col("run_start") + 1 < island)
-    d = d.withColumn(col, F.transform(col, lambda v: F.when(short, 0.0).otherwise(v.cast("double"))))
-    d = d.drop("_on", "run_start", "run_end", "touches_start", "touches_end")
-    r, place = int(4 * sigma + 0.5), _EDGES[edge]
-    w = F.array(*[F.lit(x) for x in gaussian_weights(sigma, r)])
-    d = neighbors(d, seq, r, r, {"_l": lambda s: F.collect_list(F.struct(F.col(col).alias("v"))).over(s.rowsBetween(-r, r)), "_b": lambda s: F.count(F.lit(1)).over(s.rowsBetween(-r, -1)).cast("int")})
-    value = lambda k: F.get("_l", place(F.col("_b") + k - r, F.size("_l")))["v"]
-    known = F.filter(F.sequence(F.lit(0), F.lit(2 * r)), lambda k: value(k).isNotNull())
-    share = F.aggregate(F.transform(known, lambda k: F.get(w, k)), F.lit(0.0), lambda a, v: a + v)
-    zero = F.transform(F.coalesce(*[value(F.lit(k)) for k in range(r, 2 * r + 1)], *[value(F.lit(k)) for k in range(r)]), lambda v: F.lit(0.0))
-    total = F.aggregate(known, zero, lambda acc, k: F.zip_with(acc, value(k), lambda a, v: a + v * F.get(w, k)))
-    mean = F.when(F.size(known) == 2 * r + 1, total).otherwise(F.transform(total, lambda v: v / share))
-    return d.withColumn(col, mean).drop("_l", "_b")
+    return _smooth(df, seq, [col], None, 1, island, sigma, edge)
+
+
+def _smooth(df: DataFrame, seq: Seq, cols: list[str], label: str | None, width: int, island: int, sigma: float, edge: str = "reflect") -> DataFrame:
+    """:func:`smooth_track` of all ``cols``, and the trailing mode of ``label``, behind one shuffle."""
+    reach, stages, made = track_parts(cols, seq, island, sigma, edge)
+    if label:
+        stage, mode = trailing_parts(label, width)
+        stages, made = [*stages, stage], {**made, label: mode}
+    before = max(reach, width - 1)
+    seq = Seq(seq.keys, seq.order, max(seq.size, before), seq.ties)
+    return neighbors(df, seq, before, reach, *stages).withColumns(made).select(*df.columns)
 
 
 def merge_scenes(bodies: DataFrame, faces: DataFrame, smooth: bool = True, emotion_window: int = 20, island: int = 5, sigma: float = 1.0) -> DataFrame:
@@ -87,12 +113,9 @@ def merge_scenes(bodies: DataFrame, faces: DataFrame, smooth: bool = True, emoti
     d = d.withColumns({f"_t{i}": at("trans", i) for i in range(3)} | {f"_c{i}": at("cam_transl", i) for i in range(3)})
     d = center_on_camera(d, BODY, SCENE, ~F.col("flagged"), ["_t0", "_t1", "_t2"], ["_c0", "_c1", "_c2"])
     d = d.withColumn("trans", F.array("_t0", "_t1", "_t2")).drop(*[f"_{a}{i}" for a in "tc" for i in range(3)])
-    d = cut(d)
     if smooth:
-        d = trailing_mode(d, BODY, "emotion", emotion_window, "_e").withColumn("emotion", F.col("_e")).drop("_e")
-        for c in ("exp", "jaw"):
-            d = smooth_track(d, BODY, c, island, sigma)
-        d = cut(d)
+        d = _smooth(d, BODY, ["exp", "jaw"], "emotion", emotion_window, island, sigma)
+    d = cut(d)
     pose = F.concat(F.slice("pose", 1, 66).cast("array<double>"), F.col("jaw"), F.slice("pose", 70, 96).cast("array<double>"))
     return d.withColumn("pose", pose).drop("jaw")
 
@@ -158,7 +181,6 @@ def finish_clips(merged: DataFrame, target: float = 30.0, moving: DataFrame | No
     moved = F.array("_t0", "_t1", "_t2")
     cam = F.zip_with("cam_transl", F.zip_with(moved, "trans", lambda a, b: a - b), lambda c, s: c + s)
     d = d.withColumns({"cam_transl": cam, "trans": moved}).drop("_t0", "_t1", "_t2", "ground")
-    d = cut(d)
     kept = trim_flagged(d, BODY, F.col("flagged"), F.floor(F.col("fps") / 2))
     out = renumber_kept(d, BODY, kept).join(kept.select(*keys, "start", "stop"), keys)
     return out.withColumns({"original_fps": F.col("fps"), "fps": F.lit(int(target))})

@@ -10,8 +10,9 @@ from kinetable.operators.blocks import Seq, neighbors, scan, with_runs
 
 def run_table(df: DataFrame, seq: Seq, value: Column, carry: list[str] | None = None) -> DataFrame:
     """One row per maximal run: value, start, stop (exclusive), length, and
-    the ``carry`` columns of its first row."""
-    d = with_runs(df.withColumn("run_value", value), seq, F.col("run_value"))
+    the ``carry`` columns of its first row. No other column is shuffled."""
+    named = list(dict.fromkeys([*seq.keys, seq.order, *seq.ties, *(carry or [])]))
+    d = with_runs(df.select(*named, value.alias("run_value")), seq, F.col("run_value"))
     return d.where(F.col("run_start") == F.col(seq.order)).select(
         *seq.keys,
         "run_value",

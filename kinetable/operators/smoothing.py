@@ -18,13 +18,17 @@ def list_mode(labels: Column) -> Column:
     return F.get(kinds, F.array_position(counts, F.array_max(counts)).cast("int") - 1)
 
 
+def trailing_parts(label: str, width: int) -> tuple[dict[str, WindowExpr], Column]:
+    """The bounded window that a majority of the last ``width`` labels reads, and the majority made from it."""
+    stage = {"_ls": lambda w: F.collect_list(F.struct(F.col(label).alias("v"))).over(w.rowsBetween(-(width - 1), 0))}
+    return stage, list_mode(F.transform("_ls", lambda x: x["v"]))
+
+
 def trailing_mode(df: DataFrame, seq: Seq, label: str, width: int = 20, out: str = "smoothed") -> DataFrame:
     """Majority label of the last ``width`` rows including the current one.
     Rows without a label count as the label null."""
-    d = neighbors(
-        df, seq, width - 1, 0, {"_ls": lambda w: F.collect_list(F.struct(F.col(label).alias("v"))).over(w.rowsBetween(-(width - 1), 0))}
-    )
-    return d.withColumn(out, list_mode(F.transform("_ls", lambda x: x["v"]))).drop("_ls")
+    stage, mode = trailing_parts(label, width)
+    return neighbors(df, seq, width - 1, 0, stage).withColumn(out, mode).drop(*stage)
 
 
 def gaussian_weights(sigma: float, radius: int) -> list[float]:

@@ -98,3 +98,26 @@ def test_grid(spark):
     assert sorted(got[got.k == 1]["i"]) == list(range(11))
     assert got[got.k == 2]["i"].tolist() == [5]
     assert not len(got[got.k == 3])
+
+
+def test_scan_reads_each_row_once(spark):
+    """A frame up to the last row is read anew for every row: quadratic in a block, with the whole value each time."""
+    d = spark.createDataFrame(numbered(frame())).withColumn("x", F.when(F.col("v") > 1, F.col("pos") * 10 + F.col("v")))
+    out = scan(d, Seq(("k",), "pos", 50), last={"before": F.col("x")}, next={"after": F.col("x")})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    shuffled = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
+    assert shuffled and "_i_" not in plan[plan.index(shuffled[0]):].split("Aggregate")[0]  # the value is sent once
+    got = out.toPandas().sort_values(["k", "pos"])
+    known = got["x"].groupby(got["k"])
+    np.testing.assert_array_equal(got["after"], known.bfill())
+    np.testing.assert_array_equal(got["before"], known.ffill())
+
+
+def test_scan_takes_the_next_of_equal_places_in_their_order(spark):
+    rows = [("a", 0, None), ("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, None), (None, None, 5.0), (None, 3, None), (None, 4, 6.0)]
+    d = spark.createDataFrame(rows, "k string, pos long, v double").coalesce(1)
+    got = {(r.k, r.pos, r.v): r.after for r in scan(d, Seq(("k",), "pos", 2), next={"after": F.col("v")}).collect()}
+    assert got[("a", 1, 1.0)] == 1.0 and got[("a", 1, 2.0)] == 2.0 and got[("a", 2, None)] is None
+    assert got[("a", 0, None)] in (1.0, 2.0)
+    assert got[(None, None, 5.0)] == 5.0 and got[(None, 3, None)] == 6.0

@@ -83,3 +83,31 @@ def test_smooth_track_equals_columns(spark):
     a = np.stack([r["v"] for r in M.smooth_track(d, s, "v", 2, 1.0).orderBy("frame").collect()])
     b = gaussian_smooth(d, s, ["p", "q"], 1.0).orderBy("frame").toPandas()[["p", "q"]].to_numpy()
     np.testing.assert_allclose(a, b, atol=1e-12)
+
+
+@pytest.mark.parametrize("size", [9, 64, 3840])
+def test_short_islands_are_cleared_before_smoothing(spark, size):
+    """As by runs of whole sequences, whatever the block size; borders and islands of the width stay."""
+    from kinetable.operators.runs import remove_islands
+    from kinetable.operators.smoothing import gaussian_smooth
+
+    r = np.random.default_rng(3)
+    v = np.concatenate([[1.5, 0], np.repeat(1.25 * (r.random(40) < 0.5), r.integers(1, 8, 40)), [0, 2.5]])
+    d = spark.createDataFrame([("a", i, [float(x)], float(x)) for i, x in enumerate(v)], "k string, frame long, v array<double>, p double")
+    s = Seq(("k",), "frame", size)
+    got = [x["v"][0] for x in M.smooth_track(d, s, "v", 4, 1.0).orderBy("frame").collect()]
+    want = [x["p"] for x in gaussian_smooth(remove_islands(d, s, ["p"], 4), s, ["p"], 1.0).orderBy("frame").collect()]
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    assert 0 < sum(x == 0 for x in remove_islands(d, s, ["p"], 4).toPandas()["p"]) - (v == 0).sum()
+
+
+def test_wide_rows_are_shuffled_once(spark, tables):
+    """Smoothing has one shuffle, and the trim sends flags only."""
+    from kinetable.operators.runs import trim_flagged
+    from tests.test_pipeline_blocks import exchanges
+
+    d = spark.createDataFrame([(1, 1, 1, i, [1.0, 0.0], [0.5], "happy", i < 3) for i in range(12)],
+                              "video_id long, scene_id int, body_id int, frame int, exp array<double>, jaw array<double>, emotion string, flagged boolean")
+    plan = trim_flagged(d, M.BODY, F.col("flagged"), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "emotion#" not in plan.split("RepartitionByExpression", 1)[1].split("LogicalRDD")[0]
+    assert exchanges(M._smooth(d, M.BODY, ["exp", "jaw"], "emotion", 5, 3, 1.0)) == 1
